@@ -148,3 +148,85 @@ def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """P5: code / pre blocks of the code pages (``pre > code`` gives two)."""
     cp = D.code_pages(spark, sf).select(F.col("page_id").alias("id"), "content")
     return TB.code_rows(P.process_pages(cp, parts=("code",)))
+
+
+# -- step 4: summary and quality -------------------------------------------
+from pagemill.operators import quality as Q  # noqa: E402
+
+
+def _processed_with_counts(spark, sf):
+    pages = D.wiki_pages(spark, sf).select("id", "title", "content", "url", "version", "last_modified")
+    done = P.process_pages(pages, parts=("text",))
+    return P.child_summary(done, comments=_comments(spark, sf))
+
+
+@query
+def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """G1: corpus figures over the processed pages."""
+    return Q.corpus_summary(_processed_with_counts(spark, sf))
+
+
+def _quality_input(spark, sf):
+    qp = D.quality_pages(spark, sf)
+    return qp.select("id", "content", P.metadata(qp).alias("metadata"))
+
+
+@query
+def page_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-page quality scores of the document corpus."""
+    return Q.page_scores(_quality_input(spark, sf))
+
+
+@query
+def corpus_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Corpus quality report of the document corpus."""
+    return Q.corpus_quality(Q.page_scores(_quality_input(spark, sf)))
+
+
+@query
+def raw_html_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 on raw HTML (formatting marks measurable) with children counts."""
+    pages = D.wiki_pages(spark, sf)
+    df = pages.select("id", "content", P.metadata(pages).alias("metadata"))
+    df = P.child_summary(df, comments=_comments(spark, sf))
+    return Q.page_scores(df)
+
+
+# -- step 5: rate flags and request metrics --------------------------------
+from pagemill.operators import metrics as M  # noqa: E402
+from pagemill.operators import rate as R  # noqa: E402
+
+
+@query
+def rate_flag(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-user sliding-window flag (window 86,400 s, limit 4)."""
+    ev = D.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    out = R.flag_rate(ev, "user_id", "ts", limit=4, window_seconds=86400)
+    return out.select("event_id", "user_id", "sec", "n_in_window", "flagged")
+
+
+@query
+def rate_flag_by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate key ``rate_limit:{event_type}:{user_id}``, window 3,600 s, limit 1."""
+    ev = D.table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    out = R.flag_rate(ev, R.rate_key(F.col("event_type"), F.col("user_id")), "ts", limit=1,
+                      window_seconds=3600)
+    return out.select("event_id", "rate_key", "sec", "n_in_window", "flagged")
+
+
+@query
+def request_counter(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests by (method, status)."""
+    return M.count_by(D.requests(spark, sf), "method", "status")
+
+
+@query
+def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Cumulative latency buckets per method."""
+    return M.latency_histogram(D.requests(spark, sf), "method", "duration")
+
+
+@query
+def latency_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Observation count and sum per method."""
+    return M.latency_totals(D.requests(spark, sf), "method", "duration")

@@ -184,3 +184,114 @@ SELECT CAST(doc_id AS VARCHAR) AS page_id, 1 AS block_idx, 'language-' || lang A
        {_strip('text')} AS content
 FROM documents
 """
+
+
+# -- step 4 ------------------------------------------------------------------
+def _words(expr: str) -> str:
+    n = _norm(f"coalesce({expr}, '')")
+    return f"(CASE WHEN {n} = '' THEN 0 ELSE len(string_split({n}, ' ')) END)"
+
+
+def _sentences(expr: str) -> str:
+    return f"len(regexp_split_to_array(coalesce({expr}, ''), '[.!?]+'))"
+
+
+def _readability(expr: str) -> str:
+    return (f"greatest(0.0, least(100.0, 206.835 - 1.015 * (CAST({_words(expr)} AS DOUBLE) / "
+            f"CAST(greatest({_sentences(expr)}, 1) AS DOUBLE))))")
+
+
+def _share(flags: list[str]) -> str:
+    n = " + ".join(f"(CASE WHEN {f} THEN 1 ELSE 0 END)" for f in flags)
+    return f"(({n}) / {len(flags)}) * 100"
+
+
+def _meta_share(a: str = "") -> str:
+    return _share([f"{a}id <> ''", f"{a}title <> ''", f"{a}url <> ''",
+                   f"{a}version <> '' AND {a}version <> '0'", f"{a}last_modified <> ''"])
+
+
+QUALITY_PAGES = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, '') AS title, text AS content,
+       '{BASE}/wiki/pages/' || CAST(doc_id AS VARCHAR) AS url, CAST(doc_id % 5 AS VARCHAR) AS version,
+       CASE WHEN doc_id % 7 = 0 THEN ''
+            ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id), '%Y-%m-%dT%H:%M:%S') END
+         AS last_modified
+FROM documents
+"""
+
+_MARKS = ("<h1>", "<h2>", "<p>", "<table>", "<code>")
+
+
+def _page_scores(src: str, content: str, extra_flags: list[str]) -> str:
+    return f"""
+SELECT id, {_words(content)} AS n_words, {_sentences(content)} AS n_sentences,
+       {_readability(content)} AS readability,
+       {_share([f"coalesce({content}, '') <> ''", 'TRUE'] + extra_flags)} AS content_completeness,
+       {_meta_share()} AS metadata_completeness,
+       {_share([f"contains(coalesce({content}, ''), '{m}')" for m in _MARKS])} AS formatting_quality
+FROM ({src})
+"""
+
+
+SQL["page_quality"] = _page_scores(QUALITY_PAGES, "content", ["FALSE", "FALSE", "FALSE"])
+
+_Q = ("readability", "content_completeness", "metadata_completeness", "formatting_quality")
+SQL["corpus_quality"] = "SELECT " + ", ".join(
+    f"round(coalesce(avg({s}), 0.0), 6) AS avg_{s}, CAST(coalesce(min({s}), 0.0) AS DOUBLE) AS min_{s}, "
+    f"CAST(coalesce(max({s}), 0.0) AS DOUBLE) AS max_{s}" for s in _Q
+) + ", round((" + " + ".join(f"coalesce(avg({s}), 0.0)" for s in _Q) + ") / 4.0, 6) AS quality_score FROM (" \
+    + SQL["page_quality"] + ")"
+
+SQL["raw_html_quality"] = f"""
+WITH {CHILDREN}, w AS (SELECT wp.*, coalesce(c.n_comments, 0) AS n_comments
+                       FROM ({WIKI_PAGES}) wp LEFT JOIN c ON c.page_id = wp.id)
+""" + _page_scores("SELECT * FROM w", "content", ["FALSE", "FALSE", "n_comments > 0"])
+
+SQL["corpus_summary"] = f"""
+WITH {CHILDREN}, w AS (SELECT wp.*, {CLEAN_PAGES} AS clean, coalesce(c.n_comments, 0) AS n_comments
+                       FROM ({WIKI_PAGES}) wp LEFT JOIN c ON c.page_id = wp.id),
+g AS (SELECT count(*) AS total_pages, CAST(sum({_words('clean')}) AS BIGINT) AS total_words,
+             CAST(0 AS BIGINT) AS total_tables, CAST(0 AS BIGINT) AS total_code_blocks,
+             CAST(sum(n_comments) AS BIGINT) AS total_comments,
+             min(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS oldest,
+             max(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS newest
+      FROM w)
+SELECT total_pages, total_words, total_tables, total_code_blocks, total_comments,
+       total_words / total_pages AS words_per_page, total_tables / total_pages AS tables_per_page,
+       total_code_blocks / total_pages AS code_blocks_per_page, total_comments / total_pages AS comments_per_page,
+       strftime(oldest, '%Y-%m-%dT%H:%M:%S') AS oldest_page, strftime(newest, '%Y-%m-%dT%H:%M:%S') AS newest_page
+FROM g
+"""
+
+# -- step 5 ------------------------------------------------------------------
+SQL["rate_flag"] = """
+WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+s AS (SELECT DISTINCT user_id, sec FROM e),
+c AS (SELECT user_id, sec, count(*) OVER (PARTITION BY user_id ORDER BY sec
+                                          RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM s)
+SELECT e.event_id, e.user_id, e.sec, c.n AS n_in_window, c.n > 4 AS flagged
+FROM e JOIN c ON e.user_id = c.user_id AND e.sec = c.sec
+"""
+
+SQL["rate_flag_by_function"] = """
+WITH e AS (SELECT event_id, 'rate_limit:' || event_type || ':' || CAST(user_id AS VARCHAR) AS rate_key,
+                  CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+s AS (SELECT DISTINCT rate_key, sec FROM e),
+c AS (SELECT rate_key, sec, count(*) OVER (PARTITION BY rate_key ORDER BY sec
+                                           RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM s)
+SELECT e.event_id, e.rate_key, e.sec, c.n AS n_in_window, c.n > 1 AS flagged
+FROM e JOIN c ON e.rate_key = c.rate_key AND e.sec = c.sec
+"""
+
+_REQ = ("SELECT event_type AS method, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, "
+        "value AS duration FROM events")
+SQL["request_counter"] = f"SELECT method, status, count(*) AS n FROM ({_REQ}) GROUP BY method, status"
+
+_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+SQL["latency_histogram"] = " UNION ALL ".join(
+    [f"SELECT method, '{b!r}' AS le, CAST(count(*) FILTER (WHERE duration <= {b!r}) AS BIGINT) AS cumulative_count "
+     f"FROM ({_REQ}) GROUP BY method" for b in _BUCKETS]
+    + [f"SELECT method, '+Inf' AS le, CAST(count(duration) AS BIGINT) AS cumulative_count FROM ({_REQ}) GROUP BY method"]
+)
+SQL["latency_totals"] = f"SELECT method, count(duration) AS n, round(sum(duration), 6) AS total FROM ({_REQ}) GROUP BY method"
