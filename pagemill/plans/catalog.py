@@ -230,3 +230,58 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def latency_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Observation count and sum per method."""
     return M.latency_totals(D.requests(spark, sf), "method", "duration")
+
+
+# -- step 6: work lists, unions, inventories --------------------------------
+from pagemill.functions import text as X  # noqa: E402
+from pagemill.operators import batch as B  # noqa: E402
+
+
+def _routed_outcome(spark, sf):
+    items = B.route_items(A.worklist_lines(D.worklist(spark, sf)))
+    known = B.known_keys(D.wiki_pages(spark, sf), D.tracker_issues(spark, sf))
+    return B.batch_outcome(items, known)
+
+
+@query
+def worklist_route(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 + F1 + F2 + J-4 + U2: every work-list item routed and checked."""
+    return _routed_outcome(spark, sf).select("item", "kind", "ref", "status", "error")
+
+
+@query
+def batch_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Work-list items per status."""
+    return B.batch_counts(_routed_outcome(spark, sf))
+
+
+@query
+def page_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Bag union of space scans (duplicates kept)."""
+    raw = D.wiki_pages_raw(spark, sf)
+    parts = [A.space_pages(raw, s, D.BASE_URL) for s in ("en", "fr")] + [A.space_pages(raw, None, D.BASE_URL)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("id", "space_key", "url")
+
+
+@query
+def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of an output tree (files, successes, failures, bytes)."""
+    return B.inventory(D.file_entries(spark, sf))
+
+
+@query
+def file_types(spark: SparkSession, sf: str) -> DataFrame:
+    """G4 + S6: file count per lower-cased extension."""
+    return B.file_types(D.file_entries(spark, sf))
+
+
+@query
+def readable_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Human-readable sizes (B to TB) of derived byte counts."""
+    d = D.table(spark, sf, "documents")
+    size = (F.col("n_chars") * F.pow(F.lit(1024), F.pmod("doc_id", F.lit(5))).cast("long")
+            + F.pmod("doc_id", F.lit(7)) * 37)
+    return d.select(F.col("doc_id"), size.alias("size")).withColumn("readable", X.readable_size("size"))

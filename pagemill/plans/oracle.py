@@ -295,3 +295,96 @@ SQL["latency_histogram"] = " UNION ALL ".join(
     + [f"SELECT method, '+Inf' AS le, CAST(count(duration) AS BIGINT) AS cumulative_count FROM ({_REQ}) GROUP BY method"]
 )
 SQL["latency_totals"] = f"SELECT method, count(duration) AS n, round(sum(duration), 6) AS total FROM ({_REQ}) GROUP BY method"
+
+
+# -- step 6 ------------------------------------------------------------------
+WORKLIST = """
+SELECT CASE page_id % 3 WHEN 0 THEN '  CONF_' || CAST(page_id AS VARCHAR)
+                        WHEN 1 THEN chr(9) || 'CONF_' || CAST(page_id * 2 AS VARCHAR)
+                        ELSE 'CONF_' || CAST(page_id AS VARCHAR) || ' ' END AS value FROM pages
+UNION ALL SELECT 'SPACE_' || regexp_extract(url, '/(en|fr|de|es)/', 1) FROM pages
+UNION ALL SELECT 'JIRA_P' || CAST(o_custkey % 10 AS VARCHAR) || '-' || CAST(o_orderkey + o_orderkey % 100 AS VARCHAR)
+          FROM orders WHERE o_orderkey % 50 = 0
+UNION ALL SELECT 'PROJECT_P' || CAST((o_orderkey // 500) % 12 AS VARCHAR) FROM orders WHERE o_orderkey % 500 = 0
+UNION ALL SELECT CASE WHEN page_id % 20 = 0 THEN '   ' ELSE 'X_' || CAST(page_id AS VARCHAR) END
+          FROM pages WHERE page_id % 10 = 0
+"""
+
+ROUTED = f"""
+WITH it AS (SELECT {_strip('value')} AS item FROM ({WORKLIST})),
+r AS (SELECT item,
+             CASE WHEN starts_with(item, 'SPACE_') THEN 'space' WHEN starts_with(item, 'CONF_') THEN 'page'
+                  WHEN starts_with(item, 'JIRA_') THEN 'issue' WHEN starts_with(item, 'PROJECT_') THEN 'project'
+                  ELSE 'unknown' END AS kind,
+             CASE WHEN starts_with(item, 'SPACE_') THEN substr(item, 7) WHEN starts_with(item, 'CONF_') THEN substr(item, 6)
+                  WHEN starts_with(item, 'JIRA_') THEN substr(item, 6) WHEN starts_with(item, 'PROJECT_') THEN substr(item, 9)
+                  END AS ref
+      FROM it WHERE item <> ''),
+k AS (SELECT DISTINCT 'page' AS kind, CAST(page_id AS VARCHAR) AS ref FROM pages
+      UNION SELECT DISTINCT 'issue', 'P' || CAST(o_custkey % 10 AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) FROM orders),
+o AS (SELECT r.item, r.kind, r.ref,
+             CASE WHEN r.kind = 'unknown' THEN 'skipped'
+                  WHEN r.kind IN ('space', 'project') THEN 'successful'
+                  WHEN k.ref IS NOT NULL THEN 'successful' ELSE 'failed' END AS status
+      FROM r LEFT JOIN k ON r.kind = k.kind AND r.ref = k.ref)
+"""
+
+SQL["worklist_route"] = ROUTED + """
+SELECT item, kind, ref, status, CASE WHEN status = 'failed' THEN 'not found: ' || item END AS error FROM o
+"""
+SQL["batch_result"] = ROUTED + "SELECT status, count(*) AS n FROM o GROUP BY status"
+
+SQL["page_union"] = f"""
+WITH w AS ({WIKI_PAGES})
+SELECT id, space_key, '{BASE}/wiki/spaces/' || space_key || '/pages/' || id AS url FROM w WHERE space_key = 'en'
+UNION ALL SELECT id, space_key, '{BASE}/wiki/spaces/' || space_key || '/pages/' || id FROM w WHERE space_key = 'fr'
+UNION ALL SELECT id, space_key, '{BASE}/wiki/spaces/' || space_key || '/pages/' || id FROM w
+"""
+
+FILE_ENTRIES = """
+WITH p AS (SELECT page_id, CAST(length(html) AS BIGINT) AS n, CAST(page_id AS VARCHAR) AS pid FROM pages)
+SELECT 'page_' || pid || '_raw.json' AS name, n AS length FROM p
+UNION ALL SELECT 'page_' || pid || '_processed.JSON', n * 1024 FROM p
+UNION ALL SELECT CASE page_id % 11 WHEN 0 THEN 'page_' || pid || '_error.txt'
+                                  WHEN 1 THEN '.page_' || pid || '.hid.json'
+                                  WHEN 2 THEN 'trail' || pid || '.'
+                                  WHEN 3 THEN 'noext' || pid
+                                  ELSE 'a.' || pid || '.B.TXT' END,
+                 n * CAST(pow(1024, page_id % 5) AS BIGINT) FROM p
+"""
+
+
+def _readable(size: str) -> str:
+    """Exact half-even two-decimal size text (mirror of the S9 rule)."""
+    s = f"(CAST({size} AS HUGEINT) * 100)"
+    branches = []
+    units = ("B", "KB", "MB", "GB", "TB")
+    for k, unit in enumerate(units):
+        d = 1024 ** k
+        q = f"({s} // {d} + CASE WHEN 2 * ({s} % {d}) > {d} OR (2 * ({s} % {d}) = {d} AND ({s} // {d}) % 2 = 1) " \
+            f"THEN 1 ELSE 0 END)"
+        txt = f"CAST({q} // 100 AS VARCHAR) || '.' || lpad(CAST({q} % 100 AS VARCHAR), 2, '0') || ' {unit}'"
+        if unit == "TB":
+            branches.append(f"ELSE {txt}")
+        else:
+            branches.append(f"WHEN CAST({size} AS HUGEINT) < {1024 ** (k + 1)} THEN {txt}")
+    return f"CASE WHEN {size} IS NULL THEN '0 B' " + " ".join(branches) + " END"
+
+
+SQL["file_inventory"] = f"""
+WITH e AS ({FILE_ENTRIES}),
+g AS (SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT contains(name, '_error')) AS successful_files,
+             count(*) FILTER (WHERE contains(name, '_error')) AS failed_files,
+             CAST(coalesce(sum(length), 0) AS BIGINT) AS total_size FROM e)
+SELECT total_files, successful_files, failed_files, total_size, {_readable('total_size')} AS total_size_readable FROM g
+"""
+
+SQL["file_types"] = f"""
+WITH e AS ({FILE_ENTRIES})
+SELECT lower(regexp_extract(name, '(?s)^.+(\\.[^.]+)$', 1)) AS ext, count(*) AS n FROM e GROUP BY 1
+"""
+
+SQL["readable_size"] = f"""
+WITH d AS (SELECT doc_id, n_chars * CAST(pow(1024, doc_id % 5) AS BIGINT) + (doc_id % 7) * 37 AS size FROM documents)
+SELECT doc_id, size, {_readable('size')} AS readable FROM d
+"""
