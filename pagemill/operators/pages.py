@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pagemill import schemas
 from pagemill.functions.udf import ALL_PARTS, clean_text, parse_html
 
 SOURCE = "confluence"
@@ -121,8 +123,10 @@ def process_pages(pages: DataFrame, attachments: DataFrame | None = None, commen
     cols = [*keep,
             (F.col("_p.content") if "text" in parts else F.lit("")).alias("content"),
             metadata(parsed, source).alias("metadata"),
-            (F.col("_p.tables") if "tables" in parts else F.array()).alias("tables"),
-            (F.col("_p.code_blocks") if "code" in parts else F.array()).alias("code_blocks"),
+            (F.col("_p.tables") if "tables" in parts
+             else F.array().cast(T.ArrayType(schemas.TABLE))).alias("tables"),
+            (F.col("_p.code_blocks") if "code" in parts
+             else F.array().cast(T.ArrayType(schemas.CODE_BLOCK))).alias("code_blocks"),
             F.col("_p.errors").alias("errors")]
     out = parsed.select(*cols)
     if attachments is not None or comments is not None:

@@ -285,3 +285,86 @@ def readable_size(spark: SparkSession, sf: str) -> DataFrame:
     size = (F.col("n_chars") * F.pow(F.lit(1024), F.pmod("doc_id", F.lit(5))).cast("long")
             + F.pmod("doc_id", F.lit(7)) * 37)
     return d.select(F.col("doc_id"), size.alias("size")).withColumn("readable", X.readable_size("size"))
+
+
+# -- step 7: rendering --------------------------------------------------------
+from pagemill.operators import render as RH  # noqa: E402
+
+
+@query
+def render_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Processed code pages rendered as standalone HTML documents."""
+    cp = D.code_pages(spark, sf).select(F.col("page_id").alias("id"), "content")
+    return RH.render_html(P.process_pages(cp, parts=("text", "code"))).select("id", "html")
+
+
+# -- step 9: tracker issues ---------------------------------------------------
+from pagemill.functions.text import iso_format  # noqa: E402
+from pagemill.operators import issues as I  # noqa: E402
+
+ISSUE_COLUMNS = ["key", "title", "type", "status", "priority", "assignee", "project", "sprint"]
+
+
+def _issue_rows(df):
+    return df.select(*ISSUE_COLUMNS, iso_format("created").alias("created"), iso_format("updated").alias("updated"))
+
+
+def _issue_comment_rows(spark, sf):
+    return D.issue_comments_landed(spark, sf).withColumnRenamed("l_orderkey", "page_id")
+
+
+@query
+def issue_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 + L1: project P3's issues, first 1,000 in key order."""
+    return _issue_rows(I.project_issues(D.tracker_issues(spark, sf), "P3", 1000))
+
+
+@query
+def issue_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Issue lookup by key (the keys of order 7 in every project)."""
+    return _issue_rows(I.single_issue(D.tracker_issues(spark, sf), [f"P{i}-7" for i in range(10)]))
+
+
+@query
+def sprint_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: sprints of project P3."""
+    sp = I.project_sprints(I.sprints(D.tracker_issues(spark, sf)), "P3")
+    return sp.select("id", "name", "project", iso_format("start").alias("start"), iso_format("end").alias("end"))
+
+
+@query
+def sprint_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """L2 + J-3 + F4: issues of the first sprint named 'Sprint 1996-01' in P3."""
+    issues = D.tracker_issues(spark, sf)
+    out = I.sprint_issues(issues, I.sprints(issues), "P3", "Sprint 1996-01")
+    return out.select("key", "title", "status", "sprint_id", iso_format("created").alias("created"))
+
+
+@query
+def issue_process(spark: SparkSession, sf: str) -> DataFrame:
+    """Processed issues (cleaned description + metadata)."""
+    p = I.process_issues(D.tracker_issues(spark, sf))
+    return p.select("key", "content", *[F.col(f"metadata.{f}").alias(f) for f in
+                                        ("title", "type", "status", "priority", "assignee", "created", "updated")])
+
+
+@query
+def issue_children(spark: SparkSession, sf: str) -> DataFrame:
+    """J-2: issues left-joined to their pre-aggregated comments."""
+    issues = D.tracker_issues(spark, sf).select("key", "o_orderkey")
+    out = P.child_summary(issues, comments=_issue_comment_rows(spark, sf), key="o_orderkey")
+    return out.select("key", "n_comments")
+
+
+@query
+def project_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Per project, issue counts by type, status, priority, assignee, total."""
+    return I.project_summary(D.tracker_issues(spark, sf))
+
+
+@query
+def sprint_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Per sprint counts, done rate, mean / median age, comments per issue."""
+    issues = D.tracker_issues(spark, sf)
+    with_counts = P.child_summary(issues, comments=_issue_comment_rows(spark, sf), key="o_orderkey")
+    return I.sprint_metrics(with_counts)

@@ -388,3 +388,103 @@ SQL["readable_size"] = f"""
 WITH d AS (SELECT doc_id, n_chars * CAST(pow(1024, doc_id % 5) AS BIGINT) + (doc_id % 7) * 37 AS size FROM documents)
 SELECT doc_id, size, {_readable('size')} AS readable FROM d
 """
+
+
+# -- step 7 ------------------------------------------------------------------
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _render_sql() -> str:
+    from pagemill.operators.render import STYLE
+    head = _lit("<!DOCTYPE html>\n<html>\n<head>\n<title>")
+    code = (f"{_lit('<div class=\"code-blocks\"><h2>Code Blocks</h2>' + chr(10))} || "
+            f"{_lit('<div class=\"code-block\"><code class=\"language-text\">' + chr(10))} || {_strip('text')} || "
+            f"{_lit(chr(10) + '</code></div>' + chr(10))} || "
+            f"{_lit('<div class=\"code-block\"><code class=\"language-')} || 'language-' || lang || {_lit('\">' + chr(10))} || "
+            f"{_strip('text')} || {_lit(chr(10) + '</code></div>' + chr(10))} || {_lit('</div>' + chr(10))}")
+    return f"""
+SELECT CAST(doc_id AS VARCHAR) AS id,
+  {head} || '' || {_lit('</title>' + chr(10) + '<style>' + chr(10) + STYLE + '</style>' + chr(10))} ||
+  {_lit('</head>' + chr(10) + '<body>' + chr(10) + '<div class="metadata">' + chr(10) + '<h1>')} || '' ||
+  {_lit('</h1>' + chr(10) + '<p>Last modified: ')} || '' || {_lit('</p>' + chr(10) + '<p>URL: <a href="')} || '' ||
+  {_lit('">')} || '' || {_lit('</a></p>' + chr(10) + '</div>' + chr(10) + '<div class="content">' + chr(10))} ||
+  {_norm('text')} || {_lit(chr(10) + '</div>' + chr(10))} || {code} || {_lit('</body>' + chr(10) + '</html>' + chr(10))}
+  AS html
+FROM documents
+"""
+
+
+SQL["render_html"] = _render_sql()
+
+# -- step 9 ------------------------------------------------------------------
+ISSUES = """
+SELECT 'P' || CAST(o_custkey % 10 AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) AS key,
+       'Order ' || CAST(o_orderkey AS VARCHAR) AS title,
+       '<p>' || o_orderpriority || ' order for <b>' || coalesce(c_name, 'unknown') || '</b> worth '
+         || CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) || '</p>' AS description,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Bug' WHEN 1 THEN 'Story' ELSE 'Task' END AS type,
+       CASE o_orderstatus WHEN 'F' THEN 'Done' WHEN 'O' THEN 'Open' WHEN 'P' THEN 'In Progress' ELSE 'Open' END
+         AS status,
+       o_orderpriority AS priority,
+       CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE c_name END AS assignee,
+       'P' || CAST(o_custkey % 10 AS VARCHAR) AS project,
+       'Sprint ' || strftime(o_orderdate, '%Y-%m') AS sprint,
+       CAST(o_orderdate AS TIMESTAMP) AS created,
+       CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS updated,
+       o_orderkey, c_name, o_totalprice, o_orderpriority
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+"""
+
+_ISSUE_OUT = ("key, title, type, status, priority, assignee, project, sprint, "
+              "strftime(created, '%Y-%m-%dT%H:%M:%S') AS created, strftime(updated, '%Y-%m-%dT%H:%M:%S') AS updated")
+
+SQL["issue_scan"] = f"SELECT {_ISSUE_OUT} FROM ({ISSUES}) WHERE project = 'P3' ORDER BY key LIMIT 1000"
+SQL["issue_lookup"] = f"SELECT {_ISSUE_OUT} FROM ({ISSUES}) WHERE key IN (" + \
+    ", ".join(f"'P{i}-7'" for i in range(10)) + ")"
+
+SPRINTS = f"""
+SELECT CAST(replace(substr(sprint, 8, 7), '-', '') AS BIGINT) * 100 + CAST(substr(project, 2) AS BIGINT) AS id,
+       sprint AS name, project, min(created) AS start, max(updated) AS "end"
+FROM ({ISSUES}) GROUP BY project, sprint
+"""
+SQL["sprint_scan"] = f"""
+SELECT id, name, project, strftime(start, '%Y-%m-%dT%H:%M:%S') AS start, strftime("end", '%Y-%m-%dT%H:%M:%S') AS "end"
+FROM ({SPRINTS}) WHERE project = 'P3'
+"""
+SQL["sprint_issues"] = f"""
+WITH s AS (SELECT * FROM ({SPRINTS}) WHERE project = 'P3' AND name = 'Sprint 1996-01' ORDER BY id LIMIT 1)
+SELECT i.key, i.title, i.status, s.id AS sprint_id, strftime(i.created, '%Y-%m-%dT%H:%M:%S') AS created
+FROM ({ISSUES}) i JOIN s ON i.project = s.project AND i.sprint = s.name
+"""
+SQL["issue_process"] = f"""
+SELECT key, {_norm("o_orderpriority || ' order for ' || coalesce(c_name, 'unknown') || ' worth ' || "
+                   "CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR)")} AS content,
+       title, type, status, priority, assignee,
+       strftime(created, '%Y-%m-%dT%H:%M:%S') AS created, strftime(updated, '%Y-%m-%dT%H:%M:%S') AS updated
+FROM ({ISSUES})
+"""
+_COMMENT_COUNTS = "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey"
+SQL["issue_children"] = f"""
+SELECT i.key, coalesce(c.n, 0) AS n_comments
+FROM ({ISSUES}) i LEFT JOIN ({_COMMENT_COUNTS}) c ON c.l_orderkey = i.o_orderkey
+"""
+_DIMS = ("type", "status", "priority", "assignee")
+SQL["project_summary"] = f"""
+SELECT project,
+       CASE {' '.join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in _DIMS)} ELSE 'total' END AS dimension,
+       CASE {' '.join(f"WHEN grouping({d}) = 0 THEN coalesce({d}, '(none)')" for d in _DIMS)} END AS value,
+       count(*) AS n
+FROM ({ISSUES})
+GROUP BY GROUPING SETS ({', '.join(f'(project, {d})' for d in _DIMS)}, (project))
+"""
+SQL["sprint_metrics"] = f"""
+WITH j AS (SELECT i.*, coalesce(c.n, 0) AS n_comments,
+                  (epoch(i.updated) - epoch(i.created)) / 86400.0 AS days
+           FROM ({ISSUES}) i LEFT JOIN ({_COMMENT_COUNTS}) c ON c.l_orderkey = i.o_orderkey)
+SELECT project, sprint, count(*) AS n_issues, count(*) FILTER (WHERE status = 'Done') AS n_done,
+       count(*) FILTER (WHERE status = 'Done') / count(*) AS done_rate,
+       round(avg(days), 6) AS mean_days, median(days) AS median_days,
+       CAST(sum(n_comments) AS BIGINT) / count(*) AS comments_per_issue
+FROM j GROUP BY project, sprint
+"""

@@ -184,6 +184,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _status(c):
+    out = None
+    for code, name in ISSUE_STATUS.items():
+        out = F.when(c == code, F.lit(name)) if out is None else out.when(c == code, F.lit(name))
+    return out.otherwise(F.lit("Open"))
+
+
 def tracker_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues (``ISSUE`` + ``o_orderkey``) from ``orders`` joined to ``customer``.
 
@@ -203,8 +210,7 @@ def tracker_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("o_totalprice").cast("decimal(14,2)").cast("string"), F.lit("</p>")).alias("description"),
         F.element_at(F.array(*[F.lit(t) for t in ISSUE_TYPES]),
                      (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int")).alias("type"),
-        F.coalesce(F.element_at(F.create_map(*[x for kv in ISSUE_STATUS.items() for x in map(F.lit, kv)]),
-                                F.col("o_orderstatus")), F.lit("Open")).alias("status"),
+        _status(F.col("o_orderstatus")).alias("status"),
         F.col("o_orderpriority").alias("priority"),
         F.when(F.pmod("o_custkey", F.lit(13)) == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("assignee"),
         project.alias("project"),
