@@ -24,6 +24,7 @@ It runs per row inside Spark tasks; nothing here touches Spark.
 from __future__ import annotations
 
 import re
+from html import unescape as _unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -416,11 +417,117 @@ def build_table(t: _Table):
     return {"headers": headers, "data": data, "shape": {"rows": len(data), "cols": width}}
 
 
+# ---------------------------------------------------------------------------
+# Strict fast tokenizer
+# ---------------------------------------------------------------------------
+# Handles only well-formed constructs whose stdlib tokenizer result is fixed
+# (plain start / end tags with simple attributes, text, comments, doctype,
+# terminated entity and character references, script / style bodies) and
+# reports the same events to the same handlers.  Anything else returns False
+# and the whole document is read again by the stdlib tokenizer.
+_SP = r"[ \t\n\r\f]"
+_START = re.compile(
+    r"<([a-zA-Z][a-zA-Z0-9]*)((?:" + _SP + r"+[a-zA-Z_:][-a-zA-Z0-9_:.]*(?:" + _SP + r"*=" + _SP
+    + r"""*(?:"[^"]*"|'[^']*'|[^ \t\n\r\f"'=<>`/]+))?)*)""" + _SP + r"*(/?)>")
+_ATTR = re.compile(
+    _SP + r"+([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:" + _SP + r"*=" + _SP
+    + r"""*("[^"]*"|'[^']*'|[^ \t\n\r\f"'=<>`/]+))?""")
+_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)" + _SP + r"*>")
+_TEXT = re.compile(r"[^<&]+")
+_ENTITY = re.compile(r"&([a-zA-Z][-.a-zA-Z0-9]*)(;?)")
+_CHARREF = re.compile(r"&#([0-9]+|[xX][0-9a-fA-F]+);")
+_COMMENT_CLOSE = re.compile(r"--\s*>")
+_RAW_ELEMENTS = ("script", "style")
+_RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in _RAW_ELEMENTS}
+
+
+def _attrs(text: str):
+    out = []
+    for m in _ATTR.finditer(text):
+        name, value = m.group(1), m.group(2)
+        if value is not None:
+            if value[:1] in ("'", '"'):
+                value = value[1:-1]
+            if value:
+                value = _unescape(value)
+        out.append((name.lower(), value))
+    return out
+
+
+def fast_feed(reader: "PageReader", doc: str) -> bool:
+    """Feed ``doc`` through the strict tokenizer; False when it must fall back."""
+    i, n = 0, len(doc)
+    text_m, start_m, end_m = _TEXT.match, _START.match, _END.match
+    while i < n:
+        c = doc[i]
+        if c == "<":
+            m = start_m(doc, i)
+            if m:
+                tag = m.group(1).lower()
+                attrs = _attrs(m.group(2)) if m.group(2) else []
+                i = m.end()
+                if m.group(3):
+                    reader.handle_startendtag(tag, attrs)
+                    continue
+                reader.handle_starttag(tag, attrs)
+                if tag in _RAW_ELEMENTS:
+                    r = _RAW_END[tag].search(doc, i)
+                    if r is None:
+                        return False
+                    if r.start() > i:
+                        reader.handle_data(doc[i:r.start()])
+                    reader.handle_endtag(tag)
+                    i = r.end()
+                continue
+            m = end_m(doc, i)
+            if m:
+                reader.handle_endtag(m.group(1).lower())
+                i = m.end()
+                continue
+            if doc.startswith("<!--", i):
+                r = _COMMENT_CLOSE.search(doc, i + 4)
+                if r is None:
+                    return False
+                reader.handle_comment(doc[i + 4:r.start()])
+                i = r.end()
+                continue
+            if doc[i:i + 9].lower() == "<!doctype":
+                gt = doc.find(">", i + 9)
+                if gt < 0:
+                    return False
+                reader.handle_decl(doc[i + 2:gt])
+                i = gt + 1
+                continue
+            return False
+        if c == "&":
+            m = _ENTITY.match(doc, i)
+            if m:
+                if not m.group(2) and m.end() >= n:
+                    return False
+                reader.handle_entityref(m.group(1))
+                i = m.end()
+                continue
+            m = _CHARREF.match(doc, i)
+            if m:
+                reader.handle_charref(m.group(1))
+                i = m.end()
+                continue
+            if i + 1 < n and doc[i + 1] != "#":
+                reader.handle_data("&")
+                i += 1
+                continue
+            return False
+        m = text_m(doc, i)
+        reader.handle_data(m.group())
+        i = m.end()
+    return True
+
+
 # ---------------------------------------------------------------------------
 # Public per-document entry point
 # ---------------------------------------------------------------------------
 
-def read_page(html: str | None, want_text=True, want_tables=True, want_code=True) -> dict:
+def read_page(html: str | None, want_text=True, want_tables=True, want_code=True, fast=True) -> dict:
     """Parse one document once.  Returns a dict with the requested parts and
     an ``errors`` dict (part -> message) for parts that could not be made."""
     out: dict = {"errors": {}}
@@ -439,7 +546,9 @@ def read_page(html: str | None, want_text=True, want_tables=True, want_code=True
         return out
     reader = PageReader(want_text, want_tables, want_code)
     try:
-        reader.feed(html)
+        if not (fast and fast_feed(reader, html)):
+            reader = PageReader(want_text, want_tables, want_code)
+            reader.feed(html)
         reader.finish()
     except Exception as exc:  # tokenizer failure: every requested part falls back
         msg = f"{type(exc).__name__}: {exc}"
