@@ -46,8 +46,11 @@ def page_scores(df: DataFrame, key: str = "id", content_col: str = "content") ->
     cleaned text (on cleaned text it is always 0).
     """
     text = F.coalesce(F.col(content_col), F.lit(""))
-    meta = [X.truthy(F.col(f"metadata.{f}"), "version" if f == "version" else "string")
-            for f in REQUIRED_METADATA]
+    have = set()
+    if "metadata" in df.columns:
+        have = {f.name for f in df.schema["metadata"].dataType.fields}
+    meta = [X.truthy(F.col(f"metadata.{f}"), "version" if f == "version" else "string") if f in have
+            else F.lit(False) for f in REQUIRED_METADATA]
     return df.select(
         F.col(key).alias("id"),
         X.word_count(text).alias("n_words"),
@@ -88,7 +91,11 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
     """
     def n(name):
         c = f"n_{name}"
-        return F.coalesce(F.col(c) if c in pages.columns else F.size(name), F.lit(0))
+        if c in pages.columns:
+            return F.coalesce(F.col(c), F.lit(0))
+        if name in pages.columns:
+            return F.coalesce(F.size(name), F.lit(0))
+        return F.lit(0)
 
     lm = F.col("metadata.last_modified")
     ts = X.iso_timestamp(lm, strict)
