@@ -100,15 +100,35 @@ def error_files(entries: DataFrame) -> DataFrame:
     return with_file_flags(entries).filter("failed").select("path", "name", "length")
 
 
+def _read_text_files(batches):
+    """mapInPandas body: read each listed file as UTF-8 text (unreadable
+    files are skipped, as the source tool only warns about them)."""
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        files, texts = [], []
+        for path in pdf["path"]:
+            uri = path
+            if uri.startswith("file:") and not uri.startswith("file://"):
+                uri = "file://" + uri[len("file:"):]
+            uri = uri.replace("s3a://", "s3://", 1)
+            try:
+                filesystem, inner = pafs.FileSystem.from_uri(uri)
+                with filesystem.open_input_stream(inner) as f:
+                    texts.append(f.read().decode("utf-8"))
+                files.append(path)
+            except Exception:
+                continue
+        yield pd.DataFrame({"file": files, "error": texts}, columns=["file", "error"])
+
+
 def error_contents(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """G4 ``processing_errors``: ``file, error`` text of each ``_error`` file.
 
-    Only the error files are read (one whole-text record per file), so bytes
-    of the other outputs are never loaded.  The list of paths is the (small)
-    set of failed outputs.
+    Only the error files are read, each inside a task (Spark's file sources
+    would skip names starting with ``_`` or ``.``), so bytes of the other
+    outputs are never loaded and nothing passes through the driver.
     """
-    paths = [r.path for r in error_files(entries).select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], "file string, error string")
-    df = spark.read.option("wholetext", True).text(paths)
-    return df.select(F.input_file_name().alias("file"), F.col("value").alias("error"))
+    paths = error_files(entries).select("path")
+    return paths.mapInPandas(_read_text_files, "file string, error string")

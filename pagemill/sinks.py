@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 FORMATS = ("raw", "processed", "all")
 
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
+# Spark's CSV writer trims values unless told not to; HTML must survive as is.
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 CSV_READ_OPTIONS = {**CSV_OPTIONS, "multiLine": "true"}
 
 

@@ -35,6 +35,7 @@ def _flagger(limit: int, window_seconds: int):
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values(["sec", "event_id"], kind="stable")
+        pdf = pdf[["event_id", "sec"]]
         out_n = np.empty(len(pdf), dtype=np.int64)
         window = sorted(set(secs))  # distinct seconds seen, ascending
         for i, s in enumerate(pdf["sec"].to_numpy()):
@@ -46,7 +47,8 @@ def _flagger(limit: int, window_seconds: int):
         # keep only seconds that can still fall inside a later window
         window = window[bisect.bisect_right(window, window[-1] - window_seconds):]
         state.update((window,))
-        state.setTimeoutDuration(window_seconds * 1000)
+        # expire the key once event time passes its last second + window
+        state.setTimeoutTimestamp((window[-1] + window_seconds) * 1000)
         yield pd.DataFrame({
             "rate_key": str(key[0]),
             "event_id": pdf["event_id"].to_numpy(dtype=np.int64),
@@ -57,12 +59,17 @@ def _flagger(limit: int, window_seconds: int):
     return step
 
 
-def flag_rate_stream(events: DataFrame, key, ts: str, limit: int, window_seconds: int) -> DataFrame:
+def flag_rate_stream(events: DataFrame, key, ts: str, limit: int, window_seconds: int,
+                     watermark: str = "1 hour") -> DataFrame:
     """T3 over a streaming frame with ``event_id``: emits every event once
-    with ``rate_key, event_id, sec, n_in_window, flagged`` (append mode)."""
+    with ``rate_key, event_id, sec, n_in_window, flagged`` (append mode).
+
+    State expires on event time (watermark past last second + window), so no
+    extra micro-batches are needed to evict idle keys."""
     k = F.col(key) if isinstance(key, str) else key
-    src = events.select(k.cast("string").alias("rate_key"), F.col("event_id").cast("long").alias("event_id"),
-                        epoch_second(F.col(ts)).alias("sec"))
+    src = (events.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", watermark)
+           .select(k.cast("string").alias("rate_key"), F.col("event_id").cast("long").alias("event_id"),
+                   epoch_second(F.col("_ets")).alias("sec"), "_ets"))
     return src.groupBy("rate_key").applyInPandasWithState(
         _flagger(limit, window_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
