@@ -79,10 +79,21 @@ def child_summary(pages: DataFrame, attachments: DataFrame | None = None,
     return out
 
 
+def _nest(out: DataFrame, child: DataFrame, name: str, key: str) -> DataFrame:
+    fields = [c for c in child.columns if c not in ("page_id", "pos")]
+    elem = T.StructType([child.schema[c] for c in fields])
+    g = child.groupBy("page_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("_kids"))
+    out = out.join(g, out[key] == g.page_id, "left").drop(g.page_id)
+    nested = F.transform("_kids", lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+    return out.withColumn(name, F.coalesce(nested, F.array().cast(T.ArrayType(elem)))).drop("_kids")
+
+
 def nest_children(pages: DataFrame, attachments: DataFrame | None = None,
                   comments: DataFrame | None = None, key: str = "id") -> DataFrame:
     """J-1 (nested form, the processed-page layout): ``attachments`` and
-    ``comments`` arrays ordered by ``pos``, ``[]`` for pages without children.
+    ``comments`` arrays of the child rows (all columns but ``page_id`` /
+    ``pos``) ordered by ``pos``; ``[]`` for pages without children.
 
     Each child table is grouped by page and then left-joined; the arrays are
     the output format itself, so their size is the page's own child count.
@@ -90,22 +101,9 @@ def nest_children(pages: DataFrame, attachments: DataFrame | None = None,
     """
     out = pages
     if attachments is not None:
-        a = (attachments.groupBy("page_id")
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "id", "filename", "size", "media_type")))
-                  .alias("_a")))
-        out = out.join(a, out[key] == a.page_id, "left").drop(a.page_id)
-        out = out.withColumn("attachments", F.coalesce(
-            F.transform("_a", lambda x: F.struct(x["id"].alias("id"), x["filename"].alias("filename"),
-                                                 x["size"].alias("size"), x["media_type"].alias("media_type"))),
-            F.array().cast("array<struct<id:string,filename:string,size:bigint,media_type:string>>"))).drop("_a")
+        out = _nest(out, attachments, "attachments", key)
     if comments is not None:
-        c = (comments.groupBy("page_id")
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "id", "author", "created", "content"))).alias("_c")))
-        out = out.join(c, out[key] == c.page_id, "left").drop(c.page_id)
-        out = out.withColumn("comments", F.coalesce(
-            F.transform("_c", lambda x: F.struct(x["id"].alias("id"), x["author"].alias("author"),
-                                                 x["created"].alias("created"), x["content"].alias("content"))),
-            F.array().cast("array<struct<id:string,author:string,created:string,content:string>>"))).drop("_c")
+        out = _nest(out, comments, "comments", key)
     return out
 
 
