@@ -56,3 +56,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written intermediate tables)."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def spread_small_input(df, key, max_bytes: int = SPREAD_MAX_BYTES):
+    """Hash-partition a small scan over the session's cores before CPU-heavy
+    per-row work (HTML parsing, long-text regexes).
+
+    A file with a single row group is read by one task however large the
+    cluster is.  Only when the scan has fewer files than the default
+    parallelism *and* is at most ``max_bytes`` is it spread; a large input of
+    many files keeps its natural splits, so production plans gain no shuffle.
+    """
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= n:
+        return df
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        if total > max_bytes:
+            return df
+    return df.repartition(n, key)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.session import spread_small_input
+
 # ---------------------------------------------------------------------------
 # Fixed values of the adapters
 # ---------------------------------------------------------------------------
@@ -22,8 +24,17 @@ ISSUE_STATUS = {"F": "Done", "O": "Open", "P": "In Progress"}
 # ---------------------------------------------------------------------------
 
 
+# Text tables feed per-row CPU work (HTML parsing, long-text regexes).
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; small single-file text tables are spread over the cores
+    (see ``spread_small_input``: never on inputs of many files)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread_small_input(df, TEXT_TABLES[name])
+    return df
 
 
 def _iso(seconds_col):
