@@ -43,13 +43,15 @@ def flag_rate(events: DataFrame, key: str | Column, ts: str | Column, limit: int
     ts_c = F.col(ts) if isinstance(ts, str) else ts
     span = int(window_seconds) * int(chunk_windows)
     base = events.select("*", key_c.alias("rate_key"), epoch_second(ts_c).alias("sec"))
-    base = base.withColumn("_chunk", F.floor(F.col("sec") / F.lit(span)))
-    own = base.withColumn("_ctx", F.lit(False))
-    # Context for the next chunk: seconds within window-1 of its start.
-    ctx = (base.filter(F.col("sec") > (F.col("_chunk") + 1) * span - window_seconds)
-           .withColumn("_chunk", F.col("_chunk") + 1)
-           .withColumn("_ctx", F.lit(True)))
-    rows = own.unionByName(ctx)
+    chunk = F.floor(F.col("sec") / F.lit(span))
+    # One scan: every row belongs to its chunk; rows within window-1 seconds of
+    # the next chunk's start are also copied there as read-only context.
+    own = F.struct(chunk.alias("c"), F.lit(False).alias("x"))
+    ctx = F.struct((chunk + 1).alias("c"), F.lit(True).alias("x"))
+    near_end = F.col("sec") > (chunk + 1) * span - window_seconds
+    copies = F.when(near_end, F.array(own, ctx)).otherwise(F.array(own))
+    rows = (base.withColumn("_copy", F.explode(copies))
+            .withColumn("_chunk", F.col("_copy.c")).withColumn("_ctx", F.col("_copy.x")).drop("_copy"))
     order = Window.partitionBy("rate_key", "_chunk").orderBy("sec")
     rows = rows.withColumn("_new_sec", F.when(F.lag("sec").over(order) == F.col("sec"), 0).otherwise(1))
     frame = order.rangeBetween(-(window_seconds - 1), 0)

@@ -56,7 +56,7 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata projection (``processed_at`` left out: clock value)."""
-    pages = D.wiki_pages(spark, sf)
+    pages = D.wiki_pages(spark, sf, spread=False)
     return pages.select(P.metadata(pages).alias("m")).select(
         "m.id", "m.title", "m.url", "m.version", "m.last_modified", "m.source")
 
@@ -89,7 +89,7 @@ def attachments_projection(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_children(spark: SparkSession, sf: str) -> DataFrame:
     """J-1: pages left-joined to their (pre-aggregated) children."""
-    pages = D.wiki_pages(spark, sf).select("id")
+    pages = D.wiki_pages(spark, sf, spread=False).select("id")
     return P.child_summary(pages, P.process_attachments(_attachments(spark, sf)), _comments(spark, sf))
 
 
@@ -239,7 +239,7 @@ from pagemill.operators import batch as B  # noqa: E402
 
 def _routed_outcome(spark, sf):
     items = B.route_items(A.worklist_lines(D.worklist(spark, sf)))
-    known = B.known_keys(D.wiki_pages(spark, sf), D.tracker_issues(spark, sf))
+    known = B.known_keys(D.wiki_pages(spark, sf, spread=False), D.tracker_issues(spark, sf))
     return B.batch_outcome(items, known)
 
 

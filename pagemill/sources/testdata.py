@@ -28,11 +28,12 @@ ISSUE_STATUS = {"F": "Done", "O": "Open", "P": "In Progress"}
 TEXT_TABLES = {"pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; small single-file text tables are spread over the cores
-    (see ``spread_small_input``: never on inputs of many files)."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table.  With ``spread`` (reads that feed per-row CPU work on
+    text), a small single-file text table is spread over the cores (see
+    ``spread_small_input``: never on inputs of many files)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
+    if spread and name in TEXT_TABLES:
         df = spread_small_input(df, TEXT_TABLES[name])
     return df
 
@@ -41,9 +42,9 @@ def _iso(seconds_col):
     return F.date_format(F.timestamp_seconds(seconds_col), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wiki_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """``PAGE`` + ``space_key`` + ``page_id`` from ``pages``."""
-    p = table(spark, sf_dir, "pages")
+    p = table(spark, sf_dir, "pages", spread)
     return p.select(
         F.col("page_id").cast("string").alias("id"),
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
@@ -78,7 +79,7 @@ def wiki_pages_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wiki_comments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments as landed, one record per comment: ``page_id, pos, cmt``."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=True)
     return c.select(
         F.col("conv_id").cast("string").alias("page_id"),
         F.col("turn").cast("int").alias("pos"),
@@ -158,7 +159,7 @@ def table_pages(spark: SparkSession, sf_dir: str, rows_per_page: int = ROWS_PER_
 def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per document: ``<pre><code class="language-{lang}">`` + text
     with ``&``, ``<``, ``>`` escaped.  Columns: ``page_id, lang, text, content``."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     return d.select(
         F.col("doc_id").cast("string").alias("page_id"),
@@ -171,7 +172,7 @@ def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents.text`` as page content with ``wiki_pages``-style metadata."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("title"),
