@@ -135,15 +135,7 @@ class _Table:
         self.row.append(self.cell)
 
 
-class _Element:
-    __slots__ = ("name", "code", "hidden", "table", "excluded")
-
-    def __init__(self, name):
-        self.name = name
-        self.code = None      # list of text parts when this is a code / pre
-        self.hidden = False
-        self.table = None
-        self.excluded = False
+_NO_ATTRS: dict = {}
 
 
 class PageReader(HTMLParser):
@@ -154,7 +146,7 @@ class PageReader(HTMLParser):
         self.want_text = want_text
         self.want_tables = want_tables
         self.want_code = want_code
-        self.stack: list[_Element] = []
+        self.stack: list[tuple] = []
         self.pending: list[str] = []
         self.texts: list[str] = []
         self.codes: list[tuple[str, list[str]]] = []
@@ -222,57 +214,66 @@ class PageReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
-        self._flush()
-        amap = {}
-        for k, v in attrs:
-            amap[k] = "" if v is None else v
-        hidden = bool(HIDDEN_STYLE.search(amap.get("style", "")))
-        if self.want_tables and self.hidden_depth == 0 and not hidden:
+        if self.pending:
+            self._flush()
+        if attrs:
+            amap = {k: ("" if v is None else v) for k, v in attrs}
+            style = amap.get("style")
+            hidden = bool(style) and HIDDEN_STYLE.search(style) is not None
+        else:
+            amap = _NO_ATTRS
+            hidden = False
+        if self.want_tables and not hidden and self.hidden_depth == 0 and (self.table_stack or tag == "table"):
             self._table_event_start(tag, amap)
+        code_parts = None
         if self.want_code and tag in CODE_ELEMENTS:
             classes = amap.get("class", "").split()
-            parts: list[str] = []
-            self.codes.append((classes[0] if classes else "text", parts))
-            code_parts = parts
-        else:
-            code_parts = None
+            code_parts = []
+            self.codes.append((classes[0] if classes else "text", code_parts))
         if tag in VOID_ELEMENTS:
             return
-        el = _Element(tag)
+        excluded = tag in TEXT_EXCLUDED_ELEMENTS
         if code_parts is not None:
-            el.code = code_parts
             self.open_codes.append(code_parts)
         if hidden:
-            el.hidden = True
             self.hidden_depth += 1
-        if tag in TEXT_EXCLUDED_ELEMENTS:
-            el.excluded = True
+        if excluded:
             self.excluded_depth += 1
-        self.stack.append(el)
+        # stack entry: (name, code parts or None, hidden, excluded)
+        self.stack.append((tag, code_parts, hidden, excluded))
 
     def handle_endtag(self, tag):
-        self._flush()
-        if self.want_tables and self.hidden_depth == 0:
+        if self.pending:
+            self._flush()
+        if self.table_stack and self.want_tables and self.hidden_depth == 0:
             self._table_event_end(tag)
         if tag in VOID_ELEMENTS:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].name == tag:
-                for el in self.stack[i:]:
-                    self._closed(el)
-                del self.stack[i:]
+        stack = self.stack
+        if stack and stack[-1][0] == tag:
+            el = stack.pop()
+            if el[1] is not None or el[2] or el[3]:
+                self._closed(el)
+            return
+        for i in range(len(stack) - 2, -1, -1):
+            if stack[i][0] == tag:
+                for el in stack[i:]:
+                    if el[1] is not None or el[2] or el[3]:
+                        self._closed(el)
+                del stack[i:]
                 return
 
     def _closed(self, el):
-        if el.code is not None:
+        _, code, hidden, excluded = el
+        if code is not None:
             # identity match: two code elements may hold equal part lists
             for j in range(len(self.open_codes) - 1, -1, -1):
-                if self.open_codes[j] is el.code:
+                if self.open_codes[j] is code:
                     del self.open_codes[j]
                     break
-        if el.hidden:
+        if hidden:
             self.hidden_depth -= 1
-        if el.excluded:
+        if excluded:
             self.excluded_depth -= 1
 
     # -- tables -----------------------------------------------------------

@@ -28,8 +28,9 @@ def _attachments(spark, sf):
     return A.attachments(D.wiki_attachments_landed(spark, sf), D.BASE_URL)
 
 
-def _comments(spark, sf):
-    return A.comments(D.wiki_comments_landed(spark, sf))
+def _comments(spark, sf, spread=False):
+    """Comment rows; ``spread`` only when their content is parsed."""
+    return A.comments(D.wiki_comments_landed(spark, sf, spread))
 
 
 # -- step 1: scans, clean text, metadata -----------------------------------
@@ -77,7 +78,7 @@ def comment_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def comments_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Comments with cleaned content."""
-    return P.clean_comments(_comments(spark, sf))
+    return P.clean_comments(_comments(spark, sf, spread=True))
 
 
 @query

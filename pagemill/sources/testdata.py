@@ -77,9 +77,9 @@ def wiki_pages_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
                         .otherwise(F.col("content")))
 
 
-def wiki_comments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wiki_comments_landed(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """Comments as landed, one record per comment: ``page_id, pos, cmt``."""
-    c = table(spark, sf_dir, "conversations", spread=True)
+    c = table(spark, sf_dir, "conversations", spread)
     return c.select(
         F.col("conv_id").cast("string").alias("page_id"),
         F.col("turn").cast("int").alias("pos"),
