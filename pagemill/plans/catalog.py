@@ -40,6 +40,21 @@ def page_scan(spark: SparkSession, sf: str) -> DataFrame:
     return A.space_pages(D.wiki_pages_raw(spark, sf), None, D.BASE_URL)
 
 
+@query
+def raw_page_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 guard + P10: raw pages missing a required field become dead letters."""
+    _, bad = A.split_raw_pages(D.wiki_pages_raw_broken(spark, sf))
+    return bad
+
+
+@query
+def space_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """K7 for every space: raw page count per space key (clock value left out)."""
+    pages = A.space_pages(D.wiki_pages_raw(spark, sf, spread=False), None, D.BASE_URL)
+    return (pages.groupBy("space_key").agg(F.count(F.lit(1)).alias("total_pages"))
+            .withColumn("output_formats", F.lit("all")))
+
+
 @query
 def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A2: one page by id, with the single-page URL."""
@@ -221,6 +236,15 @@ def request_counter(spark: SparkSession, sf: str) -> DataFrame:
     return M.count_by(D.requests(spark, sf), "method", "status")
 
 
+@query
+def error_counter(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors by type (type read from the event's JSON properties)."""
+    e = D.table(spark, sf, "events").filter(F.col("event_type") == "error")
+    typed = e.select(F.concat(F.lit("E"), F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(5))
+                              .cast("string")).alias("type"))
+    return M.count_by(typed, "type")
+
+
 @query
 def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Cumulative latency buckets per method."""

@@ -28,8 +28,13 @@ def _p(out_dir: str, name: str) -> str:
 
 def extract_space(spark: SparkSession, raw_pages: DataFrame, space_key: str, out_dir: str,
                   base_url: str, output_format: str = "all") -> dict:
-    """extract-space: A1 -> [K1 raw CSV] -> [P9 -> K3 processed JSONL] -> K7 summary."""
-    pages = A.space_pages(raw_pages, space_key, base_url).drop("space_key")
+    """extract-space: A1 -> [K1 raw CSV] -> [P9 -> K3 processed JSONL] -> K7 summary.
+
+    Raw records missing a required field go to ``{space}_errors.jsonl`` (P10)
+    instead of failing the whole job."""
+    ok, bad = A.split_raw_pages(raw_pages.filter(F.col("space_key") == space_key))
+    sinks.write_jsonl(bad, _p(out_dir, f"{space_key}_errors.jsonl"))
+    pages = A.space_pages(ok, None, base_url).drop("space_key")
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:
         sinks.write_csv(pages, _p(out_dir, f"{space_key}_raw.csv"))

@@ -488,3 +488,19 @@ SELECT project, sprint, count(*) AS n_issues, count(*) FILTER (WHERE status = 'D
        CAST(sum(n_comments) AS BIGINT) / count(*) AS comments_per_issue
 FROM j GROUP BY project, sprint
 """
+
+
+# -- additions ---------------------------------------------------------------
+SQL["raw_page_errors"] = """
+SELECT CAST(page_id AS VARCHAR) AS id, 'KeyError' AS error_type, '''value''' AS message
+FROM pages WHERE page_id % 11 = 0
+"""
+
+SQL["space_summary"] = f"""
+SELECT space_key, count(*) AS total_pages, 'all' AS output_formats FROM ({WIKI_PAGES}) GROUP BY space_key
+"""
+
+SQL["error_counter"] = """
+SELECT 'E' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS VARCHAR) AS type, count(*) AS n
+FROM events WHERE event_type = 'error' GROUP BY 1
+"""

@@ -42,6 +42,29 @@ def flatten_pages(raw: DataFrame, base_url: str, url_style: str = "space") -> Da
     )
 
 
+REQUIRED_RAW_FIELDS = (("id", "id"), ("title", "title"), ("value", "body.storage.value"),
+                       ("number", "version.number"), ("when", "version.when"))
+
+
+def split_raw_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A1 / A2 guard: raw pages missing a required field (the source tool
+    raises ``KeyError``) go to a dead-letter frame instead of failing the scan.
+
+    Returns ``(ok, bad)``; ``bad`` has ``id, error_type, message`` naming the
+    first missing field.  A missing key and a null value are the same here (D5).
+    """
+    first_missing = None
+    for key, path in REQUIRED_RAW_FIELDS:
+        cond = F.col(path).isNull()
+        first_missing = F.when(cond, F.lit(key)) if first_missing is None else first_missing.when(cond, F.lit(key))
+    tagged = raw.withColumn("_missing", first_missing)
+    ok = tagged.filter(F.col("_missing").isNull()).drop("_missing")
+    bad = tagged.filter(F.col("_missing").isNotNull()).select(
+        "id", F.lit("KeyError").alias("error_type"),
+        F.concat(F.lit("'"), F.col("_missing"), F.lit("'")).alias("message"))
+    return ok, bad
+
+
 def space_pages(raw: DataFrame, space_key: str | None, base_url: str) -> DataFrame:
     """A1: every page of a space (all spaces when ``space_key`` is None).
     Bag semantics: no dedup, no sort."""

@@ -58,9 +58,9 @@ def wiki_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFra
     )
 
 
-def wiki_pages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wiki_pages_raw(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """``wiki_pages`` nested back into the raw API record (``RAW_PAGE``)."""
-    w = wiki_pages(spark, sf_dir)
+    w = wiki_pages(spark, sf_dir, spread)
     return w.select(
         F.col("id"),
         F.col("title"),
@@ -70,6 +70,13 @@ def wiki_pages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wiki_pages_raw_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``wiki_pages_raw`` with the body missing on every 11th page."""
+    r = wiki_pages_raw(spark, sf_dir)
+    return r.withColumn("body", F.when(F.pmod(F.col("id").cast("long"), F.lit(11)) == 0,
+                                       F.lit(None).cast(r.schema["body"].dataType)).otherwise(F.col("body")))
+
+
 def wiki_pages_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``wiki_pages`` with null content on every 11th page."""
     w = wiki_pages(spark, sf_dir)

@@ -33,7 +33,16 @@ def test_extract_space_unknown_format_writes_only_summary(spark, tmp_out):
     raw = D.wiki_pages_raw(spark, SF_SMALL)
     s = jobs.extract_space(spark, raw, "fr", tmp_out, "http://w", "pdf")
     assert s["total_pages"] > 0
-    assert sorted(os.listdir(tmp_out)) == ["fr_summary.json"]
+    assert sorted(os.listdir(tmp_out)) == ["fr_errors.jsonl", "fr_summary.json"]
+
+
+def test_extract_space_routes_broken_raw_pages(spark, tmp_out):
+    raw = D.wiki_pages_raw_broken(spark, SF_SMALL)
+    s = jobs.extract_space(spark, raw, "en", tmp_out, "http://w", "processed")
+    bad = spark.read.json(os.path.join(tmp_out, "en_errors.jsonl"))
+    n_en = raw.filter(F.col("space_key") == "en")
+    assert bad.count() == n_en.filter(F.col("body").isNull()).count() > 0
+    assert s["total_pages"] == n_en.filter(F.col("body").isNotNull()).count()
 
 
 def test_extract_page_with_children(spark, tmp_out):
