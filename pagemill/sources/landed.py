@@ -129,14 +129,74 @@ def read_worklist(spark: SparkSession, path: str) -> DataFrame:
     return worklist_lines(spark.read.text(path))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def _to_arrow_uri(path: str) -> str:
+    if path.startswith("file:") and not path.startswith("file://"):
+        return "file://" + path[len("file:"):]
+    if path.startswith("/"):
+        return "file://" + path
+    return path.replace("s3a://", "s3://", 1)
+
+
+def _from_arrow_path(uri_prefix: str, inner: str) -> str:
+    return ("file:" + inner) if uri_prefix.startswith("file:") else uri_prefix.split("://", 1)[0] + "://" + inner
+
+
+def _list_children(batches):
+    """mapInPandas body: list each directory one level deep (all names)."""
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        rows = []
+        for d in pdf["dir"]:
+            filesystem, inner = pafs.FileSystem.from_uri(_to_arrow_uri(d))
+            for info in filesystem.get_file_info(pafs.FileSelector(inner, recursive=False)):
+                is_dir = info.type == pafs.FileType.Directory
+                if info.type not in (pafs.FileType.File, pafs.FileType.Directory):
+                    continue
+                rows.append((_from_arrow_path(_to_arrow_uri(d), info.path), info.base_name,
+                             0 if is_dir else int(info.size or 0), is_dir))
+        yield pd.DataFrame(rows, columns=["path", "name", "length", "is_dir"])
+
+
+def _arrow_can_open(root: str) -> bool:
+    try:
+        from pyarrow import fs as pafs
+        filesystem, inner = pafs.FileSystem.from_uri(_to_arrow_uri(root))
+        return filesystem.get_file_info(inner).type == pafs.FileType.Directory
+    except Exception:
+        return False
+
+
+def list_files(spark: SparkSession, root: str, max_depth: int = 64) -> DataFrame:
     """Every regular file under ``root``, dot- and underscore-files included.
 
-    Spark's file sources hide names starting with ``_`` or ``.``, so this lists
-    with the Hadoop FileSystem API (the same listing Spark's own file index
-    does on the driver) and returns ``FILE_ENTRY`` rows.  A missing root gives
-    an empty frame.
+    Spark's file sources hide names starting with ``_`` or ``.``, so the tree is
+    walked explicitly, one directory level per step: each level's directories
+    are listed inside tasks and only the next level's directories stay in the
+    plan, so no file entry passes through the driver.  Schemes the task-side
+    file system cannot open fall back to the Hadoop listing on the driver.
+    A missing root gives an empty frame.  Returns ``FILE_ENTRY`` rows.
     """
+    if not _arrow_can_open(root):
+        return _list_files_driver(spark, root)
+    frontier = spark.createDataFrame([(root,)], "dir string")
+    levels = []
+    for _ in range(max_depth):
+        listed = frontier.mapInPandas(_list_children, "path string, name string, length long, is_dir boolean")
+        listed = listed.persist()
+        levels.append(listed.filter(~F.col("is_dir")).select("path", "name", "length"))
+        frontier = listed.filter("is_dir").select(F.col("path").alias("dir"))
+        if frontier.isEmpty():
+            break
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out
+
+
+def _list_files_driver(spark: SparkSession, root: str) -> DataFrame:
+    """Hadoop FileSystem listing on the driver (fallback for other schemes)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
