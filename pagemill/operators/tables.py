@@ -36,21 +36,23 @@ def with_column_types(processed: DataFrame) -> DataFrame:
 
 def table_cells(processed: DataFrame, key: str = "id", typed: bool = True) -> DataFrame:
     """One row per cell: ``page_id, table_idx, row_idx, col_idx, header,
-    value`` (+ ``value_type``, ``value_double`` when ``typed``)."""
+    value`` (+ ``value_type``, ``value_double`` when ``typed``).
+
+    Each data row is zipped with the header (and column-type) arrays before it
+    is exploded, so a cell row carries only its own values - never the whole
+    table - and the work stays linear in the number of cells.
+    """
     src = with_column_types(processed) if typed else processed
     t = src.select(F.col(key).alias("page_id"), F.posexplode("tables").alias("table_idx", "t"))
-    r = t.select("page_id", "table_idx", "t", F.posexplode("t.data").alias("row_idx", "row"))
-    c = r.select("page_id", "table_idx", "row_idx", "t",
-                 F.posexplode("row").alias("col_idx", "value"))
-    cols = [
-        "page_id", "table_idx", "row_idx", "col_idx",
-        F.element_at("t.headers", F.col("col_idx") + 1).alias("header"),
-        "value",
-    ]
+    meta = [F.col("t.headers").alias("h")] + ([F.col("t.col_types").alias("k")] if typed else [])
+    r = t.select("page_id", "table_idx", *meta, F.posexplode("t.data").alias("row_idx", "row"))
+    zipped = F.arrays_zip(*([F.col("h"), F.col("row")] + ([F.col("k")] if typed else [])))
+    c = r.select("page_id", "table_idx", "row_idx", F.posexplode(zipped).alias("col_idx", "z"))
+    cols = ["page_id", "table_idx", "row_idx", "col_idx",
+            F.col("z.h").alias("header"), F.col("z.row").alias("value")]
     if typed:
-        vtype = F.element_at("t.col_types", F.col("col_idx") + 1)
-        cols += [vtype.alias("value_type"),
-                 F.when(vtype == "number", _numeric(F.col("value"))).alias("value_double")]
+        cols += [F.col("z.k").alias("value_type"),
+                 F.when(F.col("z.k") == "number", _numeric(F.col("z.row"))).alias("value_double")]
     return c.select(*cols)
 
 
@@ -69,9 +71,10 @@ def column_types(processed: DataFrame, key: str = "id") -> DataFrame:
     """P4 per column: ``page_id, table_idx, col_idx, header, col_type``."""
     t = with_column_types(processed).select(F.col(key).alias("page_id"),
                                             F.posexplode("tables").alias("table_idx", "t"))
-    c = t.select("page_id", "table_idx", "t", F.posexplode("t.col_types").alias("col_idx", "col_type"))
-    return c.select("page_id", "table_idx", "col_idx",
-                    F.element_at("t.headers", F.col("col_idx") + 1).alias("header"), "col_type")
+    c = t.select("page_id", "table_idx",
+                 F.posexplode(F.arrays_zip(F.col("t.headers").alias("h"), F.col("t.col_types").alias("k")))
+                 .alias("col_idx", "z"))
+    return c.select("page_id", "table_idx", "col_idx", F.col("z.h").alias("header"), F.col("z.k").alias("col_type"))
 
 
 def code_rows(processed: DataFrame, key: str = "id") -> DataFrame:
