@@ -35,14 +35,21 @@ def py_strip(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """``len(s.split())``; null counts as empty."""
-    n = normalize_ws(F.coalesce(_c(c), F.lit("")))
-    return F.when(n == "", F.lit(0)).otherwise(F.size(F.split(n, " ")))
+    """``len(s.split())``; null counts as empty.
+
+    One split on whitespace runs (no normalised copy): the pieces are the
+    words plus one empty piece for leading and one for trailing whitespace.
+    """
+    s = F.coalesce(_c(c), F.lit(""))
+    pieces = F.size(F.split(s, PY_WS_CLASS + "+", -1))
+    lead = F.when(F.substring(s, 1, 1).rlike(PY_WS_CLASS), 1).otherwise(0)
+    trail = F.when(F.substring(s, -1, 1).rlike(PY_WS_CLASS), 1).otherwise(0)
+    return F.when(s == "", F.lit(0)).otherwise(pieces - lead - trail)
 
 
 def sentence_count(c) -> Column:
-    """``len(re.split(r"[.!?]+", s))`` (an empty string gives 1)."""
-    return F.size(F.split(F.coalesce(_c(c), F.lit("")), SENTENCE_SPLIT, -1))
+    """``len(re.split(r"[.!?]+", s))`` = matches + 1 (an empty string gives 1)."""
+    return (F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(SENTENCE_SPLIT)) + 1).cast("int")
 
 
 def readability(c) -> Column:
