@@ -124,6 +124,11 @@ ROWS_PER_TABLE_PAGE = 1000
 
 
 def table_pages(spark: SparkSession, sf_dir: str, rows_per_page: int = ROWS_PER_TABLE_PAGE) -> DataFrame:
+    """``table_pages_from`` over the driver's ``lineitem``."""
+    return table_pages_from(table(spark, sf_dir, "lineitem"), rows_per_page)
+
+
+def table_pages_from(li: DataFrame, rows_per_page: int = ROWS_PER_TABLE_PAGE) -> DataFrame:
     """HTML pages of line items: a ``th`` header row and one row per line item.
 
     Each order becomes one page; an order with more than ``rows_per_page``
@@ -132,7 +137,6 @@ def table_pages(spark: SparkSession, sf_dir: str, rows_per_page: int = ROWS_PER_
     one task.  Rows inside a page are ordered by every displayed column.
     Columns: ``page_id, content``.
     """
-    li = table(spark, sf_dir, "lineitem")
     counts = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
     n_pages = F.ceil(F.col("n_lines") / F.lit(rows_per_page)).cast("long")
     chunk = F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber"), n_pages)
