@@ -225,7 +225,7 @@ _MARKS = ("<h1>", "<h2>", "<p>", "<table>", "<code>")
 
 def _page_scores(src: str, content: str, extra_flags: list[str]) -> str:
     return f"""
-SELECT id, {_words(content)} AS n_words, {_sentences(content)} AS n_sentences,
+SELECT id, CAST({_words(content)} AS INTEGER) AS n_words, CAST({_sentences(content)} AS INTEGER) AS n_sentences,
        {_readability(content)} AS readability,
        {_share([f"coalesce({content}, '') <> ''", 'TRUE'] + extra_flags)} AS content_completeness,
        {_meta_share()} AS metadata_completeness,

@@ -44,6 +44,25 @@ def duck(sf_dir):
     return con
 
 
+SPARK_TO_DUCK = {
+    "IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+    "BooleanType": "BOOLEAN", "TimestampType": "TIMESTAMP WITH TIME ZONE", "TimestampNTZType": "TIMESTAMP",
+    "FloatType": "FLOAT", "ShortType": "SMALLINT", "DateType": "DATE",
+}
+
+
+def type_mismatches(sdf, rel):
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+        got = duck.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs duckdb {got}")
+    return out
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -54,6 +73,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return {"name": name, "ok": None, "rows": len(s_rows), "spark_s": round(t1 - t0, 2)}
     rel = con.sql(sql)
     d_cols = rel.columns
+    types = type_mismatches(sdf, rel)
     d_rows = [tuple(_norm(x) for x in r) for r in rel.fetchall()]
     res = {"name": name, "rows": len(s_rows), "oracle_rows": len(d_rows), "spark_s": round(t1 - t0, 2)}
     if sorted(s_cols) != sorted(d_cols):
@@ -67,6 +87,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
         only_d = [x[:300] for x in list((cd - cs).elements())[:3]]
         res.update(ok=False, why=f"spark-only {only_s} | oracle-only {only_d}")
         return res
+    if types:
+        res.update(ok=False, why=f"types {types}")
+        return res
     res["ok"] = True
     return res
 
