@@ -173,18 +173,21 @@ def list_files(spark: SparkSession, root: str, max_depth: int = 64) -> DataFrame
 
     Spark's file sources hide names starting with ``_`` or ``.``, so the tree is
     walked explicitly, one directory level per step: each level's directories
-    are listed inside tasks and only the next level's directories stay in the
-    plan, so no file entry passes through the driver.  Schemes the task-side
+    are listed inside tasks and the level is checkpointed to the shared
+    checkpoint folder, so no file entry passes through the driver and the
+    lineage never grows with the depth of the tree.  Schemes the task-side
     file system cannot open fall back to the Hadoop listing on the driver.
     A missing root gives an empty frame.  Returns ``FILE_ENTRY`` rows.
     """
     if not _arrow_can_open(root):
         return _list_files_driver(spark, root)
+    from pagemill.session import checkpoint_dir
+    checkpoint_dir(spark)  # each level is checkpointed: lineage stays one level deep
     frontier = spark.createDataFrame([(root,)], "dir string")
     levels = []
     for _ in range(max_depth):
         listed = frontier.mapInPandas(_list_children, "path string, name string, length long, is_dir boolean")
-        listed = listed.persist()
+        listed = listed.checkpoint(eager=True)
         levels.append(listed.filter(~F.col("is_dir")).select("path", "name", "length"))
         frontier = listed.filter("is_dir").select(F.col("path").alias("dir"))
         if frontier.isEmpty():

@@ -88,3 +88,17 @@ def test_list_files_includes_hidden_names_and_inventory(spark, tmp_out):
 def test_missing_tree_gives_zero_summary(spark, tmp_out):
     s = jobs.batch_summary(spark, os.path.join(tmp_out, "nope"))
     assert s["total_files"] == 0 and "total_size_readable" not in s and "generated_at" not in s
+
+
+def test_render_then_reparse_tables_round_trip(spark):
+    from pagemill.operators import pages as P
+    from pagemill.operators import render as RH
+    html = ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>x</td></tr><tr><td>2</td></tr></table>"
+            "<table><thead><tr><th>k</th></tr></thead><tbody><tr><td>v</td></tr></tbody></table>")
+    src = spark.createDataFrame([("p1", html)], "id string, content string")
+    first = P.process_pages(src, parts=("tables",))
+    rendered = RH.render_html(first).select("id", F.col("html").alias("content"))
+    second = P.process_pages(rendered, parts=("tables",))
+    t1 = [(t.headers, t.data) for t in first.first().tables]
+    t2 = [(t.headers, t.data) for t in second.first().tables]
+    assert t1 == t2 == [(["a", "b"], [["1", "x"], ["2", None]]), (["k"], [["v"]])]
