@@ -85,7 +85,8 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
 
     Totals of words (of ``content``), tables, code blocks and comments, the
     averages per page (unrounded; the report formatter rounds), and the
-    oldest / newest non-empty ``metadata.last_modified``.  With ``strict`` an
+    oldest / newest non-empty ``metadata.last_modified`` and the ids of those
+    pages (L4: ``min_by`` / ``max_by``).  With ``strict`` an
     unparsable date fails the query like the source tool; by default it is
     skipped.  On empty input every figure but ``total_pages`` is null.
     """
@@ -99,6 +100,8 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
 
     lm = F.col("metadata.last_modified")
     ts = X.iso_timestamp(lm, strict)
+    meta_fields = {f.name for f in pages.schema["metadata"].dataType.fields}
+    page_id = F.col("metadata.id") if "id" in meta_fields else F.lit(None).cast("string")
     g = pages.agg(
         F.count(F.lit(1)).alias("total_pages"),
         F.sum(X.word_count("content")).alias("total_words"),
@@ -107,6 +110,8 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
         F.sum(n("comments")).alias("total_comments"),
         F.min(F.when(X.truthy(lm), ts)).alias("oldest"),
         F.max(F.when(X.truthy(lm), ts)).alias("newest"),
+        F.min_by(page_id, F.when(X.truthy(lm), ts)).alias("oldest_page_id"),
+        F.max_by(page_id, F.when(X.truthy(lm), ts)).alias("newest_page_id"),
     )
     tp = F.col("total_pages")
 
@@ -124,6 +129,7 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
         avg("total_comments").alias("comments_per_page"),
         X.iso_format("oldest").alias("oldest_page"),
         X.iso_format("newest").alias("newest_page"),
+        "oldest_page_id", "newest_page_id",
     )
 
 

@@ -381,6 +381,16 @@ def issue_children(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", "n_comments")
 
 
+@query
+def issue_attachments(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 + J-2: issues left-joined to their pre-aggregated attachments."""
+    issues = D.tracker_issues(spark, sf).select("key", "o_orderkey")
+    att = A.attachments(D.issue_attachments_landed(spark, sf).withColumnRenamed("l_orderkey", "page_id"),
+                        D.BASE_URL)
+    out = P.child_summary(issues, attachments=P.process_attachments(att), key="o_orderkey")
+    return out.select("key", "n_attachments", "attachment_bytes")
+
+
 @query
 def project_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Per project, issue counts by type, status, priority, assignee, total."""

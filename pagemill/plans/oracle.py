@@ -255,12 +255,15 @@ g AS (SELECT count(*) AS total_pages, CAST(sum({_words('clean')}) AS BIGINT) AS
              CAST(0 AS BIGINT) AS total_tables, CAST(0 AS BIGINT) AS total_code_blocks,
              CAST(sum(n_comments) AS BIGINT) AS total_comments,
              min(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS oldest,
-             max(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS newest
+             max(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS newest,
+             arg_min(id, CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS oldest_page_id,
+             arg_max(id, CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS newest_page_id
       FROM w)
 SELECT total_pages, total_words, total_tables, total_code_blocks, total_comments,
        total_words / total_pages AS words_per_page, total_tables / total_pages AS tables_per_page,
        total_code_blocks / total_pages AS code_blocks_per_page, total_comments / total_pages AS comments_per_page,
-       strftime(oldest, '%Y-%m-%dT%H:%M:%S') AS oldest_page, strftime(newest, '%Y-%m-%dT%H:%M:%S') AS newest_page
+       strftime(oldest, '%Y-%m-%dT%H:%M:%S') AS oldest_page, strftime(newest, '%Y-%m-%dT%H:%M:%S') AS newest_page,
+       oldest_page_id, newest_page_id
 FROM g
 """
 
@@ -504,3 +507,10 @@ SQL["error_counter"] = """
 SELECT 'E' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS VARCHAR) AS type, count(*) AS n
 FROM events WHERE event_type = 'error' GROUP BY 1
 """
+
+SQL["issue_attachments"] = f"""
+WITH a AS (SELECT l.l_orderkey, count(*) AS n, CAST(sum(CAST(p.p_size AS BIGINT) * 1024) AS BIGINT) AS bytes
+           FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey)
+SELECT i.key, coalesce(a.n, 0) AS n_attachments, coalesce(a.bytes, 0) AS attachment_bytes
+FROM ({ISSUES}) i LEFT JOIN a ON a.l_orderkey = i.o_orderkey
+"""

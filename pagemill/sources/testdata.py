@@ -259,6 +259,25 @@ def issue_comments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def issue_attachments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue attachments: the part of every line item, attached to the order's
+    issue (landed one record per attachment: ``l_orderkey, pos, att``)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    return j.select(
+        F.col("l_orderkey"),
+        F.col("l_linenumber").cast("int").alias("pos"),
+        F.struct(
+            F.concat_ws("-", F.lit("att"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                        F.col("p_partkey").cast("string")).alias("id"),
+            F.col("p_name").alias("title"),
+            F.struct(F.col("p_type").alias("mediaType")).alias("metadata"),
+            F.struct((F.col("p_size").cast("long") * 1024).alias("fileSize")).alias("extensions"),
+        ).alias("att"),
+    )
+
+
 def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work-list lines (column ``value``) derived from the tables:
     ``CONF_{page_id}`` (plus ids past the end), ``SPACE_{space}``,
