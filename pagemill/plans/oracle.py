@@ -483,11 +483,11 @@ GROUP BY GROUPING SETS ({', '.join(f'(project, {d})' for d in _DIMS)}, (project)
 """
 SQL["sprint_metrics"] = f"""
 WITH j AS (SELECT i.*, coalesce(c.n, 0) AS n_comments,
-                  (epoch(i.updated) - epoch(i.created)) / 86400.0 AS days
+                  date_diff('day', CAST(i.created AS DATE), CAST(i.updated AS DATE)) AS days
            FROM ({ISSUES}) i LEFT JOIN ({_COMMENT_COUNTS}) c ON c.l_orderkey = i.o_orderkey)
 SELECT project, sprint, count(*) AS n_issues, count(*) FILTER (WHERE status = 'Done') AS n_done,
        count(*) FILTER (WHERE status = 'Done') / count(*) AS done_rate,
-       round(avg(days), 6) AS mean_days, median(days) AS median_days,
+       round(avg(days), 6) AS mean_days, CAST(quantile_cont(days, 0.5) AS DOUBLE) AS median_days,
        CAST(sum(n_comments) AS BIGINT) / count(*) AS comments_per_issue
 FROM j GROUP BY project, sprint
 """
