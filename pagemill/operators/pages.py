@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pagemill import schemas
 from pagemill.functions.udf import ALL_PARTS, clean_text, parse_html
 
+# The source label every processed page carries, and the
+# metadata fields in output order.
 SOURCE = "confluence"
 META_FIELDS = ("id", "title", "url", "version", "last_modified")
 

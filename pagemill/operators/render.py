@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Defaults for missing metadata and the missing-cell text.
+# Defaults for missing metadata, the missing-cell text and the
+# page style sheet.
 DEFAULT_TITLE = "Untitled"
 DEFAULT_TEXT = "Unknown"
 DEFAULT_HREF = "#"
 MISSING_CELL = "nan"
-
 STYLE = (
     "body { font-family: Arial, sans-serif; line-height: 1.6; margin: 2rem; }\n"
     ".metadata { background: #f5f5f5; padding: 1rem; margin-bottom: 1rem; }\n"

@@ -67,7 +67,7 @@ def extract_page(spark: SparkSession, raw_pages: DataFrame, page_id: str, out_di
 
 def extract_project(spark: SparkSession, issues: DataFrame, project_key: str, out_dir: str,
                     max_results: int = I.DEFAULT_MAX_RESULTS, output_format: str = "all") -> None:
-    """extract-jira-project: A7 + L1 -> K2 -> P11 -> K4 -> G8 -> K8."""
+    """extract-project: A7 + L1 -> K2 -> P11 -> K4 -> G8 -> K8."""
     found = I.project_issues(issues, project_key, max_results)
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:
@@ -81,7 +81,7 @@ def extract_project(spark: SparkSession, issues: DataFrame, project_key: str, ou
 def extract_issue(spark: SparkSession, issues: DataFrame, key: str, out_dir: str,
                   comments: DataFrame | None = None, include_comments: bool = True,
                   output_format: str = "all") -> None:
-    """extract-jira-issue: A8 -> J-2 -> K6 raw -> P11 -> K6 processed."""
+    """extract-issue: A8 -> J-2 -> K6 raw -> P11 -> K6 processed."""
     one = I.single_issue(issues, key)
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:

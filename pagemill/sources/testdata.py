@@ -291,7 +291,7 @@ def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("CONF_"), F.col("page_id").cast("string"), F.lit(" "))).alias("value"))
     space = pages.select(F.concat(F.lit("SPACE_"), F.regexp_extract("url", SPACE_PATTERN, 1)).alias("value"))
     proj = F.concat(F.lit("P"), F.pmod("o_custkey", F.lit(10)).cast("string"))
-    jira = orders.filter(F.pmod("o_orderkey", F.lit(50)) == 0).select(
+    issue_items = orders.filter(F.pmod("o_orderkey", F.lit(50)) == 0).select(
         F.concat(F.lit("JIRA_"), proj, F.lit("-"), (F.col("o_orderkey") + F.pmod("o_orderkey", F.lit(100)))
                  .cast("string")).alias("value"))
     project = orders.filter(F.pmod("o_orderkey", F.lit(500)) == 0).select(
@@ -300,7 +300,7 @@ def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = pages.filter(F.pmod("page_id", F.lit(10)) == 0).select(
         F.when(F.pmod("page_id", F.lit(20)) == 0, F.lit("   "))
         .otherwise(F.concat(F.lit("X_"), F.col("page_id").cast("string"))).alias("value"))
-    return conf.unionByName(space).unionByName(jira).unionByName(project).unionByName(other)
+    return conf.unionByName(space).unionByName(issue_items).unionByName(project).unionByName(other)
 
 
 def file_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
