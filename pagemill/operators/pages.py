@@ -56,16 +56,15 @@ def clean_comments(comment_rows: DataFrame) -> DataFrame:
 
 def child_summary(pages: DataFrame, attachments: DataFrame | None = None,
                   comments: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """J-1 (aggregate form): per page the number of children and their first /
-    last ids, joined left to the pages.  Children are reduced per page with
-    partial (map-side) aggregation first, so the join sees one row per page."""
+    """J-1 (aggregate form): per page the number of children (and attachment
+    bytes), joined left to the pages.  Children are reduced per page with
+    fixed-width hash aggregation (map-side partials) first, so the join sees
+    one row per page."""
     out = pages
     if attachments is not None:
         a = attachments.groupBy("page_id").agg(
             F.count(F.lit(1)).alias("n_attachments"),
             F.sum("size").alias("attachment_bytes"),
-            F.min_by("id", "pos").alias("first_attachment_id"),
-            F.max_by("id", "pos").alias("last_attachment_id"),
         )
         out = out.join(a, out[key] == a.page_id, "left").drop(a.page_id)
         out = out.withColumn("n_attachments", F.coalesce("n_attachments", F.lit(0)))
@@ -73,8 +72,6 @@ def child_summary(pages: DataFrame, attachments: DataFrame | None = None,
     if comments is not None:
         c = comments.groupBy("page_id").agg(
             F.count(F.lit(1)).alias("n_comments"),
-            F.min_by("id", "pos").alias("first_comment_id"),
-            F.max_by("id", "pos").alias("last_comment_id"),
         )
         out = out.join(c, out[key] == c.page_id, "left").drop(c.page_id)
         out = out.withColumn("n_comments", F.coalesce("n_comments", F.lit(0)))

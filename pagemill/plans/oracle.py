@@ -63,12 +63,9 @@ FROM conversations
 """
 
 CHILDREN = f"""
-a AS (SELECT page_id, count(*) AS n_attachments, CAST(sum(size) AS BIGINT) AS attachment_bytes,
-             arg_min(id, pos) AS first_attachment_id, arg_max(id, pos) AS last_attachment_id
+a AS (SELECT page_id, count(*) AS n_attachments, CAST(sum(size) AS BIGINT) AS attachment_bytes
       FROM ({ATTACHMENTS}) GROUP BY page_id),
-c AS (SELECT page_id, count(*) AS n_comments,
-             arg_min(id, pos) AS first_comment_id, arg_max(id, pos) AS last_comment_id
-      FROM ({COMMENTS}) GROUP BY page_id)
+c AS (SELECT page_id, count(*) AS n_comments FROM ({COMMENTS}) GROUP BY page_id)
 """
 
 # Line-item table pages: page id, row order and the six displayed columns.
@@ -144,8 +141,7 @@ SQL["page_children"] = f"""
 WITH {CHILDREN}
 SELECT CAST(p.page_id AS VARCHAR) AS id,
        coalesce(a.n_attachments, 0) AS n_attachments, coalesce(a.attachment_bytes, 0) AS attachment_bytes,
-       a.first_attachment_id, a.last_attachment_id,
-       coalesce(c.n_comments, 0) AS n_comments, c.first_comment_id, c.last_comment_id
+       coalesce(c.n_comments, 0) AS n_comments
 FROM pages p
 LEFT JOIN a ON a.page_id = CAST(p.page_id AS VARCHAR)
 LEFT JOIN c ON c.page_id = CAST(p.page_id AS VARCHAR)
