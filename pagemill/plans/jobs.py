@@ -112,9 +112,10 @@ def analyze_sprint(spark: SparkSession, issues: DataFrame, sprint_table: DataFra
     metrics = I.sprint_metrics(keys.select(
         F.lit(project_key).alias("project"), F.lit(sprint_name).alias("sprint"), "status",
         F.to_timestamp("created").alias("created"), F.to_timestamp("updated").alias("updated")))
+    sinks.write_jsonl(summary, base + "_summary")  # one row per dimension value: a folder, not a list
     report = {
         "sprint_info": {k: (str(v) if v is not None else None) for k, v in sprint.asDict().items()},
-        "summary": [r.asDict() for r in summary.collect()],   # bounded: one row per dimension value
+        "summary": base + "_summary",
         "metrics": metrics.first().asDict() if metrics.head(1) else {},
         "issues": base + "_issues",
     }
@@ -138,7 +139,9 @@ def batch_process(spark: SparkSession, worklist_path: str, out_dir: str, pages:
 def batch_summary(spark: SparkSession, out_dir: str) -> dict:
     """G4 over a real output tree (A6 listing, error files read on their own).
 
-    A missing directory gives the zero summary without a readable size or
+    Figures are one-row / per-extension results; ``processing_errors`` is a
+    DataFrame ``file, error`` (read inside tasks, never gathered here).  A
+    missing directory gives the zero summary without a readable size or
     timestamp, as the source tool does.
     """
     from datetime import datetime, timezone
@@ -152,7 +155,7 @@ def batch_summary(spark: SparkSession, out_dir: str) -> dict:
         return zero
     inv = B.inventory(entries).first().asDict()
     types = {r["ext"]: r["n"] for r in B.file_types(entries).collect()}  # one row per extension
-    errors = [r.asDict() for r in B.error_contents(spark, entries).collect()]
+    errors = B.error_contents(spark, entries)
     return {**inv, "file_types": types, "processing_errors": errors,
             "generated_at": datetime.now(timezone.utc).replace(tzinfo=None).isoformat()}
 

@@ -79,7 +79,7 @@ def test_list_files_includes_hidden_names_and_inventory(spark, tmp_out):
     types = {r.ext: r.n for r in B.file_types(entries).collect()}
     assert types == {".json": 3, ".txt": 2, "": 2, ".log": 1}
     summary = jobs.batch_summary(spark, tmp_out)
-    errs = sorted(e["error"] for e in summary["processing_errors"])
+    errs = sorted(r.error for r in summary["processing_errors"].collect())
     assert errs == ["bad thing", "boom"]
     from tests.test_functions import py_size
     assert summary["total_size_readable"] == py_size(inv.total_size) and "generated_at" in summary

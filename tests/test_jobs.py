@@ -86,7 +86,7 @@ def test_analyze_sprint_and_missing_sprint(spark, tmp_out):
     rep = jobs.analyze_sprint(spark, issues, sp, "P1", name, tmp_out)
     n = issues.filter((F.col("project") == "P1") & (F.col("sprint") == name)).count()
     assert rep["metrics"]["n_issues"] == n
-    total = [r for r in rep["summary"] if r["dimension"] == "total"][0]["n"]
+    total = spark.read.json(rep["summary"]).filter("dimension = 'total'").first().n
     assert total == n
     assert os.path.exists(os.path.join(tmp_out, f"sprint_P1_{name.replace(' ', '_')}.json"))
     with pytest.raises(LookupError):
