@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Defaults for a local session.  On a cluster, submit-time settings win: the
-# builder only fills keys that are not already set.
+# Defaults for a session.  Submit-time settings win: only keys the submitted
+# configuration leaves unset are filled in.
 LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,11 +23,21 @@ LOCAL_DEFAULTS = {
 
 
 def get_session(master: str | None = None, app: str = "pagemill", **conf) -> SparkSession:
-    """Build (or reuse) a session with UTC time and AQE on."""
+    """Build (or reuse) a session with UTC time and AQE on.
+
+    ``LOCAL_DEFAULTS`` only fill keys that the submitted configuration
+    (``spark-submit`` / cluster defaults) does not set; ``conf`` always applies.
+    """
+    from pyspark import SparkConf
+
+    submitted = SparkConf()
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in {**LOCAL_DEFAULTS, **conf}.items():
+    for k, v in LOCAL_DEFAULTS.items():
+        if not submitted.contains(k):
+            b = b.config(k, v)
+    for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
