@@ -125,12 +125,14 @@ class _Table:
         self.close_cell()
         if self.row is None:
             self.open_row()
-        try:
-            rowspan = int(attrs.get("rowspan") or 1)
-            colspan = int(attrs.get("colspan") or 1)
-        except ValueError:
-            self.bad = True
-            rowspan = colspan = 1
+        rowspan = colspan = 1
+        if attrs:
+            try:
+                rowspan = int(attrs.get("rowspan") or 1)
+                colspan = int(attrs.get("colspan") or 1)
+            except ValueError:
+                self.bad = True
+                rowspan = colspan = 1
         self.cell = _Cell(tag, rowspan, colspan)
         self.row.append(self.cell)
 
@@ -172,7 +174,7 @@ class PageReader(HTMLParser):
         # CDATA sections always count as text; plain text counts unless it sits
         # inside one of the excluded elements.  Comments / declarations never do.
         counted = kind == "cdata" or (kind == "text" and self.excluded_depth == 0)
-        if counted:
+        if counted and (self.want_text or self.open_codes):
             stripped = data.strip()
             if stripped:
                 if self.want_text:
@@ -462,6 +464,13 @@ def fast_feed(reader: "PageReader", doc: str) -> bool:
     while i < n:
         c = doc[i]
         if c == "<":
+            if doc.startswith("</", i):
+                m = end_m(doc, i)
+                if m:
+                    reader.handle_endtag(m.group(1).lower())
+                    i = m.end()
+                    continue
+                return False
             m = start_m(doc, i)
             if m:
                 tag = m.group(1).lower()
@@ -480,11 +489,6 @@ def fast_feed(reader: "PageReader", doc: str) -> bool:
                     reader.handle_endtag(tag)
                     i = r.end()
                 continue
-            m = end_m(doc, i)
-            if m:
-                reader.handle_endtag(m.group(1).lower())
-                i = m.end()
-                continue
             if doc.startswith("<!--", i):
                 r = _COMMENT_CLOSE.search(doc, i + 4)
                 if r is None:
