@@ -42,3 +42,15 @@ def long_form(hist: DataFrame, label: str, buckets=DEFAULT_BUCKETS) -> DataFrame
     return hist.select("window_start", "window_end", label, F.explode(F.array(*pairs)).alias("x")) \
                .select("window_start", "window_end", label, F.col("x.le").alias("le"),
                        F.col("x.c").alias("cumulative_count"))
+
+
+def start_windowed_counts(spark, src: str, schema, out: str, checkpoint: str, ts: str, labels: list[str],
+                          window: str = "1 minute", watermark: str = "10 minutes", fmt: str = "parquet",
+                          available_now: bool = True):
+    """Run T2 counters: landed event files -> closed windows appended under ``out``."""
+    stream = spark.readStream.schema(schema).format(fmt).load(src)
+    q = (windowed_counts(stream, ts, labels, window, watermark)
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
+    return q.start()

@@ -73,3 +73,15 @@ def flag_rate_stream(events: DataFrame, key, ts: str, limit: int, window_seconds
     return src.groupBy("rate_key").applyInPandasWithState(
         _flagger(limit, window_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
+
+
+def start_rate_flags(spark, src: str, schema, out: str, checkpoint: str, key: str, ts: str, limit: int,
+                     window_seconds: int, watermark: str = "1 hour", fmt: str = "parquet",
+                     available_now: bool = True):
+    """Run T3: landed event files -> every event with its flag, appended under ``out``."""
+    stream = spark.readStream.schema(schema).format(fmt).load(src)
+    q = (flag_rate_stream(stream, key, ts, limit, window_seconds, watermark)
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
+    return q.start()

@@ -112,3 +112,16 @@ def test_reports(spark):
     q = jobs.quality_report(done)
     assert set(q) == {"averages", "ranges", "quality_score"}
     assert q["averages"]["formatting_quality"] == 0.0
+
+
+def test_command_line_entry(spark, tmp_out, capsys):
+    from pagemill.__main__ import main
+    src = os.path.join(tmp_out, "raw.parquet")
+    D.wiki_pages_raw(spark, SF_SMALL).write.parquet(src)
+    out = os.path.join(tmp_out, "out")
+    assert main(["extract-space", "de", "--pages", src, "--base-url", "http://w", "--output-dir", out]) == 0
+    printed = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert printed["space_key"] == "de" and printed["total_pages"] > 0
+    assert main(["batch-summary", out]) == 0
+    summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert summary["total_files"] > 0
