@@ -82,3 +82,15 @@ def sinks_for(output_format: str) -> tuple[bool, bool]:
 def sprint_file_name(project_key: str, sprint_name: str) -> str:
     """``sprint_{project}_{name with spaces as _}``."""
     return f"sprint_{project_key}_{sprint_name.replace(' ', '_')}"
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> None:
+    """Save ``df`` as a table bucketed and sorted by ``key``.
+
+    Landed pages saved this way (bucketed by page id) let every later join with
+    per-page child summaries shuffle only the small child side: the page
+    bodies are already partitioned by id and never move.  Join before the
+    ``parse_html`` step - a Python evaluation does not carry the bucketed
+    partitioning forward.
+    """
+    (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table))

@@ -11,8 +11,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from pagemill.session import checkpoint_dir, get_session
-    s = get_session("local[*]", **{"spark.sql.shuffle.partitions": "8"})
+    s = get_session("local[*]", **{"spark.sql.shuffle.partitions": "8",
+                                   "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="pagemill-wh-")})
     s.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(s)
     yield s

@@ -71,3 +71,30 @@ def test_text_only_parse_requests_only_text(spark):
     out = P.process_pages(df, parts=("text",))
     assert out.select(F.size("tables"), F.size("code_blocks")).first() == (0, 0)
     assert "ArrowEvalPython" in plan(out)
+
+
+def test_bucketed_pages_join_children_without_moving_pages(spark, tmp_out):
+    from pagemill import sinks
+    from pagemill.operators import pages as P2
+    from pagemill.sources import landed as A
+    from pagemill.sources import testdata as D
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = D.wiki_pages(spark, SF_SMALL, spread=False).select("id", "title", "content", "url", "version",
+                                                                     "last_modified")
+        spark.sql(f"DROP TABLE IF EXISTS pages_by_id")
+        sinks.write_bucketed(pages, "pages_by_id", "id", 8)
+        bucketed = spark.table("pages_by_id")
+        comments = A.comments(D.wiki_comments_landed(spark, SF_SMALL, spread=False))
+        # join the child summary first: the Python step does not keep the
+        # bucketed partitioning, so the join must come before it
+        joined = P2.child_summary(bucketed, comments=comments)
+        out = P2.process_pages(joined, parts=("text",), keep=("id", "n_comments"))
+        p = plan(out)
+        # only the comment side is exchanged; the bucketed page scan feeds the join directly
+        assert p.count("Exchange hashpartitioning(") == 1
+        assert "Bucketed: true" in p
+        assert out.count() == pages.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS pages_by_id")
