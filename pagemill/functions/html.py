@@ -546,8 +546,14 @@ def read_page(html: str | None, want_text=True, want_tables=True, want_code=True
         if want_code:
             out["code"] = []
         return out
-    if want_text and not want_tables and not want_code and "<" not in html and "&" not in html:
-        out["text"] = clean_text_fast(html)
+    if "<" not in html and "&" not in html:
+        # no markup and no references: one text node, no tables, no code
+        if want_text:
+            out["text"] = clean_text_fast(html)
+        if want_tables:
+            out["tables"] = []
+        if want_code:
+            out["code"] = []
         return out
     reader = PageReader(want_text, want_tables, want_code)
     try:
