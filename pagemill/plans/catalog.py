@@ -11,7 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as X
+from pagemill.functions.text import iso_format
+from pagemill.operators import batch as B
+from pagemill.operators import issues as I
+from pagemill.operators import metrics as M
 from pagemill.operators import pages as P
+from pagemill.operators import quality as Q
+from pagemill.operators import rate as R
+from pagemill.operators import render as RH
 from pagemill.operators import tables as TB
 from pagemill.sources import landed as A
 from pagemill.sources import testdata as D
@@ -167,7 +175,6 @@ def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- step 4: summary and quality -------------------------------------------
-from pagemill.operators import quality as Q  # noqa: E402
 
 
 def _processed_with_counts(spark, sf):
@@ -209,8 +216,6 @@ def raw_html_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- step 5: rate flags and request metrics --------------------------------
-from pagemill.operators import metrics as M  # noqa: E402
-from pagemill.operators import rate as R  # noqa: E402
 
 
 @query
@@ -258,8 +263,6 @@ def latency_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- step 6: work lists, unions, inventories --------------------------------
-from pagemill.functions import text as X  # noqa: E402
-from pagemill.operators import batch as B  # noqa: E402
 
 
 def _routed_outcome(spark, sf):
@@ -313,7 +316,6 @@ def readable_size(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- step 7: rendering --------------------------------------------------------
-from pagemill.operators import render as RH  # noqa: E402
 
 
 @query
@@ -324,8 +326,6 @@ def render_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- step 9: tracker issues ---------------------------------------------------
-from pagemill.functions.text import iso_format  # noqa: E402
-from pagemill.operators import issues as I  # noqa: E402
 
 ISSUE_COLUMNS = ["key", "title", "type", "status", "priority", "assignee", "project", "sprint"]
 
