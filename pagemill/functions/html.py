@@ -225,8 +225,9 @@ class PageReader(HTMLParser):
         else:
             amap = _NO_ATTRS
             hidden = False
+        table = None
         if self.want_tables and not hidden and self.hidden_depth == 0 and (self.table_stack or tag == "table"):
-            self._table_event_start(tag, amap)
+            table = self._table_event_start(tag, amap)
         code_parts = None
         if self.want_code and tag in CODE_ELEMENTS:
             classes = amap.get("class", "").split()
@@ -241,8 +242,8 @@ class PageReader(HTMLParser):
             self.hidden_depth += 1
         if excluded:
             self.excluded_depth += 1
-        # stack entry: (name, code parts or None, hidden, excluded)
-        self.stack.append((tag, code_parts, hidden, excluded))
+        # stack entry: (name, code parts or None, hidden, excluded, table or None)
+        self.stack.append((tag, code_parts, hidden, excluded, table))
 
     def handle_endtag(self, tag):
         if self.pending:
@@ -254,19 +255,28 @@ class PageReader(HTMLParser):
         stack = self.stack
         if stack and stack[-1][0] == tag:
             el = stack.pop()
-            if el[1] is not None or el[2] or el[3]:
+            if el[1] is not None or el[2] or el[3] or el[4] is not None:
                 self._closed(el)
             return
         for i in range(len(stack) - 2, -1, -1):
             if stack[i][0] == tag:
-                for el in stack[i:]:
-                    if el[1] is not None or el[2] or el[3]:
-                        self._closed(el)
+                closing = stack[i:]
                 del stack[i:]
+                for el in reversed(closing):
+                    if el[1] is not None or el[2] or el[3] or el[4] is not None:
+                        self._closed(el)
                 return
 
     def _closed(self, el):
-        _, code, hidden, excluded = el
+        _, code, hidden, excluded, table = el
+        if table is not None:
+            # a table ends when its element closes (explicitly or with an ancestor)
+            table.close_row()
+            for j in range(len(self.table_stack) - 1, -1, -1):
+                if self.table_stack[j] is table:
+                    del self.table_stack[j]
+                    break
+            self.done_tables.append(table)
         if code is not None:
             # identity match: two code elements may hold equal part lists
             for j in range(len(self.open_codes) - 1, -1, -1):
@@ -280,13 +290,14 @@ class PageReader(HTMLParser):
 
     # -- tables -----------------------------------------------------------
     def _table_event_start(self, tag, attrs):
+        """Row / cell bookkeeping; returns the new table context for ``table``."""
         if tag == "table":
             t = _Table(self.n_tables)
             self.n_tables += 1
             self.table_stack.append(t)
-            return
+            return t
         if not self.table_stack:
-            return
+            return None
         t = self.table_stack[-1]
         if tag in ("thead", "tbody", "tfoot"):
             t.close_row()
@@ -300,10 +311,7 @@ class PageReader(HTMLParser):
         if not self.table_stack:
             return
         t = self.table_stack[-1]
-        if tag == "table":
-            t.close_row()
-            self.done_tables.append(self.table_stack.pop())
-        elif tag in ("td", "th"):
+        if tag in ("td", "th"):
             t.close_cell()
         elif tag == "tr":
             t.close_row()

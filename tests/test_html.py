@@ -114,3 +114,14 @@ def test_fast_path_equals_stdlib_path(parts):
 def test_plain_text_is_python_split_join(s):
     if "<" not in s and "&" not in s:
         assert H.clean_text(s) == " ".join(s.split())
+
+
+def test_table_ends_with_its_element():
+    # an unclosed hidden element inside a cell does not keep the table open
+    r = H.read_page('<table><tr><td>a<div style="display:none">x</table><table><tr><td>b</td></tr></table>',
+                    False, True, False)
+    assert [t["data"] for t in r["tables"]] == [[["a"]], [["b"]]]
+    # closing an ancestor closes the table inside it
+    r = H.read_page("<div><table><tr><td>in</div><p>after</p><table><tr><td>c</td></tr></table>",
+                    False, True, False)
+    assert [t["data"] for t in r["tables"]] == [[["in"]], [["c"]]]
