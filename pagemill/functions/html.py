@@ -71,6 +71,8 @@ def charref_text(name: str) -> str:
             return bytes([code]).decode("windows-1252")
         except UnicodeDecodeError:
             pass
+    if 0xD800 <= code <= 0xDFFF:
+        return "\ufffd"  # a lone surrogate cannot be stored as UTF-8
     try:
         return chr(code) or "\ufffd"
     except (ValueError, OverflowError):

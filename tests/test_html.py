@@ -125,3 +125,12 @@ def test_table_ends_with_its_element():
     r = H.read_page("<div><table><tr><td>in</div><p>after</p><table><tr><td>c</td></tr></table>",
                     False, True, False)
     assert [t["data"] for t in r["tables"]] == [[["in"]], [["c"]]]
+
+
+def test_surrogate_and_out_of_range_references_become_replacement_char(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.functions.udf import clean_text
+    assert H.clean_text("a&#xD800;b&#1114112;c") == "a�b�c"
+    df = spark.createDataFrame([("<p>&#xDFFF;</p>",)], "h string")
+    assert df.select(clean_text(F.col("h")).alias("t")).first().t == "�"
