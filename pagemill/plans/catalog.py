@@ -267,7 +267,7 @@ def latency_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _routed_outcome(spark, sf):
     items = B.route_items(A.worklist_lines(D.worklist(spark, sf)))
-    known = B.known_keys(D.wiki_pages(spark, sf, spread=False), D.tracker_issues(spark, sf))
+    known = B.known_keys(D.wiki_pages(spark, sf, spread=False), D.tracker_issue_keys(spark, sf))
     return B.batch_outcome(items, known)
 
 

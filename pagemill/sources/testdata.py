@@ -244,6 +244,14 @@ def tracker_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tracker_issue_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Just the issue keys (``key``): they depend on ``orders`` alone, so a key
+    lookup needs no join with ``customer``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return o.select(F.concat(F.lit("P"), F.pmod("o_custkey", F.lit(10)).cast("string"), F.lit("-"),
+                             F.col("o_orderkey").cast("string")).alias("key"))
+
+
 def issue_comments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue comments from ``lineitem``: one per line item of the order."""
     li = table(spark, sf_dir, "lineitem")
