@@ -73,3 +73,15 @@ def test_formatting_is_zero_on_clean_text_but_counts_raw_marks(spark):
     done = P.process_pages(df.select("id", "content"), parts=("text",))
     clean = Q.page_scores(done).first().formatting_quality
     assert raw == 60.0 and clean == 0.0
+
+
+def test_strict_summary_fails_on_bad_date_lenient_skips_it(spark):
+    import pytest
+    df = spark.createDataFrame([("1", "a b"), ("2", "c")], "id string, content string")
+    df = df.withColumn("metadata", F.struct(F.col("id").alias("id"),
+                                            F.when(F.col("id") == "1", "2024-01-02").otherwise("not a date")
+                                            .alias("last_modified")))
+    lenient = Q.corpus_summary(df).first()
+    assert lenient.oldest_page == lenient.newest_page == "2024-01-02T00:00:00" and lenient.total_words == 3
+    with pytest.raises(Exception):
+        Q.corpus_summary(df, strict=True).collect()
