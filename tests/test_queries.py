@@ -41,3 +41,15 @@ def test_rate_flag_matches_recorded_figures(spark):
     r = E.queries()["rate_flag"](spark, SF_MID).agg(
         F.count(F.lit(1)), F.sum("n_in_window"), F.count_if("flagged")).first()
     assert tuple(r) == (10000, 31982, 1860)
+
+
+def test_quality_and_space_figures_match_recorded(spark):
+    """Readability saturates (996 of 1,000 documents score 100, SURVEY D16/V17);
+    space sizes 150 / 37 / 37 / 26 (FIXTURES, wiki_pages adapter)."""
+    from pyspark.sql import functions as F
+
+    from tests.conftest import SF_MID
+    q = E.queries()
+    assert q["page_quality"](spark, SF_MID).agg(F.count_if(F.col("readability") == 100)).first()[0] == 996
+    sizes = {r.space_key: r.total_pages for r in q["space_summary"](spark, SF_MID).collect()}
+    assert sizes == {"en": 150, "fr": 37, "de": 37, "es": 26}
