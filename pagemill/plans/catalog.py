@@ -325,6 +325,13 @@ def render_html(spark: SparkSession, sf: str) -> DataFrame:
     return RH.render_html(P.process_pages(cp, parts=("text", "code"))).select("id", "html")
 
 
+@query
+def render_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Processed line-item table pages rendered (text and tables sections)."""
+    tp = D.table_pages(spark, sf).withColumnRenamed("page_id", "id")
+    return RH.render_html(P.process_pages(tp, parts=("text", "tables"))).select("id", "html")
+
+
 # -- step 9: tracker issues ---------------------------------------------------
 
 ISSUE_COLUMNS = ["key", "title", "type", "status", "priority", "assignee", "project", "sprint"]

@@ -510,3 +510,32 @@ WITH a AS (SELECT l.l_orderkey, count(*) AS n, CAST(sum(CAST(p.p_size AS BIGINT)
 SELECT i.key, coalesce(a.n, 0) AS n_attachments, coalesce(a.bytes, 0) AS attachment_bytes
 FROM ({ISSUES}) i LEFT JOIN a ON a.l_orderkey = i.o_orderkey
 """
+
+
+def _render_tables_sql() -> str:
+    from pagemill.operators.render import STYLE
+    nl = chr(10)
+    heads = "".join(f"<th>{h}</th>" for h, _ in TABLE_COLS)
+    row = " || ".join([_lit("<tr>")] + [f"{_lit('<td>')} || c{j} || {_lit('</td>')}" for j in range(6)]
+                      + [_lit("</tr>")])
+    words = " || ' ' || ".join(f"c{j}" for j in range(6))
+    return TABLE_ROWS + f"""
+, g AS (SELECT page_id,
+               string_agg({row}, '' ORDER BY row_idx) AS body,
+               string_agg({words}, ' ' ORDER BY row_idx) AS words
+        FROM r GROUP BY page_id)
+SELECT page_id AS id,
+  {_lit('<!DOCTYPE html>' + nl + '<html>' + nl + '<head>' + nl + '<title>')} ||
+  {_lit('</title>' + nl + '<style>' + nl + STYLE + '</style>' + nl)} ||
+  {_lit('</head>' + nl + '<body>' + nl + '<div class="metadata">' + nl + '<h1>')} ||
+  {_lit('</h1>' + nl + '<p>Last modified: ')} || {_lit('</p>' + nl + '<p>URL: <a href="')} ||
+  {_lit('">')} || {_lit('</a></p>' + nl + '</div>' + nl + '<div class="content">' + nl)} ||
+  'Order ' || page_id || ' ' || {_lit(' '.join(h for h, _ in TABLE_COLS))} || ' ' || words ||
+  {_lit(nl + '</div>' + nl)} ||
+  {_lit('<div class="tables"><h2>Tables</h2><table><thead><tr>' + heads + '</tr></thead><tbody>')} ||
+  body || {_lit('</tbody></table></div>' + nl)} || {_lit('</body>' + nl + '</html>' + nl)} AS html
+FROM g
+"""
+
+
+SQL["render_tables"] = _render_tables_sql()
