@@ -34,7 +34,8 @@ def route_items(items: DataFrame, col: str = "item") -> DataFrame:
 
 def known_keys(pages: DataFrame | None = None, issues: DataFrame | None = None,
                page_key: str = "id", issue_key: str = "key") -> DataFrame:
-    """Distinct (kind, ref) of the items that exist."""
+    """Distinct (kind, ref) of the items that exist (lazy: ``batch_outcome``
+    prunes it to the requested refs before the distinct runs)."""
     parts = []
     if pages is not None:
         parts.append(pages.select(F.lit("page").alias("kind"), F.col(page_key).cast("string").alias("ref")))
@@ -46,15 +47,28 @@ def known_keys(pages: DataFrame | None = None, issues: DataFrame | None = None,
     return out.distinct()
 
 
-def batch_outcome(routed: DataFrame, known: DataFrame, col: str = "item") -> DataFrame:
+BROADCAST_REFS_LIMIT = 1_000_000
+
+
+def batch_outcome(routed: DataFrame, known: DataFrame, col: str = "item",
+                  broadcast_limit: int = BROADCAST_REFS_LIMIT) -> DataFrame:
     """J-4 / U2: ``status`` successful / failed / skipped and ``error`` per item.
 
     Lookup items (page, issue) succeed when their key exists; space and project
     items succeed even with no rows; unknown items are skipped (they appear in
     neither the successful nor the failed list).
+
+    ``known`` (every page id and issue key) is the large side.  The distinct
+    refs the work list asks for are counted first; when there are at most
+    ``broadcast_limit`` of them they are broadcast to prune ``known`` with a
+    semi join before anything of it is shuffled.  Beyond the limit the plain
+    shuffle join runs.
     """
     lookups = routed.filter(F.col("kind").isin(*LOOKUP_KINDS))
     others = routed.filter(~F.col("kind").isin(*LOOKUP_KINDS))
+    refs = lookups.select("kind", "ref").distinct()
+    if refs.count() <= broadcast_limit:
+        known = known.join(F.broadcast(refs), ["kind", "ref"], "left_semi")
     hit = known.select("kind", "ref", F.lit(True).alias("_hit"))
     checked = lookups.join(hit, ["kind", "ref"], "left")
     checked = checked.withColumn(
