@@ -98,3 +98,19 @@ def test_bucketed_pages_join_children_without_moving_pages(spark, tmp_out):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS pages_by_id")
+
+
+def test_worklist_broadcast_only_under_the_bound(spark):
+    from pagemill.operators import batch as B
+    from pagemill.sources import landed as A
+    from pagemill.sources import testdata as D
+    items = B.route_items(A.worklist_lines(D.worklist(spark, SF_SMALL)))
+    known = B.known_keys(D.wiki_pages(spark, SF_SMALL, spread=False), D.tracker_issue_keys(spark, SF_SMALL))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pruned = B.batch_outcome(items, known)
+        plain = B.batch_outcome(items, known, broadcast_limit=0)
+        assert "BroadcastExchange" in plan(pruned) and "BroadcastExchange" not in plan(plain)
+        assert pruned.exceptAll(plain).count() == 0 and plain.exceptAll(pruned).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
