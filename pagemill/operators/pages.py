@@ -153,6 +153,15 @@ def error_record(message, error_type, status_code=None, details=None):
     )
 
 
+def filter_after_parse(df: DataFrame, cond) -> DataFrame:
+    """Filter on values the Python parse produced, without letting Catalyst
+    move the predicate below the parse's projection (it would then run the
+    UDF a second time, in the filter).  The condition becomes a generated
+    column, and no predicate can be pushed beneath its ``Generate``."""
+    return (df.select("*", F.explode_outer(F.array(cond)).alias("_keep"))
+            .filter(F.col("_keep")).drop("_keep"))
+
+
 def split_errors(processed: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """P10: split processed pages into (ok, dead letters).
 
@@ -162,9 +171,9 @@ def split_errors(processed: DataFrame, key: str = "id") -> tuple[DataFrame, Data
     source tool; the dead-letter table records what went wrong.
     """
     failed = F.size(F.coalesce("errors", F.create_map())) > 0
-    ok = processed.filter(~failed)
-    dead = (processed.filter(failed)
-            .select(key, F.explode("errors").alias("part", "error"))
+    ok = filter_after_parse(processed, ~failed)
+    dead = (processed.select(key, F.explode_outer("errors").alias("part", "error"))
+            .filter(F.col("part").isNotNull())
             .select(key, "part",
                     F.concat(F.lit("Failed to process "), F.col("part"), F.lit(": "), F.col("error")).alias("message"),
                     F.lit("ProcessingError").alias("error_type"),

@@ -14,6 +14,14 @@ def _numeric(v):
     return F.regexp_replace(v, ",", "").try_cast("double")
 
 
+def _tables(processed: DataFrame, key: str) -> DataFrame:
+    """One row per table.  ``posexplode_outer`` + a filter on the generated
+    column: a plain ``posexplode`` would make Catalyst infer a filter on the
+    parse output and push it below the parse, running the Python UDF twice."""
+    return (processed.select(F.col(key).alias("page_id"), F.posexplode_outer("tables").alias("table_idx", "t"))
+            .filter(F.col("t").isNotNull()))
+
+
 def with_column_types(processed: DataFrame) -> DataFrame:
     """Add ``col_types`` (array of ``number`` / ``string``) to each table.
 
@@ -43,7 +51,7 @@ def table_cells(processed: DataFrame, key: str = "id", typed: bool = True) -> Da
     table - and the work stays linear in the number of cells.
     """
     src = with_column_types(processed) if typed else processed
-    t = src.select(F.col(key).alias("page_id"), F.posexplode("tables").alias("table_idx", "t"))
+    t = _tables(src, key)
     meta = [F.col("t.headers").alias("h")] + ([F.col("t.col_types").alias("k")] if typed else [])
     r = t.select("page_id", "table_idx", *meta, F.posexplode("t.data").alias("row_idx", "row"))
     zipped = F.arrays_zip(*([F.col("h"), F.col("row")] + ([F.col("k")] if typed else [])))
@@ -58,7 +66,7 @@ def table_cells(processed: DataFrame, key: str = "id", typed: bool = True) -> Da
 
 def table_shapes(processed: DataFrame, key: str = "id") -> DataFrame:
     """One row per extracted table: ``page_id, table_idx, n_rows, n_cols, headers``."""
-    t = processed.select(F.col(key).alias("page_id"), F.posexplode("tables").alias("table_idx", "t"))
+    t = _tables(processed, key)
     return t.select(
         "page_id", "table_idx",
         F.col("t.shape.rows").alias("n_rows"),
@@ -69,8 +77,7 @@ def table_shapes(processed: DataFrame, key: str = "id") -> DataFrame:
 
 def column_types(processed: DataFrame, key: str = "id") -> DataFrame:
     """P4 per column: ``page_id, table_idx, col_idx, header, col_type``."""
-    t = with_column_types(processed).select(F.col(key).alias("page_id"),
-                                            F.posexplode("tables").alias("table_idx", "t"))
+    t = _tables(with_column_types(processed), key)
     c = t.select("page_id", "table_idx",
                  F.posexplode(F.arrays_zip(F.col("t.headers").alias("h"), F.col("t.col_types").alias("k")))
                  .alias("col_idx", "z"))
@@ -79,6 +86,7 @@ def column_types(processed: DataFrame, key: str = "id") -> DataFrame:
 
 def code_rows(processed: DataFrame, key: str = "id") -> DataFrame:
     """P5 long form: ``page_id, block_idx, language, content``."""
-    return (processed.select(F.col(key).alias("page_id"), F.posexplode("code_blocks").alias("block_idx", "b"))
+    return (processed.select(F.col(key).alias("page_id"), F.posexplode_outer("code_blocks").alias("block_idx", "b"))
+            .filter(F.col("b").isNotNull())
             .select("page_id", "block_idx", F.col("b.language").alias("language"),
                     F.col("b.content").alias("content")))

@@ -114,3 +114,9 @@ def test_worklist_broadcast_only_under_the_bound(spark):
         assert pruned.exceptAll(plain).count() == 0 and plain.exceptAll(pruned).count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_parse_runs_once_even_with_explodes_and_error_filters(spark):
+    for name in ("code_blocks", "dead_letter", "table_cells", "table_shapes", "table_column_types",
+                 "render_tables", "clean_text", "comments_clean"):
+        assert plan(QUERIES[name](spark, SF_SMALL)).count("ArrowEvalPython") == 1, name
