@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def _numeric(v):
     """A cell reads as a number: digits with optional ``,`` thousands marks."""
-    return F.regexp_replace(v, ",", "").try_cast("double")
+    return F.replace(v, F.lit(","), F.lit("")).try_cast("double")
 
 
 def _tables(processed: DataFrame, key: str) -> DataFrame:
