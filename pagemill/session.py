@@ -17,6 +17,9 @@ LOCAL_DEFAULTS = {
     # HTML pages can be large: keep Arrow batches to a bounded size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Only for local runs (tests, bench): no web UI, smaller scan splits.
+LOCAL_ONLY_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
 }
@@ -34,7 +37,9 @@ def get_session(master: str | None = None, app: str = "pagemill", **conf) -> Spa
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in LOCAL_DEFAULTS.items():
+    local = (master or submitted.get("spark.master", "")).startswith("local")
+    defaults = {**LOCAL_DEFAULTS, **(LOCAL_ONLY_DEFAULTS if local else {})}
+    for k, v in defaults.items():
         if not submitted.contains(k):
             b = b.config(k, v)
     for k, v in conf.items():
