@@ -94,3 +94,14 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str
     partitioning forward.
     """
     (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+
+
+def write_rendered(df: DataFrame, path: str, fmt: str = "parquet", key: str = "id",
+                   mode: str = "overwrite") -> None:
+    """K12 sink: rendered pages (``key, html``) as Parquet, or as text with one
+    JSON-escaped document per line (the HTML itself spans lines)."""
+    out = df.select(key, "html")
+    if fmt == "parquet":
+        out.write.mode(mode).parquet(path)
+    else:
+        out.select(F.to_json(F.struct(key, "html")).alias("value")).write.mode(mode).text(path)

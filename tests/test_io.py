@@ -102,3 +102,17 @@ def test_render_then_reparse_tables_round_trip(spark):
     t1 = [(t.headers, t.data) for t in first.first().tables]
     t2 = [(t.headers, t.data) for t in second.first().tables]
     assert t1 == t2 == [(["a", "b"], [["1", "x"], ["2", None]]), (["k"], [["v"]])]
+
+
+def test_rendered_pages_sink_round_trip(spark, tmp_out):
+    from pagemill.operators import pages as P
+    from pagemill.operators import render as RH
+    src = spark.createDataFrame([("a", "<p>x</p><pre><code>y</code></pre>"), ("b", "<p>z</p>")],
+                                "id string, content string")
+    rendered = RH.render_html(P.process_pages(src))
+    sinks.write_rendered(rendered, os.path.join(tmp_out, "pq"))
+    sinks.write_rendered(rendered, os.path.join(tmp_out, "txt"), fmt="text")
+    back = spark.read.parquet(os.path.join(tmp_out, "pq"))
+    assert back.exceptAll(rendered.select("id", "html")).count() == 0 and back.count() == 2
+    lines = [json.loads(r.value) for r in spark.read.text(os.path.join(tmp_out, "txt")).collect()]
+    assert sorted(x["id"] for x in lines) == ["a", "b"] and all(x["html"].startswith("<!DOCTYPE html>") for x in lines)
