@@ -6,6 +6,10 @@ kept per key in its store, with the same expiry.  Within a micro-batch a
 key's events are processed in (second, event id) order; across batches input
 must arrive in time order for the result to equal the batch operator W1
 (a late event cannot change flags already emitted).
+
+Memory per call is one key's rows of one micro-batch (they are ordered before
+use), bounded by the trigger size (``maxFilesPerTrigger`` /
+``maxOffsetsPerTrigger``) and the state, bounded by the window.
 """
 
 from __future__ import annotations
