@@ -340,6 +340,8 @@ def _cell_text(cell: _Cell) -> str:
 
 def _expand(rows: list[list[_Cell]]) -> list[list[str]]:
     """Expand colspan / rowspan into a rectangular-ish list of text rows."""
+    if all(c.rowspan == 1 and c.colspan == 1 for cells in rows for c in cells):
+        return [[_cell_text(c) for c in cells] for cells in rows]  # nothing spans
     out: list[list[str]] = []
     remainder: list[tuple[int, str, int]] = []
     for cells in rows:
