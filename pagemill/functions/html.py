@@ -485,10 +485,11 @@ def fast_feed(reader: "PageReader", doc: str) -> bool:
                 return False
             m = start_m(doc, i)
             if m:
-                tag = m.group(1).lower()
-                attrs = _attrs(m.group(2)) if m.group(2) else []
+                name, attr_text, self_closing = m.groups()
+                tag = name.lower()
+                attrs = _attrs(attr_text) if attr_text else []
                 i = m.end()
-                if m.group(3):
+                if self_closing:
                     reader.handle_startendtag(tag, attrs)
                     continue
                 reader.handle_starttag(tag, attrs)
