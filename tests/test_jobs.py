@@ -125,3 +125,17 @@ def test_command_line_entry(spark, tmp_out, capsys):
     assert main(["batch-summary", out]) == 0
     summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert summary["total_files"] > 0
+
+
+def test_extract_issue_nests_comments_in_order(spark, tmp_out):
+    issues = D.tracker_issues(spark, SF_SMALL)
+    key = issues.orderBy("key").first().key
+    cmts = spark.createDataFrame([(key, 1, "c2", "bo", "2024-01-02", "<p>two</p>"),
+                                  (key, 0, "c1", "al", "2024-01-01", "<p>one</p>"),
+                                  ("other", 0, "x", "zz", "2024-01-01", "<p>no</p>")],
+                                 "page_id string, pos int, id string, author string, created string, content string")
+    jobs.extract_issue(spark, issues, key, tmp_out, comments=cmts)
+    raw = _json_rows(spark, os.path.join(tmp_out, f"issue_{key}_raw.json"))[0]
+    assert [c.id for c in raw.comments] == ["c1", "c2"]
+    done = _json_rows(spark, os.path.join(tmp_out, f"issue_{key}_processed.json"))[0]
+    assert done.metadata.key == key and done.content
