@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from pagemill.operators.metrics import DEFAULT_BUCKETS, INF_LABEL, bucket_label
 
 
+def _event_time(events: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need ``TIMESTAMP``; NTZ event times are read as UTC."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, ts: str, labels: list[str], window: str, watermark: str) -> DataFrame:
     """G5 per event-time window: ``window_start, window_end, *labels, n``."""
-    g = (events.withWatermark(ts, watermark)
+    g = (_event_time(events, ts).withWatermark(ts, watermark)
          .groupBy(F.window(ts, window).alias("w"), *labels)
          .agg(F.count(F.lit(1)).alias("n")))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *labels, "n")
@@ -28,7 +33,7 @@ def windowed_histogram(events: DataFrame, ts: str, label: str, value: str, windo
     aggs = [F.count_if(F.col(value) <= F.lit(float(b))).alias("le_" + bucket_label(b).replace(".", "_"))
             for b in buckets]
     aggs += [F.count(F.col(value)).alias("le_inf"), F.count(F.col(value)).alias("n"), F.sum(value).alias("total")]
-    g = (events.withWatermark(ts, watermark)
+    g = (_event_time(events, ts).withWatermark(ts, watermark)
          .groupBy(F.window(ts, window).alias("w"), label).agg(*aggs))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), label,
                     *[a for a in g.columns if a.startswith("le_") or a in ("n", "total")])

@@ -81,3 +81,24 @@ def test_t3_stream_equals_batch_on_ordered_input(spark, tmp_out):
     assert got.count() == want.count() == 1000
     assert got.exceptAll(want).count() == 0
     assert want.filter("flagged").count() > 0
+
+
+def test_stream_runners_write_sinks(spark, tmp_out):
+    src = os.path.join(tmp_out, "ev")
+    ev = D.table(spark, SF_SMALL, "events").select("event_id", "user_id", "event_type", "ts")
+    _land_in_time_order(ev, src)
+    q = SR.start_rate_flags(spark, src, ev.schema, os.path.join(tmp_out, "flags"), os.path.join(tmp_out, "ck1"),
+                            "user_id", "ts", limit=2, window_seconds=3 * 3600)
+    q.awaitTermination(600)
+    got = spark.read.parquet(os.path.join(tmp_out, "flags")).select("event_id", "n_in_window", "flagged")
+    want = R.flag_rate(ev, "user_id", "ts", limit=2, window_seconds=3 * 3600).select(
+        "event_id", "n_in_window", "flagged")
+    assert got.count() == 1000 and got.exceptAll(want).count() == 0
+    q = SM.start_windowed_counts(spark, src, ev.schema, os.path.join(tmp_out, "counts"),
+                                 os.path.join(tmp_out, "ck2"), "ts", ["event_type"], "6 hours", "1 hour")
+    q.awaitTermination(600)
+    counts = spark.read.parquet(os.path.join(tmp_out, "counts"))
+    batch = (ev.withColumn("ts", F.col("ts").cast("timestamp"))
+             .groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n"))
+    assert counts.count() > 0 and counts.exceptAll(batch).count() == 0
