@@ -66,6 +66,21 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--output-dir", default="output")
     s = sub.add_parser("batch-summary", help="inventory of an output tree")
     s.add_argument("output_dir")
+    s = sub.add_parser("stream-pages", help="T1: process raw pages as they land (JSON lines)")
+    s.add_argument("source")
+    s.add_argument("output")
+    s.add_argument("checkpoint")
+    s.add_argument("--base-url", required=True)
+    s.add_argument("--continuous", action="store_true", help="keep running instead of draining what is there")
+    s = sub.add_parser("stream-rate-flags", help="T3: flag events of a landed Parquet event stream")
+    s.add_argument("source")
+    s.add_argument("output")
+    s.add_argument("checkpoint")
+    s.add_argument("--key", required=True)
+    s.add_argument("--ts", required=True)
+    s.add_argument("--limit", type=int, required=True)
+    s.add_argument("--window-seconds", type=int, required=True)
+    s.add_argument("--continuous", action="store_true")
     return p
 
 
@@ -99,6 +114,19 @@ def main(argv=None) -> int:
     elif c == "batch-process":
         issues = _read(spark, args.issues) if args.issues else None
         out = jobs.batch_process(spark, args.input_file, args.output_dir, _read(spark, args.pages), issues)
+    elif c == "stream-pages":
+        from pagemill.streaming import pages as SP
+        q = SP.start_processing(spark, args.source, args.output, args.checkpoint, args.base_url,
+                                available_now=not args.continuous)
+        q.awaitTermination()
+        out = {"stream": "pages", "output": args.output}
+    elif c == "stream-rate-flags":
+        from pagemill.streaming import rate as SR
+        schema = spark.read.parquet(args.source).schema  # from the landed files' footers
+        q = SR.start_rate_flags(spark, args.source, schema, args.output, args.checkpoint, args.key, args.ts,
+                                args.limit, args.window_seconds, available_now=not args.continuous)
+        q.awaitTermination()
+        out = {"stream": "rate-flags", "output": args.output}
     else:
         out = jobs.batch_summary(spark, args.output_dir)
         out["processing_errors"] = out.get("processing_errors") is not None

@@ -139,3 +139,12 @@ def test_extract_issue_nests_comments_in_order(spark, tmp_out):
     assert [c.id for c in raw.comments] == ["c1", "c2"]
     done = _json_rows(spark, os.path.join(tmp_out, f"issue_{key}_processed.json"))[0]
     assert done.metadata.key == key and done.content
+
+
+def test_command_line_stream_pages(spark, tmp_out, capsys):
+    from pagemill.__main__ import main
+    src = os.path.join(tmp_out, "landing")
+    D.wiki_pages_raw(spark, SF_SMALL).write.json(src)
+    out, ck = os.path.join(tmp_out, "processed"), os.path.join(tmp_out, "ck")
+    assert main(["stream-pages", src, out, ck, "--base-url", "http://w"]) == 0
+    assert spark.read.json(out).count() == 50
