@@ -116,3 +116,12 @@ def test_rendered_pages_sink_round_trip(spark, tmp_out):
     assert back.exceptAll(rendered.select("id", "html")).count() == 0 and back.count() == 2
     lines = [json.loads(r.value) for r in spark.read.text(os.path.join(tmp_out, "txt")).collect()]
     assert sorted(x["id"] for x in lines) == ["a", "b"] and all(x["html"].startswith("<!DOCTYPE html>") for x in lines)
+
+
+def test_csv_sink_writes_nested_columns_as_json(spark, tmp_out):
+    df = spark.createDataFrame([("k1", ["a", "b"], ("x", 1))],
+                               "key string, tags array<string>, meta struct<s:string,n:int>")
+    path = os.path.join(tmp_out, "nested.csv")
+    sinks.write_csv(df, path)
+    back = spark.read.options(**sinks.CSV_READ_OPTIONS).csv(path).first()
+    assert back.key == "k1" and json.loads(back.tags) == ["a", "b"] and json.loads(back.meta) == {"s": "x", "n": 1}
