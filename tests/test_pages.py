@@ -85,3 +85,16 @@ def test_strict_summary_fails_on_bad_date_lenient_skips_it(spark):
     assert lenient.oldest_page == lenient.newest_page == "2024-01-02T00:00:00" and lenient.total_words == 3
     with pytest.raises(Exception):
         Q.corpus_summary(df, strict=True).collect()
+
+
+def test_tokenizer_failure_becomes_per_part_errors(spark):
+    df = spark.createDataFrame([("1", "t", "<![foo bar]>x", "u", "1", ""), ("2", "t", "<p>fine</p>", "u", "1", "")],
+                               PAGE_COLS)
+    done = P.process_pages(df)
+    rows = {r.id: r for r in done.collect()}
+    assert rows["1"].content == "" and rows["1"].tables == [] and rows["1"].code_blocks == []
+    assert sorted(rows["1"].errors) == ["code", "tables", "text"]
+    assert rows["2"].content == "fine" and rows["2"].errors == {}
+    ok, dead = P.split_errors(done)
+    assert [r.id for r in ok.collect()] == ["2"]
+    assert sorted(r.part for r in dead.collect()) == ["code", "tables", "text"]
