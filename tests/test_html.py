@@ -134,3 +134,11 @@ def test_surrogate_and_out_of_range_references_become_replacement_char(spark):
     assert H.clean_text("a&#xD800;b&#1114112;c") == "a�b�c"
     df = spark.createDataFrame([("<p>&#xDFFF;</p>",)], "h string")
     assert df.select(clean_text(F.col("h")).alias("t")).first().t == "�"
+
+
+def test_multi_row_header_levels_join_and_unnamed_columns():
+    r = H.read_page("<table><thead><tr><th colspan=2>grp</th><th></th></tr><tr><th>a</th><th>b</th><th></th></tr>"
+                    "</thead><tr><td>1</td><td>2</td><td>3</td></tr></table>", False, True, False)
+    t = r["tables"][0]
+    assert t["headers"] == ["grp a", "grp b", "Unnamed: 2"]
+    assert t["data"] == [["1", "2", "3"]]
