@@ -11,12 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Defaults for missing metadata, the missing-cell text and the
-# page style sheet.
+# Defaults for missing metadata, the missing-cell text, the
+# labels and section headings of the page, and the page style sheet.
 DEFAULT_TITLE = "Untitled"
 DEFAULT_TEXT = "Unknown"
 DEFAULT_HREF = "#"
 MISSING_CELL = "nan"
+LABEL_LAST_MODIFIED = "Last modified: "
+LABEL_URL = "URL: "
+HEADING_TABLES = "Tables"
+HEADING_CODE = "Code Blocks"
+HEADING_COMMENTS = "Comments"
 STYLE = (
     "body { font-family: Arial, sans-serif; line-height: 1.6; margin: 2rem; }\n"
     ".metadata { background: #f5f5f5; padding: 1rem; margin-bottom: 1rem; }\n"
@@ -75,13 +80,13 @@ def render_html(processed: DataFrame, escape: bool = False, out_col: str = "html
     html = F.concat(
         F.lit("<!DOCTYPE html>\n<html>\n<head>\n<title>"), title, F.lit("</title>\n<style>\n" + STYLE + "</style>\n"),
         F.lit('</head>\n<body>\n<div class="metadata">\n<h1>'), title,
-        F.lit("</h1>\n<p>Last modified: "), meta("last_modified", DEFAULT_TEXT),
-        F.lit('</p>\n<p>URL: <a href="'), meta("url", DEFAULT_HREF), F.lit('">'), meta("url", DEFAULT_TEXT),
+        F.lit("</h1>\n<p>" + LABEL_LAST_MODIFIED), meta("last_modified", DEFAULT_TEXT),
+        F.lit('</p>\n<p>' + LABEL_URL + '<a href="'), meta("url", DEFAULT_HREF), F.lit('">'), meta("url", DEFAULT_TEXT),
         F.lit('</a></p>\n</div>\n<div class="content">\n'), _esc(F.coalesce("content", F.lit("")), escape),
         F.lit("\n</div>\n"),
-        _section(F.col("tables"), '<div class="tables"><h2>Tables</h2>', tables),
-        _section(F.col("code_blocks"), '<div class="code-blocks"><h2>Code Blocks</h2>\n', codes),
-        _section(F.col("comments"), '<div class="comments"><h2>Comments</h2>\n', comments),
+        _section(F.col("tables"), f'<div class="tables"><h2>{HEADING_TABLES}</h2>', tables),
+        _section(F.col("code_blocks"), f'<div class="code-blocks"><h2>{HEADING_CODE}</h2>\n', codes),
+        _section(F.col("comments"), f'<div class="comments"><h2>{HEADING_COMMENTS}</h2>\n', comments),
         F.lit("</body>\n</html>\n"),
     )
     return processed.withColumn(out_col, html)
