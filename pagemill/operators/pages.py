@@ -138,7 +138,12 @@ def process_pages(pages: DataFrame, attachments: DataFrame | None = None, commen
 
 
 # P10 ----------------------------------------------------------------------
+# Error-record texts and the default status code.
 UNEXPECTED_MESSAGE = "An unexpected error occurred"
+UNEXPECTED_TYPE = "UnexpectedError"
+PROCESSING_ERROR = "ProcessingError"
+FAILED_PART_PREFIX = "Failed to process "
+DEFAULT_STATUS = 500
 
 
 def error_record(message, error_type, status_code=None, details=None):
@@ -148,7 +153,7 @@ def error_record(message, error_type, status_code=None, details=None):
         F.lit(message) if isinstance(message, str) else message,
         F.lit(error_type) if isinstance(error_type, str) else error_type,
         F.coalesce(F.lit(None).cast("int") if status_code is None else F.lit(status_code).cast("int"),
-                   F.lit(500)).alias("status_code"),
+                   F.lit(DEFAULT_STATUS)).alias("status_code"),
         (details if details is not None else F.create_map().cast("map<string,string>")).alias("details"),
     )
 
@@ -175,9 +180,9 @@ def split_errors(processed: DataFrame, key: str = "id") -> tuple[DataFrame, Data
     dead = (processed.select(key, F.explode_outer("errors").alias("part", "error"))
             .filter(F.col("part").isNotNull())
             .select(key, "part",
-                    F.concat(F.lit("Failed to process "), F.col("part"), F.lit(": "), F.col("error")).alias("message"),
-                    F.lit("ProcessingError").alias("error_type"),
-                    F.lit(500).alias("status_code"),
+                    F.concat(F.lit(FAILED_PART_PREFIX), F.col("part"), F.lit(": "), F.col("error")).alias("message"),
+                    F.lit(PROCESSING_ERROR).alias("error_type"),
+                    F.lit(DEFAULT_STATUS).alias("status_code"),
                     F.create_map(F.lit("page_id"), F.col(key).cast("string"), F.lit("part"), F.col("part"))
                     .alias("details")))
     return ok, dead

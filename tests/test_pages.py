@@ -43,7 +43,7 @@ def test_error_record_defaults(spark):
     r = spark.range(1).select(P.error_record("Test error", "BaseError", 400,
                                              F.create_map(F.lit("test"), F.lit("detail"))).alias("e")).first().e
     assert (r[0], r[1], r.status_code, r.details) == ("Test error", "BaseError", 400, {"test": "detail"})
-    r = spark.range(1).select(P.error_record(P.UNEXPECTED_MESSAGE, "UnexpectedError").alias("e")).first().e
+    r = spark.range(1).select(P.error_record(P.UNEXPECTED_MESSAGE, P.UNEXPECTED_TYPE).alias("e")).first().e
     assert r.status_code == 500 and r[0] == "An unexpected error occurred"
 
 
