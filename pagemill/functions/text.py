@@ -17,6 +17,9 @@ PY_WS_CLASS = (
 )
 SENTENCE_SPLIT = "[.!?]+"
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
+# Simplified reading ease: 206.835 - 1.015 * words per sentence, clamped to [0, 100].
+READING_EASE_BASE = 206.835
+READING_EASE_PER_WORD = 1.015
 # ---------------------------------------------------------------------------
 
 
@@ -56,7 +59,7 @@ def readability(c) -> Column:
     """Simplified reading ease, clamped to [0, 100]."""
     words = word_count(c).cast("double")
     sentences = F.greatest(sentence_count(c), F.lit(1)).cast("double")
-    score = F.lit(206.835) - F.lit(1.015) * (words / sentences)
+    score = F.lit(READING_EASE_BASE) - F.lit(READING_EASE_PER_WORD) * (words / sentences)
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
 
 

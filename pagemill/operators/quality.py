@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 
-# Literal formatting marks looked for in the content.
+# Literal formatting marks looked for in the content, the
+# required processed-page fields and metadata fields, and the score names.
 FORMAT_MARKS = ("<h1>", "<h2>", "<p>", "<table>", "<code>")
 REQUIRED_CONTENT = ("content", "metadata", "tables", "code_blocks", "comments")
 REQUIRED_METADATA = ("id", "title", "url", "version", "last_modified")
