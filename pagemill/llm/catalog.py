@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pagemill.llm import mixing, packing, rules, sharding
+from pagemill.llm import embeddings, minhash, mixing, packing, quality, rules, sharding, suffixes, toxicity
 from pagemill.llm.common import table
 
 QUERIES: dict = {}
@@ -44,3 +43,33 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words taken of every document by the weighted mix of sources."""
     return mixing.mix_documents(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Class and representative of every document."""
+    return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document by the line field."""
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without its repeated 200-byte strings."""
+    return suffixes.remove_repeats(table(spark, sf, "documents")).drop("kept_bytes")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document by the factorization machine."""
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
