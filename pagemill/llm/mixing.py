@@ -86,27 +86,30 @@ def source_cuts(rows: DataFrame, ranges: int, max_epochs: int = MAX_EPOCHS) -> D
                 .select("_source", "_range", "_before", "_rest"))
     crossing = materialise(crossing, "mix_crossing")
     inside = Window.partitionBy("_source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # A row is in if that brings the total nearer to the budget: its middle is before it.
+    # The last row that starts before the budget, and how many of its words still fit.
+    start = F.col("_upto") - F.col("size")
+    part = F.least(F.round(F.col("_rest") - start).cast("long"), F.col("size"))
     last = (keyed.join(crossing, ["_source", "_range"])
             .withColumn("_upto", F.col("_before") + F.sum("size").over(inside))
-            .where((2 * F.col("_upto") - F.col("size") <= 2 * F.col("_rest")) & (F.col("size") > 0))
-            .groupBy("_source").agg(F.max(_place()).alias("cut")))
+            .where((start < F.col("_rest")) & (F.col("size") > 0))
+            .groupBy("_source").agg(F.max(F.struct(_place().alias("cut"), part.alias("part"))).alias("_last"))
+            .select("_source", "_last.*"))
     return (plan.join(crossing.select("_source", F.col("_range").alias("cut_range")), "_source", "left")
             .join(last, "_source", "left"))
 
 
 def mix(rows: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows with ``doc_id``, ``source`` and ``size``, and per row ``source_size``, ``target``,
-    ``copies`` and ``taken``; columns of these four names are replaced, others stay.
-
-    ``copies`` is how often the row is in the mix and ``taken`` = copies * size.
-    Rows are taken whole: the row at which the last epoch reaches the budget is in
-    if that brings the total nearer to it.  Keys depend on doc_id and the seed
-    alone, so reruns agree.  A size of null counts as 0; rows of size 0 cost no
-    budget and are taken once.  Rows of equal doc_id, source and size share their
-    fate.  A source that holds most rows is spread over many ranges.
+    ``copies``, ``part`` and ``taken``; columns of these five names are replaced, others stay.
+
+    A row is taken ``copies`` times whole and, where its source reaches the budget within
+    it, ``part`` of its size once more: ``taken`` = copies * size + part, and a source's
+    taken sizes add up to its target, rounded.  Keys depend on doc_id and the seed alone,
+    so reruns agree.  A size of null counts as 0; rows of size 0 cost no budget and are
+    taken once.  Rows of equal doc_id, source and size share their fate.  A source that
+    holds most rows is spread over many ranges.
     """
-    names = [c for c in rows.columns if c not in ("source_size", "target", "copies", "taken")]
+    names = [c for c in rows.columns if c not in ("source_size", "target", "copies", "part", "taken")]
     rows = _keyed(rows.select(*names).withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), seed)
     slim = materialise(rows.select("doc_id", "source", "_source", "size", "_key"), "mix_keys")
     ranges = max(1, -(-slim.count() // range_rows))
@@ -115,10 +118,17 @@ def mix(rows: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, range_row
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     span = _span(ranges)
-    again = (span < F.col("cut_range")) | ((span == F.col("cut_range")) & (_place() <= F.col("cut")))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + F.coalesce(again, F.lit(False)).cast("int"))
-    mixed = rows.join(cuts, "_source").withColumn("copies", copies)
-    return mixed.select(*names, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    within = span == F.col("cut_range")
+    before = (span < F.col("cut_range")) | (within & (_place() < F.col("cut")))
+    at = within & (_place() == F.col("cut"))
+    size = F.col("size")
+    again = (F.coalesce(before, F.lit(False)) | F.coalesce(at & (F.col("part") == size), F.lit(False))).cast("int")
+    part = F.when(F.coalesce(at, F.lit(False)) & (F.col("part") < size), F.col("part")).otherwise(F.lit(0)).cast("long")
+    mixed = rows.join(cuts, "_source")
+    mixed = mixed.select(*names, "source_size", "target",
+                         F.when(size == 0, F.lit(1)).otherwise(F.col("whole") + again).alias("copies"),
+                         F.when(size == 0, F.lit(0)).otherwise(part).alias("part"))
+    return mixed.withColumn("taken", F.col("copies") * size + F.col("part"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -128,13 +138,16 @@ def mix_documents(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS)
 
 
 def repeat_documents(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mixed corpus itself: every document as many times as the mix takes it, same columns.
+    """The mixed corpus itself: every document as often as the mix takes it, same columns.
 
-    Texts do not move: each row learns its number of copies from its source's cut.
+    Texts stay whole: the document in which a source reaches its budget is in if that
+    brings the source nearer to it.  Documents without words stay once.  Texts do not
+    move: each row learns its number of copies from its source's cut.
     """
     names = docs.columns
     clash = {n: f"_c{i}" for i, n in enumerate(names) if n not in ("doc_id", "source")}
     renamed = docs.select("doc_id", "source", *(F.col(f"`{n}`").alias(c) for n, c in clash.items()))
     mixed = mix(renamed.withColumn("size", word_count(F.col(clash["text"]))), seed, max_epochs)
-    copies = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    times = F.col("copies") + (2 * F.col("part") >= F.col("size")).cast("int") * (F.col("part") > 0).cast("int")
+    copies = mixed.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return copies.select(*(F.col(clash.get(n, n)).alias(n) for n in names))

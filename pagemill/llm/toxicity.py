@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 #: Labelled documents that the model is fitted on, at most; taken by hash order of doc_id.
 TRAIN_ROWS = 12_000
 #: Hash buckets of terms; a bucket needs this many training documents to get weights.
-TERMS, MIN_DOCS = 1 << 18, 4
-FACTORS, EPOCHS, BATCH = 8, 24, 256
-RATE, L2_WEIGHT, L2_FACTOR = 0.15, 2e-4, 1e-3
+TERMS, MIN_DOCS = 1 << 18, 3
+FACTORS, STEPS = 8, 500
+RATE, L2_FACTOR = 0.5, 5e-3
+MIN_Z, PENALTY_Z = 4.0, 0.15
 CACHE_WORDS = 1_000_000
 # Characters stripped from both ends of a word.
 EDGES = b".,!?:;|#*$%&<>()[]{}\"'`~_-+=/\\"
@@ -72,41 +73,49 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss.  Buckets seen in fewer than MIN_DOCS documents keep weight 0."""
+    """Proximal gradient steps on the logistic loss.
+
+    Texts hold thousands of terms that mean nothing here, so a term takes part only if
+    its share of positive documents is ``MIN_Z`` standard deviations from the overall
+    share.  A linear weight also pays a penalty of ``PENALTY_Z`` deviations of its own
+    gradient, which keeps weights of chance associations at 0; factors pay a square one.
+    """
     rng = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate(bags) if bags else np.zeros(0, np.int64), minlength=TERMS)
-    used = np.flatnonzero(seen >= min(MIN_DOCS, max(1, len(bags) // 8)))
+    rows = len(bags)
+    share = float(np.clip(labels.mean() if rows else 0.5, 1e-3, 1 - 1e-3))
+    weight, factor = np.zeros(TERMS), np.zeros((TERMS, FACTORS))
+    bias = float(np.log(share / (1 - share)))
+    if not rows:
+        return FactorizationMachine(bias, weight, factor)
+    ids, row = np.concatenate(bags), np.repeat(np.arange(rows), [len(b) for b in bags])
+    seen = np.bincount(ids, minlength=TERMS)
+    spread = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    z = (np.bincount(ids, weights=labels[row], minlength=TERMS) - seen * share) / spread
+    used = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
     dense = np.full(TERMS, -1)
     dense[used] = np.arange(len(used))
-    bags = [dense[b] for b in bags]
-    bags = [b[b >= 0] for b in bags]
-    share = np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3)
-    b, gb = float(np.log(share / (1 - share))), 1e-8
-    w, v = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS))
-    gw, gv = np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
-    for _ in range(EPOCHS if len(used) else 0):
-        for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // BATCH)):
-            sizes = np.array([len(bags[k]) for k in part])
-            ids, row = np.concatenate([bags[k] for k in part]), np.repeat(np.arange(len(part)), sizes)
-            vi = v[ids]
-            sums = np.stack([np.bincount(row, weights=vi[:, f], minlength=len(part)) for f in range(FACTORS)], axis=1)
-            squares = np.bincount(row, weights=(vi ** 2).sum(axis=1), minlength=len(part))
-            z = b + np.bincount(row, weights=w[ids], minlength=len(part)) + ((sums ** 2).sum(axis=1) - squares) / 2
-            error = (sigmoid(z) - labels[part]) / len(part)
-            terms, at = np.unique(ids, return_inverse=True)
-            dw = np.bincount(at, weights=error[row], minlength=len(terms)) + L2_WEIGHT * w[terms] / len(part)
-            each = error[row][:, None] * (sums[row] - vi)
-            dv = np.stack([np.bincount(at, weights=each[:, f], minlength=len(terms)) for f in range(FACTORS)], axis=1)
-            dv += L2_FACTOR * v[terms] / len(part)
-            gb += error.sum() ** 2
-            gw[terms] += dw ** 2
-            gv[terms] += dv ** 2
-            b -= RATE * error.sum() / np.sqrt(gb)
-            w[terms] -= RATE * dw / np.sqrt(gw[terms])
-            v[terms] -= RATE * 0.3 * dv / np.sqrt(gv[terms])
-    weight, factor = np.zeros(TERMS), np.zeros((TERMS, FACTORS))
+    take = dense[ids] >= 0
+    ids, row = dense[ids[take]], row[take]
+    penalty = PENALTY_Z * spread[used]
+    w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS))
+    gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
+    for _ in range(STEPS):
+        vi = v[ids]
+        sums = np.stack([np.bincount(row, weights=vi[:, f], minlength=rows) for f in range(FACTORS)], axis=1)
+        squares = np.bincount(row, weights=(vi ** 2).sum(axis=1), minlength=rows)
+        margin = bias + np.bincount(row, weights=w[ids], minlength=rows) + ((sums ** 2).sum(axis=1) - squares) / 2
+        error = sigmoid(margin) - labels
+        dw = np.bincount(ids, weights=error[row], minlength=len(used))
+        each = error[row][:, None] * (sums[row] - vi)
+        dv = np.stack([np.bincount(ids, weights=each[:, f], minlength=len(used)) for f in range(FACTORS)], axis=1) + L2_FACTOR * rows * v
+        gb, gw, gv = gb + error.sum() ** 2, gw + dw ** 2, gv + dv ** 2
+        bias -= RATE * error.sum() / np.sqrt(gb)
+        step = RATE / np.sqrt(gw)
+        w = w - step * dw
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        v = v - RATE * dv / np.sqrt(gv)
     weight[used], factor[used] = w, v
-    return FactorizationMachine(b, weight, factor)
+    return FactorizationMachine(float(bias), weight, factor)
 
 
 def held_out(doc_id: Column) -> Column:
