@@ -1,10 +1,58 @@
-"""Placeholder stages: filled as the operators land."""
+"""The corpus pipeline: documents through quality rules, near-dedup, personal data,
+source mixing and packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's documents.  All but the last return the
+columns of documents; the last returns the packed pieces.
+
+Personal data is replaced by its kind in brackets.  A document that the mix repeats
+is repeated as rows, so packing places each copy.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from pagemill.llm import minhash, mixing, packing, personal, rules
+from pagemill.llm.catalog import tokenizer_path
+from pagemill.llm.common import materialise
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the cascade."""
+    return rules.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies."""
+    return minhash.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced."""
+    return personal.redact(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their place in sequences of 2,048."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", near_dedup), ("personal_data", personal_data),
+          ("source_mixing", source_mixing), ("best_fit_packing", best_fit_packing)]
+
+#: Signatures and token ids have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

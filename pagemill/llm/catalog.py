@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import embeddings, minhash, mixing, packing, quality, rules, sharding, suffixes, toxicity
+from pagemill.llm import embeddings, minhash, mixing, packing, personal, quality, rules, sharding, suffixes, toxicity
 from pagemill.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document by the factorization machine."""
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data spans of every document."""
+    return personal.extract(table(spark, sf, "documents"))

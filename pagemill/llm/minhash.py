@@ -42,7 +42,7 @@ COMPONENTS = BANDS * BAND_ROWS
 MIN_AGREE = 53
 #: Rows of a block in which members of a bucket are compared; a task compares two.
 BLOCK_ROWS = 1024
-#: A hub round must explain this share of the members left, else blocks take over.
+#: A hub round must explain more than this share of the members it compares, else blocks take over.
 HUB_PROGRESS = 0.1
 #: Shingles that one signature batch works on at once, and a worker's cached word hashes.
 BATCH_SHINGLES, CACHE_WORDS = 1_000_000, 1_000_000
@@ -232,20 +232,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
-def _across_classes(g: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's home rows and its other rows that agree enough and are of two classes."""
-    home, other = g[g["home"]], g[~g["home"]]
-    none = pd.DataFrame({"a": [], "b": []}, dtype=object)
-    if home.empty or other.empty:
-        return none
-    ids = {c: i for i, c in enumerate(dict.fromkeys(g["cls"]))}
-    x, y = (np.frombuffer(b"".join(p["sig"]), dtype=np.uint8).reshape(len(p), -1) for p in (home, other))
-    cx, cy = (np.array([ids[c] for c in p["cls"]]) for p in (home, other))
-    out = []
-    for i in range(len(x)):
-        hit = np.flatnonzero((cy != cx[i]) & ((y == x[i]).sum(axis=1) >= MIN_AGREE))
-        out += [(home["key"].iat[i], other["key"].iat[j]) for j in hit]
-    return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"]) if out else none
+def _across_classes(batches):
+    """Pairs of a block's home rows and its other rows that agree enough and are of two classes.
+
+    Rows come sorted by block, so blocks are cut from the stream one after the other.
+    """
+    def pairs(home, key, cls, sig):
+        h, o = np.flatnonzero(home), np.flatnonzero(~home)
+        for i in h:
+            near = o[(cls[o] != cls[i]) & ((sig[o] == sig[i]).sum(axis=1) >= MIN_AGREE)]
+            yield from ((max(key[i], key[j]), min(key[i], key[j])) for j in near)
+
+    def blocks(p):
+        sig = np.frombuffer(b"".join(p["sig"]), dtype=np.uint8).reshape(len(p), -1)
+        cls, key, home = pd.factorize(p["cls"])[0], p["key"].to_numpy(), p["home"].to_numpy(dtype=bool)
+        block = p[["bucket", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1), len(p)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from pairs(home[a:b], key[a:b], cls[a:b], sig[a:b])
+
+    held = None  # rows of the last block seen, which may go on in the next batch
+    for p in batches:
+        p = p if held is None else pd.concat([held, p], ignore_index=True)
+        if not len(p):
+            continue
+        same = (p[["bucket", "i", "j"]] == p[["bucket", "i", "j"]].iloc[-1]).all(axis=1)
+        yield pd.DataFrame(list(blocks(p[~same])) if not same.all() else [], columns=["a", "b"])
+        held = p[same]
+    if held is not None and len(held):
+        yield pd.DataFrame(list(blocks(held)), columns=["a", "b"])
 
 
 def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -284,16 +299,15 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
         found = materialise(_verified(_agreeing(pairs, sigs), texts, threshold), "links")
         links = found if links is None else materialise(links.unionByName(found), "links")
         classes = materialise(connected_components(links).withColumnRenamed("node", "key"), "classes")
-        before = left.count()
         # What a hub explains leaves; buckets of one class are done.
         explained = links.select(F.col("a").alias("_x"), F.col("b").alias("_y"))
         spokes = spokes.withColumn("_x", F.greatest("hub", "key")).withColumn("_y", F.least("hub", "key"))
-        spokes = spokes.join(explained, ["_x", "_y"], "left_anti").select("bucket", "key")
+        compared = spokes.count()
+        spokes = materialise(spokes.join(explained, ["_x", "_y"], "left_anti").select("bucket", "key"), "unexplained")
+        unexplained = spokes.count()
         rows = materialise(_mixed_buckets(_with_class(rows.select("bucket", "key"), classes)), "mixed")
         left = spokes.join(rows.select("bucket").distinct(), "bucket")
-        left = materialise(left, "left")
-        after = left.count()
-        if after == 0 or after > before * (1 - HUB_PROGRESS):
+        if compared - unexplained <= compared * HUB_PROGRESS:
             break
 
     # Any pair of two classes has a member outside the bucket's largest class.
@@ -309,8 +323,8 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     busy = home.select("bucket", "i", "j").distinct()
     columns = ["bucket", "i", "j", "key", "cls", "sig", "home"]
     blocks = home.select(columns).unionByName(other.join(busy, ["bucket", "i", "j"], "left_semi").select(columns))
-    pairs = blocks.groupBy("bucket", "i", "j").applyInPandas(_across_classes, "a binary, b binary").distinct()
-    pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cross_pairs")
+    blocks = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    pairs = materialise(blocks.mapInPandas(_across_classes, "a binary, b binary").distinct(), "cross_pairs")
     more = materialise(_verified(pairs, texts, threshold), "cross_links")
     if more.isEmpty():
         return classes
