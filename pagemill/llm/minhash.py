@@ -15,9 +15,9 @@ latest component, so few points per shingle are drawn.
 
 Search.  Bands of four components are buckets.  Every bucket's members are compared
 with one hub of the bucket, not with each other, so a bucket of any size costs as
-many comparisons as it has members; this repeats for what the hub doesn't explain.
-A link inside one connected class changes nothing, so only buckets that still hold
-several classes are then compared in blocks, members of the smaller classes against
+many comparisons as it has members; this repeats for what the hub doesn't explain, as
+long as hubs explain members.  A link inside one connected class changes nothing, so
+only buckets that still hold several classes are then compared in blocks, members of the smaller classes against
 all.  Pairs whose signatures agree enough are verified by their exact overlap.
 """
 
@@ -263,10 +263,8 @@ def _across_classes(batches):
         yield pd.DataFrame(list(blocks(held)), columns=["a", "b"])
 
 
-def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """``rows`` with the class of their key; a key without links is its own class."""
-    if classes is None:
-        return rows.withColumn("cls", F.col("key"))
     return rows.join(classes, "key", "left").withColumn("cls", F.coalesce("component", "key")).drop("component")
 
 
@@ -276,8 +274,8 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("bucket"), "bucket")
 
 
-def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
-    """(key, component) of the word sequences that have a link, or None if there is none.
+def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, component) of the word sequences that have a link.
 
     ``sigs`` holds one row per word sequence (key, bands, sig, doc).
     """
@@ -288,27 +286,21 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     sigs = materialise(sigs.select("key", "sig", "doc").join(candidates, "key"), "candidate_sigs")
     texts = _texts(docs, sigs)
 
-    links = classes = None
-    left = rows
+    links, left = None, rows
     while True:
         hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "key").alias("p"), "key"))["key"].alias("hub"))
-        spokes = left.join(hub, "bucket").where("key != hub")
-        pairs = spokes.select(F.greatest("hub", "key").alias("a"), F.least("hub", "key").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
+        spokes = materialise(left.join(hub, "bucket").where("key != hub").select(
+            "bucket", "key", F.greatest("hub", "key").alias("a"), F.least("hub", "key").alias("b")), "spokes")
+        pairs = spokes.select("a", "b").distinct()
         found = materialise(_verified(_agreeing(pairs, sigs), texts, threshold), "links")
-        links = found if links is None else materialise(links.unionByName(found), "links")
-        classes = materialise(connected_components(links).withColumnRenamed("node", "key"), "classes")
-        # What a hub explains leaves; buckets of one class are done.
-        explained = links.select(F.col("a").alias("_x"), F.col("b").alias("_y"))
-        spokes = spokes.withColumn("_x", F.greatest("hub", "key")).withColumn("_y", F.least("hub", "key"))
+        links = found if links is None else links.unionByName(found)
+        # What a hub explains leaves the bucket, and so does the hub.
+        left = materialise(spokes.join(found, ["a", "b"], "left_anti").select("bucket", "key"), "unexplained")
         compared = spokes.count()
-        spokes = materialise(spokes.join(explained, ["_x", "_y"], "left_anti").select("bucket", "key"), "unexplained")
-        unexplained = spokes.count()
-        rows = materialise(_mixed_buckets(_with_class(rows.select("bucket", "key"), classes)), "mixed")
-        left = spokes.join(rows.select("bucket").distinct(), "bucket")
-        if compared - unexplained <= compared * HUB_PROGRESS:
+        if compared - left.count() <= compared * HUB_PROGRESS:
             break
+    classes = materialise(connected_components(links), "classes").withColumnRenamed("node", "key")
+    rows = materialise(_mixed_buckets(_with_class(rows, classes)), "mixed")
 
     # Any pair of two classes has a member outside the bucket's largest class.
     sizes = rows.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
@@ -328,7 +320,8 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     more = materialise(_verified(pairs, texts, threshold), "cross_links")
     if more.isEmpty():
         return classes
-    return connected_components(links.unionByName(more)).withColumnRenamed("node", "key")
+    known = classes.select(F.col("key").alias("a"), F.col("component").alias("b"))
+    return connected_components(known.unionByName(more)).withColumnRenamed("node", "key")
 
 
 def _texts(docs: DataFrame, sigs: DataFrame) -> DataFrame:

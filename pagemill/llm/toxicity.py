@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, at most; taken by hash order of doc_id.
 TRAIN_ROWS = 12_000
-#: Hash buckets of terms; a bucket needs this many training documents to get weights.
-TERMS, MIN_DOCS = 1 << 18, 3
-FACTORS, STEPS = 8, 500
-RATE, L2_FACTOR = 0.5, 5e-3
-MIN_Z, PENALTY_Z = 4.0, 0.15
+#: Hash buckets of terms; a bucket needs this many training documents, and this share of them, to get weights.
+TERMS, MIN_DOCS, MIN_SHARE = 1 << 18, 3, 0.0015
+FACTORS, STEPS = 8, 800
+RATE, L2_FACTOR = 1.0, 5e-3
+MIN_Z, PENALTY_Z = 5.0, 0.02
 CACHE_WORDS = 1_000_000
 # Characters stripped from both ends of a word.
 EDGES = b".,!?:;|#*$%&<>()[]{}\"'`~_-+=/\\"
@@ -91,7 +91,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Factorizat
     seen = np.bincount(ids, minlength=TERMS)
     spread = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     z = (np.bincount(ids, weights=labels[row], minlength=TERMS) - seen * share) / spread
-    used = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
+    used = np.flatnonzero((seen >= max(MIN_DOCS, MIN_SHARE * rows)) & (np.abs(z) >= MIN_Z))
     dense = np.full(TERMS, -1)
     dense[used] = np.arange(len(used))
     take = dense[ids] >= 0
