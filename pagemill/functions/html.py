@@ -7,8 +7,9 @@ in one pass:
 * ``text``   - the cleaned page text (strip each text node, join with one
   space, drop ``<...>`` runs that appear after entity decoding, collapse
   whitespace);
-* ``tables`` - every ``table`` element in document order as a header row plus
-  a padded string grid;
+* ``tables`` - every ``table`` element in document order as its column names and
+  its body rows in run lengths (a cell that spans a million columns is one run;
+  Catalyst expands them and marks missing values, see ``functions.udf``);
 * ``code``   - every ``code`` / ``pre`` element in document order with its
   language (first ``class`` token, else ``text``) and its stripped text.
 
@@ -24,7 +25,6 @@ It runs per row inside Spark tasks; nothing here touches Spark.
 from __future__ import annotations
 
 import re
-from html import unescape as _unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -43,12 +43,6 @@ VOID_ELEMENTS = frozenset({
 TAG_PATTERN = re.compile("<[^>]+>")
 # Cell text clean-up: strip, then runs of newlines or of 2+ whitespace -> " ".
 CELL_WHITESPACE = re.compile(r"[\r\n]+|\s{2,}")
-# Cell strings read as missing values.
-NA_STRINGS = frozenset({
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
-    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
-    "nan", "null",
-})
 HIDDEN_STYLE = re.compile(r"display:\s*none")
 CODE_ELEMENTS = frozenset({"code", "pre"})
 # ---------------------------------------------------------------------------
@@ -59,24 +53,30 @@ for _name, _char in sorted(html5.items()):
     ENTITY_CHARS.setdefault(_name[:-1] if _name.endswith(";") else _name, _char)
 
 
+REPLACEMENT = "\ufffd"
+
+
 def charref_text(name: str) -> str:
-    """Text of ``&#NNN;`` / ``&#xHH;``: code points under 256 read as
-    windows-1252 where that differs; invalid ones give U+FFFD."""
-    try:
-        code = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
-    except ValueError:
-        return "\ufffd"
-    if code < 256:
-        try:
-            return bytes([code]).decode("windows-1252")
-        except UnicodeDecodeError:
-            pass
-    if 0xD800 <= code <= 0xDFFF:
-        return "\ufffd"  # a lone surrogate cannot be stored as UTF-8
-    try:
-        return chr(code) or "\ufffd"
-    except (ValueError, OverflowError):
-        return "\ufffd"
+    """Text of ``&#NNN;`` / ``&#xHH;`` by the HTML standard's numeric reference rules:
+    0x80-0x9F name windows-1252 characters; NUL, surrogates and numbers past the
+    last code point become U+FFFD, which is also the text of a malformed number."""
+    hexadecimal = name[:1].lower() == "x"
+    digits = name[1:] if hexadecimal else name
+    if not re.fullmatch("[0-9a-fA-F]+" if hexadecimal else "[0-9]+", digits):
+        return REPLACEMENT
+    code = int(digits, 16 if hexadecimal else 10) if len(digits) < 12 else 0
+    if code == 0 or 0xD800 <= code <= 0xDFFF or code > 0x10FFFF:
+        return REPLACEMENT
+    if 0x80 <= code <= 0x9F:
+        return bytes([code]).decode("cp1252", "ignore") or chr(code)
+    return chr(code)
+
+
+def remove_tags(s: str) -> str:
+    """``<...>`` runs removed.  Behind the last ``>`` nothing can match, so only the
+    text up to it is searched and every search ends at the next ``>``."""
+    end = s.rfind(">") + 1
+    return TAG_PATTERN.sub("", s[:end]) + s[end:]
 
 
 def normalize_ws(s: str) -> str:
@@ -331,221 +331,112 @@ class PageReader(HTMLParser):
 
 
 # ---------------------------------------------------------------------------
-# Table grid construction
+# Tables: slots by the HTML table model, in run lengths
 # ---------------------------------------------------------------------------
 
 def _cell_text(cell: _Cell) -> str:
     return CELL_WHITESPACE.sub(" ", "".join(cell.parts).strip())
 
 
-def _expand(rows: list[list[_Cell]]) -> list[list[str]]:
-    """Expand colspan / rowspan into a rectangular-ish list of text rows."""
-    if all(c.rowspan == 1 and c.colspan == 1 for cells in rows for c in cells):
-        return [[_cell_text(c) for c in cells] for cells in rows]  # nothing spans
-    out: list[list[str]] = []
-    remainder: list[tuple[int, str, int]] = []
-    for cells in rows:
-        texts: list[str] = []
-        nxt: list[tuple[int, str, int]] = []
-        index = 0
-        for cell in cells:
-            while remainder and remainder[0][0] <= index:
-                pi, ptext, pspan = remainder.pop(0)
-                texts.append(ptext)
-                if pspan > 1:
-                    nxt.append((pi, ptext, pspan - 1))
-                index += 1
-            text = _cell_text(cell)
-            for _ in range(max(cell.colspan, 1)):
-                texts.append(text)
-                if cell.rowspan > 1:
-                    nxt.append((index, text, cell.rowspan - 1))
-                index += 1
-        for pi, ptext, pspan in remainder:
-            texts.append(ptext)
-            if pspan > 1:
-                nxt.append((pi, ptext, pspan - 1))
-        out.append(texts)
-        remainder = nxt
-    while remainder:
-        texts, nxt = [], []
-        for pi, ptext, pspan in remainder:
-            texts.append(ptext)
-            if pspan > 1:
-                nxt.append((pi, ptext, pspan - 1))
-        out.append(texts)
-        remainder = nxt
+def _fill(hanging: list, cells: list[_Cell]) -> tuple[list, list]:
+    """Slots of one row as (first column, width, text), and what hangs into the next row.
+
+    ``hanging`` cells of earlier rows keep their slots, ordered by column; the row's own
+    cells take the free slots from the left, ``colspan`` of them.
+    """
+    slots = [(col, width, text) for col, width, text, _ in hanging]
+    below = [(col, width, text, rows - 1) for col, width, text, rows in hanging if rows > 1]
+    occupied, col = iter([*slots, (None, 0, None)]), 0
+    start, width, _ = next(occupied)
+    for cell in cells:
+        text, need = _cell_text(cell), max(cell.colspan, 1)
+        while need:
+            if start is not None and start <= col:
+                col = start + width
+                start, width, _ = next(occupied)
+                continue
+            free = need if start is None else min(need, start - col)
+            slots.append((col, free, text))
+            if cell.rowspan > 1:
+                below.append((col, free, text, cell.rowspan - 1))
+            col, need = col + free, need - free
+    return sorted(slots, key=lambda x: x[0]), sorted(below, key=lambda x: x[0])
+
+
+def _runs(slots: list) -> list[tuple[int, str | None]]:
+    """(how many columns, text) from the left; columns that no cell takes are null."""
+    out, col = [], 0
+    for start, width, text in slots:
+        if start > col:
+            out.append((start - col, None))
+        out.append((width, text))
+        col = start + width
     return out
 
 
-def _dedupe(names: list[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        if n in seen:
-            k = seen[n]
-            cand = f"{n}.{k}"
-            while cand in seen:
-                k += 1
-                cand = f"{n}.{k}"
-            seen[n] = k + 1
-            seen[cand] = 1
-            out.append(cand)
-        else:
-            seen[n] = 1
-            out.append(n)
+def lay_out(rows: list[list[_Cell]]) -> list[tuple[int, list[tuple[int, str | None]]]]:
+    """Rows as (how many equal rows, runs).  Cells that reach past the last row add rows."""
+    out, hanging = [], []
+    for cells in rows:
+        slots, hanging = _fill(hanging, cells)
+        out.append((1, _runs(slots)))
+    while hanging:
+        n = min(rows for *_, rows in hanging)
+        out.append((n, _runs([(c, w, t) for c, w, t, _ in hanging])))
+        hanging = [(c, w, t, r - n) for c, w, t, r in hanging if r > n]
     return out
 
 
+def _width(runs: list[tuple[int, str | None]]) -> int:
+    return sum(n for n, _ in runs)
+
+
+def _column_names(head: list[list[tuple[int, str | None]]], width: int) -> list[str]:
+    """Names of the columns: the texts of the header rows, top down; repeated names get
+    the first free of ``.1``, ``.2`` ...; without text a column is ``Unnamed: n``."""
+    levels = [[t or "" for n, t in runs for _ in range(n)] for runs in head]
+    spoken = [row for row in levels if any(row)] or levels[:1]
+    taken: set[str] = set()
+    next_mark: dict[str, int] = {}
+    names = []
+    for j in range(width):
+        name = " ".join(row[j] for row in spoken if j < len(row) and row[j]) or f"Unnamed: {j}"
+        unique, mark = name, next_mark.get(name, 1)
+        while unique in taken:
+            unique, mark = f"{name}.{mark}", mark + 1
+        next_mark[name] = mark
+        taken.add(unique)
+        names.append(unique)
+    return names
+
+
 def build_table(t: _Table):
-    """Return ``{headers, data, shape}`` or ``None`` when the table is unreadable."""
+    """``{headers, rows}`` or ``None`` when the table is unreadable or has no columns."""
     if t.bad or not t.has_text:
         return None
-    head = [r for s, r in t.rows if s == "thead"]
-    body = [r for s, r in t.rows if s == "tbody"] + [r for s, r in t.rows if s == "root"]
-    foot = [r for s, r in t.rows if s == "tfoot"]
+    by_section = {s: [r for section, r in t.rows if section == s] for s in ("thead", "tbody", "root", "tfoot")}
+    head, body = by_section["thead"], by_section["tbody"] + by_section["root"]
     if not head:
-        while body and all(c.tag == "th" for c in body[0]):
-            head.append(body.pop(0))
-    head_txt = _expand(head)
-    body_txt = _expand(body) + _expand(foot)
-    width = max([len(r) for r in head_txt + body_txt] or [0])
+        # leading rows of header cells only; a row without cells ends nothing
+        n = 0
+        while n < len(body) and not any(c.tag == "td" for c in body[n]):
+            n += 1
+        head, body = body[:n], body[n:]
+    head_runs = [runs for n, runs in lay_out(head) for _ in range(n)]
+    rows = lay_out(body) + lay_out(by_section["tfoot"])
+    width = max([_width(runs) for runs in head_runs] + [_width(runs) for _, runs in rows], default=0)
     if width == 0:
         return None
-    if head_txt:
-        named = [r for r in head_txt if any(r)]
-        if not named:
-            named = [head_txt[0]]
-        names = []
-        for j in range(width):
-            levels = [r[j] if j < len(r) else "" for r in named]
-            label = " ".join(x for x in levels if x)
-            names.append(label if label else f"Unnamed: {j}")
-        headers = _dedupe(names)
-    else:
-        headers = [str(j) for j in range(width)]
-    data = []
-    for r in body_txt:
-        row = [None if v in NA_STRINGS else v for v in r]
-        row.extend([None] * (width - len(row)))
-        data.append(row)
-    return {"headers": headers, "data": data, "shape": {"rows": len(data), "cols": width}}
-
-
-# ---------------------------------------------------------------------------
-# Strict fast tokenizer
-# ---------------------------------------------------------------------------
-# Handles only well-formed constructs whose stdlib tokenizer result is fixed
-# (plain start / end tags with simple attributes, text, comments, doctype,
-# terminated entity and character references, script / style bodies) and
-# reports the same events to the same handlers.  Anything else returns False
-# and the whole document is read again by the stdlib tokenizer.
-_SP = r"[ \t\n\r\f]"
-_START = re.compile(
-    r"<([a-zA-Z][a-zA-Z0-9]*)((?:" + _SP + r"+[a-zA-Z_:][-a-zA-Z0-9_:.]*(?:" + _SP + r"*=" + _SP
-    + r"""*(?:"[^"]*"|'[^']*'|[^ \t\n\r\f"'=<>`/]+))?)*)""" + _SP + r"*(/?)>")
-_ATTR = re.compile(
-    _SP + r"+([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:" + _SP + r"*=" + _SP
-    + r"""*("[^"]*"|'[^']*'|[^ \t\n\r\f"'=<>`/]+))?""")
-_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)" + _SP + r"*>")
-_TEXT = re.compile(r"[^<&]+")
-_ENTITY = re.compile(r"&([a-zA-Z][-.a-zA-Z0-9]*)(;?)")
-_CHARREF = re.compile(r"&#([0-9]+|[xX][0-9a-fA-F]+);")
-_COMMENT_CLOSE = re.compile(r"--\s*>")
-_RAW_ELEMENTS = ("script", "style")
-_RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in _RAW_ELEMENTS}
-
-
-def _attrs(text: str):
-    out = []
-    for m in _ATTR.finditer(text):
-        name, value = m.group(1), m.group(2)
-        if value is not None:
-            if value[:1] in ("'", '"'):
-                value = value[1:-1]
-            if value:
-                value = _unescape(value)
-        out.append((name.lower(), value))
-    return out
-
-
-def fast_feed(reader: "PageReader", doc: str) -> bool:
-    """Feed ``doc`` through the strict tokenizer; False when it must fall back."""
-    i, n = 0, len(doc)
-    text_m, start_m, end_m = _TEXT.match, _START.match, _END.match
-    while i < n:
-        c = doc[i]
-        if c == "<":
-            if doc.startswith("</", i):
-                m = end_m(doc, i)
-                if m:
-                    reader.handle_endtag(m.group(1).lower())
-                    i = m.end()
-                    continue
-                return False
-            m = start_m(doc, i)
-            if m:
-                name, attr_text, self_closing = m.groups()
-                tag = name.lower()
-                attrs = _attrs(attr_text) if attr_text else []
-                i = m.end()
-                if self_closing:
-                    reader.handle_startendtag(tag, attrs)
-                    continue
-                reader.handle_starttag(tag, attrs)
-                if tag in _RAW_ELEMENTS:
-                    r = _RAW_END[tag].search(doc, i)
-                    if r is None:
-                        return False
-                    if r.start() > i:
-                        reader.handle_data(doc[i:r.start()])
-                    reader.handle_endtag(tag)
-                    i = r.end()
-                continue
-            if doc.startswith("<!--", i):
-                r = _COMMENT_CLOSE.search(doc, i + 4)
-                if r is None:
-                    return False
-                reader.handle_comment(doc[i + 4:r.start()])
-                i = r.end()
-                continue
-            if doc[i:i + 9].lower() == "<!doctype":
-                gt = doc.find(">", i + 9)
-                if gt < 0:
-                    return False
-                reader.handle_decl(doc[i + 2:gt])
-                i = gt + 1
-                continue
-            return False
-        if c == "&":
-            m = _ENTITY.match(doc, i)
-            if m:
-                if not m.group(2) and m.end() >= n:
-                    return False
-                reader.handle_entityref(m.group(1))
-                i = m.end()
-                continue
-            m = _CHARREF.match(doc, i)
-            if m:
-                reader.handle_charref(m.group(1))
-                i = m.end()
-                continue
-            if i + 1 < n and doc[i + 1] != "#":
-                reader.handle_data("&")
-                i += 1
-                continue
-            return False
-        m = text_m(doc, i)
-        reader.handle_data(m.group())
-        i = m.end()
-    return True
+    headers = _column_names(head_runs, width) if head_runs else [str(j) for j in range(width)]
+    padded = [(n, [*runs, (width - _width(runs), None)]) for n, runs in rows]
+    return {"headers": headers, "rows": [{"n": n, "cells": [{"n": k, "text": x} for k, x in runs if k]} for n, runs in padded]}
 
 
 # ---------------------------------------------------------------------------
 # Public per-document entry point
 # ---------------------------------------------------------------------------
 
-def read_page(html: str | None, want_text=True, want_tables=True, want_code=True, fast=True) -> dict:
+def read_page(html: str | None, want_text=True, want_tables=True, want_code=True) -> dict:
     """Parse one document once.  Returns a dict with the requested parts and
     an ``errors`` dict (part -> message) for parts that could not be made."""
     out: dict = {"errors": {}}
@@ -570,9 +461,7 @@ def read_page(html: str | None, want_text=True, want_tables=True, want_code=True
         return out
     reader = PageReader(want_text, want_tables, want_code)
     try:
-        if not (fast and fast_feed(reader, html)):
-            reader = PageReader(want_text, want_tables, want_code)
-            reader.feed(html)
+        reader.feed(html)
         reader.finish()
     except Exception as exc:  # tokenizer failure: every requested part falls back
         msg = f"{type(exc).__name__}: {exc}"
@@ -583,11 +472,15 @@ def read_page(html: str | None, want_text=True, want_tables=True, want_code=True
                 out["errors"][part] = msg
         return out
     if want_text:
-        out["text"] = normalize_ws(TAG_PATTERN.sub("", " ".join(reader.texts)))
+        out["text"] = normalize_ws(remove_tags(" ".join(reader.texts)))
     if want_tables:
         tables = []
         for t in sorted(reader.done_tables, key=lambda x: x.slot):
-            built = build_table(t)
+            try:
+                built = build_table(t)
+            except Exception as exc:  # one bad table is skipped, the page stays
+                out["errors"]["tables"] = f"{type(exc).__name__}: {exc}"
+                continue
             if built is not None:
                 tables.append(built)
         out["tables"] = tables

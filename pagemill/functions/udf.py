@@ -21,7 +21,7 @@ from pagemill.functions import html as H
 # registry: part name -> (output field, Spark type, default when not wanted)
 PARTS = {
     "text": ("content", T.StringType()),
-    "tables": ("tables", T.ArrayType(schemas.TABLE)),
+    "tables": ("tables", T.ArrayType(schemas.TABLE_RUNS)),
     "code": ("code_blocks", T.ArrayType(schemas.CODE_BLOCK)),
 }
 ALL_PARTS = ("text", "tables", "code")
@@ -54,6 +54,28 @@ def _udf(parts: tuple[str, ...]):
     return F.arrow_udf(parse_batch, rtype)
 
 
+# Cell strings read as missing values.
+NA_STRINGS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
+    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+    "nan", "null",
+)
+
+
+def table_grids(tables: Column) -> Column:
+    """Parsed tables (``TABLE_RUNS``) as ``TABLE``: runs of columns and rows expanded, missing values null."""
+    def row(cells: Column) -> Column:
+        return F.flatten(F.transform(cells, lambda c: F.array_repeat(F.when(~c["text"].isin(*NA_STRINGS), c["text"]), c["n"])))
+
+    def grid(t: Column) -> Column:
+        data = F.flatten(F.transform(t["rows"], lambda r: F.array_repeat(row(r["cells"]), r["n"])))
+        n = F.aggregate(t["rows"], F.lit(0), lambda acc, r: acc + r["n"])
+        return F.struct(t["headers"].alias("headers"), data.alias("data"),
+                        F.struct(n.alias("rows"), F.size(t["headers"]).alias("cols")).alias("shape"))
+
+    return F.transform(tables, grid)
+
+
 def parse_html(col, parts=ALL_PARTS) -> Column:
     """Struct column ``{content?, tables?, code_blocks?, errors}`` of one parse."""
     parts = tuple(p for p in ALL_PARTS if p in set(parts))

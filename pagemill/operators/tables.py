@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: how a number may be written, besides commas between its digits.
+NUMBER_PATTERN = r"^[\x20\t]*[-+]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?|[iI]nf(inity)?)[\x20\t]*$"
+
+
 def _numeric(v):
-    """A cell reads as a number: digits with optional ``,`` thousands marks."""
-    return F.replace(v, F.lit(","), F.lit("")).try_cast("double")
+    """A cell as a number, or null: digits with optional ``,`` thousands marks, point and
+    exponent, or infinity.  Letters that a cast would accept behind digits (``1d``, ``3f``)
+    are no number."""
+    plain = F.replace(v, F.lit(","), F.lit(""))
+    value = F.when(F.lower(plain).contains("inf"), F.concat(F.regexp_extract(plain, "^[\\x20\t]*([-+]?)", 1), F.lit("Infinity"))).otherwise(plain)
+    return F.when(plain.rlike(NUMBER_PATTERN), value.try_cast("double"))
 
 
 def _tables(processed: DataFrame, key: str) -> DataFrame:

@@ -58,6 +58,11 @@ TABLE = _struct(
     ("data", T.ArrayType(T.ArrayType(S))),
     ("shape", _struct(("rows", I), ("cols", I))),
 )
+# A table as parsed: equal neighbours of a spanning cell, and rows that only spans reach, are runs.
+TABLE_RUNS = _struct(
+    ("headers", T.ArrayType(S)),
+    ("rows", T.ArrayType(_struct(("n", I), ("cells", T.ArrayType(_struct(("n", I), ("text", S))))))),
+)
 CODE_BLOCK = _struct(("language", S), ("content", S))
 ATTACHMENT = _struct(("id", S), ("filename", S), ("size", L), ("media_type", S))
 COMMENT = _struct(("id", S), ("author", S), ("created", S), ("content", S))
