@@ -5,12 +5,12 @@ distinct request seconds in ``(s - window, s]`` (several requests in one second
 count once; the current one counts; rejected ones count too); the request is
 flagged when that count exceeds ``limit``.
 
-Plan: a window function, but never partitioned by the key alone.  Seconds are
-cut into chunks of ``chunk_windows * window`` seconds; the window runs per
-``(key, chunk)`` and every chunk also receives, as read-only context rows, the
-previous chunk's last ``window - 1`` seconds.  A hot key is thereby spread over
-as many tasks as it has chunks, results stay exact, and at most
-``1 / chunk_windows`` of the rows are copied.
+Plan: linear in the number of distinct (key, second) pairs, whatever the window.
+A second adds one to the count at ``s`` and takes it away at ``s + window``, so the
+count at any time is a running sum of these steps.  Steps are summed per (key,
+chunk of time), and what a chunk starts with is a running sum over the chunks'
+totals.  A hot key is spread over as many tasks as it has chunks; its events, which
+may be many per second, are joined back on (key, second), where AQE splits them.
 """
 
 from __future__ import annotations
@@ -30,32 +30,40 @@ def rate_key(func: str | Column, key: Column | None = None) -> Column:
     return F.concat_ws(":", *parts)
 
 
+#: Seconds of time that one task sums for a key: at most twice as many steps.
+CHUNK_SECONDS = 65_536
+
+
+def window_counts(seconds: DataFrame, window_seconds: int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """(rate_key, sec, n_in_window) of distinct (rate_key, sec) rows."""
+    key = F.struct("rate_key").alias("_k")  # a struct equals itself also where the key is null
+    steps = seconds.select(key, F.explode(F.array(
+        F.struct(F.col("sec").alias("t"), F.lit(1).alias("d")),
+        F.struct((F.col("sec") + window_seconds).alias("t"), F.lit(-1).alias("d")))).alias("s"))
+    steps = steps.groupBy("_k", F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d"), F.max("s.d").alias("_real"))
+    steps = steps.withColumn("_chunk", F.floor(F.col("t") / chunk_seconds))
+    before = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (steps.groupBy("_k", "_chunk").agg(F.sum("d").alias("_total"))
+              .select("_k", "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")))
+    inside = Window.partitionBy("_k", "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = steps.withColumn("_here", F.sum("d").over(inside)).join(starts, ["_k", "_chunk"])
+    return counted.where("_real = 1").select("_k.rate_key", F.col("t").alias("sec"), (F.col("_start") + F.col("_here")).alias("n_in_window"))
+
+
 def flag_rate(events: DataFrame, key: str | Column, ts: str | Column, limit: int, window_seconds: int,
-              chunk_windows: int = 4) -> DataFrame:
+              chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Add ``rate_key``, ``sec``, ``n_in_window`` and ``flagged`` to every event.
 
     ``ts`` is a timestamp column (NTZ is read as UTC); the request second is
-    its whole epoch second.
+    its whole epoch second.  Events without a time stay, without count and flag.
     """
     if window_seconds < 1:
         raise ValueError("window_seconds must be positive")
     key_c = F.col(key) if isinstance(key, str) else key
     ts_c = F.col(ts) if isinstance(ts, str) else ts
-    span = int(window_seconds) * int(chunk_windows)
     base = events.select("*", key_c.alias("rate_key"), epoch_second(ts_c).alias("sec"))
-    chunk = F.floor(F.col("sec") / F.lit(span))
-    # One scan: every row belongs to its chunk; rows within window-1 seconds of
-    # the next chunk's start are also copied there as read-only context.
-    own = F.struct(chunk.alias("c"), F.lit(False).alias("x"))
-    ctx = F.struct((chunk + 1).alias("c"), F.lit(True).alias("x"))
-    near_end = F.col("sec") > (chunk + 1) * span - window_seconds
-    copies = F.when(near_end, F.array(own, ctx)).otherwise(F.array(own))
-    rows = (base.withColumn("_copy", F.explode(copies))
-            .withColumn("_chunk", F.col("_copy.c")).withColumn("_ctx", F.col("_copy.x")).drop("_copy"))
-    order = Window.partitionBy("rate_key", "_chunk").orderBy("sec")
-    rows = rows.withColumn("_new_sec", F.when(F.lag("sec").over(order) == F.col("sec"), 0).otherwise(1))
-    frame = order.rangeBetween(-(window_seconds - 1), 0)
-    rows = rows.withColumn("n_in_window", F.sum("_new_sec").over(frame).cast("long"))
-    return (rows.filter(~F.col("_ctx"))
-            .withColumn("flagged", F.col("n_in_window") > F.lit(limit))
-            .drop("_chunk", "_ctx", "_new_sec"))
+    counts = window_counts(base.select("rate_key", "sec").distinct(), window_seconds, chunk_seconds)
+    counts = counts.select(F.col("rate_key").alias("_key"), F.col("sec").alias("_sec"), "n_in_window")
+    same = base["rate_key"].eqNullSafe(counts["_key"]) & base["sec"].eqNullSafe(counts["_sec"])
+    return (base.join(counts, same, "left").drop("_key", "_sec")
+            .withColumn("flagged", F.col("n_in_window") > F.lit(limit)))

@@ -25,11 +25,26 @@ def page_stream(spark: SparkSession, src: str, fmt: str = "json", raw: bool = Tr
 
 
 def processed_stream(pages: DataFrame, base_url: str, raw: bool = True, parts=("text", "tables", "code")) -> DataFrame:
-    """Flatten (when raw) and process each micro-batch; no state is kept."""
-    flat = A.flatten_pages(pages, base_url, "space") if raw else pages
+    """Flatten (when raw) and process each micro-batch; no state is kept.  Raw records
+    without a required field are left to ``dead_letter_stream``."""
+    flat = A.flatten_pages(A.split_raw_pages(pages)[0], base_url, "space") if raw else pages
     return P.process_pages(flat.select("id", "title", "content", "url", "version", "last_modified"), parts=parts)
 
 
+def dead_letter_stream(raw: DataFrame) -> DataFrame:
+    """P10: raw records of the stream that miss a required field, as dead letters."""
+    return A.split_raw_pages(raw)[1]
+
+
+def start_dead_letters(spark: SparkSession, src: str, out: str, checkpoint: str, fmt: str = "json",
+                       available_now: bool = True) -> StreamingQuery:
+    """Run T1's dead letters: broken records under ``src`` -> JSON lines under ``out``."""
+    q = (dead_letter_stream(page_stream(spark, src, fmt))
+         .writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
+    return q.start()
+
+
 def start_processing(spark: SparkSession, src: str, out: str, checkpoint: str, base_url: str,
                      fmt: str = "json", available_now: bool = True) -> StreamingQuery:
     """Run T1: ``src`` landed pages -> processed JSON lines under ``out``."""

@@ -2,19 +2,20 @@
 
 State per key is the sorted list of distinct request seconds inside the
 window (at most ``window_seconds`` entries) - the same set the source tool
-kept per key in its store, with the same expiry.  Within a micro-batch a
-key's events are processed in (second, event id) order; across batches input
-must arrive in time order for the result to equal the batch operator W1
-(a late event cannot change flags already emitted).
-
-Memory per call is one key's rows of one micro-batch (they are ordered before
-use), bounded by the trigger size (``maxFilesPerTrigger`` /
-``maxOffsetsPerTrigger``) and the state, bounded by the window.
+kept per key in its store, with the same expiry.
+
+A key's events of a micro-batch are merged with the state as sorted arrays and
+counted with two binary searches each, all at once.  A micro-batch is bounded by
+``maxFilesPerTrigger``, which the runner always sets.
+
+Events behind the watermark can't be counted against a window that the state
+has left already.  They are not lost: ``write_late_events`` lists the landed events
+without a flag in a folder of their own.  Across batches input in time order gives
+the result of the batch operator W1.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,67 +26,81 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions.text import epoch_second
 
-OUTPUT_SCHEMA = "rate_key string, event_id long, sec long, n_in_window long, flagged boolean"
-STATE_SCHEMA = "secs array<long>"
+OUTPUT_SCHEMA = "rate_key string, sec long, event_id long, n_in_window long, flagged boolean"
+STATE_SCHEMA = "secs array<long>, last long"
+#: Event files that one micro-batch reads.
+MAX_FILES = 100
 
 
 def _flagger(limit: int, window_seconds: int):
+    """Flags a key's events of one micro-batch against the seconds kept so far."""
+    def counted(window: np.ndarray, secs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(window, secs, "right") - np.searchsorted(window, secs - window_seconds, "right")
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        secs = list(state.get[0]) if state.exists else []
-        frames = list(batches)
-        if not frames:
+        window = np.array(state.get[0], dtype=np.int64) if state.exists else np.zeros(0, np.int64)
+        rows = [b[["sec", "event_id"]] for b in batches]
+        if not rows:
             return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["sec", "event_id"], kind="stable")
-        pdf = pdf[["event_id", "sec"]]
-        out_n = np.empty(len(pdf), dtype=np.int64)
-        window = sorted(set(secs))  # distinct seconds seen, ascending
-        for i, s in enumerate(pdf["sec"].to_numpy()):
-            s = int(s)
-            j = bisect.bisect_left(window, s)
-            if j == len(window) or window[j] != s:
-                window.insert(j, s)
-            out_n[i] = bisect.bisect_right(window, s) - bisect.bisect_right(window, s - window_seconds)
-        # keep only seconds that can still fall inside a later window
-        window = window[bisect.bisect_right(window, window[-1] - window_seconds):]
-        state.update((window,))
+        events = pd.concat(rows).sort_values(["sec", "event_id"], kind="stable")
+        secs = events["sec"].to_numpy(np.int64)
+        window = np.union1d(window, secs)
+        n = counted(window, secs)
+        window = window[window > window[-1] - window_seconds]
+        state.update((window.tolist(), int(window[-1])))
         # expire the key once event time passes its last second + window
-        state.setTimeoutTimestamp((window[-1] + window_seconds) * 1000)
-        yield pd.DataFrame({
-            "rate_key": str(key[0]),
-            "event_id": pdf["event_id"].to_numpy(dtype=np.int64),
-            "sec": pdf["sec"].to_numpy(dtype=np.int64),
-            "n_in_window": out_n,
-            "flagged": out_n > limit,
-        })
+        state.setTimeoutTimestamp(max((int(window[-1]) + window_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"rate_key": str(key[0]), "sec": secs, "event_id": events["event_id"].to_numpy(np.int64),
+                            "n_in_window": n, "flagged": n > limit})
     return step
 
 
+def _timed(events: DataFrame, key, ts: str) -> DataFrame:
+    k = F.col(key) if isinstance(key, str) else key
+    times = F.col(ts).cast("timestamp")
+    return events.select(k.cast("string").alias("rate_key"), F.col("event_id").cast("long").alias("event_id"),
+                         epoch_second(times).alias("sec"), times.alias("_ets"))
+
+
 def flag_rate_stream(events: DataFrame, key, ts: str, limit: int, window_seconds: int,
                      watermark: str = "1 hour") -> DataFrame:
-    """T3 over a streaming frame with ``event_id``: emits every event once
-    with ``rate_key, event_id, sec, n_in_window, flagged`` (append mode).
+    """T3 over a streaming frame with ``event_id``: emits every event that isn't behind the
+    watermark once with ``rate_key, sec, event_id, n_in_window, flagged`` (append mode).
 
     State expires on event time (watermark past last second + window), so no
     extra micro-batches are needed to evict idle keys."""
-    k = F.col(key) if isinstance(key, str) else key
-    src = (events.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", watermark)
-           .select(k.cast("string").alias("rate_key"), F.col("event_id").cast("long").alias("event_id"),
-                   epoch_second(F.col("_ets")).alias("sec"), "_ets"))
+    src = _timed(events, key, ts).withWatermark("_ets", watermark)
     return src.groupBy("rate_key").applyInPandasWithState(
         _flagger(limit, window_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
+def late_events(batch: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Events of a micro-batch that got no flag: they came behind the watermark."""
+    return batch.join(flagged.select("event_id").distinct(), "event_id", "left_anti")
+
+
 def start_rate_flags(spark, src: str, schema, out: str, checkpoint: str, key: str, ts: str, limit: int,
                      window_seconds: int, watermark: str = "1 hour", fmt: str = "parquet",
-                     available_now: bool = True):
-    """Run T3: landed event files -> every event with its flag, appended under ``out``."""
-    stream = spark.readStream.schema(schema).format(fmt).load(src)
+                     available_now: bool = True, max_files: int = MAX_FILES):
+    """Run T3: landed event files -> every event with its flag, appended under ``out``.
+
+    A micro-batch reads up to ``max_files`` files.  Events behind the watermark have no
+    flag; ``write_late_events`` lists them from the landed files and the output."""
+    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(src)
     q = (flag_rate_stream(stream, key, ts, limit, window_seconds, watermark)
          .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .outputMode("append"))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
     return q.start()
+
+
+def write_late_events(spark, src: str, schema, out: str, late: str, fmt: str = "parquet") -> DataFrame:
+    """Write the landed events that the stream left without a flag under ``late`` and return them."""
+    landed = spark.read.schema(schema).format(fmt).load(src)
+    rows = late_events(landed, spark.read.schema(OUTPUT_SCHEMA).parquet(out))
+    rows.write.mode("overwrite").parquet(late)
+    return spark.read.schema(rows.schema).parquet(late)

@@ -1,6 +1,7 @@
 """Stream results equal batch results."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,31 @@ def test_t1_stream_equals_batch(spark, tmp_out):
     assert got.exceptAll(want).count() == 0
 
 
+def test_t1_broken_records_are_dead_letters(spark, tmp_out):
+    src, out, dead, ck = (os.path.join(tmp_out, d) for d in ("src", "out", "dead", "ck"))
+    D.wiki_pages_raw_broken(spark, SF_SMALL).repartition(2).write.json(src)
+    SP.start_processing(spark, src, out, ck + "1", "http://w").awaitTermination(600)
+    SP.start_dead_letters(spark, src, dead, ck + "2").awaitTermination(600)
+    ok, bad = A.split_raw_pages(A.read_raw_pages(spark, src))
+    assert spark.read.json(out).count() == ok.count() and spark.read.json(dead).exceptAll(bad.select("error_type", "id", "message")).count() == 0
+    assert spark.read.json(dead).count() == bad.count() > 0
+
+
+def test_t3_late_events_are_listed(spark, tmp_out):
+    src = os.path.join(tmp_out, "ev")
+    rows = [[(1, 1, "2024-01-02 00:00:00"), (2, 1, "2024-01-02 10:00:00")], [(3, 1, "2024-01-03 00:00:00")],
+            [(4, 1, "2024-01-01 00:00:00"), (5, 1, "2024-01-03 00:30:00")]]
+    for part in rows:
+        df = spark.createDataFrame(part, "event_id long, user_id long, t string")
+        df.select("event_id", "user_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are read by modification time
+    schema, out = spark.read.parquet(src).schema, os.path.join(tmp_out, "flags")
+    SR.start_rate_flags(spark, src, schema, out, os.path.join(tmp_out, "ck"), "user_id", "ts", 1, 3600, max_files=1).awaitTermination(600)
+    flagged = {r.event_id for r in spark.read.parquet(out).collect()}
+    late = {r.event_id for r in SR.write_late_events(spark, src, schema, out, os.path.join(tmp_out, "late")).collect()}
+    assert flagged | late == {1, 2, 3, 4, 5} and flagged & late == set() and late <= {4}
+
+
 def test_t2_windowed_counts_equal_batch(spark, tmp_out):
     src = os.path.join(tmp_out, "ev")
     ev = D.requests(spark, SF_SMALL)
