@@ -35,6 +35,7 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": str(cpus * 2),
         "spark.driver.memory": "16g",
+        "spark.pagemill.parsePartitions": str(cpus),  # the tables are single files
     })
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -10,6 +10,9 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import DataFrame
+
+from pagemill import schemas
 from pagemill.plans import jobs
 from pagemill.session import get_session
 from pagemill.sources import landed as A
@@ -19,8 +22,16 @@ def _fmt(path: str) -> str:
     return "json" if path.endswith((".json", ".jsonl")) else "parquet"
 
 
-def _read(spark, path):
-    return spark.read.format(_fmt(path)).load(path)
+def _read(spark, path, schema):
+    """A landed table with its declared schema; nothing is inferred."""
+    return spark.read.schema(schema).format(_fmt(path)).load(path)
+
+
+def _children(spark, args):
+    """(attachment rows, comment rows) of the landed child tables that the command names."""
+    att, cmt = getattr(args, "attachments", None), getattr(args, "comments", None)
+    return (A.attachments(_read(spark, att, schemas.RAW_ATTACHMENTS), args.base_url) if att else None,
+            A.comments(_read(spark, cmt, schemas.RAW_COMMENTS)) if cmt else None)
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -45,12 +56,17 @@ def build_parser() -> argparse.ArgumentParser:
     s = sub.add_parser("extract-project", help="a project's issues -> raw CSV, processed JSONL, summary")
     s.add_argument("project_key")
     s.add_argument("--issues", required=True)
-    s.add_argument("--max-results", type=int, default=1000)
+    s.add_argument("--max-results", type=int, help="only the first so many issues (default: all)")
     s.add_argument("--output-dir", default="output")
     s.add_argument("--format", default="all")
-    s = sub.add_parser("extract-issue", help="one issue")
+    s = sub.add_parser("extract-issue", help="one issue with its children")
     s.add_argument("issue_key")
     s.add_argument("--issues", required=True)
+    s.add_argument("--base-url", default="")
+    s.add_argument("--comments", help="landed comment records, keyed by issue")
+    s.add_argument("--attachments", help="landed attachment records, keyed by issue")
+    s.add_argument("--no-comments", action="store_true")
+    s.add_argument("--no-attachments", action="store_true")
     s.add_argument("--output-dir", default="output")
     s.add_argument("--format", default="all")
     s = sub.add_parser("analyze-sprint", help="a sprint's issues, summary and metrics")
@@ -58,6 +74,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("sprint_name")
     s.add_argument("--issues", required=True)
     s.add_argument("--sprints", help="sprint table; derived from the issues when absent")
+    s.add_argument("--comments", help="landed comment records, keyed by issue")
     s.add_argument("--output-dir", default="output")
     s = sub.add_parser("batch-process", help="route and check a work list")
     s.add_argument("input_file")
@@ -66,6 +83,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--output-dir", default="output")
     s = sub.add_parser("batch-summary", help="inventory of an output tree")
     s.add_argument("output_dir")
+    s.add_argument("--report-dir", help="folder for the file types and the error contents (default: printed)")
     s = sub.add_parser("stream-pages", help="T1: process raw pages as they land (JSON lines)")
     s.add_argument("source")
     s.add_argument("output")
@@ -80,6 +98,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--ts", required=True)
     s.add_argument("--limit", type=int, required=True)
     s.add_argument("--window-seconds", type=int, required=True)
+    s.add_argument("--max-files", type=int, default=100, help="event files per micro-batch")
     s.add_argument("--continuous", action="store_true")
     return p
 
@@ -93,27 +112,27 @@ def main(argv=None) -> int:
         out = jobs.extract_space(spark, raw, args.space_key, args.output_dir, args.base_url, args.format)
     elif c == "extract-page":
         raw = A.read_raw_pages(spark, args.pages, _fmt(args.pages))
-        att = A.attachments(_read(spark, args.attachments), args.base_url) if args.attachments else None
-        cmt = A.comments(_read(spark, args.comments)) if args.comments else None
+        att, cmt = _children(spark, args)
         jobs.extract_page(spark, raw, args.page_id, args.output_dir, args.base_url, att, cmt,
                           not args.no_attachments, not args.no_comments, args.format)
         out = {"page": args.page_id}
     elif c == "extract-project":
-        jobs.extract_project(spark, _read(spark, args.issues), args.project_key, args.output_dir,
+        jobs.extract_project(spark, _read(spark, args.issues, schemas.ISSUE), args.project_key, args.output_dir,
                              args.max_results, args.format)
         out = {"project": args.project_key}
     elif c == "extract-issue":
-        jobs.extract_issue(spark, _read(spark, args.issues), args.issue_key, args.output_dir,
-                           output_format=args.format)
+        att, cmt = _children(spark, args)
+        jobs.extract_issue(spark, _read(spark, args.issues, schemas.ISSUE), args.issue_key, args.output_dir, cmt, att,
+                           not args.no_comments, not args.no_attachments, args.format)
         out = {"issue": args.issue_key}
     elif c == "analyze-sprint":
         from pagemill.operators import issues as I
-        issues = _read(spark, args.issues)
-        sprints = _read(spark, args.sprints) if args.sprints else I.sprints(issues)
-        out = jobs.analyze_sprint(spark, issues, sprints, args.project_key, args.sprint_name, args.output_dir)
+        issues = _read(spark, args.issues, schemas.ISSUE)
+        sprints = _read(spark, args.sprints, schemas.SPRINT) if args.sprints else I.sprints(issues)
+        out = jobs.analyze_sprint(spark, issues, sprints, args.project_key, args.sprint_name, args.output_dir, _children(spark, args)[1])
     elif c == "batch-process":
-        issues = _read(spark, args.issues) if args.issues else None
-        out = jobs.batch_process(spark, args.input_file, args.output_dir, _read(spark, args.pages), issues)
+        issues = _read(spark, args.issues, schemas.ISSUE) if args.issues else None
+        out = jobs.batch_process(spark, args.input_file, args.output_dir, _read(spark, args.pages, schemas.PAGE), issues)
     elif c == "stream-pages":
         from pagemill.streaming import pages as SP
         q = SP.start_processing(spark, args.source, args.output, args.checkpoint, args.base_url,
@@ -124,12 +143,15 @@ def main(argv=None) -> int:
         from pagemill.streaming import rate as SR
         schema = spark.read.parquet(args.source).schema  # from the landed files' footers
         q = SR.start_rate_flags(spark, args.source, schema, args.output, args.checkpoint, args.key, args.ts,
-                                args.limit, args.window_seconds, available_now=not args.continuous)
+                                args.limit, args.window_seconds, available_now=not args.continuous, max_files=args.max_files)
         q.awaitTermination()
         out = {"stream": "rate-flags", "output": args.output}
     else:
-        out = jobs.batch_summary(spark, args.output_dir)
-        out["processing_errors"] = out.get("processing_errors") is not None
+        out = jobs.batch_summary(spark, args.output_dir, args.report_dir)
+        for name in ("file_types", "processing_errors"):
+            if isinstance(out[name], DataFrame):  # row by row, so the driver holds one partition at most
+                for row in out.pop(name).toLocalIterator(prefetchPartitions=False):
+                    print(json.dumps({name: row.asDict()}, default=str))
     print(json.dumps(out, default=str))
     return 0
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.session import deal_by
 
 # Case-sensitive item prefixes and the kind each one routes to.
 PREFIXES = (("SPACE_", "space"), ("CONF_", "page"), ("JIRA_", "issue"), ("PROJECT_", "project"))
@@ -34,8 +35,7 @@ def route_items(items: DataFrame, col: str = "item") -> DataFrame:
 
 def known_keys(pages: DataFrame | None = None, issues: DataFrame | None = None,
                page_key: str = "id", issue_key: str = "key") -> DataFrame:
-    """Distinct (kind, ref) of the items that exist (lazy: ``batch_outcome``
-    prunes it to the requested refs before the distinct runs)."""
+    """Distinct (kind, ref) of the items that exist."""
     parts = []
     if pages is not None:
         parts.append(pages.select(F.lit("page").alias("kind"), F.col(page_key).cast("string").alias("ref")))
@@ -47,36 +47,23 @@ def known_keys(pages: DataFrame | None = None, issues: DataFrame | None = None,
     return out.distinct()
 
 
-BROADCAST_REFS_LIMIT = 1_000_000
-
-
-def batch_outcome(routed: DataFrame, known: DataFrame, col: str = "item",
-                  broadcast_limit: int = BROADCAST_REFS_LIMIT) -> DataFrame:
+def batch_outcome(routed: DataFrame, known: DataFrame, col: str = "item") -> DataFrame:
     """J-4 / U2: ``status`` successful / failed / skipped and ``error`` per item.
 
     Lookup items (page, issue) succeed when their key exists; space and project
     items succeed even with no rows; unknown items are skipped (they appear in
     neither the successful nor the failed list).
 
-    ``known`` (every page id and issue key) is the large side.  The distinct
-    refs the work list asks for are counted first; when there are at most
-    ``broadcast_limit`` of them they are broadcast to prune ``known`` with a
-    semi join before anything of it is shuffled.  Beyond the limit the plain
-    shuffle join runs.
+    One left join on (kind, ref): items that need no lookup have a null key there and
+    find nothing.  Whether a side is broadcast is up to the optimizer's measurements.
     """
-    lookups = routed.filter(F.col("kind").isin(*LOOKUP_KINDS))
-    others = routed.filter(~F.col("kind").isin(*LOOKUP_KINDS))
-    refs = lookups.select("kind", "ref").distinct()
-    if refs.count() <= broadcast_limit:
-        known = known.join(F.broadcast(refs), ["kind", "ref"], "left_semi")
-    hit = known.select("kind", "ref", F.lit(True).alias("_hit"))
-    checked = lookups.join(hit, ["kind", "ref"], "left")
-    checked = checked.withColumn(
-        "status", F.when(F.col("_hit"), F.lit("successful")).otherwise(F.lit("failed"))).drop("_hit")
-    others = others.withColumn(
-        "status", F.when(F.col("kind") == "unknown", F.lit("skipped")).otherwise(F.lit("successful")))
-    out = checked.unionByName(others)
-    return out.withColumn(
+    lookup = F.col("kind").isin(*LOOKUP_KINDS)
+    keyed = routed.withColumn("_kind", F.when(lookup, F.col("kind")))
+    hit = known.select(F.col("kind").alias("_kind"), F.col("ref").alias("_ref"), F.lit(True).alias("_hit"))
+    checked = keyed.join(hit, (keyed["_kind"] == hit["_kind"]) & (keyed["ref"] == hit["_ref"]), "left").drop("_kind", "_ref")
+    status = (F.when(lookup & F.col("_hit").isNull(), F.lit("failed"))
+              .when(F.col("kind") == "unknown", F.lit("skipped")).otherwise(F.lit("successful")))
+    return checked.withColumn("status", status).drop("_hit").withColumn(
         "error", F.when(F.col("status") == "failed", F.concat(F.lit("not found: "), F.col(col))))
 
 
@@ -115,13 +102,13 @@ def error_files(entries: DataFrame) -> DataFrame:
 
 
 def _read_text_files(batches):
-    """mapInPandas body: read each listed file as UTF-8 text (unreadable
-    files are skipped, as the source tool only warns about them)."""
+    """mapInPandas body: read each listed file as UTF-8 text, one row at a time
+    (unreadable files are skipped, as the source tool only warns about them)."""
     import pandas as pd
+    import pyarrow as pa
     from pyarrow import fs as pafs
 
     for pdf in batches:
-        files, texts = [], []
         for path in pdf["path"]:
             uri = path
             if uri.startswith("file:") and not uri.startswith("file://"):
@@ -130,11 +117,10 @@ def _read_text_files(batches):
             try:
                 filesystem, inner = pafs.FileSystem.from_uri(uri)
                 with filesystem.open_input_stream(inner) as f:
-                    texts.append(f.read().decode("utf-8"))
-                files.append(path)
-            except Exception:
+                    text = f.read().decode("utf-8")
+            except (OSError, UnicodeDecodeError, pa.ArrowInvalid):
                 continue
-        yield pd.DataFrame({"file": files, "error": texts}, columns=["file", "error"])
+            yield pd.DataFrame({"file": [path], "error": [text]})
 
 
 def error_contents(spark: SparkSession, entries: DataFrame) -> DataFrame:
@@ -144,5 +130,5 @@ def error_contents(spark: SparkSession, entries: DataFrame) -> DataFrame:
     would skip names starting with ``_`` or ``.``), so bytes of the other
     outputs are never loaded and nothing passes through the driver.
     """
-    paths = error_files(entries).select("path")
+    paths = deal_by(error_files(entries).select("path"), "path")
     return paths.mapInPandas(_read_text_files, "file string, error string")

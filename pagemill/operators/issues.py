@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import iso_format
 from pagemill.functions.udf import clean_text
+from pagemill.operators.pages import nest
 
-DEFAULT_MAX_RESULTS = 1000
 DONE_STATUS = "Done"
+COMMENT_ARRAY = "array<struct<id:string,author:string,created:string,content:string>>"
+ATTACHMENT_ARRAY = "array<struct<id:string,filename:string,size:bigint,media_type:string>>"
+CHANGE_ARRAY = "array<struct<author:string,created:string,field:string,from:string,to:string>>"
+LINK_ARRAY = "array<struct<type:string,key:string>>"
 SUMMARY_DIMENSIONS = ("type", "status", "priority", "assignee")
 
 
-def project_issues(issues: DataFrame, project_key: str, max_results: int | None = DEFAULT_MAX_RESULTS,
+def project_issues(issues: DataFrame, project_key: str, max_results: int | None = None,
                    jql: str | None = None) -> DataFrame:
-    """A7 + L1 (+ F4): a project's issues, at most ``max_results`` in key order.
+    """A7 (+ F4): a project's issues; with ``max_results`` (L1) the first so many
+    by number, else all of them.
 
     ``jql`` accepts the one condition form the source tool builds,
     ``sprint = "<name>"``, as an equality filter.
@@ -31,7 +36,8 @@ def project_issues(issues: DataFrame, project_key: str, max_results: int | None
         field, _, value = jql.partition("=")
         out = out.filter(F.col(field.strip()) == value.strip().strip('"'))
     if max_results is not None:
-        out = out.orderBy("key").limit(int(max_results))
+        number = F.regexp_extract("key", "([0-9]+)$", 1).try_cast("long")
+        out = out.orderBy("project", number, "key").limit(int(max_results))
     return out
 
 
@@ -71,18 +77,35 @@ def sprint_issues(issues: DataFrame, sprint_table: DataFrame, project_key: str,
             .drop("_p", "_n"))
 
 
-def process_issues(issues: DataFrame) -> DataFrame:
-    """``key``, cleaned ``content`` (description) and a ``metadata`` struct
-    (key, title, type, status, priority, assignee, created, updated).  Comments,
-    changelog and linked issues are child tables nested with J-2."""
+def process_issues(issues: DataFrame, comments: DataFrame | None = None, attachments: DataFrame | None = None,
+                   changelog: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """``key``, ``content``, a ``metadata`` struct (key, title, type, status,
+    priority, assignee, created, updated) and the arrays ``comments``,
+    ``attachments``, ``changelog`` and ``linked_issues``.
+
+    ``content`` is the cleaned description followed by the cleaned comments, one per
+    paragraph.  Child rows are long form, keyed by ``page_id`` (the issue's key) and
+    ordered by ``pos``: cleaned comments (P7), attachments (P8), ``changelog`` (author,
+    created, field, from, to) and ``links`` (type, key).  The arrays are the output
+    format of one issue; the long-form tables stand beside them for issues with very
+    many children.
+    """
     meta = F.struct(
         F.col("key"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("type", F.lit("")).alias("type"), F.coalesce("status", F.lit("")).alias("status"),
         F.coalesce("priority", F.lit("")).alias("priority"), F.col("assignee"),
         iso_format("created").alias("created"), iso_format("updated").alias("updated"),
     )
-    return issues.select("key", clean_text(F.coalesce("description", F.lit(""))).alias("content"),
-                         meta.alias("metadata"))
+    # Children join before the parse, so the cleaned text never moves.
+    out = issues
+    for name, rows, kind in (("comments", comments, COMMENT_ARRAY), ("attachments", attachments, ATTACHMENT_ARRAY),
+                             ("changelog", changelog, CHANGE_ARRAY), ("linked_issues", links, LINK_ARRAY)):
+        out = out.withColumn(name, F.array().cast(kind)) if rows is None else nest(out, rows, name, "key")
+    described = clean_text(F.coalesce("description", F.lit("")))
+    said = F.transform("comments", lambda c: c["content"])
+    content = F.array_join(F.filter(F.concat(F.array(F.col("_described")), said), lambda x: x != ""), "\n\n")
+    return (out.withColumn("_described", described)
+            .select("key", content.alias("content"), meta.alias("metadata"), "comments", "attachments", "changelog", "linked_issues"))
 
 
 def project_summary(issues: DataFrame, by_project: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import schemas
-from pagemill.functions.udf import ALL_PARTS, clean_text, parse_html
+from pagemill.functions.udf import ALL_PARTS, clean_text, parse_html, table_grids
 
 # The source label every processed page carries, and the
 # metadata fields in output order.
@@ -78,7 +78,8 @@ def child_summary(pages: DataFrame, attachments: DataFrame | None = None,
     return out
 
 
-def _nest(out: DataFrame, child: DataFrame, name: str, key: str) -> DataFrame:
+def nest(out: DataFrame, child: DataFrame, name: str, key: str) -> DataFrame:
+    """``out`` with the child rows of each ``key`` as the array ``name``, ordered by ``pos``."""
     fields = [c for c in child.columns if c not in ("page_id", "pos")]
     elem = T.StructType([child.schema[c] for c in fields])
     g = child.groupBy("page_id").agg(
@@ -100,9 +101,9 @@ def nest_children(pages: DataFrame, attachments: DataFrame | None = None,
     """
     out = pages
     if attachments is not None:
-        out = _nest(out, attachments, "attachments", key)
+        out = nest(out, attachments, "attachments", key)
     if comments is not None:
-        out = _nest(out, comments, "comments", key)
+        out = nest(out, comments, "comments", key)
     return out
 
 
@@ -120,7 +121,7 @@ def process_pages(pages: DataFrame, attachments: DataFrame | None = None, commen
     cols = [*keep,
             (F.col("_p.content") if "text" in parts else F.lit("")).alias("content"),
             metadata(parsed, source).alias("metadata"),
-            (F.col("_p.tables") if "tables" in parts
+            (table_grids(F.col("_p.tables")) if "tables" in parts
              else F.array().cast(T.ArrayType(schemas.TABLE))).alias("tables"),
             (F.col("_p.code_blocks") if "code" in parts
              else F.array().cast(T.ArrayType(schemas.CODE_BLOCK))).alias("code_blocks"),

@@ -87,7 +87,7 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
     Totals of words (of ``content``), tables, code blocks and comments, the
     averages per page (unrounded; the report formatter rounds), and the
     oldest / newest non-empty ``metadata.last_modified`` and the ids of those
-    pages (L4: ``min_by`` / ``max_by``).  With ``strict`` an
+    pages (L4; of several pages the one of the smallest id).  With ``strict`` an
     unparsable date fails the query like the source tool; by default it is
     skipped.  On empty input every figure but ``total_pages`` is null.
     """
@@ -111,8 +111,8 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
         F.sum(n("comments")).alias("total_comments"),
         F.min(F.when(X.truthy(lm), ts)).alias("oldest"),
         F.max(F.when(X.truthy(lm), ts)).alias("newest"),
-        F.min_by(page_id, F.when(X.truthy(lm), ts)).alias("oldest_page_id"),
-        F.max_by(page_id, F.when(X.truthy(lm), ts)).alias("newest_page_id"),
+        F.min(F.when(X.truthy(lm) & ts.isNotNull(), F.struct(ts.alias("t"), page_id.alias("id"))))["id"].alias("oldest_page_id"),
+        F.min(F.when(X.truthy(lm) & ts.isNotNull(), F.struct((-F.unix_micros(ts)).alias("t"), page_id.alias("id"))))["id"].alias("newest_page_id"),
     )
     tp = F.col("total_pages")
 

@@ -58,7 +58,7 @@ def raw_page_errors(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def space_summary(spark: SparkSession, sf: str) -> DataFrame:
     """K7 for every space: raw page count per space key (clock value left out)."""
-    pages = A.space_pages(D.wiki_pages_raw(spark, sf, spread=False), None, D.BASE_URL)
+    pages = A.space_pages(D.wiki_pages_raw(spark, sf), None, D.BASE_URL)
     return (pages.groupBy("space_key").agg(F.count(F.lit(1)).alias("total_pages"))
             .withColumn("output_formats", F.lit("all")))
 
@@ -66,7 +66,7 @@ def space_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A2: one page by id, with the single-page URL."""
-    return A.single_page(D.wiki_pages_raw(spark, sf), "7", D.BASE_URL)
+    return A.single_page(D.wiki_page_raw(spark, sf, "7"), "7", D.BASE_URL)
 
 
 @query
@@ -119,20 +119,19 @@ def page_children(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def process_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Processed pages, flattened to scalars (children counted)."""
-    pages = D.wiki_pages(spark, sf).select("id", "title", "content", "url", "version", "last_modified")
-    done = P.process_pages(pages)
-    flat = done.select(
+    """Processed pages of the mixed corpus, flattened to scalars (children counted).
+
+    Child summaries join the pages before the parse, so no cleaned text moves."""
+    attachments = _attachments(spark, sf).withColumn("page_id", F.concat(F.lit("p"), "page_id"))
+    pages = P.child_summary(D.corpus_pages(spark, sf), P.process_attachments(attachments), _corpus_comments(spark, sf))
+    done = P.process_pages(pages, keep=("id", "n_attachments", "n_comments"))
+    return done.select(
         "id", "content",
         F.col("metadata.title").alias("title"), F.col("metadata.url").alias("url"),
         F.col("metadata.version").alias("version"), F.col("metadata.last_modified").alias("last_modified"),
         F.col("metadata.source").alias("source"),
         F.size("tables").alias("n_tables"), F.size("code_blocks").alias("n_code_blocks"),
-        F.size("errors").alias("n_errors"),
-    )
-    kids = P.child_summary(flat, P.process_attachments(_attachments(spark, sf)), _comments(spark, sf))
-    return kids.select("id", "content", "title", "url", "version", "last_modified", "source",
-                       "n_tables", "n_code_blocks", "n_errors", "n_attachments", "n_comments")
+        F.size("errors").alias("n_errors"), "n_attachments", "n_comments")
 
 
 @query
@@ -177,42 +176,47 @@ def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
 # -- step 4: summary and quality -------------------------------------------
 
 
-def _processed_with_counts(spark, sf):
-    pages = D.wiki_pages(spark, sf).select("id", "title", "content", "url", "version", "last_modified")
-    done = P.process_pages(pages, parts=("text",))
-    return P.child_summary(done, comments=_comments(spark, sf))
+def _corpus_comments(spark, sf):
+    return A.comments(D.corpus_comments(spark, sf))
 
 
-@query
-def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """G1: corpus figures over the processed pages."""
-    return Q.corpus_summary(_processed_with_counts(spark, sf))
+def _processed_corpus(spark, sf):
+    """The mixed corpus with all parts parsed and its comments counted."""
+    pages = P.child_summary(D.corpus_pages(spark, sf), comments=_corpus_comments(spark, sf))
+    return P.process_pages(pages, keep=("id", "n_comments")).drop("comments")
 
 
-def _quality_input(spark, sf):
-    qp = D.quality_pages(spark, sf)
-    return qp.select("id", "content", P.metadata(qp).alias("metadata"))
+@query
+def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """G1: corpus figures over the processed pages, tables and code of the mixed corpus."""
+    return Q.corpus_summary(_processed_corpus(spark, sf))
 
 
 @query
 def page_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-page quality scores of the document corpus."""
-    return Q.page_scores(_quality_input(spark, sf))
+    """Per-page quality scores of the processed corpus."""
+    return Q.page_scores(_processed_corpus(spark, sf))
 
 
 @query
 def corpus_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Corpus quality report of the document corpus."""
-    return Q.corpus_quality(Q.page_scores(_quality_input(spark, sf)))
+    """Corpus quality report of the processed corpus."""
+    return Q.corpus_quality(Q.page_scores(_processed_corpus(spark, sf)))
+
+
+@query
+def document_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 on plain text: scores of every document as a page without parts."""
+    qp = D.quality_pages(spark, sf)
+    return Q.page_scores(qp.select("id", "content", P.metadata(qp).alias("metadata")))
 
 
 @query
 def raw_html_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """G2 on raw HTML (formatting marks measurable) with children counts."""
-    pages = D.wiki_pages(spark, sf)
-    df = pages.select("id", "content", P.metadata(pages).alias("metadata"))
-    df = P.child_summary(df, comments=_comments(spark, sf))
-    return Q.page_scores(df)
+    """G2 on the corpus's raw HTML (formatting marks measurable) with parsed tables and code."""
+    pages = P.child_summary(D.corpus_pages(spark, sf), comments=_corpus_comments(spark, sf))
+    done = P.process_pages(pages.withColumn("html", F.col("content")), parts=("tables", "code"), keep=("id", "n_comments", "html"))
+    return Q.page_scores(done.drop("comments", "content").withColumnRenamed("html", "content"))
 
 
 # -- step 5: rate flags and request metrics --------------------------------
@@ -285,13 +289,12 @@ def batch_result(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Bag union of space scans (duplicates kept)."""
-    raw = D.wiki_pages_raw(spark, sf)
-    parts = [A.space_pages(raw, s, D.BASE_URL) for s in ("en", "fr")] + [A.space_pages(raw, None, D.BASE_URL)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("id", "space_key", "url")
+    """Bag union of space scans (duplicates kept).
+
+    The scans are of one table, so it is read once and a page is repeated for each scan that holds it."""
+    pages = A.space_pages(D.wiki_pages_raw(spark, sf), None, D.BASE_URL)
+    scans = F.when(F.col("space_key").isin("en", "fr"), F.array(F.lit("space"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    return pages.select("id", "space_key", "url", F.explode(scans).alias("_scan")).drop("_scan")
 
 
 @query
@@ -342,12 +345,19 @@ def _issue_rows(df):
 
 
 def _issue_comment_rows(spark, sf):
-    return D.issue_comments_landed(spark, sf).withColumnRenamed("l_orderkey", "page_id")
+    """Comments of issues (A4 over the tracker's records), keyed by order."""
+    return A.comments(D.issue_comments_landed(spark, sf).withColumnRenamed("l_orderkey", "page_id"))
 
 
 @query
 def issue_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A7 + L1: project P3's issues, first 1,000 in key order."""
+    """All issues of project P3."""
+    return _issue_rows(I.project_issues(D.tracker_issues(spark, sf), "P3"))
+
+
+@query
+def issue_first(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 + L1: the first 1,000 issues of project P3 by number, as a caller may ask."""
     return _issue_rows(I.project_issues(D.tracker_issues(spark, sf), "P3", 1000))
 
 
@@ -380,6 +390,70 @@ def issue_process(spark: SparkSession, sf: str) -> DataFrame:
                                         ("title", "type", "status", "priority", "assignee", "created", "updated")])
 
 
+def _issue_child(spark, sf, landed):
+    return D.keyed_by_issue(spark, sf, landed)
+
+
+def _processed_issues(spark, sf):
+    """P11 with all children; tracker children are cleaned and projected as the wiki's."""
+    comments = P.clean_comments(A.comments(_issue_child(spark, sf, D.issue_comments_landed(spark, sf))))
+    attachments = P.process_attachments(A.attachments(_issue_child(spark, sf, D.issue_attachments_landed(spark, sf)), D.BASE_URL))
+    return I.process_issues(D.tracker_issues(spark, sf), comments, attachments,
+                            _issue_child(spark, sf, D.issue_changelog_landed(spark, sf)), _issue_child(spark, sf, D.issue_links_landed(spark, sf)))
+
+
+@query
+def issue_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """P11 + J-2: processed issues with comments in their content, children counted."""
+    return _processed_issues(spark, sf).select(
+        "key", "content", *(F.size(c).alias(f"n_{c}") for c in ("comments", "attachments", "changelog", "linked_issues")))
+
+
+@query
+def issue_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 + P7: every issue comment, cleaned, keyed by its issue."""
+    return P.clean_comments(A.comments(_issue_child(spark, sf, D.issue_comments_landed(spark, sf)))).withColumnRenamed("page_id", "key")
+
+
+@query
+def issue_attachment_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 + P8: every issue attachment, projected, keyed by its issue."""
+    att = A.attachments(_issue_child(spark, sf, D.issue_attachments_landed(spark, sf)), D.BASE_URL)
+    return P.process_attachments(att).withColumnRenamed("page_id", "key")
+
+
+@query
+def issue_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Linked issues of every issue, from the nested arrays."""
+    done = _processed_issues(spark, sf).select("key", F.posexplode("linked_issues").alias("pos", "z"))
+    return done.select("key", F.col("z.type").alias("type"), F.col("z.key").alias("linked"))
+
+
+@query
+def issue_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of every issue, from the nested arrays."""
+    done = _processed_issues(spark, sf).select("key", F.explode("changelog").alias("z"))
+    return done.select("key", "z.author", "z.created", "z.field", "z.from", "z.to")
+
+
+@query
+def page_child_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """J-1 nested: the comments and attachments that processed pages hold, in order, as rows."""
+    pages = D.wiki_pages(spark, sf, spread=False).select("id")
+    nested = P.nest_children(pages, P.process_attachments(_attachments(spark, sf)), _comments(spark, sf))
+    comments = nested.select("id", F.lit("comment").alias("kind"), F.posexplode("comments").alias("n", "z"))
+    attachments = nested.select("id", F.lit("attachment").alias("kind"), F.posexplode("attachments").alias("n", "z"))
+    return (comments.select("id", "kind", "n", F.col("z.id").alias("child_id"), F.col("z.author").alias("label"))
+            .unionByName(attachments.select("id", "kind", "n", F.col("z.id").alias("child_id"), F.col("z.filename").alias("label"))))
+
+
+@query
+def page_children_long(spark: SparkSession, sf: str) -> DataFrame:
+    """J-1 long form: comments of existing pages, one row each, so no page grows with its children."""
+    pages = D.wiki_pages(spark, sf, spread=False).select(F.col("id").alias("page_id"))
+    return _comments(spark, sf).join(pages, "page_id", "left_semi").select("page_id", "pos", "id", "author", "created")
+
+
 @query
 def issue_children(spark: SparkSession, sf: str) -> DataFrame:
     """J-2: issues left-joined to their pre-aggregated comments."""

@@ -31,8 +31,9 @@ def extract_space(spark: SparkSession, raw_pages: DataFrame, space_key: str, out
     """extract-space: A1 -> [K1 raw CSV] -> [P9 -> K3 processed JSONL] -> K7 summary.
 
     Raw records missing a required field go to ``{space}_errors.jsonl`` (P10)
-    instead of failing the whole job."""
-    ok, bad = A.split_raw_pages(raw_pages.filter(F.col("space_key") == space_key))
+    instead of failing the whole job; the summary counts all raw pages."""
+    found = raw_pages.filter(F.col("space_key") == space_key)
+    ok, bad = A.split_raw_pages(found)
     sinks.write_jsonl(bad, _p(out_dir, f"{space_key}_errors.jsonl"))
     pages = A.space_pages(ok, None, base_url).drop("space_key")
     write_raw, write_processed = sinks.sinks_for(output_format)
@@ -40,9 +41,10 @@ def extract_space(spark: SparkSession, raw_pages: DataFrame, space_key: str, out
         sinks.write_csv(pages, _p(out_dir, f"{space_key}_raw.csv"))
     if write_processed:
         sinks.write_jsonl(P.process_pages(pages), _p(out_dir, f"{space_key}_processed.jsonl"))
-    summary = sinks.space_summary(pages, space_key, output_format)
-    sinks.write_single_json(summary, _p(out_dir, f"{space_key}_summary.json"))
-    return summary.first().asDict()
+    # one pass: the row that is returned is the row that is written
+    summary = sinks.space_summary(found, space_key, output_format).first().asDict()
+    sinks.write_summary(spark, summary, _p(out_dir, f"{space_key}_summary.json"))
+    return summary
 
 
 def extract_page(spark: SparkSession, raw_pages: DataFrame, page_id: str, out_dir: str, base_url: str,
@@ -66,57 +68,67 @@ def extract_page(spark: SparkSession, raw_pages: DataFrame, page_id: str, out_di
 
 
 def extract_project(spark: SparkSession, issues: DataFrame, project_key: str, out_dir: str,
-                    max_results: int = I.DEFAULT_MAX_RESULTS, output_format: str = "all") -> None:
-    """extract-project: A7 + L1 -> K2 -> P11 -> K4 -> G8 -> K8."""
+                    max_results: int | None = None, output_format: str = "all") -> None:
+    """extract-project: A7 -> K2 -> P11 -> K4 -> G8 -> K8.
+
+    All issues, or with ``max_results`` (L1) the first so many; the summary is of the
+    whole project either way."""
     found = I.project_issues(issues, project_key, max_results)
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:
         sinks.write_csv(found, _p(out_dir, f"{project_key}_raw.csv"))
     if write_processed:
-        path = _p(out_dir, f"{project_key}_processed.jsonl")
-        sinks.write_jsonl(I.process_issues(found), path)
-        sinks.write_jsonl(I.project_summary(found, by_project=False), _p(out_dir, f"{project_key}_summary.json"))
+        sinks.write_jsonl(I.process_issues(found), _p(out_dir, f"{project_key}_processed.jsonl"))
+        whole = I.project_issues(issues, project_key)
+        sinks.write_jsonl(I.project_summary(whole, by_project=False), _p(out_dir, f"{project_key}_summary.json"))
 
 
 def extract_issue(spark: SparkSession, issues: DataFrame, key: str, out_dir: str,
-                  comments: DataFrame | None = None, include_comments: bool = True,
+                  comments: DataFrame | None = None, attachments: DataFrame | None = None,
+                  include_comments: bool = True, include_attachments: bool = True,
                   output_format: str = "all") -> None:
-    """extract-issue: A8 -> J-2 -> K6 raw -> P11 -> K6 processed."""
+    """extract-issue: A8 -> J-2 (F6 flags) -> K6 raw -> P11 -> K6 processed.
+
+    ``comments`` / ``attachments`` are raw child rows (A3 / A4 output) keyed by the issue."""
     one = I.single_issue(issues, key)
+    cmt = comments.filter(F.col("page_id") == key) if (include_comments and comments is not None) else None
+    att = attachments.filter(F.col("page_id") == key) if (include_attachments and attachments is not None) else None
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:
-        raw = one
-        if include_comments and comments is not None:
-            raw = P.nest_children(one, comments=comments.filter(F.col("page_id") == key), key="key")
+        raw = P.nest_children(one, att, cmt, key="key") if (att is not None or cmt is not None) else one
         sinks.write_single_json(raw, _p(out_dir, f"issue_{key}_raw.json"))
     if write_processed:
-        sinks.write_single_json(I.process_issues(one), _p(out_dir, f"issue_{key}_processed.json"))
+        done = I.process_issues(one, P.clean_comments(cmt) if cmt is not None else None,
+                                P.process_attachments(att) if att is not None else None)
+        sinks.write_single_json(done, _p(out_dir, f"issue_{key}_processed.json"))
 
 
 def analyze_sprint(spark: SparkSession, issues: DataFrame, sprint_table: DataFrame, project_key: str,
-                   sprint_name: str, out_dir: str) -> dict:
-    """analyze-sprint: L2 (missing sprint -> LookupError) -> J-3 -> P11 -> G8 + G9 -> K9.
+                   sprint_name: str, out_dir: str, comments: DataFrame | None = None) -> dict:
+    """analyze-sprint: L2 (missing sprint -> LookupError) -> issues -> P11 -> G8 + G9 -> K9.
 
     The report row holds the sprint, the summary and the metrics; the sprint's
-    issues go to their own JSONL directory beside it (D7).
+    issues go to their own JSONL directory beside it (D7).  ``comments`` are raw child
+    rows keyed by the issue (``page_id``).  A sprint without issues has zero metrics.
     """
     sprint = I.first_sprint(I.project_sprints(sprint_table, project_key), sprint_name).first()
     if sprint is None:
         raise LookupError(f"Sprint '{sprint_name}' not found in project {project_key}")
     base = _p(out_dir, sinks.sprint_file_name(project_key, sprint_name))
-    found = I.sprint_issues(issues, sprint_table, project_key, sprint_name)
-    sinks.write_jsonl(I.process_issues(found), base + "_issues")
-    written = spark.read.json(base + "_issues")  # lineage cut: summaries read the written issues
-    keys = written.select(F.col("metadata.*"))
-    summary = I.project_summary(keys.withColumn("project", F.lit(project_key)), by_project=False)
-    metrics = I.sprint_metrics(keys.select(
-        F.lit(project_key).alias("project"), F.lit(sprint_name).alias("sprint"), "status",
-        F.to_timestamp("created").alias("created"), F.to_timestamp("updated").alias("updated")))
-    sinks.write_jsonl(summary, base + "_summary")  # one row per dimension value: a folder, not a list
+    found = issues.filter((F.col("project") == project_key) & (F.col("sprint") == sprint_name))
+    processed = I.process_issues(found, P.clean_comments(comments) if comments is not None else None)
+    sinks.write_jsonl(processed, base + "_issues")
+    # lineage cut: summaries read the written issues
+    written = spark.read.schema(processed.schema).json(base + "_issues")
+    rows = written.select("metadata.*", F.size("comments").alias("n_comments"), F.lit(project_key).alias("project"))
+    sinks.write_jsonl(I.project_summary(rows, by_project=False), base + "_summary")  # one row per dimension value
+    metrics = I.sprint_metrics(rows.select(
+        "project", F.lit(sprint_name).alias("sprint"), "status", "n_comments",
+        F.to_timestamp("created").alias("created"), F.to_timestamp("updated").alias("updated"))).collect()  # at most one row
     report = {
         "sprint_info": {k: (str(v) if v is not None else None) for k, v in sprint.asDict().items()},
         "summary": base + "_summary",
-        "metrics": metrics.first().asDict() if metrics.head(1) else {},
+        "metrics": metrics[0].asDict() if metrics else {"n_issues": 0, "n_done": 0, "n_comments": 0},
         "issues": base + "_issues",
     }
     sinks.write_summary(spark, report, base + ".json")
@@ -130,33 +142,34 @@ def batch_process(spark: SparkSession, worklist_path: str, out_dir: str, pages:
     outcome = B.batch_outcome(items, B.known_keys(pages, issues))
     outcome = outcome.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     path = _p(out_dir, "batch_results")
-    sinks.write_jsonl(outcome.select(F.col("item").alias("id"), "kind", "status", "error", "timestamp"),
-                      path, partition_by="status")
-    counts = B.batch_counts(spark.read.json(path))
+    results = outcome.select(F.col("item").alias("id"), "kind", "status", "error", "timestamp")
+    sinks.write_jsonl(results, path, partition_by="status")
+    counts = B.batch_counts(spark.read.schema(results.schema).json(path))
     return {r["status"]: r["n"] for r in counts.collect()}
 
 
-def batch_summary(spark: SparkSession, out_dir: str) -> dict:
+def batch_summary(spark: SparkSession, out_dir: str, report_dir: str | None = None) -> dict:
     """G4 over a real output tree (A6 listing, error files read on their own).
 
-    Figures are one-row / per-extension results; ``processing_errors`` is a
-    DataFrame ``file, error`` (read inside tasks, never gathered here).  A
-    missing directory gives the zero summary without a readable size or
+    The totals are one row.  ``file_types`` (``ext, n``) and ``processing_errors`` (``file,
+    error``, read inside tasks) are as long as the tree makes them: they are
+    DataFrames, or with ``report_dir`` JSON-lines folders there and the report names them.
+    A missing directory gives the zero summary without a readable size or
     timestamp, as the source tool does.
     """
     from datetime import datetime, timezone
-    entries = A.list_files(spark, out_dir)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(out_dir)
-    exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    zero = {"total_files": 0, "successful_files": 0, "failed_files": 0, "file_types": {}, "total_size": 0,
-            "processing_errors": []}
-    if not exists:
-        return zero
-    inv = B.inventory(entries).first().asDict()
-    types = {r["ext"]: r["n"] for r in B.file_types(entries).collect()}  # one row per extension
-    errors = B.error_contents(spark, entries)
-    return {**inv, "file_types": types, "processing_errors": errors,
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return {"total_files": 0, "successful_files": 0, "failed_files": 0, "file_types": {}, "total_size": 0,
+                "processing_errors": []}
+    entries = A.list_files(spark, out_dir)
+    parts = {"file_types": B.file_types(entries), "processing_errors": B.error_contents(spark, entries)}
+    if report_dir:
+        for name, rows in parts.items():
+            sinks.write_jsonl(rows, _p(report_dir, name))
+            parts[name] = _p(report_dir, name)
+    return {**B.inventory(entries).first().asDict(), **parts,
             "generated_at": datetime.now(timezone.utc).replace(tzinfo=None).isoformat()}
 
 

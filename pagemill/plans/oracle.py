@@ -68,42 +68,30 @@ a AS (SELECT page_id, count(*) AS n_attachments, CAST(sum(size) AS BIGINT) AS at
 c AS (SELECT page_id, count(*) AS n_comments FROM ({COMMENTS}) GROUP BY page_id)
 """
 
-# Line-item table pages: page id, row order and the six displayed columns.
+# Line-item table pages: page id, row order and the displayed columns.
 TABLE_ROWS = """
-WITH li AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n_lines FROM lineitem),
-pg AS (SELECT *, CAST(ceil(n_lines / 1000.0) AS BIGINT) AS n_pages FROM li),
-pid AS (SELECT *, CASE WHEN n_pages > 1
-                       THEN CAST(l_orderkey AS VARCHAR) || '.' ||
-                            CAST((l_partkey * 31 + l_suppkey * 17 + l_linenumber) % n_pages AS VARCHAR)
-                       ELSE CAST(l_orderkey AS VARCHAR) END AS page_id FROM pg),
-r AS (SELECT page_id,
-             CAST(row_number() OVER (PARTITION BY page_id ORDER BY l_linenumber, l_partkey, l_quantity,
+WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber // 1000 AS VARCHAR) AS page_id, l_orderkey,
+             CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber // 1000 ORDER BY l_linenumber, l_partkey, l_quantity,
                   l_extendedprice, l_returnflag, l_shipdate) - 1 AS INTEGER) AS row_idx,
              CAST(l_linenumber AS VARCHAR) AS c0, CAST(l_partkey AS VARCHAR) AS c1,
              CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR) AS c2,
              CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS c3,
-             l_returnflag AS c4, strftime(l_shipdate, '%Y-%m-%d') AS c5
-      FROM pid)
+             l_returnflag AS c4, strftime(l_shipdate, '%Y-%m-%d') AS c5,
+             CASE l_orderkey % 4 WHEN 0 THEN CAST(l_linenumber AS VARCHAR) || 'd' WHEN 1 THEN CAST(l_linenumber AS VARCHAR) || 'e3'
+                  WHEN 2 THEN CAST(l_linenumber AS VARCHAR) || ',234'
+                  ELSE '-' || CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR) END AS c6,
+             CAST(NULL AS VARCHAR) AS c7, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'NA' END AS note
+      FROM lineitem)
+"""
+TABLE_COLS = ("linenumber", "partkey", "quantity", "extendedprice", "returnflag", "shipdate", "size", "note")
+# Long form; a column is a number if it has values and all of them can be cast.
+TABLE_LONG = TABLE_ROWS + """,
+l AS (""" + " UNION ALL ".join(f"SELECT page_id, row_idx, {j} AS col_idx, '{h}' AS header, c{j} AS value FROM r"
+                             for j, h in enumerate(TABLE_COLS)) + """),
+n AS (SELECT *, TRY_CAST(replace(value, ',', '') AS DOUBLE) AS num FROM l),
+k AS (SELECT page_id, col_idx, CASE WHEN count(value) > 0 AND count(value) = count(num) THEN 'number' ELSE 'string' END AS col_type
+      FROM n GROUP BY page_id, col_idx)
 """
-TABLE_COLS = [("linenumber", "number"), ("partkey", "number"), ("quantity", "number"),
-              ("extendedprice", "number"), ("returnflag", "string"), ("shipdate", "string")]
-
-
-def _table_cells() -> str:
-    parts = []
-    for j, (h, t) in enumerate(TABLE_COLS):
-        dbl = f"TRY_CAST(replace(c{j}, ',', '') AS DOUBLE)" if t == "number" else "CAST(NULL AS DOUBLE)"
-        parts.append(f"SELECT page_id, 0 AS table_idx, row_idx, {j} AS col_idx, '{h}' AS header, c{j} AS value, "
-                     f"'{t}' AS value_type, {dbl} AS value_double FROM r")
-    return TABLE_ROWS + " UNION ALL ".join(parts)
-
-
-def _table_types() -> str:
-    parts = []
-    for j, (h, t) in enumerate(TABLE_COLS):
-        parts.append(f"SELECT DISTINCT page_id, 0 AS table_idx, {j} AS col_idx, '{h}' AS header, "
-                     f"'{t}' AS col_type FROM r")
-    return TABLE_ROWS + " UNION ALL ".join(parts)
 
 
 SQL: dict[str, str] = {}
@@ -147,14 +135,6 @@ LEFT JOIN a ON a.page_id = CAST(p.page_id AS VARCHAR)
 LEFT JOIN c ON c.page_id = CAST(p.page_id AS VARCHAR)
 """
 
-SQL["process_pages"] = f"""
-WITH {CHILDREN}, w AS ({WIKI_PAGES})
-SELECT w.id, {CLEAN_PAGES.replace('html', 'w.html')} AS content, w.title, w.url, w.version, w.last_modified,
-       'confluence' AS source, 0 AS n_tables, 0 AS n_code_blocks, 0 AS n_errors,
-       coalesce(a.n_attachments, 0) AS n_attachments, coalesce(c.n_comments, 0) AS n_comments
-FROM w LEFT JOIN a ON a.page_id = w.id LEFT JOIN c ON c.page_id = w.id
-"""
-
 SQL["dead_letter"] = """
 SELECT CAST(page_id AS VARCHAR) AS id, 'text' AS part,
        'Failed to process text: TypeError: content is null' AS message,
@@ -162,15 +142,22 @@ SELECT CAST(page_id AS VARCHAR) AS id, 'text' AS part,
 FROM pages WHERE page_id % 11 = 0
 """
 
-SQL["table_cells"] = _table_cells()
+SQL["table_cells"] = TABLE_LONG + """
+SELECT n.page_id, 0 AS table_idx, n.row_idx, n.col_idx, n.header, n.value, k.col_type AS value_type,
+       CASE WHEN k.col_type = 'number' THEN n.num END AS value_double
+FROM n JOIN k ON n.page_id = k.page_id AND n.col_idx = k.col_idx
+"""
 
 SQL["table_shapes"] = TABLE_ROWS + """
-SELECT page_id, 0 AS table_idx, CAST(count(*) AS INTEGER) AS n_rows, 6 AS n_cols,
-       'linenumber|partkey|quantity|extendedprice|returnflag|shipdate' AS headers
+SELECT page_id, 0 AS table_idx, CAST(count(*) AS INTEGER) AS n_rows, 8 AS n_cols,
+       'linenumber|partkey|quantity|extendedprice|returnflag|shipdate|size|note' AS headers
 FROM r GROUP BY page_id
 """
 
-SQL["table_column_types"] = _table_types()
+SQL["table_column_types"] = TABLE_LONG + """
+SELECT DISTINCT n.page_id, 0 AS table_idx, n.col_idx, n.header, k.col_type
+FROM n JOIN k ON n.page_id = k.page_id AND n.col_idx = k.col_idx
+"""
 
 SQL["code_blocks"] = f"""
 SELECT CAST(doc_id AS VARCHAR) AS page_id, 0 AS block_idx, 'text' AS language, {_strip('text')} AS content
@@ -230,36 +217,60 @@ FROM ({src})
 """
 
 
-SQL["page_quality"] = _page_scores(QUALITY_PAGES, "content", ["FALSE", "FALSE", "FALSE"])
+SQL["document_quality"] = _page_scores(QUALITY_PAGES, "content", ["FALSE", "FALSE", "FALSE"])
+
+# The mixed corpus: wiki pages, order tables and code pages with their cleaned text, raw
+# HTML, and the tables, code blocks and comments they hold.
+_STAMP = "CASE WHEN {n} % 7 = 0 THEN '' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes({n}), '%Y-%m-%dT%H:%M:%S') END"
+_ROW_TEXT = " || ' ' || ".join(f"c{j}" for j in range(7)) + " || CASE WHEN note = '' THEN '' ELSE ' ' || note END"
+_ROW_HTML = "'<tr><td>' || " + " || '</td><td>' || ".join(f"c{j}" for j in range(7)) + " || '</td><td>' || note || '</td></tr>'"
+_HEAD_HTML = "".join(f"<th>{h}</th>" for h in TABLE_COLS)
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+CORPUS = f"""
+{TABLE_ROWS},
+{CHILDREN},
+tp AS (SELECT page_id, any_value(l_orderkey) AS num, string_agg({_ROW_TEXT}, ' ' ORDER BY row_idx) AS words,
+              string_agg({_ROW_HTML}, '' ORDER BY row_idx) AS body FROM r GROUP BY page_id),
+corpus AS (
+SELECT 'p' || w.id AS id, w.title, {CLEAN_PAGES.replace('html', 'w.html')} AS content, w.html AS html, w.url, w.version, w.last_modified,
+       0 AS n_tables, 0 AS n_code_blocks, coalesce(a.n_attachments, 0) AS n_attachments, coalesce(c.n_comments, 0) AS n_comments
+FROM ({WIKI_PAGES}) w LEFT JOIN a ON a.page_id = w.id LEFT JOIN c ON c.page_id = w.id
+UNION ALL
+SELECT 't' || page_id, 'Order', 'Order ' || page_id || ' {' '.join(TABLE_COLS)} ' || words,
+       '<h2>Order ' || page_id || '</h2><table><thead><tr>{_HEAD_HTML}</tr></thead><tbody>' || body || '</tbody></table>',
+       '{BASE}/' || page_id, '1', {_STAMP.format(n='num')}, 1, 0, 0, 0
+FROM tp
+UNION ALL
+SELECT 'c' || CAST(doc_id AS VARCHAR), 'Code', {_norm("regexp_replace(text, '<[^>]+>', '', 'g')")},
+       '<pre><code class="language-' || lang || '">' || {_ESCAPED} || '</code></pre>',
+       '{BASE}/' || CAST(doc_id AS VARCHAR), '1', {_STAMP.format(n='doc_id')}, 0, 2, 0, 0
+FROM documents)
+"""
+SQL["process_pages"] = CORPUS + """
+SELECT id, content, title, url, version, last_modified, 'confluence' AS source, n_tables, n_code_blocks, 0 AS n_errors,
+       n_attachments, n_comments FROM corpus
+"""
+_PARTS = ["n_tables > 0", "n_code_blocks > 0", "n_comments > 0"]
+SQL["page_quality"] = CORPUS + _page_scores("SELECT * FROM corpus", "content", _PARTS)
 
 _Q = ("readability", "content_completeness", "metadata_completeness", "formatting_quality")
-SQL["corpus_quality"] = "SELECT " + ", ".join(
+SQL["corpus_quality"] = CORPUS + ", s AS (" + _page_scores("SELECT * FROM corpus", "content", _PARTS) + ") SELECT " + ", ".join(
     f"round(coalesce(avg({s}), 0.0), 6) AS avg_{s}, CAST(coalesce(min({s}), 0.0) AS DOUBLE) AS min_{s}, "
     f"CAST(coalesce(max({s}), 0.0) AS DOUBLE) AS max_{s}" for s in _Q
-) + ", round((" + " + ".join(f"coalesce(avg({s}), 0.0)" for s in _Q) + ") / 4.0, 6) AS quality_score FROM (" \
-    + SQL["page_quality"] + ")"
-
-SQL["raw_html_quality"] = f"""
-WITH {CHILDREN}, w AS (SELECT wp.*, coalesce(c.n_comments, 0) AS n_comments
-                       FROM ({WIKI_PAGES}) wp LEFT JOIN c ON c.page_id = wp.id)
-""" + _page_scores("SELECT * FROM w", "content", ["FALSE", "FALSE", "n_comments > 0"])
-
-SQL["corpus_summary"] = f"""
-WITH {CHILDREN}, w AS (SELECT wp.*, {CLEAN_PAGES} AS clean, coalesce(c.n_comments, 0) AS n_comments
-                       FROM ({WIKI_PAGES}) wp LEFT JOIN c ON c.page_id = wp.id),
-g AS (SELECT count(*) AS total_pages, CAST(sum({_words('clean')}) AS BIGINT) AS total_words,
-             CAST(0 AS BIGINT) AS total_tables, CAST(0 AS BIGINT) AS total_code_blocks,
-             CAST(sum(n_comments) AS BIGINT) AS total_comments,
-             min(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS oldest,
-             max(CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS newest,
-             arg_min(id, CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS oldest_page_id,
-             arg_max(id, CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END) AS newest_page_id
-      FROM w)
+) + ", round((" + " + ".join(f"coalesce(avg({s}), 0.0)" for s in _Q) + ") / 4.0, 6) AS quality_score FROM s"
+
+SQL["raw_html_quality"] = CORPUS + _page_scores("SELECT * FROM corpus", "html", _PARTS)
+
+SQL["corpus_summary"] = CORPUS + f""",
+d AS (SELECT *, CASE WHEN last_modified <> '' THEN CAST(last_modified AS TIMESTAMP) END AS ts FROM corpus),
+g AS (SELECT count(*) AS total_pages, CAST(sum({_words('content')}) AS BIGINT) AS total_words,
+             CAST(sum(n_tables) AS BIGINT) AS total_tables, CAST(sum(n_code_blocks) AS BIGINT) AS total_code_blocks,
+             CAST(sum(n_comments) AS BIGINT) AS total_comments, min(ts) AS oldest, max(ts) AS newest FROM d)
 SELECT total_pages, total_words, total_tables, total_code_blocks, total_comments,
        total_words / total_pages AS words_per_page, total_tables / total_pages AS tables_per_page,
        total_code_blocks / total_pages AS code_blocks_per_page, total_comments / total_pages AS comments_per_page,
        strftime(oldest, '%Y-%m-%dT%H:%M:%S') AS oldest_page, strftime(newest, '%Y-%m-%dT%H:%M:%S') AS newest_page,
-       oldest_page_id, newest_page_id
+       (SELECT min(id) FROM d WHERE ts = oldest) AS oldest_page_id, (SELECT min(id) FROM d WHERE ts = newest) AS newest_page_id
 FROM g
 """
 
@@ -303,10 +314,9 @@ SELECT CASE page_id % 3 WHEN 0 THEN '  CONF_' || CAST(page_id AS VARCHAR)
                         ELSE 'CONF_' || CAST(page_id AS VARCHAR) || ' ' END AS value FROM pages
 UNION ALL SELECT 'SPACE_' || regexp_extract(url, '/(en|fr|de|es)/', 1) FROM pages
 UNION ALL SELECT 'JIRA_P' || CAST(o_custkey % 10 AS VARCHAR) || '-' || CAST(o_orderkey + o_orderkey % 100 AS VARCHAR)
-          FROM orders WHERE o_orderkey % 50 = 0
-UNION ALL SELECT 'PROJECT_P' || CAST((o_orderkey // 500) % 12 AS VARCHAR) FROM orders WHERE o_orderkey % 500 = 0
-UNION ALL SELECT CASE WHEN page_id % 20 = 0 THEN '   ' ELSE 'X_' || CAST(page_id AS VARCHAR) END
-          FROM pages WHERE page_id % 10 = 0
+          FROM orders
+UNION ALL SELECT 'PROJECT_P' || CAST(o_orderkey % 12 AS VARCHAR) FROM orders
+UNION ALL SELECT CASE WHEN page_id % 20 = 0 THEN '   ' ELSE 'X_' || CAST(page_id AS VARCHAR) END FROM pages
 """
 
 ROUTED = f"""
@@ -438,7 +448,8 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 _ISSUE_OUT = ("key, title, type, status, priority, assignee, project, sprint, "
               "strftime(created, '%Y-%m-%dT%H:%M:%S') AS created, strftime(updated, '%Y-%m-%dT%H:%M:%S') AS updated")
 
-SQL["issue_scan"] = f"SELECT {_ISSUE_OUT} FROM ({ISSUES}) WHERE project = 'P3' ORDER BY key LIMIT 1000"
+SQL["issue_scan"] = f"SELECT {_ISSUE_OUT} FROM ({ISSUES}) WHERE project = 'P3'"
+SQL["issue_first"] = f"SELECT {_ISSUE_OUT} FROM (SELECT * FROM ({ISSUES}) WHERE project = 'P3' ORDER BY o_orderkey LIMIT 1000)"
 SQL["issue_lookup"] = f"SELECT {_ISSUE_OUT} FROM ({ISSUES}) WHERE key IN (" + \
     ", ".join(f"'P{i}-7'" for i in range(10)) + ")"
 
@@ -468,6 +479,49 @@ SQL["issue_children"] = f"""
 SELECT i.key, coalesce(c.n, 0) AS n_comments
 FROM ({ISSUES}) i LEFT JOIN ({_COMMENT_COUNTS}) c ON c.l_orderkey = i.o_orderkey
 """
+_KEYS = "SELECT o_orderkey, 'P' || CAST(o_custkey % 10 AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR) AS key FROM orders"
+_LINE = "'Line ' || CAST(l_linenumber AS VARCHAR) || ': quantity ' || CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR)"
+_COMMENT_ID = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)"
+SQL["issue_comments"] = f"""
+SELECT k.key, CAST(l_linenumber AS INTEGER) AS pos, {_COMMENT_ID} AS id, 'supplier-' || CAST(l_suppkey AS VARCHAR) AS author,
+       strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS created, {_LINE} AS content
+FROM lineitem JOIN ({_KEYS}) k ON k.o_orderkey = l_orderkey
+"""
+SQL["issue_attachment_rows"] = f"""
+SELECT k.key, CAST(l_linenumber AS INTEGER) AS pos, 'att-' || {_COMMENT_ID} AS id, p_name AS filename,
+       CAST(p_size AS BIGINT) * 1024 AS size, coalesce(p_type, '') AS media_type
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN ({_KEYS}) k ON k.o_orderkey = l_orderkey
+"""
+SQL["issue_links"] = f"""
+SELECT k.key, CASE WHEN l_returnflag = 'R' THEN 'blocks' ELSE 'relates to' END AS type, 'PART-' || CAST(l_partkey AS VARCHAR) AS linked
+FROM lineitem JOIN ({_KEYS}) k ON k.o_orderkey = l_orderkey
+"""
+SQL["issue_changes"] = f"""
+SELECT k.key, 'supplier-' || CAST(l_suppkey AS VARCHAR) AS author, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS created,
+       'status' AS field, 'Open' AS "from", l_linestatus AS "to"
+FROM lineitem JOIN ({_KEYS}) k ON k.o_orderkey = l_orderkey
+"""
+SQL["issue_contents"] = f"""
+WITH said AS (SELECT l_orderkey, count(*) AS n, string_agg({_LINE}, chr(10) || chr(10)
+              ORDER BY l_linenumber, {_COMMENT_ID}, 'supplier-' || CAST(l_suppkey AS VARCHAR), l_shipdate, {_LINE}) AS words FROM lineitem GROUP BY l_orderkey),
+held AS (SELECT l_orderkey, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+SELECT i.key, {_norm("o_orderpriority || ' order for ' || coalesce(c_name, 'unknown') || ' worth ' || "
+                     "CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR)")} || coalesce(chr(10) || chr(10) || said.words, '') AS content,
+       CAST(coalesce(said.n, 0) AS INTEGER) AS n_comments, CAST(coalesce(held.n, 0) AS INTEGER) AS n_attachments,
+       CAST(coalesce(said.n, 0) AS INTEGER) AS n_changelog, CAST(coalesce(said.n, 0) AS INTEGER) AS n_linked_issues
+FROM ({ISSUES}) i LEFT JOIN said ON said.l_orderkey = i.o_orderkey LEFT JOIN held ON held.l_orderkey = i.o_orderkey
+"""
+SQL["page_children_long"] = f"""
+SELECT page_id, pos, id, author, created FROM ({COMMENTS}) WHERE page_id IN (SELECT CAST(page_id AS VARCHAR) FROM pages)
+"""
+SQL["page_child_rows"] = f"""
+WITH x AS (
+SELECT page_id AS id, 'comment' AS kind, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos, id) - 1 AS INTEGER) AS n,
+       id AS child_id, author AS label FROM ({COMMENTS})
+UNION ALL
+SELECT page_id, 'attachment', CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos, id) - 1 AS INTEGER), id, filename FROM ({ATTACHMENTS}))
+SELECT * FROM x WHERE id IN (SELECT CAST(page_id AS VARCHAR) FROM pages)
+"""
 _DIMS = ("type", "status", "priority", "assignee")
 SQL["project_summary"] = f"""
 SELECT project,
@@ -515,14 +569,13 @@ FROM ({ISSUES}) i LEFT JOIN a ON a.l_orderkey = i.o_orderkey
 def _render_tables_sql() -> str:
     from pagemill.operators.render import STYLE
     nl = chr(10)
-    heads = "".join(f"<th>{h}</th>" for h, _ in TABLE_COLS)
-    row = " || ".join([_lit("<tr>")] + [f"{_lit('<td>')} || c{j} || {_lit('</td>')}" for j in range(6)]
+    heads = "".join(f"<th>{h}</th>" for h in TABLE_COLS)
+    row = " || ".join([_lit("<tr>")] + [f"{_lit('<td>')} || coalesce(c{j}, 'nan') || {_lit('</td>')}" for j in range(8)]
                       + [_lit("</tr>")])
-    words = " || ' ' || ".join(f"c{j}" for j in range(6))
     return TABLE_ROWS + f"""
 , g AS (SELECT page_id,
                string_agg({row}, '' ORDER BY row_idx) AS body,
-               string_agg({words}, ' ' ORDER BY row_idx) AS words
+               string_agg({_ROW_TEXT}, ' ' ORDER BY row_idx) AS words
         FROM r GROUP BY page_id)
 SELECT page_id AS id,
   {_lit('<!DOCTYPE html>' + nl + '<html>' + nl + '<head>' + nl + '<title>')} ||
@@ -530,7 +583,7 @@ SELECT page_id AS id,
   {_lit('</head>' + nl + '<body>' + nl + '<div class="metadata">' + nl + '<h1>')} ||
   {_lit('</h1>' + nl + '<p>Last modified: ')} || {_lit('</p>' + nl + '<p>URL: <a href="')} ||
   {_lit('">')} || {_lit('</a></p>' + nl + '</div>' + nl + '<div class="content">' + nl)} ||
-  'Order ' || page_id || ' ' || {_lit(' '.join(h for h, _ in TABLE_COLS))} || ' ' || words ||
+  'Order ' || page_id || ' ' || {_lit(' '.join(TABLE_COLS))} || ' ' || words ||
   {_lit(nl + '</div>' + nl)} ||
   {_lit('<div class="tables"><h2>Tables</h2><table><thead><tr>' + heads + '</tr></thead><tbody>')} ||
   body || {_lit('</tbody></table></div>' + nl)} || {_lit('</body>' + nl + '</html>' + nl)} AS html

@@ -73,29 +73,21 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(checkpoint_dir(spark), *parts)
 
 
-SPREAD_MAX_BYTES = 1 << 30
+#: Session setting: how many partitions text is dealt over before it is parsed.
+PARSE_PARTITIONS = "spark.pagemill.parsePartitions"
 
 
-def spread_small_input(df, key, max_bytes: int = SPREAD_MAX_BYTES):
-    """Hash-partition a small scan over the session's cores before CPU-heavy
-    per-row work (HTML parsing, long-text regexes).
+def spread_for_parse(df):
+    """Deal rows evenly over the partitions that the session asks for, if it does.
 
-    A file with a single row group is read by one task however large the
-    cluster is.  Only when the scan has fewer files than the default
-    parallelism *and* is at most ``max_bytes`` is it spread; a large input of
-    many files keeps its natural splits, so production plans gain no shuffle.
+    Unset, a scan keeps its natural splits.  Set it where the input comes in fewer
+    splits than there are cores (a benchmark's single file); sizes are never looked at.
     """
-    spark = df.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= n:
-        return df
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-        if total > max_bytes:
-            return df
-    return df.repartition(n, key)
+    n = df.sparkSession.conf.get(PARSE_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
+def deal_by(df, key: str):
+    """Rows dealt by ``key`` over all shuffle partitions: for rows that are small but stand for
+    much work (paths to list or read), which AQE would otherwise gather in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -7,6 +7,8 @@ scan is ``spark.read`` with an explicit schema plus a projection.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,56 +161,31 @@ def _list_children(batches):
         yield pd.DataFrame(rows, columns=["path", "name", "length", "is_dir"])
 
 
-def _arrow_can_open(root: str) -> bool:
-    try:
-        from pyarrow import fs as pafs
-        filesystem, inner = pafs.FileSystem.from_uri(_to_arrow_uri(root))
-        return filesystem.get_file_info(inner).type == pafs.FileType.Directory
-    except Exception:
-        return False
-
-
-def list_files(spark: SparkSession, root: str, max_depth: int = 64) -> DataFrame:
+def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every regular file under ``root``, dot- and underscore-files included.
 
     Spark's file sources hide names starting with ``_`` or ``.``, so the tree is
-    walked explicitly, one directory level per step: each level's directories
-    are listed inside tasks and the level is checkpointed to the shared
-    checkpoint folder, so no file entry passes through the driver and the
-    lineage never grows with the depth of the tree.  Schemes the task-side
-    file system cannot open fall back to the Hadoop listing on the driver.
-    A missing root gives an empty frame.  Returns ``FILE_ENTRY`` rows.
+    walked explicitly, level by level until no folder is left.  The folders of a
+    level are dealt out over the tasks by path and listed there, and each level is
+    checkpointed to the shared checkpoint folder, so no file entry passes through
+    the driver and the lineage never grows with the depth of the tree.  A missing
+    root gives an empty frame; a scheme that pyarrow can't open is an error.
+    Returns ``FILE_ENTRY`` rows.
     """
-    if not _arrow_can_open(root):
-        return _list_files_driver(spark, root)
-    from pagemill.session import checkpoint_dir
-    checkpoint_dir(spark)  # each level is checkpointed: lineage stays one level deep
+    from pyarrow import fs as pafs
+
+    from pagemill.session import checkpoint_dir, deal_by
+    filesystem, inner = pafs.FileSystem.from_uri(_to_arrow_uri(root))
+    if filesystem.get_file_info(inner).type != pafs.FileType.Directory:
+        return spark.createDataFrame([], schemas.FILE_ENTRY)
+    checkpoint_dir(spark)
     frontier = spark.createDataFrame([(root,)], "dir string")
     levels = []
-    for _ in range(max_depth):
-        listed = frontier.mapInPandas(_list_children, "path string, name string, length long, is_dir boolean")
+    while True:
+        listed = deal_by(frontier, "dir").mapInPandas(_list_children, "path string, name string, length long, is_dir boolean")
         listed = listed.checkpoint(eager=True)
         levels.append(listed.filter(~F.col("is_dir")).select("path", "name", "length"))
         frontier = listed.filter("is_dir").select(F.col("path").alias("dir"))
         if frontier.isEmpty():
             break
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
-
-
-def _list_files_driver(spark: SparkSession, root: str) -> DataFrame:
-    """Hadoop FileSystem listing on the driver (fallback for other schemes)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    rows = []
-    if fs.exists(p):
-        it = fs.listFiles(p, True)
-        while it.hasNext():
-            st = it.next()
-            if st.isFile():
-                rows.append((st.getPath().toString(), st.getPath().getName(), int(st.getLen())))
-    return spark.createDataFrame(rows, schemas.FILE_ENTRY)
+    return functools.reduce(DataFrame.unionByName, levels)

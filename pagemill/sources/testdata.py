@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.session import spread_small_input
+from pagemill.session import spread_for_parse
 
 # ---------------------------------------------------------------------------
 # Fixed values of the adapters
@@ -24,18 +24,11 @@ ISSUE_STATUS = {"F": "Done", "O": "Open", "P": "In Progress"}
 # ---------------------------------------------------------------------------
 
 
-# Text tables feed per-row CPU work (HTML parsing, long-text regexes).
-TEXT_TABLES = {"pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table.  With ``spread`` (reads that feed per-row CPU work on
-    text), a small single-file text table is spread over the cores (see
-    ``spread_small_input``: never on inputs of many files)."""
+    """A driver table; with ``spread`` (reads that feed an HTML parse) as
+    ``session.spread_for_parse`` deals it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if spread and name in TEXT_TABLES:
-        df = spread_small_input(df, TEXT_TABLES[name])
-    return df
+    return spread_for_parse(df) if spread else df
 
 
 def _iso(seconds_col):
@@ -44,7 +37,10 @@ def _iso(seconds_col):
 
 def wiki_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """``PAGE`` + ``space_key`` + ``page_id`` from ``pages``."""
-    p = table(spark, sf_dir, "pages", spread)
+    return _wiki(table(spark, sf_dir, "pages", spread))
+
+
+def _wiki(p: DataFrame) -> DataFrame:
     return p.select(
         F.col("page_id").cast("string").alias("id"),
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
@@ -58,9 +54,12 @@ def wiki_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFra
     )
 
 
-def wiki_pages_raw(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+def wiki_pages_raw(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``wiki_pages`` nested back into the raw API record (``RAW_PAGE``)."""
-    w = wiki_pages(spark, sf_dir, spread)
+    return _raw(wiki_pages(spark, sf_dir, spread))
+
+
+def _raw(w: DataFrame) -> DataFrame:
     return w.select(
         F.col("id"),
         F.col("title"),
@@ -70,6 +69,13 @@ def wiki_pages_raw(spark: SparkSession, sf_dir: str, spread: bool = True) -> Dat
     )
 
 
+def wiki_page_raw(spark: SparkSession, sf_dir: str, page_id: str) -> DataFrame:
+    """``wiki_pages_raw`` of one page; the id is compared as it is stored, so the scan prunes by it."""
+    stored = int(page_id) if page_id.isdigit() else None
+    p = table(spark, sf_dir, "pages")
+    return _raw(_wiki(p.filter(F.col("page_id") == F.lit(stored).cast("long"))))
+
+
 def wiki_pages_raw_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``wiki_pages_raw`` with the body missing on every 11th page."""
     r = wiki_pages_raw(spark, sf_dir)
@@ -120,57 +126,78 @@ def wiki_attachments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ROWS_PER_TABLE_PAGE = 1000
+LINES_PER_TABLE_PAGE = 1000
+TABLE_HEADINGS = ("linenumber", "partkey", "quantity", "extendedprice", "returnflag", "shipdate", "size", "note")
 
 
-def table_pages(spark: SparkSession, sf_dir: str, rows_per_page: int = ROWS_PER_TABLE_PAGE) -> DataFrame:
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``table_pages_from`` over the driver's ``lineitem``."""
-    return table_pages_from(table(spark, sf_dir, "lineitem"), rows_per_page)
+    return table_pages_from(table(spark, sf_dir, "lineitem"))
 
 
-def table_pages_from(li: DataFrame, rows_per_page: int = ROWS_PER_TABLE_PAGE) -> DataFrame:
+def table_pages_from(li: DataFrame) -> DataFrame:
     """HTML pages of line items: a ``th`` header row and one row per line item.
 
-    Each order becomes one page; an order with more than ``rows_per_page``
-    lines is split into ``ceil(n / rows_per_page)`` sub-pages by a fixed rule on
-    (partkey, suppkey, linenumber), so a hot order never lands in one row or
-    one task.  Rows inside a page are ordered by every displayed column.
+    Page ``{order}.{n}`` holds the lines of an order whose (part, supplier, line)
+    number falls into its n-th class of ``LINES_PER_TABLE_PAGE`` line numbers: one
+    rule for all orders.  Rows inside a page are ordered by every displayed
+    column.  ``size`` (``1d``, ``3f``, an exponent or a number with thousands mark) and
+    ``note`` (blank or ``NA``) mix forms that only look like numbers.
     Columns: ``page_id, content``.
     """
-    counts = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
-    n_pages = F.ceil(F.col("n_lines") / F.lit(rows_per_page)).cast("long")
-    chunk = F.pmod(F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber"), n_pages)
-    cells = F.concat(
-        F.lit("<tr><td>"), F.col("l_linenumber").cast("string"),
-        F.lit("</td><td>"), F.col("l_partkey").cast("string"),
-        F.lit("</td><td>"), F.col("l_quantity").cast("decimal(12,2)").cast("string"),
-        F.lit("</td><td>"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"),
-        F.lit("</td><td>"), F.col("l_returnflag"),
-        F.lit("</td><td>"), F.date_format("l_shipdate", "yyyy-MM-dd"),
-        F.lit("</td></tr>"),
-    )
-    rows = li.join(counts, "l_orderkey").select(
-        F.when(n_pages > 1, F.concat(F.col("l_orderkey").cast("string"), F.lit("."), chunk.cast("string")))
-        .otherwise(F.col("l_orderkey").cast("string")).alias("page_id"),
-        F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
-                 "l_shipdate", cells.alias("html")).alias("r"),
-    )
-    grouped = (rows.repartition("page_id")
-               .groupBy("page_id").agg(F.sort_array(F.collect_list("r")).alias("rs")))
-    header = ("<table><thead><tr><th>linenumber</th><th>partkey</th><th>quantity</th>"
-              "<th>extendedprice</th><th>returnflag</th><th>shipdate</th></tr></thead><tbody>")
+    quantity = F.col("l_quantity").cast("decimal(12,2)")
+    size = (F.when(F.pmod("l_orderkey", F.lit(4)) == 0, F.concat(F.col("l_linenumber").cast("string"), F.lit("d")))
+            .when(F.pmod("l_orderkey", F.lit(4)) == 1, F.concat(F.col("l_linenumber").cast("string"), F.lit("e3")))
+            .when(F.pmod("l_orderkey", F.lit(4)) == 2, F.concat(F.col("l_linenumber").cast("string"), F.lit(",234")))
+            .otherwise(F.concat(F.lit("-"), quantity.cast("string"))))
+    note = F.when(F.pmod("l_partkey", F.lit(2)) == 0, F.lit("")).otherwise(F.lit("NA"))
+    shown = [F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), quantity.cast("string"),
+             F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), F.col("l_returnflag"),
+             F.date_format("l_shipdate", "yyyy-MM-dd"), size, note]
+    html = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *shown), F.lit("</td></tr>"))
+    page = F.concat(F.col("l_orderkey").cast("string"), F.lit("."),
+                    F.floor(F.col("l_linenumber") / LINES_PER_TABLE_PAGE).cast("string"))
+    rows = li.select(page.alias("page_id"), F.struct(
+        "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate", html.alias("html")).alias("r"))
+    grouped = rows.groupBy("page_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    heads = "".join(f"<th>{h}</th>" for h in TABLE_HEADINGS)
     return grouped.select(
         "page_id",
-        F.concat(F.lit("<h2>Order "), F.col("page_id"), F.lit("</h2>" + header),
+        F.concat(F.lit("<h2>Order "), F.col("page_id"), F.lit(f"</h2><table><thead><tr>{heads}</tr></thead><tbody>"),
                  F.array_join(F.transform("rs", lambda r: r["html"]), ""),
                  F.lit("</tbody></table>")).alias("content"),
     )
 
 
-def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``PAGE`` rows of a mixed corpus: every wiki page, order table page and code page.
+
+    Ids are ``p{page}``, ``t{order page}`` and ``c{document}``; table and code pages have
+    fixed metadata, and every seventh of each by number has no date.
+    """
+    wiki = wiki_pages(spark, sf_dir, spread=False).select(
+        F.concat(F.lit("p"), F.col("id")).alias("id"), "title", "content", "url", "version", "last_modified")
+
+    def made(pages: DataFrame, mark: str, title: str) -> DataFrame:
+        number = F.substring_index("page_id", ".", 1).cast("long")
+        dated = F.when(F.pmod(number, F.lit(7)) == 0, F.lit("")).otherwise(_iso(F.lit(EPOCH_2024) + number * 60))
+        return pages.select(F.concat(F.lit(mark), F.col("page_id")).alias("id"), F.lit(title).alias("title"), "content",
+                            F.concat(F.lit(BASE_URL + "/"), F.col("page_id")).alias("url"), F.lit("1").alias("version"),
+                            dated.alias("last_modified"))
+    return spread_for_parse(wiki.unionByName(made(table_pages(spark, sf_dir), "t", "Order"))
+                            .unionByName(made(code_pages(spark, sf_dir, spread=False), "c", "Code")))
+
+
+def corpus_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comment rows of the corpus's wiki pages."""
+    c = wiki_comments_landed(spark, sf_dir, spread=False)
+    return c.withColumn("page_id", F.concat(F.lit("p"), F.col("page_id")))
+
+
+def code_pages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """One page per document: ``<pre><code class="language-{lang}">`` + text
     with ``&``, ``<``, ``>`` escaped.  Columns: ``page_id, lang, text, content``."""
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents", spread)
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     return d.select(
         F.col("doc_id").cast("string").alias("page_id"),
@@ -253,18 +280,19 @@ def tracker_issue_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_comments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issue comments from ``lineitem``: one per line item of the order."""
+    """Issue comments as landed, one record per line item of the order: ``l_orderkey, pos, cmt``."""
     li = table(spark, sf_dir, "lineitem")
+    body = F.concat(F.lit("<p>Line "), F.col("l_linenumber").cast("string"), F.lit(": quantity "),
+                    F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit("</p>"))
     return li.select(
         F.col("l_orderkey"),
         F.col("l_linenumber").cast("int").alias("pos"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
-                    F.col("l_partkey").cast("string")).alias("id"),
-        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("author"),
-        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"),
-        F.concat(F.lit("<p>Line "), F.col("l_linenumber").cast("string"), F.lit(": quantity "),
-                 F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit("</p>")).alias("content"),
-    )
+        F.struct(
+            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                        F.col("l_partkey").cast("string")).alias("id"),
+            F.struct(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("displayName")).alias("author"),
+            F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"),
+            F.struct(F.struct(body.alias("value")).alias("storage")).alias("body")).alias("cmt"))
 
 
 def issue_attachments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +314,33 @@ def issue_attachments_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def issue_links_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between issues: orders that share a part, as one link per line item to
+    the issue of its part (``l_orderkey, pos, type, key``)."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", F.lit("blocks")).otherwise(F.lit("relates to"))
+    return li.select("l_orderkey", F.col("l_linenumber").cast("int").alias("pos"), kind.alias("type"),
+                     F.concat(F.lit("PART-"), F.col("l_partkey").cast("string")).alias("key"))
+
+
+def issue_changelog_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of issues: the status change of every line item (``l_orderkey, pos, author,
+    created, field, from, to``)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", F.col("l_linenumber").cast("int").alias("pos"),
+        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("author"),
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"), F.lit("status").alias("field"),
+        F.lit("Open").alias("from"), F.col("l_linestatus").alias("to"))
+
+
+def keyed_by_issue(spark: SparkSession, sf_dir: str, children: DataFrame) -> DataFrame:
+    """Children keyed by ``l_orderkey`` as rows keyed by the issue's key (``page_id``)."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(
+        F.lit("P"), F.pmod("o_custkey", F.lit(10)).cast("string"), F.lit("-"), F.col("o_orderkey").cast("string")).alias("page_id"))
+    return children.join(keys, children["l_orderkey"] == keys["o_orderkey"]).drop("l_orderkey", "o_orderkey")
+
+
 def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work-list lines (column ``value``) derived from the tables:
     ``CONF_{page_id}`` (plus ids past the end), ``SPACE_{space}``,
@@ -299,13 +354,12 @@ def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("CONF_"), F.col("page_id").cast("string"), F.lit(" "))).alias("value"))
     space = pages.select(F.concat(F.lit("SPACE_"), F.regexp_extract("url", SPACE_PATTERN, 1)).alias("value"))
     proj = F.concat(F.lit("P"), F.pmod("o_custkey", F.lit(10)).cast("string"))
-    issue_items = orders.filter(F.pmod("o_orderkey", F.lit(50)) == 0).select(
+    issue_items = orders.select(
         F.concat(F.lit("JIRA_"), proj, F.lit("-"), (F.col("o_orderkey") + F.pmod("o_orderkey", F.lit(100)))
                  .cast("string")).alias("value"))
-    project = orders.filter(F.pmod("o_orderkey", F.lit(500)) == 0).select(
-        F.concat(F.lit("PROJECT_P"), F.pmod(F.col("o_orderkey") / 500, F.lit(12)).cast("int").cast("string"))
-        .alias("value"))
-    other = pages.filter(F.pmod("page_id", F.lit(10)) == 0).select(
+    project = orders.select(
+        F.concat(F.lit("PROJECT_P"), F.pmod("o_orderkey", F.lit(12)).cast("string")).alias("value"))
+    other = pages.select(
         F.when(F.pmod("page_id", F.lit(20)) == 0, F.lit("   "))
         .otherwise(F.concat(F.lit("X_"), F.col("page_id").cast("string"))).alias("value"))
     return conf.unionByName(space).unionByName(issue_items).unionByName(project).unionByName(other)

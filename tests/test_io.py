@@ -81,8 +81,28 @@ def test_list_files_includes_hidden_names_and_inventory(spark, tmp_out):
     summary = jobs.batch_summary(spark, tmp_out)
     errs = sorted(r.error for r in summary["processing_errors"].collect())
     assert errs == ["bad thing", "boom"]
-    from tests.test_functions import py_size
-    assert summary["total_size_readable"] == py_size(inv.total_size) and "generated_at" in summary
+    from tests.test_functions import exact_size
+    assert summary["total_size_readable"] == exact_size(inv.total_size) and "generated_at" in summary
+
+
+def test_deep_and_wide_trees_are_listed_by_many_tasks(spark, tmp_out):
+    deep = os.path.join(tmp_out, "deep", *["d"] * 70)
+    os.makedirs(deep)
+    for path in [os.path.join(deep, "x_error.txt"), os.path.join(tmp_out, "top.txt")]:
+        with open(path, "w") as f:
+            f.write("e")
+    for i in range(36):
+        os.makedirs(os.path.join(tmp_out, f"wide{i}"))
+        for k in range(3):
+            with open(os.path.join(tmp_out, f"wide{i}", f"{k}_error.txt"), "w") as f:
+                f.write("e")
+    entries = A.list_files(spark, tmp_out)
+    assert entries.count() == 2 + 108
+    full = entries.withColumn("p", F.spark_partition_id()).filter(F.col("path").contains("wide")).select("p").distinct().count()
+    assert full > 2
+    errors = B.error_contents(spark, entries)
+    assert errors.count() == 109
+    assert errors.select(F.spark_partition_id().alias("p")).distinct().count() > 2
 
 
 def test_missing_tree_gives_zero_summary(spark, tmp_out):

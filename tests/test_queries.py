@@ -52,6 +52,6 @@ def test_quality_and_space_figures_match_recorded(spark):
 
     from tests.conftest import SF_MID
     q = E.queries()
-    assert q["page_quality"](spark, SF_MID).agg(F.count_if(F.col("readability") == 100)).first()[0] == 996
+    assert q["document_quality"](spark, SF_MID).agg(F.count_if(F.col("readability") == 100)).first()[0] == 996
     sizes = {r.space_key: r.total_pages for r in q["space_summary"](spark, SF_MID).collect()}
     assert sizes == {"en": 150, "fr": 37, "de": 37, "es": 26}
