@@ -122,7 +122,7 @@ def bag_signatures(bags: list[np.ndarray], m: int = COMPONENTS) -> np.ndarray:
     # Unit intervals run on; wider ones only split.  One list of processes per width.
     roots, lo, width = [], 0, 1
     while (part := np.flatnonzero(weight > lo)).size:
-        key = _mix(shingle[part] + U(lo) * U(0xD6E8FEB86659FD93) + U(width))
+        key = _mix(_mix(shingle[part] + U(lo)) + U(width))
         roots.append([doc[part], key, weight[part], np.full(len(part), lo), width, _exponential(_mix(key)) / width, _mix(key)])
         lo, width = (lo + width, width) if lo == 0 else (lo + width, width * 2)
     units = [[], [], [], [], []]  # doc, key, time, code, draws
@@ -286,21 +286,20 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     sigs = materialise(sigs.select("key", "sig", "doc").join(candidates, "key"), "candidate_sigs")
     texts = _texts(docs, sigs)
 
-    links, left = None, rows
+    classes, left = None, rows
     while True:
         hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "key").alias("p"), "key"))["key"].alias("hub"))
         spokes = materialise(left.join(hub, "bucket").where("key != hub").select(
             "bucket", "key", F.greatest("hub", "key").alias("a"), F.least("hub", "key").alias("b")), "spokes")
-        pairs = spokes.select("a", "b").distinct()
-        found = materialise(_verified(_agreeing(pairs, sigs), texts, threshold), "links")
-        links = found if links is None else links.unionByName(found)
+        found = materialise(_verified(_agreeing(spokes.select("a", "b").distinct(), sigs), texts, threshold), "links")
+        classes = _joined_classes(classes, found)
+        rows = materialise(_mixed_buckets(_with_class(rows.select("bucket", "key"), classes)), "mixed")
         # What a hub explains leaves the bucket, and so does the hub.
-        left = materialise(spokes.join(found, ["a", "b"], "left_anti").select("bucket", "key"), "unexplained")
+        unexplained = materialise(spokes.join(found, ["a", "b"], "left_anti").select("bucket", "key"), "unexplained")
         compared = spokes.count()
-        if compared - left.count() <= compared * HUB_PROGRESS:
+        if compared - unexplained.count() <= compared * HUB_PROGRESS:
             break
-    classes = materialise(connected_components(links), "classes").withColumnRenamed("node", "key")
-    rows = materialise(_mixed_buckets(_with_class(rows, classes)), "mixed")
+        left = materialise(unexplained.join(rows.select("bucket").distinct(), "bucket"), "left")
 
     # Any pair of two classes has a member outside the bucket's largest class.
     sizes = rows.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
@@ -320,8 +319,14 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     more = materialise(_verified(pairs, texts, threshold), "cross_links")
     if more.isEmpty():
         return classes
-    known = classes.select(F.col("key").alias("a"), F.col("component").alias("b"))
-    return connected_components(known.unionByName(more)).withColumnRenamed("node", "key")
+    return _joined_classes(classes, more)
+
+
+def _joined_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(key, component) after ``links`` have joined the known classes."""
+    if classes is not None:
+        links = classes.select(F.col("key").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return materialise(connected_components(links), "classes").withColumnRenamed("node", "key")
 
 
 def _texts(docs: DataFrame, sigs: DataFrame) -> DataFrame:
