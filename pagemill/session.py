@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -52,17 +51,14 @@ def get_session(master: str | None = None, app: str = "pagemill", **conf) -> Spa
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Only
-    when it is unset - local runs and tests - a scratch folder is made.
+    Reads ``spark.checkpoint.dir`` from the session (set by the cluster); only where that
+    is unset, as in tests, it is a folder of the warehouse, never a machine-local one.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if sc.master.startswith("local"):
-            d = tempfile.mkdtemp(prefix="pagemill-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", d)
-        else:
-            raise RuntimeError("spark.checkpoint.dir is not set for this cluster session")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
