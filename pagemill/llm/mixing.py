@@ -16,7 +16,7 @@ from pagemill.llm.common import materialise, word_count
 #: A source is repeated this often at most.
 MAX_EPOCHS = 3
 #: Key ranges hold about this many rows.
-RANGE_ROWS = 65_536
+RANGE_ROWS = 8_192
 #: Plans of up to this many sources are broadcast.
 BROADCAST_SOURCES = 10_000
 
