@@ -116,7 +116,7 @@ def _runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 # -- suffix order of a block --------------------------------------------------
 def _dense(key: np.ndarray) -> np.ndarray:
     """Ranks of keys from 0, equal for equal keys."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     step = np.zeros(len(key), dtype=np.int64)
     step[1:] = ranked[1:] != ranked[:-1]
@@ -172,13 +172,34 @@ def repeated_windows(h: np.ndarray, left: np.ndarray, contexts: list[bytes], min
     return _runs(r[order], c[order] - span)
 
 
+def _repeats_in_block(rows: list, min_bytes: int, first: bool) -> list[tuple[int, int, int, int]]:
+    """(doc, k, start, end) of repeated windows in rows (h, doc, k, a, left, ctx) sorted by (h, place).
+
+    Equal surroundings of an anchor repeat as a whole.  One of them stands for all, and
+    only anchors with surroundings that differ need the suffix order.
+    """
+    kinds: dict[tuple, list[int]] = {}
+    for i, row in enumerate(rows):
+        kinds.setdefault((row[0], row[4], row[5]), []).append(i)
+    out = [(rows[i][1], rows[i][2], rows[i][3] - rows[i][4], rows[i][3] - rows[i][4] + len(rows[i][5]))
+           for same in kinds.values() if len(same) > 1 for i in (same[1:] if first else same) if len(rows[i][5]) >= min_bytes]
+    each: dict[int, int] = {}
+    for key in kinds:
+        each[key[0]] = each.get(key[0], 0) + 1
+    ones = [rows[same[0]] for key, same in kinds.items() if each[key[0]] > 1]
+    if ones:
+        h, left = np.array([r[0] for r in ones]), np.array([r[4] for r in ones])
+        for i, lo, hi in zip(*repeated_windows(h, left, [r[5] for r in ones], min_bytes, first), strict=True):
+            _, doc, k, a, *_ = ones[i]
+            out.append((doc, k, a + int(lo), a + int(hi) + min_bytes))
+    return out
+
+
 def _sorted_blocks(min_bytes: int, first: bool):
     """Spans of repeated windows from surroundings sorted by (h, doc, k, a)."""
     def flush(rows):
-        h, doc, k, a, left, ctx = (list(x) for x in zip(*rows, strict=True))
-        r, lo, hi = repeated_windows(np.array(h), np.array(left), ctx, min_bytes, first)
-        doc, k, a = (np.array(x)[r] for x in (doc, k, a))
-        return _spans(doc, k, a + lo, a + hi + min_bytes)
+        found = _repeats_in_block(rows, min_bytes, first)
+        return _spans(*(zip(*found, strict=True) if found else [[]] * 4))
 
     def run(batches):
         rows: list = []
