@@ -19,7 +19,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ("clean_text", "process_pages", "table_cells", "code_blocks", "corpus_quality", "corpus_summary",
+HEADLINE = ("clean_text", "process_pages", "table_cells", "code_blocks", "document_quality", "corpus_summary",
             "rate_flag", "latency_histogram", "worklist_route", "sprint_metrics")
 
 
