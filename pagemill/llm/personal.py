@@ -4,8 +4,9 @@ Base spans are the well-formed e-mail addresses, IP addresses, card and phone nu
 of a text.  They are the seeds of a bootstrap: the two words before a seed are a
 lexical pattern, and every identifier-like word behind that pattern is one of its
 instances.  Patterns and instances form a graph that Spark scores in rounds: a pattern
-by the share of its instances believed to be personal, an instance by the patterns
-that hold it.  Instances of high confidence are found wherever they stand.
+by the number of its instances believed to be personal, an instance by the patterns
+that hold it.  Accepted instances are believed like seeds, and rounds go on until no
+instance is added.  Accepted instances are found wherever they stand.
 
 Everything is Catalyst expressions over whole texts; every regular expression is
 written so that the time is linear in the text.
@@ -34,8 +35,7 @@ HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 LIKELY = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Characters before a span in which its pattern's words are looked for.
 CONTEXT_CHARS = 64
-ROUNDS = 3
-#: A pattern counts from this many different seeds on, and an instance is accepted from this confidence on.
+#: A pattern counts from this many different believed instances on, and an instance is accepted from this confidence on.
 MIN_SEEDS, MIN_CONFIDENCE = 5, 0.8
 
 SPAN = "array<struct<kind:string,s:int,e:int,inst:string,pat:string>>"
@@ -162,24 +162,33 @@ def graph(found: DataFrame) -> DataFrame:
     return both.groupBy("kind", "pat", "inst").agg(F.max("seed").alias("seed"))
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def bootstrap(edges: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(kind, inst) of the accepted instances that aren't seeds.
 
-    Only patterns with enough seeds can ever pass their confidence on, so the others
-    leave before the first round.
+    A pattern with s believed instances, seeds or accepted ones, is right with confidence
+    s / (s + 1), the fixed point of the share of believed ones among all its instances and one
+    more, where each unseen instance is believed as far as the pattern is.  Unseen instances
+    count neither for nor against a pattern.  What is accepted is only ever added to and
+    decides the next round, so the rounds end when one adds nothing.  Patterns with fewer
+    instances of any sort than ``min_seeds`` can never count and leave before the first round.
     """
+    spark = edges.sparkSession
     node = ["kind", "pat"]
-    strong = edges.groupBy(*node).agg(F.count_if("seed").alias("_s")).where(F.col("_s") >= min_seeds).select(*node)
-    edges = materialise(edges.join(strong, node).withColumn("conf", F.col("seed").cast("double")), "pattern_graph")
-    for _ in range(rounds):
-        patterns = edges.groupBy(*node).agg((F.sum("conf") / (F.count(F.lit(1)) + 1)).alias("score"))
-        held = edges.where("NOT seed").join(patterns, node)
-        # Noisy or: an instance is personal unless each of its patterns is wrong about it.
-        belief = held.groupBy("kind", "inst").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("belief"))
-        edges = edges.join(belief, ["kind", "inst"], "left").select(
-            *node, "inst", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("conf"))
-        edges = materialise(edges, "pattern_graph")
-    return edges.where(F.col("conf") >= min_confidence).where("NOT seed").select("kind", "inst").distinct()
+    able = edges.groupBy(*node).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_seeds).select(*node)
+    edges = materialise(edges.join(able, node).withColumnRenamed("seed", "believed"), "pattern_graph")
+    accepted = spark.createDataFrame([], edges.select("kind", "inst").schema)
+    while True:
+        believed = F.count_if("believed")
+        patterns = edges.groupBy(*node).agg(believed.alias("_s")).where(F.col("_s") >= min_seeds)
+        held = edges.where("NOT believed").join(patterns, node)
+        # Noisy or: an instance is personal unless each of its patterns is wrong about it, each with 1 / (s + 1).
+        belief = held.groupBy("kind", "inst").agg((1 - F.exp(-F.sum(F.log1p("_s")))).alias("_belief"))
+        fresh = materialise(belief.where(F.col("_belief") >= min_confidence).select("kind", "inst"), "accepted")
+        if fresh.isEmpty():
+            return accepted
+        accepted = materialise(accepted.unionByName(fresh).distinct(), "accepted")
+        edges = materialise(edges.join(fresh.withColumn("_fresh", F.lit(True)), ["kind", "inst"], "left").select(
+            *node, "inst", (F.col("believed") | F.coalesce("_fresh", F.lit(False))).alias("believed")), "pattern_graph")
 
 
 def _joined(spans: Column) -> Column:
@@ -195,24 +204,24 @@ def _ordered(spans: Column) -> Column:
     return F.concat(*(F.array_sort(_of_kind(spans, k), lambda a, b: a["s"] - b["s"]) for k in KINDS))
 
 
-def personal_spans(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def personal_spans(docs: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(row, doc_id, base, more) of every document, as arrays of spans; ``more`` is what the contexts add."""
     found = found_spans(docs)
-    accepted = bootstrap(graph(found), rounds, min_seeds)
+    accepted = bootstrap(graph(found), min_seeds)
     likely = found.select("row", F.explode("likely").alias("z")).select("row", "z", "z.kind", "z.inst")
     more = likely.join(accepted, ["kind", "inst"]).groupBy("row").agg(F.collect_list("z").alias("more"))
     return found.select("row", "doc_id", "base").join(more, "row", "left").withColumn(
         "more", F.coalesce("more", F.array().cast(SPAN)))
 
 
-def extract(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def extract(docs: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more) of every document.
 
     Counts and hash are of the base spans, ``spans`` lists base and added ones as
     kind:start:end by kind and start, in code points.  Null and empty texts have none;
     repeated rows are judged each; columns other than doc_id and text are ignored.
     """
-    spans = personal_spans(docs, rounds, min_seeds)
+    spans = personal_spans(docs, min_seeds)
     counts = [F.size(_of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                         _joined(_ordered(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_more"))
@@ -239,14 +248,14 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(_merged(spans), rebuilt))
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def redact(docs: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """The documents with personal data replaced by [EMAIL], [IP], [CARD] or [PHONE]; same rows and columns.
 
     Base spans come from the text at hand; the accepted instances from the whole corpus.
     """
     names = docs.columns
     found = found_spans(docs)
-    accepted = bootstrap(graph(found), rounds, min_seeds)
+    accepted = bootstrap(graph(found), min_seeds)
     likely = found.where(F.size("likely") > 0).select("doc_id", F.explode("likely").alias("z")).select("doc_id", "z.kind", "z.inst")
     # Documents that hold an accepted instance, with the instances: few, and joined by doc_id.
     hits = likely.join(accepted, ["kind", "inst"]).groupBy("doc_id").agg(F.collect_set("inst").alias("_insts"))

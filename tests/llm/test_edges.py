@@ -211,6 +211,25 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[50] == f"phone:{at}:{at + 12}" and got[51] == ""
 
 
+def test_unseen_identifiers_may_outnumber_seeds(spark):
+    """Twice as many unseen numbers as seeds of their pattern, and patterns that only accepted numbers support."""
+    rows = [(i, f"some words here please call hotline +1 555 010 2{i:03d} soon") for i in range(100)]
+    rows += [(1000 + i, f"some words here please call hotline 555-010-3{i:03d} soon") for i in range(200)]
+    rows += [(2000 + i, f"at night the reserve desk 555-010-3{i:03d} answers") for i in range(5)]
+    rows += [(3000, "at night the reserve desk 555-019-4444 answers"), (3001, "a lone note quotes number 555-019-5555 only")]
+    got = {r.doc_id: r.n_more for r in personal.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i] == 1 for i in range(200))
+    assert got[3000] == 1 and got[3001] == 0
+
+
+def test_patterns_need_believed_instances(spark):
+    """Four seeds and any number of unseen instances don't make a pattern count; five do."""
+    edges = [("phone", "a b", f"s{i}", True) for i in range(4)] + [("phone", "a b", f"u{i}", False) for i in range(50)]
+    edges += [("phone", "c d", f"t{i}", True) for i in range(5)] + [("phone", "c d", f"v{i}", False) for i in range(50)]
+    got = personal.bootstrap(spark.createDataFrame(edges, "kind string, pat string, inst string, seed boolean")).collect()
+    assert {r.inst for r in got} == {f"v{i}" for i in range(50)}
+
+
 def test_pairs_that_only_interactions_explain():
     """Two terms that are harmful together and harmless apart."""
     rng = np.random.default_rng(2)
