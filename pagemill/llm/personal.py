@@ -3,7 +3,7 @@
 Base spans are the well-formed e-mail addresses, IP addresses, card and phone numbers
 of a text.  They are the seeds of a bootstrap: the two words before a seed are a
 lexical pattern, and every identifier-like word behind that pattern is one of its
-instances.  Patterns and instances form a graph that Spark scores in rounds: a pattern
+instances, also in groups of digits with blanks between them.  Patterns and instances form a graph that Spark scores in rounds: a pattern
 by the number of its instances believed to be personal, an instance by the patterns
 that hold it.  Accepted instances are believed like seeds, and rounds go on until no
 instance is added.  Accepted instances are found wherever they stand.
@@ -33,7 +33,12 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A word with a digit or an @ that may be an identifier.
 LIKELY = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Characters before a span in which its pattern's words are looked for.
+#: Groups of digits with blanks between them, brackets and hyphens included; what stands between two groups, and
+#: the digits of an identifier in groups.
+GROUPS = r"(?<![0-9A-Za-z@_])(?<![0-9][.-])[0-9][0-9().-]*+(?![A-Za-z@_])(?:\x20[\x20()-]*+[0-9][0-9().-]*+(?![A-Za-z@_]))++"
+GAP = r"\x20[\x20()-]*+"
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+#: Characters of the text before a span in which its pattern's words are looked for.
 CONTEXT_CHARS = 64
 #: A pattern counts from this many different believed instances on, and an instance is accepted from this confidence on.
 MIN_SEEDS, MIN_CONFIDENCE = 5, 0.8
@@ -64,15 +69,29 @@ def running_sums(values: Column) -> Column:
     return let(values, lambda a: F.when(F.size(a) > 0, let(blocks(a), joined)).otherwise(F.array().cast("array<int>")))
 
 
+def _tails(pieces: Column) -> Column:
+    """The last CONTEXT_CHARS characters of each running concatenation of non-empty strings, by doubling."""
+    def level(t: Column, reach: int) -> Column:
+        if reach >= CONTEXT_CHARS:
+            return t
+        earlier = F.concat(F.array_repeat(F.lit(""), reach), F.slice(t, F.lit(1), F.greatest(F.size(t) - reach, F.lit(0))))
+        wider = F.zip_with(earlier, t, lambda x, y: F.right(F.concat(x, y), F.lit(CONTEXT_CHARS)))
+        return let(F.when(F.size(t) > reach, wider).otherwise(t), lambda w: level(w, 2 * reach))
+    return let(F.transform(pieces, lambda x: F.right(x, F.lit(CONTEXT_CHARS))), lambda t: level(t, 1))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` as (s, e, m, before): code points, end exclusive, and the text since the last match."""
+    """Matches of ``pattern`` as (s, e, m, before): code points, end exclusive, and the end of the text before the match."""
     steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                        lambda p, m: F.struct(p.alias("p"), m.alias("m"), F.length(p).alias("lp"), F.length(m).alias("lm")))
 
     def placed(all_steps: Column) -> Column:
         x = F.slice(all_steps, 1, F.size(all_steps) - 1)  # the last piece has no match behind it
-        return let(x, lambda steps: F.zip_with(steps, running_sums(F.transform(steps, lambda z: z["lp"] + z["lm"])), lambda z, e: F.struct(
-            (e - z["lm"]).alias("s"), e.alias("e"), z["m"].alias("m"), F.right(z["p"], F.lit(CONTEXT_CHARS)).alias("before"))))
+        return let(x, lambda steps: F.zip_with(
+            F.zip_with(steps, running_sums(F.transform(steps, lambda z: z["lp"] + z["lm"])), lambda z, e: F.struct(z.alias("z"), e.alias("e"))),
+            F.concat(F.array(F.lit("")), _tails(F.transform(F.slice(steps, 1, F.size(steps) - 1), lambda z: F.concat(z["p"], z["m"])))),
+            lambda y, t: F.struct((y["e"] - y["z"]["lm"]).alias("s"), y["e"].alias("e"), y["z"]["m"].alias("m"),
+                                  F.right(F.concat(t, F.right(y["z"]["p"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS)).alias("before"))))
 
     none = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
     return F.when(text.rlike(pattern), let(steps, placed)).otherwise(none)
@@ -130,17 +149,59 @@ def likely_kind(inst: Column) -> Column:
             .when(inst.rlike(r"^[+(]?[0-9][0-9().-]*$") & n.between(7, 11), F.lit("phone")))
 
 
+def number_of(inst: Column) -> Column:
+    """Groups of digits joined by hyphens, so that one number is one instance in any layout."""
+    return F.regexp_replace(F.regexp_replace(inst, "[^0-9]+", "-"), "^-|-$", "")
+
+
+def grouped_spans(z: Column) -> Column:
+    """Every two or more neighbouring groups of a match of GROUPS that have the digits of an identifier together."""
+    pieces = F.zip_with(F.split(z["m"], GAP, -1), F.regexp_extract_all(z["m"], F.lit(GAP), F.lit(0)), lambda g, gap: F.struct(
+        g.alias("g"), F.coalesce(gap, F.lit("")).alias("gap"), F.length(digits(g)).alias("n")))
+
+    def placed(x: Column) -> Column:
+        ends = running_sums(F.transform(x, lambda w: F.length(w["g"]) + F.length(w["gap"])))
+        both = F.zip_with(ends, running_sums(F.transform(x, lambda w: w["n"])), lambda e, c: F.struct(e.alias("e"), c.alias("c")))
+        return F.transform(F.zip_with(x, both, lambda w, y: F.struct(
+            w["g"].alias("g"), w["gap"].alias("gap"), (y["c"] - w["n"]).alias("before"), y["c"].alias("c"),
+            (y["e"] - F.length(w["g"]) - F.length(w["gap"])).alias("s"))), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+
+    def spans(q: Column) -> Column:
+        def of(first: Column) -> Column:
+            w, i = first["w"], first["i"]
+            # Every group has a digit, so later ones have too many digits.
+            ends = F.filter(F.slice(q, i + 2, F.lit(MOST_DIGITS - 1)),
+                            lambda v: (v["w"]["c"] - w["before"]).between(LEAST_DIGITS, MOST_DIGITS))
+            words = F.array_join(F.transform(F.slice(q, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))),
+                                             lambda v: F.concat(v["w"]["g"], v["w"]["gap"])), "")
+            pat = pattern_of(F.concat(F.when(i <= 2, z["before"]).otherwise(" "), words))
+
+            def span(v: Column) -> Column:
+                number = number_of(F.array_join(F.transform(F.slice(q, i + 1, v["i"] - i + 1), lambda u: u["w"]["g"]), " "))
+                end = z["s"] + v["w"]["s"] + F.length(F.regexp_replace(v["w"]["g"], "[^0-9]+$", ""))
+                return let(number, lambda n: F.struct(likely_kind(n).alias("kind"), (z["s"] + w["s"]).alias("s"), end.alias("e"),
+                                                      n.alias("inst"), pat.alias("pat")))
+            return F.transform(ends, span)
+        return F.flatten(F.transform(q, of))
+    return let(pieces, lambda x: let(placed(x), spans)).cast(SPAN)
+
+
 def likely_spans(text: Column, base: Column) -> Column:
-    """Identifier-like words that touch no base span."""
+    """Identifier-like words, and groups of digits with blanks between them, that touch no base span."""
     def span(z: Column) -> Column:
-        return let(instance_of(z["m"]), lambda i: let(F.instr(F.lower(z["m"]), i) - 1, lambda o: F.struct(
-            likely_kind(i).alias("kind"), (z["s"] + F.greatest(o, F.lit(0))).alias("s"),
-            (z["s"] + F.greatest(o, F.lit(0)) + F.length(i)).alias("e"), i.alias("inst"), pattern_of(z["before"]).alias("pat"))))
-    found = F.transform(located(text, LIKELY), span).cast(SPAN)
+        return let(instance_of(z["m"]), lambda i: let(F.instr(F.lower(z["m"]), i) - 1, lambda o: let(likely_kind(i), lambda kind: F.struct(
+            kind.alias("kind"), (z["s"] + F.greatest(o, F.lit(0))).alias("s"), (z["s"] + F.greatest(o, F.lit(0)) + F.length(i)).alias("e"),
+            F.when(kind.isin("card", "phone"), number_of(i)).otherwise(i).alias("inst"), pattern_of(z["before"]).alias("pat")))))
+    found = F.concat(F.transform(located(text, LIKELY), span).cast(SPAN), F.flatten(F.transform(located(text, GROUPS), grouped_spans)))
     typed = F.filter(found, lambda z: z["kind"].isNotNull())
     return F.filter(typed, lambda z: ~F.exists(base, lambda b: (b["s"] < z["e"]) & (z["s"] < b["e"])))
 
 
+def widest(spans: Column) -> Column:
+    """The spans that lie in no wider one."""
+    return F.filter(spans, lambda z: ~F.exists(spans, lambda y: (y["s"] <= z["s"]) & (z["e"] <= y["e"]) & (y["e"] - y["s"] > z["e"] - z["s"])))
+
+
 # -- bootstrap ------------------------------------------------------------------
 def found_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, likely) of every document; ``row`` numbers the written rows."""
@@ -209,7 +270,7 @@ def personal_spans(docs: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     found = found_spans(docs)
     accepted = bootstrap(graph(found), min_seeds)
     likely = found.select("row", F.explode("likely").alias("z")).select("row", "z", "z.kind", "z.inst")
-    more = likely.join(accepted, ["kind", "inst"]).groupBy("row").agg(F.collect_list("z").alias("more"))
+    more = likely.join(accepted, ["kind", "inst"]).groupBy("row").agg(widest(F.collect_list("z")).alias("more"))
     return found.select("row", "doc_id", "base").join(more, "row", "left").withColumn(
         "more", F.coalesce("more", F.array().cast(SPAN)))
 

@@ -222,6 +222,35 @@ def test_unseen_identifiers_may_outnumber_seeds(spark):
     assert got[3000] == 1 and got[3001] == 0
 
 
+def test_identifiers_in_groups_and_behind_numbers(spark):
+    """Numbers written with blanks are one candidate; a number among the words before is part of the pattern."""
+    texts = [f"some words here please call hotline +1 555 010 2{i:03d} soon" for i in range(12)]
+    texts += [f"in room {i} hotline +1 555 010 4{i:03d} soon" for i in range(10, 20)] + [f"paid by the card 4111 1111 1111 1111 in {i}" for i in range(3)]
+    texts += [f"paid by the card {n} today" for n in ("4012 8888 8888 1881", "5555 5555 5555 4444", "3782 8224 6310 0005 ", "6011 1111 1111 1117", "4222 2222 2222 2220")]
+    plain = {50: "please call hotline (743) 555-3824 soon", 51: "paid by the card 4111 1111 1111 1112 today", 52: "in room 12 hotline 555-010-9999, or",
+             53: "\U0001F600 a b 7 x (743)555-3824 y", 54: "of 1999 2000 pages", 55: "1 2 3 4 5 6 7 8 " * 400}
+    rows = list(enumerate(texts, 100)) + list(plain.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal.extract(df).collect()}
+
+    def span(d, part, kind):
+        at = plain[d].index(part)
+        return f"{kind}:{at}:{at + len(part)}"
+    assert got[50] == span(50, "743) 555-3824", "phone") and got[51] == span(51, "4111 1111 1111 1112", "card")
+    assert got[52] == span(52, "555-010-9999", "phone") and got[53] == span(53, "743)555-3824", "phone")
+    assert got[54] == got[55] == ""
+    clean = {r.doc_id: r.text for r in personal.redact(df).collect()}
+    assert clean[50] == "please call hotline ([PHONE] soon" and clean[51] == "paid by the card [CARD] today"
+
+
+def test_contexts_are_the_end_of_the_whole_text_before(spark):
+    from pyspark.sql import functions as F
+    text = "é1 " + " ".join(f"{'w' * (i % 5)}{i}" for i in range(150)) + " " + "long " * 40 + "7 8"
+    found = spark.range(1).select(personal.located(F.lit(text), personal.LIKELY).alias("z")).head().z
+    assert len(found) == 153
+    assert all(z.before == text[:z.s][-personal.CONTEXT_CHARS:] and z.m == text[z.s:z.e] for z in found)
+
+
 def test_patterns_need_believed_instances(spark):
     """Four seeds and any number of unseen instances don't make a pattern count; five do."""
     edges = [("phone", "a b", f"s{i}", True) for i in range(4)] + [("phone", "a b", f"u{i}", False) for i in range(50)]
