@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, at most; taken by hash order of doc_id.
 TRAIN_ROWS = 12_000
-#: Hash buckets of terms; a bucket needs this many training documents, and this share of them, to get weights.
-TERMS, MIN_DOCS, MIN_SHARE = 1 << 18, 3, 0.0015
+#: Hash buckets of terms; a bucket needs this many training documents to get a weight.
+TERMS, MIN_DOCS = 1 << 18, 3
 FACTORS, STEPS = 8, 800
 RATE, L2_FACTOR = 1.0, 5e-3
-MIN_Z, PENALTY_Z = 5.0, 0.02
+MIN_Z, PENALTY_Z, CHANCE_Z = 5.0, 0.02, 3.0
 CACHE_WORDS = 1_000_000
 # Characters stripped from both ends of a word.
 EDGES = b".,!?:;|#*$%&<>()[]{}\"'`~_-+=/\\"
@@ -75,10 +75,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
     """Proximal gradient steps on the logistic loss.
 
-    Texts hold thousands of terms that mean nothing here, so a term takes part only if
-    its share of positive documents is ``MIN_Z`` standard deviations from the overall
-    share.  A linear weight also pays a penalty of ``PENALTY_Z`` deviations of its own
-    gradient, which keeps weights of chance associations at 0; factors pay a square one.
+    Every term of ``MIN_DOCS`` documents has a linear weight, which pays a penalty in
+    deviations of its own gradient: ``CHANCE_Z`` of them, which keeps weights of chance
+    associations at 0, or ``PENALTY_Z`` if the term's share of positive documents is
+    ``MIN_Z`` standard deviations from the overall share.  Only the latter terms have
+    factors, which pay a square penalty.
     """
     rng = np.random.default_rng(seed)
     rows = len(bags)
@@ -91,30 +92,35 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Factorizat
     seen = np.bincount(ids, minlength=TERMS)
     spread = np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     z = (np.bincount(ids, weights=labels[row], minlength=TERMS) - seen * share) / spread
-    used = np.flatnonzero((seen >= max(MIN_DOCS, MIN_SHARE * rows)) & (np.abs(z) >= MIN_Z))
+    used = np.flatnonzero(seen >= MIN_DOCS)
+    # Terms with factors first.
+    used = used[np.argsort(np.abs(z[used]) < MIN_Z, kind="stable")]
+    strong = int((np.abs(z[used]) >= MIN_Z).sum())
     dense = np.full(TERMS, -1)
     dense[used] = np.arange(len(used))
     take = dense[ids] >= 0
     ids, row = dense[ids[take]], row[take]
-    penalty = PENALTY_Z * spread[used]
-    w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS))
+    paired = ids < strong
+    fids, frow = ids[paired], row[paired]
+    penalty = np.where(np.arange(len(used)) < strong, PENALTY_Z, CHANCE_Z) * spread[used]
+    w, v = np.zeros(len(used)), rng.normal(0, 0.05, (strong, FACTORS))
     gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
     for _ in range(STEPS):
-        vi = v[ids]
-        sums = np.stack([np.bincount(row, weights=vi[:, f], minlength=rows) for f in range(FACTORS)], axis=1)
-        squares = np.bincount(row, weights=(vi ** 2).sum(axis=1), minlength=rows)
+        vi = v[fids]
+        sums = np.stack([np.bincount(frow, weights=vi[:, f], minlength=rows) for f in range(FACTORS)], axis=1)
+        squares = np.bincount(frow, weights=(vi ** 2).sum(axis=1), minlength=rows)
         margin = bias + np.bincount(row, weights=w[ids], minlength=rows) + ((sums ** 2).sum(axis=1) - squares) / 2
         error = sigmoid(margin) - labels
         dw = np.bincount(ids, weights=error[row], minlength=len(used))
-        each = error[row][:, None] * (sums[row] - vi)
-        dv = np.stack([np.bincount(ids, weights=each[:, f], minlength=len(used)) for f in range(FACTORS)], axis=1) + L2_FACTOR * rows * v
+        each = error[frow][:, None] * (sums[frow] - vi)
+        dv = np.stack([np.bincount(fids, weights=each[:, f], minlength=strong) for f in range(FACTORS)], axis=1) + L2_FACTOR * rows * v
         gb, gw, gv = gb + error.sum() ** 2, gw + dw ** 2, gv + dv ** 2
         bias -= RATE * error.sum() / np.sqrt(gb)
         step = RATE / np.sqrt(gw)
         w = w - step * dw
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         v = v - RATE * dv / np.sqrt(gv)
-    weight[used], factor[used] = w, v
+    weight[used], factor[used[:strong]] = w, v
     return FactorizationMachine(float(bias), weight, factor)
 
 

@@ -271,3 +271,17 @@ def test_pairs_that_only_interactions_explain():
     def margin(*ids):
         return model.margins(np.array(ids), np.array([0]))[0]
     assert margin(1, 2) > 0 > max(margin(1), margin(2), margin(150))
+
+
+def test_rare_insults_have_weights():
+    """A term in 12 of 12,000 documents, all of them toxic, is enough by itself."""
+    rng = np.random.default_rng(3)
+    bags, marks = [], []
+    for i in range(12_000):
+        terms = set((100 + rng.zipf(1.3, 20) % 5000).tolist())
+        bags.append(np.array(sorted(terms | ({1} if i < 12 else set()))))
+        marks.append(float(i < 12 or rng.random() < 0.11))
+    model = toxicity.fit(bags, np.array(marks))
+    def margin(*ids):
+        return model.margins(np.array(ids), np.array([0]))[0]
+    assert margin(1) > 0 > margin(99) and np.mean(model.weight[100:5100] != 0) < 0.02
