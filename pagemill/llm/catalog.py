@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import embeddings, minhash, mixing, packing, personal, quality, rules, sharding, suffixes, toxicity
+from pagemill.llm import alignment, embeddings, minhash, mixing, packing, personal, quality, rules, sharding, suffixes, toxicity
 from pagemill.llm.common import table
 
 QUERIES: dict = {}
@@ -16,11 +16,17 @@ def query(fn):
 
 
 def tokenizer_path() -> str:
-    """The public byte-level vocabulary that the packing query uses."""
+    """The public byte-level vocabulary of the packing and alignment queries."""
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The public sentence-piece vocabulary of the alignment query."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of at most 2,048 tokens."""
@@ -79,3 +85,9 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data spans of every document."""
     return personal.extract(table(spark, sf, "documents"))
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups, links and pair counts of every document under two tokenizers."""
+    return alignment.align_corpus(table(spark, sf, "documents"), tokenizer_path(), piece_model_path())
