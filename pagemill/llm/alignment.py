@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import materialise
 
 #: Characters of text that a worker aligns at once (a longer text is aligned by itself).
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 #: Windows and words that a worker remembers.
-CACHE_WINDOWS, CACHE_WORDS = 400_000, 400_000
+CACHE_WINDOWS, CACHE_WORDS = 200_000, 300_000
 #: The pair counts are broadcast up to so many rows of 17 bytes; larger ones are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
@@ -128,6 +128,15 @@ class PieceTokenizer(Tokenizer):
         return self.model.encode(text)
 
 
+#: Groups, groups as text, linked pairs as 64-bit bytes.
+Solved = tuple[int, bytes, bytes]
+#: Ids of a, ids of b, and the alignment.
+Aligned = tuple[int, int, int, bytes, bytes]
+#: A unit that either side doesn't give back, and the alignment of a text without tokens.
+BAD: Aligned = (0, 0, 0, b"", b"")
+NOTHING = (0, 0, 0, b"", np.zeros(0, dtype=np.int64))
+
+
 def _u4(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, dtype="<u4").astype(np.int64)
 
@@ -141,48 +150,10 @@ class Aligner:
         self.said_a, self.said_b = (
             (np.array([[b"%d%c" % (i, c) for i in range(len(t.tokens))] for c in seps], dtype=object),
              np.array([len(str(i)) + 1 for i in range(len(t.tokens))])) for t, seps in ((self.a, b",|"), (self.b, b",;")))
-        #: Word -> its ids on both sides.
-        self.words: dict[str, tuple[bytes | None, bytes | None]] = {}
-        #: (a ids, b ids) of a window -> (groups as text, number of groups, linked pairs)
-        self.windows: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
-
-    def tokenise(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids of all texts, how many of each) for both tokenizers; none if either side doesn't give a text back."""
-        # Both put a word's space in front of it: without white space behind a space, words are independent.
-        by_word = self.a.by_word and self.b.by_word
-        whole = np.array([bool(t) and not (by_word and not _LOOSE_SPACE.search(" " + t)) for t in texts], dtype=bool)
-        lists = pc.split_pattern(pa.array([None if w else t or None for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
-        counts = np.where(whole, 1, pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-        words = lists.flatten().dictionary_encode()
-        units, unit = words.dictionary.to_pylist(), words.indices.to_numpy()
-        ids = self._word_ids(units)
-        # A text that isn't cut at its spaces is one unit.
-        rest = np.flatnonzero(whole)
-        unit = np.insert(unit, (np.cumsum(counts) - counts - np.cumsum(whole) + whole)[rest], len(ids) + np.arange(len(rest)))
-        ids += [(self.a.encode(texts[i]), self.b.encode(texts[i])) for i in rest.tolist()]
-        text = np.repeat(np.arange(len(texts)), counts)
-        bad = np.zeros(len(texts), dtype=bool)
-        bad[text[np.array([None in i for i in ids] + [False], dtype=bool)[unit]]] = True
-        unit, text = unit[~bad[text]], text[~bad[text]]
-        out = []
-        for side in (0, 1):
-            flat = [i[side] or b"" for i in ids]
-            size = np.array([len(x) // 4 for x in flat] + [0], dtype=np.int64)
-            tokens = _u4(b"".join(flat))[_ranges((np.cumsum(size) - size)[unit], size[unit])]
-            out.append((tokens, np.bincount(text, weights=size[unit], minlength=len(texts)).astype(np.int64)))
-        return out
-
-    def _word_ids(self, words: list[str]) -> list[tuple[bytes | None, bytes | None]]:
-        """Ids of different words on both sides, remembered or worked out together."""
-        got = list(map(self.words.get, words))
-        new = [w for w, i in zip(words, got, strict=True) if i is None]
-        if new:
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.words.clear()
-            learnt = iter(found := list(zip(self.a.encode_words(new), self.b.encode_words(new), strict=True)))
-            self.words.update(zip(new, found, strict=True))
-            got = [next(learnt) if i is None else i for i in got]
-        return got
+        #: Word -> its tokens and alignment.
+        self.words: dict[str, Aligned] = {}
+        #: (a ids, b ids) of a window -> its alignment.
+        self.windows: dict[tuple[bytes, bytes], Solved] = {}
 
     def _cuts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What ends at every byte where a token ends: 1 for a, 2 for b, 3 for both."""
@@ -203,8 +174,8 @@ class Aligner:
         anchor = spaced | last[in_a]
         return in_a[anchor], in_b[anchor]
 
-    def solve(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, int, bytes]]:
-        """(groups as text, number of groups, linked pairs as 64-bit bytes) of each window."""
+    def solve(self, windows: list[tuple[bytes, bytes]]) -> list[Solved]:
+        """Alignment of each window."""
         a, b = (_u4(b"".join([w[i] for w in windows])) for i in (0, 1))
         kind = self._cuts(a, b)
         in_a, in_b = np.cumsum(kind & 1, dtype=np.int64), np.cumsum(kind >> 1, dtype=np.int64)
@@ -226,14 +197,14 @@ class Aligner:
         text_end = ends[behind_a[group] + behind_b[group] - 1].tolist()
         out, t, g, s = [], 0, 0, 0
         for te, ge, le in zip(text_end, (group + 1).tolist(), (shared[group] + 1).tolist(), strict=True):
-            out.append((text[t:te - 1], ge - g, pairs[8 * s:8 * le]))
+            out.append((ge - g, text[t:te - 1], pairs[8 * s:8 * le]))
             t, g, s = te, ge, le
         return out
 
-    def _solved(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, int, bytes]]:
+    def _solved(self, keys: list[tuple[bytes, bytes]]) -> list[Solved]:
         """Alignments of windows, looked up or worked out together."""
         known = self.windows
-        missing = [k for k in keys if k not in known]
+        missing = list(dict.fromkeys(k for k in keys if k not in known))
         if missing:
             if len(known) + len(missing) > CACHE_WINDOWS:
                 known.clear()
@@ -241,29 +212,74 @@ class Aligner:
             known.update(zip(missing, self.solve(missing), strict=True))
         return [known[k] for k in keys]
 
-    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, bytes, np.ndarray]]:
-        """(ids of a, ids of b, groups, groups as text, linked pairs) of each text."""
-        (a, n_a), (b, n_b) = self.tokenise(texts)
-        if not len(a):
-            return [(0, 0, 0, b"", a)] * len(texts)
+    def _aligned(self, a: list[bytes | None], b: list[bytes | None]) -> list[Aligned]:
+        """Alignments of texts by their ids on both sides (None: not given back)."""
+        good = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
+        all_a, all_b = (b"".join([x for x, ok in zip(side, good, strict=True) if ok]) for side in (a, b))
+        n_a, n_b = (np.array([len(x) // 4 if ok else 0 for x, ok in zip(side, good, strict=True)], dtype=np.int64) for side in (a, b))
+        if not all_a:
+            return [BAD] * len(a)
         ends = np.cumsum(n_a)
-        cut_a, cut_b = self.split(a, b, ends[n_a > 0])
-        first, same = _equal_windows(a, b, cut_a, cut_b)
-        all_a, all_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        from_a, from_b = np.concatenate([[0], cut_a])[first], np.concatenate([[0], cut_b])[first]
-        keys = [(all_a[i:j], all_b[k:m]) for i, j, k, m in
-                zip((4 * from_a).tolist(), (4 * cut_a[first]).tolist(), (4 * from_b).tolist(), (4 * cut_b[first]).tolist(), strict=True)]
+        cut_a, cut_b = self.split(_u4(all_a), _u4(all_b), ends[n_a > 0])
+        places = zip((4 * cut_a).tolist(), (4 * cut_b).tolist(), strict=True)
+        keys, i, j = [], 0, 0
+        for k, m in places:
+            keys.append((all_a[i:k], all_b[j:m]))
+            i, j = k, m
         solved = self._solved(keys)
-        said = np.array([x[0] for x in solved], dtype=object)[same]
-        size = np.array([len(x[2]) // 8 for x in solved], dtype=np.int64)
-        pairs = np.frombuffer(b"".join([x[2] for x in solved]), dtype="<i8")[_ranges((np.cumsum(size) - size)[same], size[same])]
-        links = np.concatenate([[0], np.cumsum(size[same])])
-        groups = np.concatenate([[0], np.cumsum(np.array([x[1] for x in solved])[same])])
-        upto = np.searchsorted(cut_a, ends, "right")
-        start = np.concatenate([[0], upto[:-1]])
-        return [(x, y, g, b";".join(said[w:u].tolist()), pairs[i:j]) if x else (0, 0, 0, b"", pairs[:0]) for x, y, g, w, u, i, j in
-                zip(n_a.tolist(), n_b.tolist(), (groups[upto] - groups[start]).tolist(), start.tolist(), upto.tolist(),
-                    links[start].tolist(), links[upto].tolist(), strict=True)]
+        out, w = [], 0
+        for x, y, u in zip(n_a.tolist(), n_b.tolist(), np.searchsorted(cut_a, ends, "right").tolist(), strict=True):
+            if not x:
+                out.append(BAD)
+                continue
+            own = solved[w:u]
+            out.append((x, y, *(own[0] if len(own) == 1 else
+                                (sum(o[0] for o in own), b";".join([o[1] for o in own]), b"".join([o[2] for o in own])))))
+            w = u
+        return out
+
+    def _of_words(self, words: list[str]) -> list[Aligned]:
+        """Alignments of different words, remembered or worked out together."""
+        got = list(map(self.words.get, words))
+        new = [w for w, x in zip(words, got, strict=True) if x is None]
+        if new:
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.words.clear()
+            found = self._aligned(self.a.encode_words(new), self.b.encode_words(new))
+            self.words.update(zip(new, found, strict=True))
+            rest = iter(found)
+            got = [next(rest) if x is None else x for x in got]
+        return got
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, bytes, np.ndarray]]:
+        """(ids of a, ids of b, groups, groups as text, linked pairs) of each text; nothing for a
+        text that is empty or that either side doesn't give back."""
+        # Both put a word's space in front of it: without white space behind a space, words are
+        # independent, and a space-marked token starts at each of them and nowhere else.
+        by_word = self.a.by_word and self.b.by_word
+        whole = np.array([bool(t) and not (by_word and not _LOOSE_SPACE.search(" " + t)) for t in texts], dtype=bool)
+        lists = pc.split_pattern(pa.array([None if w else t or None for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        counts = np.where(whole, 1, pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        words = lists.flatten().dictionary_encode()
+        units, unit = self._of_words(words.dictionary.to_pylist()), words.indices.to_numpy()
+        # A text that isn't cut at its spaces is one unit.
+        rest = np.flatnonzero(whole)
+        unit = np.insert(unit, (np.cumsum(counts) - counts - np.cumsum(whole) + whole)[rest], len(units) + np.arange(len(rest)))
+        loose = [texts[i] for i in rest.tolist()]
+        units += self._aligned([self.a.encode(t) for t in loose], [self.b.encode(t) for t in loose])
+        if not units:
+            return [NOTHING] * len(texts)
+
+        end = np.cumsum(counts)
+        start = end - counts
+        size = np.array([len(u[4]) // 8 for u in units], dtype=np.int64)
+        pairs = np.frombuffer(b"".join([u[4] for u in units]), dtype="<i8")[_ranges((np.cumsum(size) - size)[unit], size[unit])]
+        said = np.array([u[3] for u in units], dtype=object)[unit]
+        n_a, n_b, groups, links, bad = (np.concatenate([[0], np.cumsum(x[unit])]) for x in (
+            *(np.array([u[i] for u in units], dtype=np.int64) for i in range(3)), size, np.array([u is BAD for u in units], dtype=np.int64)))
+        return [(x, y, g, b";".join(said[i:j].tolist()), pairs[k:m]) if x and not wrong else NOTHING for x, y, g, wrong, i, j, k, m in
+                zip(*(x.tolist() for x in (n_a[end] - n_a[start], n_b[end] - n_b[start], groups[end] - groups[start], bad[end] - bad[start],
+                                           start, end, links[start], links[end])), strict=True)]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -272,31 +288,6 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
-def _equal_windows(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first window of every kind, and the kind of each window: equal ids on both sides.
-
-    Windows are grouped by a hash of their ids, and then compared with the first of their group.
-    """
-    key = np.zeros(len(cut_a), dtype=np.uint64)
-    sides = [(x, np.concatenate([[0], cut[:-1]]), cut) for x, cut in ((a, cut_a), (b, cut_b))]
-    for x, start, end in sides:
-        at = np.arange(len(x)) - np.repeat(start, end - start)  # place in the window
-        mixed = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(29)
-        key = key * np.uint64(0xD6E8FEB86659FD93) + np.add.reduceat(mixed, start)
-    _, first, same = np.unique(key, return_index=True, return_inverse=True)
-    for x, start, end in sides:
-        size, own = end - start, first[same]
-        equal = (size == size[own]).all()
-        if equal:
-            at = np.arange(len(x)) - np.repeat(start, size)
-            equal = (x == x[np.repeat(start[own], size) + at]).all()
-        if not equal:  # two kinds share a hash: no window is grouped
-            return np.arange(len(cut_a)), np.arange(len(cut_a))
-    return first, same
-
-
 @functools.lru_cache(maxsize=2)
 def aligner(byte_path: str, piece_path: str) -> Aligner:
     """One per worker process, kept between its tasks."""

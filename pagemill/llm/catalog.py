@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import alignment, embeddings, minhash, mixing, packing, personal, quality, rules, sharding, suffixes, toxicity
+from pagemill.llm import alignment, clusters, embeddings, minhash, mixing, packing, personal, phrases, quality, rules, sharding, suffixes, toxicity
 from pagemill.llm.common import table
 
 QUERIES: dict = {}
@@ -91,3 +91,15 @@ def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Groups, links and pair counts of every document under two tokenizers."""
     return alignment.align_corpus(table(spark, sf, "documents"), tokenizer_path(), piece_model_path())
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after five exact rounds."""
+    return clusters.cluster_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document that lie in windows of the benchmark, and the items they are from."""
+    return phrases.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
