@@ -13,6 +13,7 @@ import sys
 from pyspark.sql import DataFrame
 
 from pagemill import schemas
+from pagemill.operators import issues as I
 from pagemill.plans import jobs
 from pagemill.session import get_session
 from pagemill.sources import landed as A
@@ -89,6 +90,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("output")
     s.add_argument("checkpoint")
     s.add_argument("--base-url", required=True)
+    s.add_argument("--errors", help="folder of the records that can't be read (default: OUTPUT_errors)")
     s.add_argument("--continuous", action="store_true", help="keep running instead of draining what is there")
     s = sub.add_parser("stream-rate-flags", help="T3: flag events of a landed Parquet event stream")
     s.add_argument("source")
@@ -99,6 +101,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--limit", type=int, required=True)
     s.add_argument("--window-seconds", type=int, required=True)
     s.add_argument("--max-files", type=int, default=100, help="event files per micro-batch")
+    s.add_argument("--late", help="folder of the events behind the watermark, written when the stream ends (default: OUTPUT_late)")
     s.add_argument("--continuous", action="store_true")
     return p
 
@@ -117,35 +120,39 @@ def main(argv=None) -> int:
                           not args.no_attachments, not args.no_comments, args.format)
         out = {"page": args.page_id}
     elif c == "extract-project":
-        jobs.extract_project(spark, _read(spark, args.issues, schemas.ISSUE), args.project_key, args.output_dir,
+        jobs.extract_project(spark, I.read_issues(spark, args.issues, _fmt(args.issues)), args.project_key, args.output_dir,
                              args.max_results, args.format)
         out = {"project": args.project_key}
     elif c == "extract-issue":
         att, cmt = _children(spark, args)
-        jobs.extract_issue(spark, _read(spark, args.issues, schemas.ISSUE), args.issue_key, args.output_dir, cmt, att,
+        jobs.extract_issue(spark, I.read_issues(spark, args.issues, _fmt(args.issues)), args.issue_key, args.output_dir, cmt, att,
                            not args.no_comments, not args.no_attachments, args.format)
         out = {"issue": args.issue_key}
     elif c == "analyze-sprint":
-        from pagemill.operators import issues as I
-        issues = _read(spark, args.issues, schemas.ISSUE)
+        issues = I.read_issues(spark, args.issues, _fmt(args.issues))
         sprints = _read(spark, args.sprints, schemas.SPRINT) if args.sprints else I.sprints(issues)
         out = jobs.analyze_sprint(spark, issues, sprints, args.project_key, args.sprint_name, args.output_dir, _children(spark, args)[1])
     elif c == "batch-process":
-        issues = _read(spark, args.issues, schemas.ISSUE) if args.issues else None
+        issues = I.read_issues(spark, args.issues, _fmt(args.issues)) if args.issues else None
         out = jobs.batch_process(spark, args.input_file, args.output_dir, _read(spark, args.pages, schemas.PAGE), issues)
     elif c == "stream-pages":
         from pagemill.streaming import pages as SP
         q = SP.start_processing(spark, args.source, args.output, args.checkpoint, args.base_url,
                                 available_now=not args.continuous)
+        errors = args.errors or args.output.rstrip("/") + "_errors"
+        dead = SP.start_dead_letters(spark, args.source, errors, args.checkpoint.rstrip("/") + "_errors", available_now=not args.continuous)
         q.awaitTermination()
-        out = {"stream": "pages", "output": args.output}
+        dead.awaitTermination()
+        out = {"stream": "pages", "output": args.output, "errors": errors}
     elif c == "stream-rate-flags":
         from pagemill.streaming import rate as SR
         schema = spark.read.parquet(args.source).schema  # from the landed files' footers
         q = SR.start_rate_flags(spark, args.source, schema, args.output, args.checkpoint, args.key, args.ts,
                                 args.limit, args.window_seconds, available_now=not args.continuous, max_files=args.max_files)
         q.awaitTermination()
-        out = {"stream": "rate-flags", "output": args.output}
+        late = args.late or args.output.rstrip("/") + "_late"
+        SR.write_late_events(spark, args.source, schema, args.output, late)
+        out = {"stream": "rate-flags", "output": args.output, "late": late}
     else:
         out = jobs.batch_summary(spark, args.output_dir, args.report_dir)
         for name in ("file_types", "processing_errors"):

@@ -8,14 +8,18 @@ built from the same operators as the page side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill import schemas
 from pagemill.functions.text import iso_format
 from pagemill.functions.udf import clean_text
+from pagemill.operators.median import exact_medians
 from pagemill.operators.pages import nest
+from pagemill.sources import landed as A
 
 DONE_STATUS = "Done"
+MICROS_PER_DAY = 86_400 * 1_000_000
 COMMENT_ARRAY = "array<struct<id:string,author:string,created:string,content:string>>"
 ATTACHMENT_ARRAY = "array<struct<id:string,filename:string,size:bigint,media_type:string>>"
 CHANGE_ARRAY = "array<struct<author:string,created:string,field:string,from:string,to:string>>"
@@ -23,6 +27,31 @@ LINK_ARRAY = "array<struct<type:string,key:string>>"
 SUMMARY_DIMENSIONS = ("type", "status", "priority", "assignee")
 
 
+def read_issues(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """A7 / A8 source: landed issues with the fixed columns (``ISSUE``), and from JSON lines the
+    whole record as the VARIANT column ``record``.
+
+    The fixed columns are what the operators use; a field that no column names, at any
+    depth, is still in the record.  A fixed column of another type is null, and a line that
+    is no JSON has null columns, so no project has it; ``broken_issues`` lists both.
+    """
+    if fmt != "json":
+        return spark.read.schema(schemas.ISSUE).format(fmt).load(path)
+    return A.typed(A.read_records(spark, path), schemas.ISSUE)
+
+
+def broken_issues(issues: DataFrame) -> DataFrame:
+    """P10 for ``read_issues``: lines that can't be read (error_type, raw, source_file)."""
+    kind = F.when(F.col("problem") == "json", A.NOT_JSON).otherwise(A.WRONG_TYPE)
+    return issues.filter(F.col("problem").isNotNull()).select(kind.alias("error_type"), "raw", "source_file")
+
+
+def raw_rows(issues: DataFrame) -> DataFrame:
+    """K2 / K6: issues for the raw sinks, the fixed columns and the record as it came."""
+    extra = ["record"] if "record" in issues.columns else []
+    return issues.select(*schemas.ISSUE.names, *extra)
+
+
 def project_issues(issues: DataFrame, project_key: str, max_results: int | None = None,
                    jql: str | None = None) -> DataFrame:
     """A7 (+ F4): a project's issues; with ``max_results`` (L1) the first so many
@@ -124,24 +153,25 @@ def project_summary(issues: DataFrame, by_project: bool = True) -> DataFrame:
 
 
 def sprint_metrics(issues: DataFrame) -> DataFrame:
-    """G9 per (project, sprint): issues, done, done rate, mean and median
-    days from created to updated, comments per issue.
+    """G9 per (project, sprint): issues, done, done rate, mean and median days from created to
+    updated, comments per issue.
 
-    Ages are whole days (``datediff``), so the exact median (``percentile``)
-    keeps a partial state of at most one entry per distinct day count - a
-    hard bound that does not grow with the group.
-    ``n_comments`` per issue is used when present (from J-2's child summary).
+    Ages are real durations, to the microsecond, in days.  The median is exact and comes
+    from ``exact_medians``, which gathers no group; issues without one of the times have no
+    age.  ``n_comments`` per issue is used when present (from J-2's child summary).
     """
     df = issues
     n_comments = F.coalesce(F.col("n_comments"), F.lit(0)) if "n_comments" in df.columns else F.lit(0)
-    days = F.datediff("updated", "created")
+    age = F.unix_micros(F.col("updated").cast("timestamp")) - F.unix_micros(F.col("created").cast("timestamp"))
     g = df.groupBy("project", "sprint").agg(
         F.count(F.lit(1)).alias("n_issues"),
         F.count_if(F.col("status") == DONE_STATUS).alias("n_done"),
-        F.avg(days).alias("mean_days"),
-        F.percentile(days, 0.5).cast("double").alias("median_days"),
+        F.avg(age / MICROS_PER_DAY).alias("mean_days"),
         F.sum(n_comments).cast("long").alias("n_comments"),
     )
+    medians = exact_medians(df, ["project", "sprint"], age).select(
+        F.col("project").alias("_p"), F.col("sprint").alias("_s"), (F.col("median") / MICROS_PER_DAY).alias("median_days"))
+    g = g.join(medians, g["project"].eqNullSafe(medians["_p"]) & g["sprint"].eqNullSafe(medians["_s"]), "left")
     return g.select("project", "sprint", "n_issues", "n_done",
                     (F.col("n_done") / F.col("n_issues")).alias("done_rate"),
                     F.round("mean_days", 6).alias("mean_days"), "median_days",

@@ -31,10 +31,10 @@ def metadata(df: DataFrame, source: str = SOURCE):
     )
 
 
-def process_attachments(att_rows: DataFrame) -> DataFrame:
-    """Keep ``id, filename, size, media_type`` (title and url dropped)."""
+def process_attachments(att_rows: DataFrame, keep=()) -> DataFrame:
+    """Keep ``id, filename, size, media_type`` (title and url dropped), and the columns ``keep``."""
     return att_rows.select(
-        "page_id", "pos",
+        "page_id", "pos", *keep,
         F.coalesce("id", F.lit("")).alias("id"),
         F.coalesce("filename", F.lit("")).alias("filename"),
         F.coalesce("size", F.lit(0)).cast("long").alias("size"),
@@ -42,11 +42,11 @@ def process_attachments(att_rows: DataFrame) -> DataFrame:
     )
 
 
-def clean_comments(comment_rows: DataFrame) -> DataFrame:
+def clean_comments(comment_rows: DataFrame, keep=()) -> DataFrame:
     """Comment rows with cleaned content; other fields default to ``""``.
     Each comment is its own row, so no large nested array crosses into Python."""
     return comment_rows.select(
-        "page_id", "pos",
+        "page_id", "pos", *keep,
         F.coalesce("id", F.lit("")).alias("id"),
         F.coalesce("author", F.lit("")).alias("author"),
         F.coalesce("created", F.lit("")).alias("created"),

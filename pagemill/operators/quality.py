@@ -4,7 +4,7 @@ aggregates (map-side partials, one tiny final merge)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
@@ -63,34 +63,45 @@ def page_scores(df: DataFrame, key: str = "id", content_col: str = "content") ->
     )
 
 
+def quality_state(scores: DataFrame, *by: str) -> DataFrame:
+    """G3, partial: count, sum, min and max of each score, one row (or one per ``by``).
+
+    States of parts of a corpus are merged by ``merge_states``, in any order and grouping."""
+    aggs = [F.count(F.lit(1)).alias("n_pages")]
+    for s in SCORES:
+        aggs += [F.count(s).alias(f"n_{s}"), F.sum(s).alias(f"sum_{s}"), F.min(s).alias(f"min_{s}"), F.max(s).alias(f"max_{s}")]
+    return scores.groupBy(*by).agg(*aggs)
+
+
 def corpus_quality(scores: DataFrame, digits: int | None = 6) -> DataFrame:
     """Mean, min and max of each score and ``quality_score`` (mean of the
     four means).  Empty input gives zeros.  ``digits`` rounds the means."""
+    return finish_quality(quality_state(scores), digits)
+
+
+def finish_quality(state: DataFrame, digits: int | None = 6) -> DataFrame:
+    """The figures of ``corpus_quality`` from one (merged) state."""
     def r(c):
         return F.round(c, digits) if digits is not None else c
-    aggs = []
-    for s in SCORES:
-        aggs += [F.avg(s).alias(f"avg_{s}"), F.min(s).alias(f"min_{s}"), F.max(s).alias(f"max_{s}")]
-    g = scores.agg(*aggs)
+
+    def mean(s):
+        return F.coalesce(F.col(f"sum_{s}") / F.nullif(F.col(f"n_{s}"), F.lit(0)), F.lit(0.0))
     cols = []
     for s in SCORES:
-        cols += [r(F.coalesce(f"avg_{s}", F.lit(0.0))).alias(f"avg_{s}"),
+        cols += [r(mean(s)).alias(f"avg_{s}"),
                  F.coalesce(f"min_{s}", F.lit(0.0)).cast("double").alias(f"min_{s}"),
                  F.coalesce(f"max_{s}", F.lit(0.0)).cast("double").alias(f"max_{s}")]
-    q = sum((F.coalesce(F.col(f"avg_{s}"), F.lit(0.0)) for s in SCORES), F.lit(0.0)) / F.lit(4.0)
-    return g.select(*cols, r(q).alias("quality_score"))
+    q = sum((mean(s) for s in SCORES), F.lit(0.0)) / F.lit(4.0)
+    return state.select(*cols, r(q).alias("quality_score"))
 
 
-def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """G1: one row of corpus figures over processed pages.
+TOTALS = ("words", "tables", "code_blocks", "comments")
 
-    Totals of words (of ``content``), tables, code blocks and comments, the
-    averages per page (unrounded; the report formatter rounds), and the
-    oldest / newest non-empty ``metadata.last_modified`` and the ids of those
-    pages (L4; of several pages the one of the smallest id).  With ``strict`` an
-    unparsable date fails the query like the source tool; by default it is
-    skipped.  On empty input every figure but ``total_pages`` is null.
-    """
+
+def summary_state(pages: DataFrame, *by: str, strict: bool = False) -> DataFrame:
+    """G1, partial: counts, sums and the oldest and newest page, one row (or one per ``by``).
+
+    States of parts of a corpus are merged by ``merge_states``, in any order and grouping."""
     def n(name):
         c = f"n_{name}"
         if c in pages.columns:
@@ -103,34 +114,58 @@ def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
     ts = X.iso_timestamp(lm, strict)
     meta_fields = {f.name for f in pages.schema["metadata"].dataType.fields}
     page_id = F.col("metadata.id") if "id" in meta_fields else F.lit(None).cast("string")
-    g = pages.agg(
-        F.count(F.lit(1)).alias("total_pages"),
-        F.sum(X.word_count("content")).alias("total_words"),
-        F.sum(n("tables")).alias("total_tables"),
-        F.sum(n("code_blocks")).alias("total_code_blocks"),
-        F.sum(n("comments")).alias("total_comments"),
-        F.min(F.when(X.truthy(lm), ts)).alias("oldest"),
-        F.max(F.when(X.truthy(lm), ts)).alias("newest"),
-        F.min(F.when(X.truthy(lm) & ts.isNotNull(), F.struct(ts.alias("t"), page_id.alias("id"))))["id"].alias("oldest_page_id"),
-        F.min(F.when(X.truthy(lm) & ts.isNotNull(), F.struct((-F.unix_micros(ts)).alias("t"), page_id.alias("id"))))["id"].alias("newest_page_id"),
-    )
-    tp = F.col("total_pages")
-
-    def avg(c):
-        return F.when(tp > 0, F.col(c) / tp)
-    return g.select(
-        "total_pages",
-        F.col("total_words").cast("long").alias("total_words"),
-        F.col("total_tables").cast("long").alias("total_tables"),
-        F.col("total_code_blocks").cast("long").alias("total_code_blocks"),
-        F.col("total_comments").cast("long").alias("total_comments"),
-        avg("total_words").alias("words_per_page"),
-        avg("total_tables").alias("tables_per_page"),
-        avg("total_code_blocks").alias("code_blocks_per_page"),
-        avg("total_comments").alias("comments_per_page"),
-        X.iso_format("oldest").alias("oldest_page"),
-        X.iso_format("newest").alias("newest_page"),
-        "oldest_page_id", "newest_page_id",
+    dated = X.truthy(lm) & ts.isNotNull()
+    micros = F.unix_micros(ts)
+    return pages.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.sum(X.word_count("content")).cast("long").alias("sum_words"),
+        *[F.sum(n(t)).cast("long").alias(f"sum_{t}") for t in TOTALS[1:]],
+        # Of several pages of one time the one of the smallest id, hence the newest as a minimum.
+        F.min(F.when(dated, F.struct(micros.alias("t"), page_id.alias("id")))).alias("min_time"),
+        F.min(F.when(dated, F.struct((-micros).alias("t"), page_id.alias("id")))).alias("min_before"))
+
+
+def merge_states(states: DataFrame, *by: str) -> DataFrame:
+    """One state of many: columns ``n_*`` and ``sum_*`` are added, ``min_*`` and ``max_*`` are compared."""
+    how = {"n": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    names = [c for c in states.columns if c not in by and c.partition("_")[0] in how]
+    merged = states.groupBy(*by).agg(*[how[c.partition("_")[0]](c).alias(c) for c in names])
+    return merged.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names if c.startswith("n_")})
+
+
+def write_state(state: DataFrame, path: str, batch: int) -> None:
+    """Keep the state of a batch under ``path``; the same batch again replaces it."""
+    state.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """The kept states of all batches."""
+    return spark.read.parquet(path).drop("batch")
+
+
+def corpus_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """G1: one row of corpus figures over processed pages.
+
+    Totals of words (of ``content``), tables, code blocks and comments, the
+    averages per page (unrounded; the report formatter rounds), and the
+    oldest / newest non-empty ``metadata.last_modified`` and the ids of those
+    pages (L4; of several pages the one of the smallest id).  With ``strict`` an
+    unparsable date fails the query like the source tool; by default it is
+    skipped.  On empty input every figure but ``total_pages`` is null.
+    """
+    return finish_summary(summary_state(pages, strict=strict))
+
+
+def finish_summary(state: DataFrame) -> DataFrame:
+    """The figures of ``corpus_summary`` from one (merged) state."""
+    n = F.col("n_pages")
+    return state.select(
+        n.alias("total_pages"),
+        *[F.col(f"sum_{t}").alias(f"total_{t}") for t in TOTALS],
+        *[F.when(n > 0, F.col(f"sum_{t}") / n).alias(f"{t}_per_page") for t in TOTALS],
+        X.iso_format(F.timestamp_micros("min_time.t")).alias("oldest_page"),
+        X.iso_format(F.timestamp_micros(-F.col("min_before.t"))).alias("newest_page"),
+        F.col("min_time.id").alias("oldest_page_id"), F.col("min_before.id").alias("newest_page_id"),
     )
 
 

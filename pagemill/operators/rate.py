@@ -35,19 +35,26 @@ CHUNK_SECONDS = 65_536
 
 
 def window_counts(seconds: DataFrame, window_seconds: int, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """(rate_key, sec, n_in_window) of distinct (rate_key, sec) rows."""
+    """(rate_key, sec, n_in_window) of the distinct (rate_key, sec) of ``seconds``, which may repeat.
+
+    Steps are dealt once by (key, chunk); the running sums inside the chunks and the chunks'
+    totals both read that exchange.
+    """
     key = F.struct("rate_key").alias("_k")  # a struct equals itself also where the key is null
-    steps = seconds.select(key, F.explode(F.array(
-        F.struct(F.col("sec").alias("t"), F.lit(1).alias("d")),
-        F.struct((F.col("sec") + window_seconds).alias("t"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy("_k", F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d"), F.max("s.d").alias("_real"))
-    steps = steps.withColumn("_chunk", F.floor(F.col("t") / chunk_seconds))
+    steps = seconds.where("sec IS NOT NULL").select(key, F.explode(F.array(
+        F.struct(F.col("sec").alias("t"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct((F.col("sec") + window_seconds).alias("t"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s"))
+    # A second that repeats is one step up and, a window later, one down.
+    steps = steps.groupBy("_k", F.col("s.t").alias("t")).agg(F.max("s.up").alias("up"), F.max("s.down").alias("down"))
+    chunk = F.floor(F.col("t") / chunk_seconds)
+    steps = steps.repartition("_k", chunk).withColumn("_chunk", chunk)
     before = Window.partitionBy("_k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (steps.groupBy("_k", "_chunk").agg(F.sum("d").alias("_total"))
-              .select("_k", "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")))
+    totals = steps.groupBy("_k", "_chunk").agg(F.sum(F.col("up") - F.col("down")).alias("_total"), F.max("up").alias("_real"))
+    starts = totals.select("_k", "_chunk", "_real", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_k", "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = steps.withColumn("_here", F.sum("d").over(inside)).join(starts, ["_k", "_chunk"])
-    return counted.where("_real = 1").select("_k.rate_key", F.col("t").alias("sec"), (F.col("_start") + F.col("_here")).alias("n_in_window"))
+    counted = steps.withColumn("_here", F.sum(F.col("up") - F.col("down")).over(inside)).where("up = 1")
+    counted = counted.join(starts.where("_real = 1").drop("_real"), ["_k", "_chunk"])
+    return counted.select("_k.rate_key", F.col("t").alias("sec"), (F.col("_start") + F.col("_here")).alias("n_in_window"))
 
 
 def flag_rate(events: DataFrame, key: str | Column, ts: str | Column, limit: int, window_seconds: int,
@@ -62,7 +69,7 @@ def flag_rate(events: DataFrame, key: str | Column, ts: str | Column, limit: int
     key_c = F.col(key) if isinstance(key, str) else key
     ts_c = F.col(ts) if isinstance(ts, str) else ts
     base = events.select("*", key_c.alias("rate_key"), epoch_second(ts_c).alias("sec"))
-    counts = window_counts(base.select("rate_key", "sec").distinct(), window_seconds, chunk_seconds)
+    counts = window_counts(base.select("rate_key", "sec"), window_seconds, chunk_seconds)
     counts = counts.select(F.col("rate_key").alias("_key"), F.col("sec").alias("_sec"), "n_in_window")
     same = base["rate_key"].eqNullSafe(counts["_key"]) & base["sec"].eqNullSafe(counts["_sec"])
     return (base.join(counts, same, "left").drop("_key", "_sec")

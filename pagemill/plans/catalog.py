@@ -8,9 +8,12 @@ can be compared row by row.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill import schemas, sinks
 from pagemill.functions import text as X
 from pagemill.functions.text import iso_format
 from pagemill.operators import batch as B
@@ -21,6 +24,8 @@ from pagemill.operators import quality as Q
 from pagemill.operators import rate as R
 from pagemill.operators import render as RH
 from pagemill.operators import tables as TB
+from pagemill.operators.median import exact_medians
+from pagemill.session import shared_path
 from pagemill.sources import landed as A
 from pagemill.sources import testdata as D
 
@@ -484,3 +489,73 @@ def sprint_metrics(spark: SparkSession, sf: str) -> DataFrame:
     issues = D.tracker_issues(spark, sf)
     with_counts = P.child_summary(issues, comments=_issue_comment_rows(spark, sf), key="o_orderkey")
     return I.sprint_metrics(with_counts)
+
+
+# -- records as they came, files of their own, mergeable figures --------------------
+@query
+def broken_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + P10: landed lines that can't be read, with the line itself."""
+    _, bad = A.split_raw_pages(A.typed(A.as_records(D.page_lines(spark, sf)), schemas.RAW_PAGE))
+    return bad.select("id", "error_type", "message", "raw")
+
+
+@query
+def sound_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 over the same lines: the pages that can be read."""
+    ok, _ = A.split_raw_pages(A.typed(A.as_records(D.page_lines(spark, sf)), schemas.RAW_PAGE))
+    return A.space_pages(ok, None, D.BASE_URL)
+
+
+@query
+def issue_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues with the fixed columns and fields that only the record has."""
+    issues = A.typed(A.as_records(D.issue_lines(spark, sf)), schemas.ISSUE)
+    return I.raw_rows(issues).select(
+        "key", "title", "project", "status",
+        F.variant_get("record", "$.fields.customfield_1.customer", "bigint").alias("customer"),
+        F.variant_get("record", "$.fields.customfield_1.marks[0]", "string").alias("mark"))
+
+
+@query
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rendered code pages written as one HTML file per page, and read back."""
+    path = shared_path(spark, f"page-files-{uuid.uuid4().hex}")
+    sinks.write_rendered(render_html(spark, sf), path, "html")
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("name"), F.md5("value").alias("md5"), F.octet_length("value").alias("n_bytes"))
+
+
+@query
+def page_json_files(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: processed documents written as one indented JSON file per page, and read back."""
+    path = shared_path(spark, f"page-json-{uuid.uuid4().hex}")
+    qp = D.quality_pages(spark, sf)
+    sinks.write_json_documents(qp.select("id", F.length("content").alias("n_chars"), P.metadata(qp).alias("metadata")),
+                               path, sinks.page_file("id", "_processed.json"))
+    back = spark.read.schema("id string, n_chars long, metadata struct<id:string,title:string,source:string>").option("multiLine", "true").json(path)
+    return back.select(F.col("_metadata.file_name").alias("name"), "id", "n_chars", F.col("metadata.id").alias("metadata_id"), "metadata.source")
+
+
+@query
+def exact_median(spark: SparkSession, sf: str) -> DataFrame:
+    """G9's selection over values with a wide range: median price in cents per order priority."""
+    o = D.table(spark, sf, "orders")
+    cents = o.select("o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return exact_medians(cents, ["o_orderpriority"], "cents").withColumnRenamed("median", "median_cents")
+
+
+@query
+def corpus_summary_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 from stored partial states of eight batches of the corpus."""
+    pages = _processed_corpus(spark, sf).withColumn("part", F.pmod(F.crc32("id"), F.lit(8)))
+    path = shared_path(spark, f"summary-states-{uuid.uuid4().hex}")
+    Q.write_state(Q.summary_state(pages, "part"), path, 0)
+    return Q.finish_summary(Q.merge_states(Q.read_states(spark, path).drop("part")))
+
+
+@query
+def corpus_quality_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """G3 from partial states of eight batches of the corpus."""
+    scores = Q.page_scores(_processed_corpus(spark, sf))
+    scores = scores.withColumn("part", F.pmod(F.crc32("id"), F.lit(8)))
+    return Q.finish_quality(Q.merge_states(Q.quality_state(scores, "part").drop("part")))

@@ -31,9 +31,13 @@ def extract_space(spark: SparkSession, raw_pages: DataFrame, space_key: str, out
     """extract-space: A1 -> [K1 raw CSV] -> [P9 -> K3 processed JSONL] -> K7 summary.
 
     Raw records missing a required field go to ``{space}_errors.jsonl`` (P10)
-    instead of failing the whole job; the summary counts all raw pages."""
+    instead of failing the whole job; the summary counts all raw pages.  Lines that can't
+    be read belong to no space that one could tell, so they are among the errors of each
+    job, with the line and its file."""
     found = raw_pages.filter(F.col("space_key") == space_key)
-    ok, bad = A.split_raw_pages(found)
+    readable = F.col("space_key") == space_key
+    _, bad = A.split_raw_pages(raw_pages.filter(readable | F.col("problem").isNotNull() if "problem" in raw_pages.columns else readable))
+    ok, _ = A.split_raw_pages(found)
     sinks.write_jsonl(bad, _p(out_dir, f"{space_key}_errors.jsonl"))
     pages = A.space_pages(ok, None, base_url).drop("space_key")
     write_raw, write_processed = sinks.sinks_for(output_format)
@@ -72,11 +76,12 @@ def extract_project(spark: SparkSession, issues: DataFrame, project_key: str, ou
     """extract-project: A7 -> K2 -> P11 -> K4 -> G8 -> K8.
 
     All issues, or with ``max_results`` (L1) the first so many; the summary is of the
-    whole project either way."""
+    whole project either way.  The raw CSV has the record as it came in the column
+    ``record`` if the issues were read from JSON lines (``issues.read_issues``)."""
     found = I.project_issues(issues, project_key, max_results)
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:
-        sinks.write_csv(found, _p(out_dir, f"{project_key}_raw.csv"))
+        sinks.write_csv(I.raw_rows(found), _p(out_dir, f"{project_key}_raw.csv"))
     if write_processed:
         sinks.write_jsonl(I.process_issues(found), _p(out_dir, f"{project_key}_processed.jsonl"))
         whole = I.project_issues(issues, project_key)
@@ -89,13 +94,15 @@ def extract_issue(spark: SparkSession, issues: DataFrame, key: str, out_dir: str
                   output_format: str = "all") -> None:
     """extract-issue: A8 -> J-2 (F6 flags) -> K6 raw -> P11 -> K6 processed.
 
-    ``comments`` / ``attachments`` are raw child rows (A3 / A4 output) keyed by the issue."""
+    ``comments`` / ``attachments`` are raw child rows (A3 / A4 output) keyed by the issue.
+    The raw file has every field of the record if the issue was read from JSON lines."""
     one = I.single_issue(issues, key)
     cmt = comments.filter(F.col("page_id") == key) if (include_comments and comments is not None) else None
     att = attachments.filter(F.col("page_id") == key) if (include_attachments and attachments is not None) else None
     write_raw, write_processed = sinks.sinks_for(output_format)
     if write_raw:
-        raw = P.nest_children(one, att, cmt, key="key") if (att is not None or cmt is not None) else one
+        raw = I.raw_rows(one)
+        raw = P.nest_children(raw, att, cmt, key="key") if (att is not None or cmt is not None) else raw
         sinks.write_single_json(raw, _p(out_dir, f"issue_{key}_raw.json"))
     if write_processed:
         done = I.process_issues(one, P.clean_comments(cmt) if cmt is not None else None,
@@ -116,6 +123,8 @@ def analyze_sprint(spark: SparkSession, issues: DataFrame, sprint_table: DataFra
         raise LookupError(f"Sprint '{sprint_name}' not found in project {project_key}")
     base = _p(out_dir, sinks.sprint_file_name(project_key, sprint_name))
     found = issues.filter((F.col("project") == project_key) & (F.col("sprint") == sprint_name))
+    if comments is not None:  # only those of the sprint are parsed and nested
+        comments = comments.join(found.select(F.col("key").alias("page_id")), "page_id", "left_semi")
     processed = I.process_issues(found, P.clean_comments(comments) if comments is not None else None)
     sinks.write_jsonl(processed, base + "_issues")
     # lineage cut: summaries read the written issues

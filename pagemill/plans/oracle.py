@@ -533,11 +533,11 @@ GROUP BY GROUPING SETS ({', '.join(f'(project, {d})' for d in _DIMS)}, (project)
 """
 SQL["sprint_metrics"] = f"""
 WITH j AS (SELECT i.*, coalesce(c.n, 0) AS n_comments,
-                  date_diff('day', CAST(i.created AS DATE), CAST(i.updated AS DATE)) AS days
+                  (epoch_us(i.updated) - epoch_us(i.created)) / 86400000000 AS days
            FROM ({ISSUES}) i LEFT JOIN ({_COMMENT_COUNTS}) c ON c.l_orderkey = i.o_orderkey)
 SELECT project, sprint, count(*) AS n_issues, count(*) FILTER (WHERE status = 'Done') AS n_done,
        count(*) FILTER (WHERE status = 'Done') / count(*) AS done_rate,
-       round(avg(days), 6) AS mean_days, CAST(quantile_cont(days, 0.5) AS DOUBLE) AS median_days,
+       round(avg(days), 6) AS mean_days, median(days) AS median_days,
        CAST(sum(n_comments) AS BIGINT) / count(*) AS comments_per_issue
 FROM j GROUP BY project, sprint
 """
@@ -592,3 +592,46 @@ FROM g
 
 
 SQL["render_tables"] = _render_tables_sql()
+
+# -- records, files, mergeable figures ------------------------------------------
+_LINES = """
+SELECT doc_id % 20 AS k, CAST(doc_id AS VARCHAR) AS id, n_chars, lang, doc_id % 5 AS number,
+  '{"id":"' || doc_id || '",' || CASE WHEN doc_id % 20 = 11 THEN '' ELSE '"title":"Document ' || doc_id || '",' END ||
+  '"body":{"storage":{"value":"<p>' || n_chars || '</p>"}},"version":{"number":' ||
+  CASE WHEN doc_id % 20 = 7 THEN '"new"' ELSE CAST(doc_id % 5 AS VARCHAR) END || ',"when":"2024-01-01"},"space_key":"' || lang || '"}' AS line
+FROM documents
+"""
+
+SQL["broken_records"] = f"""
+SELECT CASE WHEN k <> 3 THEN id END AS id, CASE k WHEN 3 THEN 'JSONDecodeError' WHEN 7 THEN 'ValueError' ELSE 'KeyError' END AS error_type,
+       CASE k WHEN 3 THEN 'not a JSON record' WHEN 7 THEN 'a field has another type than expected' ELSE '''title''' END AS message,
+       CASE WHEN k = 3 THEN substr(line, 1, 30) ELSE line END AS raw
+FROM ({_LINES}) WHERE k IN (3, 7, 11)
+"""
+
+SQL["sound_records"] = f"""
+SELECT id, 'Document ' || id AS title, '<p>' || n_chars || '</p>' AS content, '{BASE}/wiki/spaces/' || lang || '/pages/' || id AS url,
+       CAST(number AS VARCHAR) AS version, '2024-01-01' AS last_modified, lang AS space_key
+FROM ({_LINES}) WHERE k NOT IN (3, 7, 11, 13)
+"""
+
+SQL["issue_records"] = """
+SELECT 'P' || o_custkey % 10 || '-' || o_orderkey AS key, 'Order ' || o_orderkey AS title, 'P' || o_custkey % 10 AS project,
+       CAST(NULL AS VARCHAR) AS status, CAST(o_custkey AS BIGINT) AS customer, o_orderstatus AS mark FROM orders
+"""
+
+SQL["page_files"] = f"""
+SELECT 'page_' || id || '.html' AS name, md5(html) AS md5, CAST(strlen(html) AS INTEGER) AS n_bytes FROM ({SQL["render_html"]})
+"""
+
+SQL["page_json_files"] = """
+SELECT 'page_' || doc_id || '_processed.json' AS name, CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS BIGINT) AS n_chars,
+       CAST(doc_id AS VARCHAR) AS metadata_id, 'confluence' AS source FROM documents
+"""
+
+SQL["exact_median"] = """
+SELECT o_orderpriority, median(CAST(round(o_totalprice * 100) AS BIGINT)) AS median_cents FROM orders GROUP BY o_orderpriority
+"""
+
+SQL["corpus_summary_merged"] = SQL["corpus_summary"]
+SQL["corpus_quality_merged"] = SQL["corpus_quality"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,14 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(checkpoint_dir(spark), *parts)
 
 
+def written(df, name: str):
+    """``df`` written once under the shared folder and read back: later reads see one fixed set
+    of rows, and a lost executor costs no earlier stage."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Session setting: how many partitions text is dealt over before it is parsed.
 PARSE_PARTITIONS = "spark.pagemill.parsePartitions"
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.sources.named_files import write_files
+
 FORMATS = ("raw", "processed", "all")
 
 # Spark's CSV writer trims values unless told not to; HTML must survive as is.
@@ -22,7 +24,7 @@ def _flat_for_csv(df: DataFrame) -> DataFrame:
     """Nested columns become JSON text (the CSV writer takes scalars only)."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
             cols.append(F.to_json(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
@@ -47,10 +49,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     w.json(path)
 
 
-def write_single_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K5 / K6: one raw or processed page / issue as one JSON file.  Only for
-    a lookup result (one row): the frame is coalesced to one partition."""
-    df.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
+def json_document(df: DataFrame) -> Column:
+    """All columns of a row as one indented JSON document; null fields are kept."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "pretty": "true"})
+
+
+def write_single_json(df: DataFrame, path: str) -> None:
+    """K5 / K6 / K7: a page, issue or summary as the indented JSON file ``path``.
+
+    For a lookup result: each row writes the file, from the task that holds it, so the
+    scan and the parse before it keep their tasks.  Without a row there is no file.
+    """
+    folder, _, name = path.rpartition("/")
+    write_files(df.select(F.lit(name).alias("name"), json_document(df).alias("content")), folder or ".")
+
+
+def write_json_documents(df: DataFrame, path: str, name: Column, mode: str = "overwrite") -> None:
+    """One indented JSON file per row, named by ``name``, in a folder of their own."""
+    write_files(df.select(name.alias("name"), json_document(df).alias("content")), path, mode)
 
 
 def summary_row(spark: SparkSession, values: dict) -> DataFrame:
@@ -96,12 +112,19 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str
     (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table))
 
 
+def page_file(key: str = "id", suffix: str = ".html") -> Column:
+    """File name of a page: ``page_{id}.html``; what can't stand in a name becomes ``_``."""
+    return F.concat(F.lit("page_"), F.regexp_replace(F.coalesce(F.col(key).cast("string"), F.lit("")), r"[^\w.-]", "_"), F.lit(suffix))
+
+
 def write_rendered(df: DataFrame, path: str, fmt: str = "parquet", key: str = "id",
                    mode: str = "overwrite") -> None:
-    """K12 sink: rendered pages (``key, html``) as Parquet, or as text with one
-    JSON-escaped document per line (the HTML itself spans lines)."""
+    """K12 sink: rendered pages (``key, html``) as one HTML file per page (``html``), as
+    Parquet, or as text with one JSON-escaped document per line (the HTML itself spans lines)."""
     out = df.select(key, "html")
-    if fmt == "parquet":
+    if fmt == "html":
+        write_files(out.select(page_file(key).alias("name"), F.col("html").alias("content")), path, mode)
+    elif fmt == "parquet":
         out.write.mode(mode).parquet(path)
     else:
         out.select(F.to_json(F.struct(key, "html")).alias("value")).write.mode(mode).text(path)

@@ -11,6 +11,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import schemas
 from pagemill.functions.text import py_strip
@@ -18,13 +19,61 @@ from pagemill.functions.text import py_strip
 PAGE_COLUMNS = ["id", "title", "content", "url", "version", "last_modified"]
 
 
+def as_records(lines: DataFrame) -> DataFrame:
+    """(raw, source_file, record): landed JSON lines as they came, and as VARIANT.
+
+    ``lines`` has ``value`` and maybe ``source_file``; blank lines are no records.  The
+    VARIANT holds every field of a record, also those that no schema names; it is null
+    for a line that is not JSON.
+    """
+    file = F.col("source_file") if "source_file" in lines.columns else F.lit(None).cast("string")
+    kept = lines.select(F.col("value").alias("raw"), file.alias("source_file")).filter(F.trim(F.col("raw")) != "")
+    return kept.withColumn("record", F.try_parse_json("raw"))
+
+
+def read_records(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """``as_records`` of the JSON lines under ``path``, with the file of each; batch or stream."""
+    reader = spark.readStream if stream else spark.read
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return as_records(reader.format("text").load(path).select("value", F.col("_metadata.file_path").alias("source_file")))
+
+
+def typed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records with the columns of ``schema`` beside them, and ``problem``.
+
+    A missing field is null, and so is one of another type than the schema says (at any
+    depth); ``problem`` tells such a record (``type``) and a line that is not JSON
+    (``json``) from sound ones (null).
+    """
+    cols = [F.try_variant_get("record", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    wrong = F.lit(False)
+    for path, kind in _leaves(schema):
+        there = F.try_variant_get("record", path, "variant")
+        wrong = wrong | (there.isNotNull() & ~F.is_variant_null(there) & F.try_variant_get("record", path, kind).isNull())
+    problem = F.when(F.col("record").isNull(), "json").when(wrong, "type")
+    return records.select(*cols, problem.alias("problem"), *records.columns)
+
+
+def _leaves(schema: T.StructType, path: str = "$") -> list[tuple[str, str]]:
+    """Paths and types of the fields that are no structs themselves."""
+    out = []
+    for f in schema.fields:
+        at = f"{path}.{f.name}"
+        out += _leaves(f.dataType, at) if isinstance(f.dataType, T.StructType) else [(at, f.dataType.simpleString())]
+    return out
+
+
 def read_raw_pages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Landed raw API pages (``RAW_PAGE``); JSON lines or Parquet."""
+    """Landed raw API pages (``RAW_PAGE``) from JSON lines or Parquet; JSON lines bring the line
+    itself, its file and what is wrong with it (see ``typed``)."""
+    if fmt == "json":
+        return typed(read_records(spark, path), schemas.RAW_PAGE)
     return spark.read.schema(schemas.RAW_PAGE).format(fmt).load(path)
 
 
-def flatten_pages(raw: DataFrame, base_url: str, url_style: str = "space") -> DataFrame:
-    """A1 / A2 projection of raw API pages to ``PAGE`` (+ ``space_key``).
+def flatten_pages(raw: DataFrame, base_url: str, url_style: str = "space", keep=()) -> DataFrame:
+    """A1 / A2 projection of raw API pages to ``PAGE`` (+ ``space_key`` and the columns ``keep``).
 
     ``url_style='space'`` builds ``{base}/wiki/spaces/{space}/pages/{id}`` (the
     space scan); ``'page'`` builds ``{base}/wiki/pages/{id}`` (single lookup).
@@ -40,7 +89,7 @@ def flatten_pages(raw: DataFrame, base_url: str, url_style: str = "space") -> Da
         url.alias("url"),
         F.col("version.number").cast("string").alias("version"),
         F.col("version.when").alias("last_modified"),
-        F.col("space_key"),
+        F.col("space_key"), *keep,
     )
 
 
@@ -48,22 +97,32 @@ REQUIRED_RAW_FIELDS = (("id", "id"), ("title", "title"), ("value", "body.storage
                        ("number", "version.number"), ("when", "version.when"))
 
 
+# The error types of records that can't be read.
+NOT_JSON, WRONG_TYPE, MISSING_FIELD = "JSONDecodeError", "ValueError", "KeyError"
+
+
 def split_raw_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A1 / A2 guard: raw pages missing a required field (the source tool
+    """A1 / A2 guard: raw pages that can't be read or miss a required field (the source tool
     raises ``KeyError``) go to a dead-letter frame instead of failing the scan.
 
-    Returns ``(ok, bad)``; ``bad`` has ``id, error_type, message`` naming the
-    first missing field.  A missing key and a null value are the same here (D5).
+    Returns ``(ok, bad)``; ``bad`` has ``id, error_type, message``, the message naming the
+    first missing field, and for records that came as lines (``read_raw_pages``) the line
+    ``raw`` and its ``source_file``, so that it can be repaired and landed again.  A
+    missing key and a null value are the same here (D5).
     """
     first_missing = None
     for key, path in REQUIRED_RAW_FIELDS:
         cond = F.col(path).isNull()
         first_missing = F.when(cond, F.lit(key)) if first_missing is None else first_missing.when(cond, F.lit(key))
+    kind, message = F.lit(MISSING_FIELD), F.concat(F.lit("'"), F.col("_missing"), F.lit("'"))
+    lines = [c for c in ("raw", "source_file") if c in raw.columns]
+    if "problem" in raw.columns:
+        kind = F.when(F.col("problem") == "json", NOT_JSON).when(F.col("problem") == "type", WRONG_TYPE).otherwise(kind)
+        message = (F.when(F.col("problem") == "json", "not a JSON record")
+                   .when(F.col("problem") == "type", "a field has another type than expected").otherwise(message))
     tagged = raw.withColumn("_missing", first_missing)
-    ok = tagged.filter(F.col("_missing").isNull()).drop("_missing")
-    bad = tagged.filter(F.col("_missing").isNotNull()).select(
-        "id", F.lit("KeyError").alias("error_type"),
-        F.concat(F.lit("'"), F.col("_missing"), F.lit("'")).alias("message"))
+    ok = tagged.filter(F.col("_missing").isNull()).drop("_missing", "problem", "raw", "source_file", "record")
+    bad = tagged.filter(F.col("_missing").isNotNull()).select("id", kind.alias("error_type"), message.alias("message"), *lines)
     return ok, bad
 
 
@@ -80,16 +139,16 @@ def single_page(raw: DataFrame, page_id: str, base_url: str) -> DataFrame:
     return flatten_pages(raw.filter(F.col("id") == page_id), base_url, "page")
 
 
-def attachments(raw_atts: DataFrame, base_url: str) -> DataFrame:
-    """A3: attachment rows (``ATTACHMENT_RAW``).
+def attachments(raw_atts: DataFrame, base_url: str, keep=()) -> DataFrame:
+    """A3: attachment rows (``ATTACHMENT_RAW`` and the columns ``keep``).
 
     Accepts either the API shape (one row per page with a ``results`` array) or
     one row per attachment with an ``att`` struct and ``pos``.
     """
     if "results" in raw_atts.columns:
-        rows = raw_atts.select("page_id", F.posexplode(F.coalesce("results", F.array())).alias("pos", "att"))
+        rows = raw_atts.select("page_id", *keep, F.posexplode(F.coalesce("results", F.array())).alias("pos", "att"))
     else:
-        rows = raw_atts.select("page_id", "pos", "att")
+        rows = raw_atts.select("page_id", *keep, "pos", "att")
     return rows.select(
         F.col("page_id").cast("string").alias("page_id"),
         F.col("pos").cast("int").alias("pos"),
@@ -99,24 +158,24 @@ def attachments(raw_atts: DataFrame, base_url: str) -> DataFrame:
         F.coalesce(F.col("att.metadata.mediaType"), F.lit("")).alias("mediaType"),
         F.coalesce(F.col("att.extensions.fileSize"), F.lit(0)).cast("long").alias("size"),
         F.concat(F.lit(base_url + "/wiki/download/attachments/"), F.col("page_id").cast("string"),
-                 F.lit("/"), F.col("att.title")).alias("url"),
+                 F.lit("/"), F.col("att.title")).alias("url"), *keep,
     )
 
 
-def comments(raw_comments: DataFrame) -> DataFrame:
-    """A4: comment rows (``COMMENT_RAW``); API ``results`` arrays or one row per
-    comment with a ``cmt`` struct and ``pos``."""
+def comments(raw_comments: DataFrame, keep=()) -> DataFrame:
+    """A4: comment rows (``COMMENT_RAW`` and the columns ``keep``); API ``results`` arrays or one
+    row per comment with a ``cmt`` struct and ``pos``."""
     if "results" in raw_comments.columns:
-        rows = raw_comments.select("page_id", F.posexplode(F.coalesce("results", F.array())).alias("pos", "cmt"))
+        rows = raw_comments.select("page_id", *keep, F.posexplode(F.coalesce("results", F.array())).alias("pos", "cmt"))
     else:
-        rows = raw_comments.select("page_id", "pos", "cmt")
+        rows = raw_comments.select("page_id", *keep, "pos", "cmt")
     return rows.select(
         F.col("page_id").cast("string").alias("page_id"),
         F.col("pos").cast("int").alias("pos"),
         F.col("cmt.id").alias("id"),
         F.col("cmt.author.displayName").alias("author"),
         F.col("cmt.created").alias("created"),
-        F.col("cmt.body.storage.value").alias("content"),
+        F.col("cmt.body.storage.value").alias("content"), *keep,
     )
 
 
@@ -131,7 +190,7 @@ def read_worklist(spark: SparkSession, path: str) -> DataFrame:
     return worklist_lines(spark.read.text(path))
 
 
-def _to_arrow_uri(path: str) -> str:
+def to_arrow_uri(path: str) -> str:
     if path.startswith("file:") and not path.startswith("file://"):
         return "file://" + path[len("file:"):]
     if path.startswith("/"):
@@ -151,12 +210,12 @@ def _list_children(batches):
     for pdf in batches:
         rows = []
         for d in pdf["dir"]:
-            filesystem, inner = pafs.FileSystem.from_uri(_to_arrow_uri(d))
+            filesystem, inner = pafs.FileSystem.from_uri(to_arrow_uri(d))
             for info in filesystem.get_file_info(pafs.FileSelector(inner, recursive=False)):
                 is_dir = info.type == pafs.FileType.Directory
                 if info.type not in (pafs.FileType.File, pafs.FileType.Directory):
                     continue
-                rows.append((_from_arrow_path(_to_arrow_uri(d), info.path), info.base_name,
+                rows.append((_from_arrow_path(to_arrow_uri(d), info.path), info.base_name,
                              0 if is_dir else int(info.size or 0), is_dir))
         yield pd.DataFrame(rows, columns=["path", "name", "length", "is_dir"])
 
@@ -175,7 +234,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     from pyarrow import fs as pafs
 
     from pagemill.session import checkpoint_dir, deal_by
-    filesystem, inner = pafs.FileSystem.from_uri(_to_arrow_uri(root))
+    filesystem, inner = pafs.FileSystem.from_uri(to_arrow_uri(root))
     if filesystem.get_file_info(inner).type != pafs.FileType.Directory:
         return spark.createDataFrame([], schemas.FILE_ENTRY)
     checkpoint_dir(spark)

@@ -384,3 +384,25 @@ def file_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     e = p.select(F.explode(kinds).alias("f")).select("f.name", "f.length")
     return e.select(F.concat(F.lit("out/"), F.col("name")).alias("path"), "name", "length")
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as landed JSON lines (``value``), some of them broken by ``doc_id``: cut off, with a
+    text for the version number, without a title, or blank."""
+    d = table(spark, sf_dir, "documents")
+    k, i = F.pmod("doc_id", F.lit(20)), F.col("doc_id").cast("string")
+    number = F.when(k == 7, F.lit('"new"')).otherwise(F.pmod("doc_id", F.lit(5)).cast("string"))
+    title = F.when(k == 11, F.lit("")).otherwise(F.concat(F.lit('"title":"Document '), i, F.lit('",')))
+    line = F.concat(F.lit('{"id":"'), i, F.lit('",'), title, F.lit('"body":{"storage":{"value":"<p>'), F.col("n_chars").cast("string"),
+                    F.lit('</p>"}},"version":{"number":'), number, F.lit(',"when":"2024-01-01"},"space_key":"'), F.col("lang"), F.lit('"}'))
+    return d.select(F.when(k == 3, F.substring(line, 1, 30)).when(k == 13, F.lit("  ")).otherwise(line).alias("value"))
+
+
+def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as issue records (JSON lines) with fields that the fixed schema doesn't have."""
+    o = table(spark, sf_dir, "orders")
+    i = F.col("o_orderkey").cast("string")
+    return o.select(F.concat(
+        F.lit('{"key":"P'), F.pmod("o_custkey", F.lit(10)).cast("string"), F.lit("-"), i, F.lit('","title":"Order '), i, F.lit('","project":"P'),
+        F.pmod("o_custkey", F.lit(10)).cast("string"), F.lit('","fields":{"customfield_1":{"customer":'), F.col("o_custkey").cast("string"),
+        F.lit(',"marks":["'), F.col("o_orderstatus"), F.lit('"]}}}')).alias("value"))

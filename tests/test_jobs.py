@@ -15,7 +15,8 @@ from tests.conftest import SF_SMALL
 
 
 def _json_rows(spark, path):
-    return spark.read.json(path).collect()
+    assert os.path.isfile(path)
+    return spark.read.json(path, multiLine=True).collect()
 
 
 def test_extract_space_all_formats(spark, tmp_out):
