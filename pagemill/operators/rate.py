@@ -53,7 +53,8 @@ def window_counts(seconds: DataFrame, window_seconds: int, chunk_seconds: int =
     starts = totals.select("_k", "_chunk", "_real", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_k", "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = steps.withColumn("_here", F.sum(F.col("up") - F.col("down")).over(inside)).where("up = 1")
-    counted = counted.join(starts.where("_real = 1").drop("_real"), ["_k", "_chunk"])
+    # A left join: an inner one would put a filter below the left side's exchange only, and nothing could be shared.
+    counted = counted.join(starts.where("_real = 1").drop("_real"), ["_k", "_chunk"], "left")
     return counted.select("_k.rate_key", F.col("t").alias("sec"), (F.col("_start") + F.col("_here")).alias("n_in_window"))
 
 

@@ -18,6 +18,14 @@ def test_rate_flag_sums_steps_without_a_sliding_frame(spark):
     assert "partial_sum" in p
 
 
+def test_rate_flag_deals_its_steps_once(spark):
+    """The running sums and the chunk totals read one exchange: events are scanned for the steps and for the output."""
+    df = QUERIES["rate_flag"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("FileScan") == 2
+
+
 def test_issue_cap_is_top_k_and_only_on_request(spark):
     p = plan(QUERIES["issue_first"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in p and "Sort [" not in p
