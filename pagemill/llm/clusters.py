@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import materialise
@@ -147,16 +147,14 @@ def cluster_vectors(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims:
 
     def rows(batches):
         for p in batches:
-            sizes = [len(i) for i in p["ids"]]
             yield pd.DataFrame({"vec_id": pd.array([x for i in p["ids"] for x in i], dtype="Int64"),
                                 "cluster": np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x, dtype="<i4") for x in p["labels"])]),
                                 "distance": np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, dtype="<i8") for x in p["distances"])])})
-            assert len(sizes) == len(p)
     assigned = materialise(shards.where("block = 0").select("chunk", "ids").join(labels, "chunk").mapInPandas(
         rows, "vec_id long, cluster int, distance long"), "assigned")
     each = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = each.agg(F.sum("cluster_inertia").alias("inertia"))
+    each = each.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))  # k rows
     said = F.sha2(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))), 256)
-    final = centroids.select("cluster", said.alias("centroid_sha256")).join(each, "cluster").join(F.broadcast(total))
+    final = centroids.select("cluster", said.alias("centroid_sha256")).join(each, "cluster")
     return assigned.join(F.broadcast(final), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
