@@ -40,7 +40,7 @@ SEARCH_NODES = 20_000
 #: Fillings tried at one node, and steps spent on enumerating them.
 FILLINGS, FILL_STEPS = 4, 600
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,7 +69,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that hold an added token are encoded in full: it is one token wherever it stands.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.letters = _byte_letters()
         self.tails: dict[str, bytes] = {}
 
@@ -113,7 +115,7 @@ def encode(text: str | None, known: WordIds) -> bytes:
     """
     if not text:
         return b""
-    if _LOOSE_SPACE.search(text):
+    if _LOOSE_SPACE.search(text) or known.added and known.added.search(text):
         return known.whole(text)
     head, *rest = text.split(" ")
     return known.whole(head) + b"".join(map(known.__getitem__, rest))

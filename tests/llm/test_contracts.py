@@ -30,7 +30,7 @@ def texts(docs):
     return {d: r.text for d, r in docs.items()}
 
 
-def test_all_eleven_are_registered():
+def test_the_first_ten_and_the_pipeline_are_registered():
     names = E.queries()
     assert "pipeline" in names
     assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11))
@@ -40,7 +40,6 @@ def test_packing(run, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: t.encode(x or "", add_special_tokens=False).ids + [0] for d, x in texts.items()}
     pieces, places = {}, {}
     for r in run("op1_"):
