@@ -86,11 +86,13 @@ def source_cuts(rows: DataFrame, ranges: int, max_epochs: int = MAX_EPOCHS) -> D
                 .select("_source", "_range", "_before", "_rest"))
     crossing = materialise(crossing, "mix_crossing")
     inside = Window.partitionBy("_source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # The last row that starts before the budget, and how many of its words still fit.
-    start = F.col("_upto") - F.col("size")
-    part = F.least(F.round(F.col("_rest") - start).cast("long"), F.col("size"))
-    last = (keyed.join(crossing, ["_source", "_range"])
-            .withColumn("_upto", F.col("_before") + F.sum("size").over(inside))
+    # Rows that tie are counted before they are put in order.  The last tie that starts before the
+    # budget, and how many words of each of its rows still fit.
+    words = F.col("n") * F.col("size")
+    start = F.col("_upto") - words
+    part = F.least(F.round((F.col("_rest") - start) / F.col("n")).cast("long"), F.col("size"))
+    ties = keyed.join(crossing, ["_source", "_range"]).groupBy("_source", "_before", "_rest", "_key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    last = (ties.withColumn("_upto", F.col("_before") + F.sum(words).over(inside))
             .where((start < F.col("_rest")) & (F.col("size") > 0))
             .groupBy("_source").agg(F.max(F.struct(_place().alias("cut"), part.alias("part"))).alias("_last"))
             .select("_source", "_last.*"))
@@ -106,8 +108,9 @@ def mix(rows: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS, range_row
     it, ``part`` of its size once more: ``taken`` = copies * size + part, and a source's
     taken sizes add up to its target, rounded.  Keys depend on doc_id and the seed alone,
     so reruns agree.  A size of null counts as 0; rows of size 0 cost no budget and are
-    taken once.  Rows of equal doc_id, source and size share their fate.  A source that
-    holds most rows is spread over many ranges.
+    taken once.  Rows of equal doc_id, source and size tie: where the cut falls among them
+    they share the words left, rounded to whole words each.  A source that holds most rows
+    is spread over many ranges.
     """
     names = [c for c in rows.columns if c not in ("source_size", "target", "copies", "part", "taken")]
     rows = _keyed(rows.select(*names).withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), seed)

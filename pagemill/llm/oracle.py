@@ -52,11 +52,13 @@ c AS (SELECT *, CAST(words_left AS HUGEINT) * weight >= CAST(3 * total AS HUGEIN
 t AS (SELECT source, total, CASE WHEN capped THEN CAST(3 * total AS DOUBLE) ELSE
         (SELECT CAST(words_left AS DOUBLE) / weight_left FROM c WHERE NOT capped ORDER BY o LIMIT 1) * weight END AS target FROM c),
 e AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE CAST(least(floor(target / total), 3) AS BIGINT) END AS whole FROM t),
-p AS (SELECT d.*, e.total, e.target, e.whole, CASE WHEN e.whole < 3 THEN e.target - e.whole * e.total ELSE 0 END AS rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+u AS (SELECT *, sum(n * size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - n * size AS start
+      FROM (SELECT source, k, doc_id, size, count(*) AS n FROM d GROUP BY ALL)),
+p AS (SELECT d.*, e.total, e.target, e.whole, CASE WHEN e.whole < 3 THEN e.target - e.whole * e.total ELSE 0 END AS rest, u.start, u.n
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+      JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.k = u.k AND d.doc_id IS NOT DISTINCT FROM u.doc_id AND d.size = u.size)
 SELECT doc_id, size, total AS source_size, target,
-       CAST(whole * size + greatest(0, least(size, CAST(round(rest - CAST(upto - size AS DOUBLE)) AS BIGINT))) AS BIGINT) AS taken
+       CAST(whole * size + greatest(0, least(size, CAST(round((rest - CAST(start AS DOUBLE)) / n) AS BIGINT))) AS BIGINT) AS taken
 FROM p
 """
 
@@ -108,11 +110,11 @@ def _lloyd(rounds: int = 5, k: int = 40, dims: int = 64) -> str:
     """Lloyd rounds one after the other, as a chain of tables."""
     def nearest(i: int) -> str:
         return f"""a{i} AS MATERIALIZED (
-  SELECT r, c, d FROM (SELECT v.r, c{i}.c, list_sum(list_transform(list_zip(v.v, c{i}.v), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i})
+  SELECT r, c, d FROM (SELECT v.r, c{i}.c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i})
   QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
     tables = [f"""v AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c, v FROM v QUALIFY c < {k})"""]
     for i in range(rounds):
         tables += [nearest(i), f"""c{i + 1} AS MATERIALIZED (
