@@ -204,10 +204,10 @@ def widest(spans: Column) -> Column:
 
 # -- bootstrap ------------------------------------------------------------------
 def found_spans(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, likely) of every document; ``row`` numbers the written rows."""
+    """(row, doc_id, hash, base, likely) of every document; ``row`` numbers the written rows, ``hash`` is of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("base", F.concat(*(base_spans(F.col("text"), k) for k in KINDS)))
-    rows = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", likely_spans(F.col("text"), F.col("base")).alias("likely"))
+    rows = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("hash"), "base", likely_spans(F.col("text"), F.col("base")).alias("likely"))
     return materialise(rows, "found_spans")
 
 
@@ -317,12 +317,12 @@ def redact(docs: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     names = docs.columns
     found = found_spans(docs)
     accepted = bootstrap(graph(found), min_seeds)
-    likely = found.where(F.size("likely") > 0).select("doc_id", F.explode("likely").alias("z")).select("doc_id", "z.kind", "z.inst")
-    # Documents that hold an accepted instance, with the instances: few, and joined by doc_id.
-    hits = likely.join(accepted, ["kind", "inst"]).groupBy("doc_id").agg(F.collect_set("inst").alias("_insts"))
-    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col("doc_id").alias("_id")).join(
-        hits.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    likely = found.where(F.size("likely") > 0).select("hash", F.explode("likely").alias("z")).select("hash", "z.kind", "z.inst")
+    # Texts that hold an accepted instance, with the instances: few, and joined by the text's
+    # hash, so that rows without doc_id have theirs too.  What a text doesn't hold isn't found in it.
+    hits = likely.join(accepted, ["kind", "inst"]).groupBy(F.col("hash").alias("_hash")).agg(F.collect_set("inst").alias("_insts"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row")).withColumn("_hash", F.xxhash64(text)).join(hits, "_hash", "left")
     rows = rows.withColumn("_base", F.concat(*(base_spans(text, k) for k in KINDS)))
     more = F.when(F.col("_insts").isNotNull(), F.filter(likely_spans(text, F.col("_base")), lambda z: F.array_contains(F.col("_insts"), z["inst"])))
     rows = rows.withColumn("_all", F.concat("_base", F.coalesce(more, F.array().cast(SPAN))))
