@@ -17,8 +17,11 @@ Search.  Bands of four components are buckets.  Every bucket's members are compa
 with one hub of the bucket, not with each other, so a bucket of any size costs as
 many comparisons as it has members; this repeats for what the hub doesn't explain, as
 long as hubs explain members.  A link inside one connected class changes nothing, so
-only buckets that still hold several classes are then compared in blocks, members of the smaller classes against
-all.  Pairs whose signatures agree enough are verified by their exact overlap.
+only buckets that still hold several classes are then compared in blocks, members of the
+smaller classes against all, each pair in the first bucket that it shares.  Blocks are
+compared by signatures first; only members of some pair that agrees enough go on with
+their text, and the pairs are verified by their exact overlap where the block is.  No
+pair leaves its block: what comes out are the links that join two classes there.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ BLOCK_ROWS = 1024
 #: A hub round must explain more than this share of the members it compares, else blocks take over.
 HUB_PROGRESS = 0.1
 #: Shingles that one signature batch works on at once, and a worker's cached word hashes.
-BATCH_SHINGLES, CACHE_WORDS = 1_000_000, 1_000_000
+BATCH_SHINGLES, CACHE_WORDS = 100_000, 200_000
 
 U = np.uint64
 
@@ -174,33 +177,39 @@ def band_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bands, sig): ``key`` is a 128-bit hash of the word sequence, ``bands`` the
-    buckets (none for a text without words) and ``sig`` the components' low bytes."""
+    """(doc_id, hash, key, bands, sig): ``hash`` is of the text, ``key`` a 128-bit hash of the word
+    sequence, ``bands`` the buckets (none for a text without words) and ``sig`` the components' low bytes."""
     def run(batches):
-        def emit(ids, keys, bags):
+        def emit(ids, hashes, keys, bags):
             codes = bag_signatures(bags)
             bands = [b if len(g) else [] for b, g in zip(band_hashes(codes), bags, strict=True)]
             low = codes.astype(np.uint8)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array([s.tobytes() for s in low], pa.binary())], names=["doc_id", "key", "bands", "sig"])
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array([s.tobytes() for s in low], pa.binary())], names=["doc_id", "hash", "key", "bands", "sig"])
 
         for batch in batches:
-            ids, keys, bags, size = [], [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, hashes, keys, bags, size = [], [], [], [], 0
+            for doc_id, text, text_hash in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = split_words(text)
                 ids.append(doc_id)
+                hashes.append(text_hash)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 bags.append(shingle_hashes(words))
                 size += len(words)
                 if size >= BATCH_SHINGLES:
-                    yield emit(ids, keys, bags)
-                    ids, keys, bags, size = [], [], [], 0
+                    yield emit(ids, hashes, keys, bags)
+                    ids, hashes, keys, bags, size = [], [], [], [], 0
             if ids:
-                yield emit(ids, keys, bags)
+                yield emit(ids, hashes, keys, bags)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>, sig binary")
+    return _hashed(docs).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>, sig binary")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hash) of every row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
 
 # -- search -------------------------------------------------------------------
@@ -232,35 +241,73 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
-def _across_classes(batches):
-    """Pairs of a block's home rows and its other rows that agree enough and are of two classes.
+BLOCK = "bucket long, i int, j int, home boolean, key binary, cls binary, sig binary, bands array<long>"
 
-    Rows come sorted by block, so blocks are cut from the stream one after the other.
-    """
-    def pairs(home, key, cls, sig):
-        h, o = np.flatnonzero(home), np.flatnonzero(~home)
-        for i in h:
-            near = o[(cls[o] != cls[i]) & ((sig[o] == sig[i]).sum(axis=1) >= MIN_AGREE)]
-            yield from ((max(key[i], key[j]), min(key[i], key[j])) for j in near)
-
-    def blocks(p):
-        sig = np.frombuffer(b"".join(p["sig"]), dtype=np.uint8).reshape(len(p), -1)
-        cls, key, home = pd.factorize(p["cls"])[0], p["key"].to_numpy(), p["home"].to_numpy(dtype=bool)
-        block = p[["bucket", "i", "j"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1), len(p)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield from pairs(home[a:b], key[a:b], cls[a:b], sig[a:b])
 
+def _by_block(batches):
+    """The blocks of rows that come sorted by block, one after the other."""
     held = None  # rows of the last block seen, which may go on in the next batch
     for p in batches:
         p = p if held is None else pd.concat([held, p], ignore_index=True)
         if not len(p):
             continue
-        same = (p[["bucket", "i", "j"]] == p[["bucket", "i", "j"]].iloc[-1]).all(axis=1)
-        yield pd.DataFrame(list(blocks(p[~same])) if not same.all() else [], columns=["a", "b"])
-        held = p[same]
+        block = p[["bucket", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield p.iloc[a:b]
+        held = p.iloc[cuts[-1]:]
     if held is not None and len(held):
-        yield pd.DataFrame(list(blocks(held)), columns=["a", "b"])
+        yield held
+
+
+def _near_pairs(p: pd.DataFrame):
+    """(home row, other rows) of a block that agree enough, are of two classes and share no earlier band."""
+    sig = np.frombuffer(b"".join(p["sig"]), dtype=np.uint8).reshape(len(p), -1)
+    bands = np.stack(p["bands"].to_numpy())
+    cls, home, bucket = pd.factorize(p["cls"])[0], p["home"].to_numpy(dtype=bool), p["bucket"].iloc[0]
+    others = np.flatnonzero(~home)
+    for i in np.flatnonzero(home):
+        near = others[(cls[others] != cls[i]) & ((sig[others] == sig[i]).sum(axis=1) >= MIN_AGREE)]
+        near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == bucket] if len(near) else near
+        if len(near):
+            yield i, near
+
+
+def _near_rows(batches):
+    """The rows of each block that are in some near pair."""
+    for p in _by_block(batches):
+        keep = np.zeros(len(p), dtype=bool)
+        for i, near in _near_pairs(p):
+            keep[i] = True
+            keep[near] = True
+        if keep.any():
+            yield p[keep]
+
+
+def _block_links(threshold: float):
+    """Links (a, b) that join the classes of each block: one less than the classes they join."""
+    def run(batches):
+        for p in _by_block(batches):
+            key, cls = p["key"].to_numpy(), pd.factorize(p["cls"])[0]
+            text, bags, root, out = p["text"].to_numpy(), {}, list(range(int(cls.max()) + 1)), []
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            def bag(i):
+                if key[i] not in bags:
+                    bags[key[i]] = shingle_hashes(split_words(text[i]))
+                return bags[key[i]]
+            for i, near in _near_pairs(p):
+                for j in near.tolist():
+                    if top(cls[i]) != top(cls[j]) and overlap(bag(i), bag(j)) >= threshold:
+                        root[top(cls[i])] = top(cls[j])
+                        out.append((max(key[i], key[j]), min(key[i], key[j])))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+    return run
 
 
 def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -277,13 +324,13 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
 def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, component) of the word sequences that have a link.
 
-    ``sigs`` holds one row per word sequence (key, bands, sig, doc).
+    ``sigs`` holds one row per word sequence (key, bands, sig, hash).
     """
     rows = sigs.select(F.explode("bands").alias("bucket"), "key")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     rows = materialise(rows.join(shared.select("bucket"), "bucket"), "buckets")
     candidates = materialise(rows.select("key").distinct(), "candidates")
-    sigs = materialise(sigs.select("key", "sig", "doc").join(candidates, "key"), "candidate_sigs")
+    sigs = materialise(sigs.select("key", "sig", "bands", "hash").join(candidates, "key"), "candidate_sigs")
     texts = _texts(docs, sigs)
 
     classes, left = None, rows
@@ -304,7 +351,7 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     # Any pair of two classes has a member outside the bucket's largest class.
     sizes = rows.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cls"))["cls"].alias("main"), F.sum("n").alias("n"))
-    rows = rows.join(largest, "bucket").join(sigs.select("key", "sig"), "key")
+    rows = rows.join(largest, "bucket").join(sigs.select("key", "sig", "bands"), "key")
     rows = rows.withColumn("_b", F.ceil(F.col("n") / block_rows).cast("int"))
     mine = F.pmod(F.hash("key"), F.col("_b"))
     every = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
@@ -312,16 +359,21 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     other = rows.withColumn("home", F.lit(False)).withColumn("j", mine).withColumn("i", every)
     # Blocks without home rows have nothing to compare.
     busy = home.select("bucket", "i", "j").distinct()
-    columns = ["bucket", "i", "j", "key", "cls", "sig", "home"]
+    columns = ["bucket", "i", "j", "home", "key", "cls", "sig", "bands"]
     blocks = home.select(columns).unionByName(other.join(busy, ["bucket", "i", "j"], "left_semi").select(columns))
-    blocks = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    pairs = materialise(blocks.mapInPandas(_across_classes, "a binary, b binary").distinct(), "cross_pairs")
-    more = materialise(_verified(pairs, texts, threshold), "cross_links")
+    near = materialise(_dealt(blocks).mapInPandas(_near_rows, BLOCK), "near_rows")
+    more = _dealt(near.join(texts, "key")).mapInPandas(_block_links(threshold), "a binary, b binary")
+    more = materialise(more.distinct(), "cross_links")
     if more.isEmpty():
         return classes
     return _joined_classes(classes, more)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by block, the blocks of a task one after the other."""
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
 def _joined_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     """(key, component) after ``links`` have joined the known classes."""
     if classes is not None:
@@ -335,8 +387,7 @@ def _texts(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         for p in batches:
             same = [xxhash.xxh3_128_digest(b" ".join(split_words(t))) == bytes(k) for t, k in zip(p["text"], p["key"], strict=True)]
             yield p.loc[np.array(same, dtype=bool), ["key", "text"]]
-    found = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(
-        sigs.select("doc", "key"), "doc").select("key", "text").mapInPandas(run, "key binary, text string")
+    found = _hashed(docs).select("hash", "text").join(sigs.select("hash", "key"), "hash").select("key", "text").mapInPandas(run, "key binary, text string")
     return materialise(found.dropDuplicates(["key"]), "candidate_texts")
 
 
@@ -347,35 +398,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **sizes) -> D
     weighted Jaccard of ``threshold`` or more on five-word shingles.  ``class_id`` is the
     smallest doc_id of the class, ``kept`` marks that document.  Texts without words
     (null, empty, white space) are one class; texts of fewer than five words link with
-    equal ones only.  Rows that repeat a doc_id with the same words are all marked; rows
-    without doc_id belong to their class, which is null if no member has one.
+    equal ones only.  Rows that repeat a doc_id with the same words are all marked.  Rows
+    without doc_id are compared like all others; a class in which no row has one gets a
+    negative class_id from its smallest key, and the rows of that key are marked.
     """
     signed = materialise(sign(docs), "signed")
-    unique = signed.where("doc_id IS NOT NULL").groupBy("key").agg(
-        F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc"))
+    unique = signed.groupBy("key").agg(
+        F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("hash").alias("hash"), F.min("doc_id").alias("doc"))
     unique = materialise(unique, "signatures")
     classes = link_classes(unique, docs, threshold, **sizes)
     firsts = materialise(_with_class(unique.select("key", "doc"), classes), "firsts")
-    ids = firsts.groupBy("cls").agg(F.min(F.struct("doc", "key")).alias("_first"))
-    classed = firsts.join(ids, "cls").select("key", F.col("_first.doc").alias("class_id"), (F.col("key") == F.col("_first.key")).alias("_own"))
+    ids = firsts.groupBy("cls").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("_first"))
+    named = F.coalesce("_first.doc", -1 - F.abs(F.xxhash64("_first.key") % F.lit(1 << 62)))
+    classed = firsts.join(ids, "cls").select("key", named.alias("class_id"), F.col("_first.doc").alias("_doc"), (F.col("key") == F.col("_first.key")).alias("_own"))
     out = signed.select("doc_id", "key").join(classed, "key", "left")
-    kept = F.coalesce(F.col("_own") & (F.col("doc_id") == F.col("class_id")), F.col("class_id").isNull())
-    return out.select("doc_id", "key", "class_id", kept.alias("kept"))
+    return out.select("doc_id", "key", "class_id", (F.col("_own") & F.col("doc_id").eqNullSafe(F.col("_doc"))).alias("kept"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, **sizes) -> DataFrame:
     """One document of each class, unchanged: the one of the smallest doc_id.
 
-    Of rows that repeat that doc_id with the same words one stays; rows without any
-    doc_id in their class stay.
+    Of rows that repeat that doc_id with the same words one stays, and so does one row of a
+    class without any doc_id.
     """
     chosen = near_duplicates(docs, threshold, **sizes).where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_n"))
     names = docs.columns
     keyed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
     keyed = _row_keys(keyed)
     rows = keyed.join(chosen, (keyed["id"].eqNullSafe(chosen["doc_id"])) & (keyed["k"] == chosen["key"])).select("row", "k", "id", "_n")
-    once = rows.where("_n = 1 OR id IS NULL").select("row.*")
-    again = rows.where("_n > 1 AND id IS NOT NULL").dropDuplicates(["id", "k"]).select("row.*")
+    once = rows.where("_n = 1").select("row.*")
+    again = rows.where("_n > 1").dropDuplicates(["id", "k"]).select("row.*")
     return once.unionByName(again)
 
 

@@ -267,3 +267,73 @@ def test_index_finds_every_occurrence(runs, phrase):
 def test_new_queries_match_their_sql(spark, name):
     r = compare(spark, duck(SF_SMALL), name, E.queries()[name], E.oracle_sql()[name], SF_SMALL)
     assert r["ok"], r
+
+
+# -- earlier operators: rows without ids, texts with added tokens ---------------------
+def test_near_copies_without_ids_are_one_class(spark):
+    from pagemill.llm import minhash
+    words = [f"w{i}" for i in range(300)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words)), (None, near), (None, " ".join(words)), (None, "something else entirely " * 9), (5, "clean text of its own " * 9),
+            (None, " ".join(words) + " tail"), (7, near + " again")]
+    far = spark.createDataFrame(rows[:4], "doc_id long, text string")
+    got = minhash.near_duplicates(far).collect()
+    assert len({r.class_id for r in got}) == 2 and all(r.class_id < 0 for r in got)
+    assert sorted(r.text for r in minhash.keep_first(far).collect()) == sorted([rows[3][1], min((rows[0][1], rows[1][1]), key=lambda t: _word_key(t))])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.class_id for r in got if r.class_id is not None and r.class_id > 0) == [5, 7, 7, 7, 7, 7]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id) for r in kept)) == ["5", "7", "None"]
+
+
+def _word_key(text):
+    import xxhash
+    from pagemill.llm.minhash import split_words
+    return xxhash.xxh3_128_digest(b" ".join(split_words(text)))
+
+
+def test_blocks_of_any_size_give_the_same_classes(spark):
+    """Groups whose members are alike but below the threshold, compared in blocks of two rows and of many."""
+    from pagemill.llm import minhash
+    from tests.llm import brute
+    rng = np.random.default_rng(5)
+    texts = {}
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.choice(120, size=int(rng.integers(0, 7)), replace=False):
+                words[at] = f"x{g}_{k}_{at}"
+            texts[len(texts)] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute.near_duplicate_classes(texts)
+    assert len(set(want.values())) > 6
+    for block_rows in (2, 1024):
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, block_rows=block_rows).collect()} == want
+
+
+def test_accepted_instances_go_from_rows_without_ids(spark):
+    from pagemill.llm import personal
+    seeds = [(i, f"please call hotline +1 (555) 010-2{i:03d} now") for i in range(20)]
+    same = "please call hotline 555-010-9999 now"
+    df = spark.createDataFrame([*seeds, (None, same), (99, same)], "doc_id long, text string")
+    assert {r.text for r in personal.redact(df).where("doc_id IS NULL OR doc_id = 99").collect()} == {"please call hotline [PHONE] now"}
+
+
+def test_added_tokens_in_texts_are_encoded_as_the_tokenizer_does(spark, paths):
+    import zlib
+
+    from pagemill.llm import packing
+    from tokenizers import Tokenizer
+    text = "hello <|endoftext|> world"
+    ids = Tokenizer.from_file(paths[0]).encode(text, add_special_tokens=False).ids + [0]
+    row = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), paths[0]).first()
+    assert row.length == len(ids) == 5 and row.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_equal_rows_share_what_is_left_of_a_target(spark, doc_id):
+    from pagemill.llm import mixing
+    df = spark.createDataFrame([(doc_id, "five words in this text", "a")] * 1000 + [(2, "w " * 4000, "b"), (3, "w " * 9000, "c")], "doc_id long, text string, source string")
+    rows = mixing.mix_documents(df).where("source = 'a'").collect()
+    assert len(rows) == 1000 and abs(sum(r.taken for r in rows) - rows[0].target) <= 500 and max(r.taken for r in rows) <= 15
