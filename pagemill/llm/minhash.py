@@ -44,7 +44,7 @@ COMPONENTS = BANDS * BAND_ROWS
 #: a pair of similarity 0.8 agrees in 77 on average and in fewer than 53 once in 10^8.
 MIN_AGREE = 53
 #: Rows of a block in which members of a bucket are compared; a task compares two.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 #: A hub round must explain more than this share of the members it compares, else blocks take over.
 HUB_PROGRESS = 0.1
 #: Shingles that one signature batch works on at once, and a worker's cached word hashes.
@@ -89,13 +89,27 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """A multiset of hashes as a sorted set: the first occurrence of a hash, its second, ... are
+    different members, so the weighted overlap of multisets is the plain one of these sets."""
+    ordered = np.sort(hashes)
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)]
+    at = np.arange(len(ordered))
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    return np.sort(_mix(ordered + nth.astype(U) * U(0x9E3779B97F4A7C15)))
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard index of two multisets of hashes; of two empty ones 1."""
+    return set_overlap(numbered(a), numbered(b))
+
+
+def set_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """The same of two ``numbered`` multisets."""
     if not len(a) and not len(b):
         return 1.0
-    (ka, ca), (kb, cb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(ca[i], cb[j]).sum())
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
     return shared / (len(a) + len(b) - shared)
 
 
@@ -233,8 +247,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             keep = []
             for a, ta, tb in zip(p["a"], p["ta"], p["tb"], strict=True):
                 if a != last:
-                    last, bag = a, shingle_hashes(split_words(ta))
-                keep.append(overlap(bag, shingle_hashes(split_words(tb))) >= threshold)
+                    last, bag = a, numbered(shingle_hashes(split_words(ta)))
+                keep.append(set_overlap(bag, numbered(shingle_hashes(split_words(tb)))) >= threshold)
             yield p.loc[np.array(keep, dtype=bool), ["a", "b"]]
     both = (pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a"))
@@ -298,11 +312,14 @@ def _block_links(threshold: float):
 
             def bag(i):
                 if key[i] not in bags:
-                    bags[key[i]] = shingle_hashes(split_words(text[i]))
+                    bags[key[i]] = numbered(shingle_hashes(split_words(text[i])))
                 return bags[key[i]]
+
+            def linked(x, y):  # no overlap is above the ratio of the sizes
+                return min(len(x), len(y)) >= threshold * max(len(x), len(y)) and set_overlap(x, y) >= threshold
             for i, near in _near_pairs(p):
                 for j in near.tolist():
-                    if top(cls[i]) != top(cls[j]) and overlap(bag(i), bag(j)) >= threshold:
+                    if top(cls[i]) != top(cls[j]) and linked(bag(i), bag(j)):
                         root[top(cls[i])] = top(cls[j])
                         out.append((max(key[i], key[j]), min(key[i], key[j])))
             if out:
@@ -335,7 +352,8 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
 
     classes, left = None, rows
     while True:
-        hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "key").alias("p"), "key"))["key"].alias("hub"))
+        # One order of keys for all buckets: members that share many buckets share their hub there, and meet it once.
+        hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("p"), "key"))["key"].alias("hub"))
         spokes = materialise(left.join(hub, "bucket").where("key != hub").select(
             "bucket", "key", F.greatest("hub", "key").alias("a"), F.least("hub", "key").alias("b")), "spokes")
         found = materialise(_verified(_agreeing(spokes.select("a", "b").distinct(), sigs), texts, threshold), "links")
