@@ -23,7 +23,11 @@ PARTS = {
     "text": ("content", T.StringType()),
     "tables": ("tables", T.ArrayType(schemas.TABLE_RUNS)),
     "code": ("code_blocks", T.ArrayType(schemas.CODE_BLOCK)),
+    # How many there are, for reports: no table or block leaves Python.
+    "table_count": ("n_tables", T.IntegerType()),
+    "code_count": ("n_code_blocks", T.IntegerType()),
 }
+COUNTED = {"table_count": "tables", "code_count": "code"}
 ALL_PARTS = ("text", "tables", "code")
 
 
@@ -37,7 +41,7 @@ def _return_type(parts: tuple[str, ...]) -> T.StructType:
 def _udf(parts: tuple[str, ...]):
     rtype = _return_type(parts)
     atype = to_arrow_type(rtype)
-    want = {p: p in parts for p in ALL_PARTS}
+    want = {p: p in parts or any(COUNTED.get(c) == p for c in parts) for p in ALL_PARTS}
 
     def parse_batch(col: pa.Array) -> pa.Array:
         cols = {p: [] for p in parts}
@@ -45,7 +49,7 @@ def _udf(parts: tuple[str, ...]):
         for doc in col.to_pylist():
             r = H.read_page(doc, want["text"], want["tables"], want["code"])
             for p in parts:
-                cols[p].append(r[p])
+                cols[p].append(len(r[COUNTED[p]]) if p in COUNTED else r[p])
             errors.append(list(r["errors"].items()))
         arrays = [pa.array(cols[p], type=atype.field(PARTS[p][0]).type) for p in parts]
         arrays.append(pa.array(errors, type=atype.field("errors").type))
@@ -78,7 +82,7 @@ def table_grids(tables: Column) -> Column:
 
 def parse_html(col, parts=ALL_PARTS) -> Column:
     """Struct column ``{content?, tables?, code_blocks?, errors}`` of one parse."""
-    parts = tuple(p for p in ALL_PARTS if p in set(parts))
+    parts = tuple(p for p in PARTS if p in set(parts))
     c = F.col(col) if isinstance(col, str) else col
     return _udf(parts)(c)
 

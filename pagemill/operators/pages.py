@@ -138,6 +138,14 @@ def process_pages(pages: DataFrame, attachments: DataFrame | None = None, commen
     return out.select(*keep, "content", "metadata", "tables", "code_blocks", "attachments", "comments", "errors")
 
 
+def page_figures(pages: DataFrame, keep=("id",), source: str = SOURCE) -> DataFrame:
+    """P9 for reports: ``keep``, ``content``, ``metadata``, ``n_tables`` and ``n_code_blocks`` of every page,
+    from the same parse, without grids or blocks that only get counted."""
+    parsed = pages.select(*keep, *[c for c in pages.columns if c not in keep],
+                          parse_html(F.col("content"), ("text", "table_count", "code_count")).alias("_p"))
+    return parsed.select(*keep, F.col("_p.content").alias("content"), metadata(parsed, source).alias("metadata"), "_p.n_tables", "_p.n_code_blocks")
+
+
 # P10 ----------------------------------------------------------------------
 # Error-record texts and the default status code.
 UNEXPECTED_MESSAGE = "An unexpected error occurred"

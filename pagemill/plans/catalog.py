@@ -186,9 +186,9 @@ def _corpus_comments(spark, sf):
 
 
 def _processed_corpus(spark, sf):
-    """The mixed corpus with all parts parsed and its comments counted."""
+    """The mixed corpus with its text, and its tables, code blocks and comments counted."""
     pages = P.child_summary(D.corpus_pages(spark, sf), comments=_corpus_comments(spark, sf))
-    return P.process_pages(pages, keep=("id", "n_comments")).drop("comments")
+    return P.page_figures(pages, keep=("id", "n_comments"))
 
 
 @query

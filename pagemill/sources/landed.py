@@ -8,7 +8,10 @@ scan is ``spark.read`` with an explicit schema plus a projection.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,22 +205,37 @@ def _from_arrow_path(uri_prefix: str, inner: str) -> str:
     return ("file:" + inner) if uri_prefix.startswith("file:") else uri_prefix.split("://", 1)[0] + "://" + inner
 
 
-def _list_children(batches):
-    """mapInPandas body: list each directory one level deep (all names)."""
-    import pandas as pd
+#: Entries of a folder that a task holds at once.
+LISTING_ROWS = 10_000
+
+
+def _entries(folder: str):
+    """(path, name, length, is_dir) of what stands right in a folder, one after the other.
+
+    A local folder is read as a stream; other file systems answer with the folder's listing.
+    """
     from pyarrow import fs as pafs
 
+    uri = to_arrow_uri(folder)
+    filesystem, inner = pafs.FileSystem.from_uri(uri)
+    if isinstance(filesystem, pafs.LocalFileSystem):
+        with os.scandir(inner) as found:
+            for e in found:
+                if e.is_dir() or e.is_file():
+                    yield _from_arrow_path(uri, e.path), e.name, 0 if e.is_dir() else e.stat().st_size, e.is_dir()
+        return
+    for info in filesystem.get_file_info(pafs.FileSelector(inner, recursive=False)):
+        if info.type in (pafs.FileType.File, pafs.FileType.Directory):
+            is_dir = info.type == pafs.FileType.Directory
+            yield _from_arrow_path(uri, info.path), info.base_name, 0 if is_dir else int(info.size or 0), is_dir
+
+
+def _list_children(batches):
+    """mapInPandas body: list each directory one level deep (all names), ``LISTING_ROWS`` at a time."""
     for pdf in batches:
-        rows = []
-        for d in pdf["dir"]:
-            filesystem, inner = pafs.FileSystem.from_uri(to_arrow_uri(d))
-            for info in filesystem.get_file_info(pafs.FileSelector(inner, recursive=False)):
-                is_dir = info.type == pafs.FileType.Directory
-                if info.type not in (pafs.FileType.File, pafs.FileType.Directory):
-                    continue
-                rows.append((_from_arrow_path(to_arrow_uri(d), info.path), info.base_name,
-                             0 if is_dir else int(info.size or 0), is_dir))
-        yield pd.DataFrame(rows, columns=["path", "name", "length", "is_dir"])
+        entries = itertools.chain.from_iterable(map(_entries, pdf["dir"]))
+        for rows in itertools.batched(entries, LISTING_ROWS):
+            yield pd.DataFrame(rows, columns=["path", "name", "length", "is_dir"])
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

@@ -145,3 +145,17 @@ def test_csv_sink_writes_nested_columns_as_json(spark, tmp_out):
     sinks.write_csv(df, path)
     back = spark.read.options(**sinks.CSV_READ_OPTIONS).csv(path).first()
     assert back.key == "k1" and json.loads(back.tags) == ["a", "b"] and json.loads(back.meta) == {"s": "x", "n": 1}
+
+
+def test_a_wide_folder_is_listed_in_parts(tmp_out, monkeypatch):
+    import pandas as pd
+    for i in range(25):
+        with open(os.path.join(tmp_out, f"_{i}.txt"), "w") as f:
+            f.write("x" * i)
+    os.makedirs(os.path.join(tmp_out, "sub"))
+    monkeypatch.setattr(A, "LISTING_ROWS", 7)
+    parts = list(A._list_children([pd.DataFrame({"dir": [tmp_out, os.path.join(tmp_out, "sub")]})]))
+    assert [len(p) for p in parts] == [7, 7, 7, 5]
+    rows = pd.concat(parts)
+    assert rows["is_dir"].sum() == 1 and rows.loc[~rows["is_dir"], "length"].sum() == sum(range(25))
+    assert set(rows["path"]) == {"file:" + os.path.join(tmp_out, n) for n in [*(f"_{i}.txt" for i in range(25)), "sub"]}

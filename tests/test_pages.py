@@ -98,3 +98,19 @@ def test_tokenizer_failure_becomes_per_part_errors(spark):
     ok, dead = P.split_errors(done)
     assert [r.id for r in ok.collect()] == ["2"]
     assert sorted(r.part for r in dead.collect()) == ["code", "tables", "text"]
+
+
+def test_page_figures_count_what_process_pages_lists(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import pages as P
+    from pagemill.operators import quality as Q
+    html = ["<table><tr><td>1</td></tr></table><pre>x</pre><table></table>", "<code>a</code><pre><code>b</code></pre>", "plain", None, ""]
+    df = spark.createDataFrame([(str(i), h, 1) for i, h in enumerate(html)], "id string, content string, n_comments int")
+    listed = P.process_pages(df, keep=("id", "n_comments")).drop("comments")
+    counted = P.page_figures(df, keep=("id", "n_comments"))
+    want = listed.select("id", "content", F.size("tables").alias("n_tables"), F.size("code_blocks").alias("n_code_blocks"))
+    assert sorted(counted.select(want.columns).collect()) == sorted(want.collect())
+    figures = [Q.corpus_summary(p).drop("generated_at").first() for p in (listed, counted)]
+    assert figures[0] == figures[1]
+    assert sorted(Q.page_scores(listed).collect()) == sorted(Q.page_scores(counted).collect())
