@@ -44,7 +44,7 @@ COMPONENTS = BANDS * BAND_ROWS
 #: a pair of similarity 0.8 agrees in 77 on average and in fewer than 53 once in 10^8.
 MIN_AGREE = 53
 #: Rows of a block in which members of a bucket are compared; a task compares two.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 #: A hub round must explain more than this share of the members it compares, else blocks take over.
 HUB_PROGRESS = 0.1
 #: Shingles that one signature batch works on at once, and a worker's cached word hashes.
