@@ -80,15 +80,19 @@ def with_file_flags(entries: DataFrame) -> DataFrame:
 
 
 def inventory(entries: DataFrame) -> DataFrame:
-    """G4 one-row totals: files, successes, failures, bytes, readable bytes."""
+    """G4 one-row totals: files, successes, failures, bytes, readable bytes.
+
+    Bytes are added as decimals.  ``total_size`` is a long, null if the sum is past its
+    range; ``total_size_readable`` is of the exact sum."""
     e = with_file_flags(entries)
     g = e.agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(~F.col("failed")).alias("successful_files"),
         F.count_if(F.col("failed")).alias("failed_files"),
-        F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_size"),
+        F.coalesce(F.sum(F.col("length").cast("decimal(19,0)")), F.lit(0)).alias("total_size"),
     )
-    return g.withColumn("total_size_readable", X.readable_size(F.col("total_size")))
+    return g.withColumn("total_size_readable", X.readable_size(F.col("total_size"))) \
+            .withColumn("total_size", F.col("total_size").try_cast("long"))
 
 
 def file_types(entries: DataFrame) -> DataFrame:

@@ -159,3 +159,11 @@ def test_a_wide_folder_is_listed_in_parts(tmp_out, monkeypatch):
     rows = pd.concat(parts)
     assert rows["is_dir"].sum() == 1 and rows.loc[~rows["is_dir"], "length"].sum() == sum(range(25))
     assert set(rows["path"]) == {"file:" + os.path.join(tmp_out, n) for n in [*(f"_{i}.txt" for i in range(25)), "sub"]}
+
+
+def test_inventory_of_more_bytes_than_a_long_holds(spark):
+    from tests.test_functions import exact_size
+    sizes = [2**63 - 1, 2**63 - 1, 5, None]
+    row = B.inventory(spark.createDataFrame([(f"{i}", n) for i, n in enumerate(sizes)], "name string, length long")).first()
+    assert row.total_files == 4 and row.total_size is None
+    assert row.total_size_readable == exact_size(2**64 + 3)
