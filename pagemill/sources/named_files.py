@@ -44,13 +44,16 @@ def checked_name(name: str | None) -> str:
     return name
 
 
-def _below(files, root: str, name: str) -> str:
-    """Place of ``name`` below ``root``, which has to be there; the folders between are made."""
+def _below(files, root: str, name: str, made: set[str]) -> str:
+    """Place of ``name`` below ``root``, which has to be there; the folders between are made,
+    but for those that this task has ``made``."""
     *folders, _ = name.split("/")
     at = root
     for folder in folders:
         at = f"{at}/{folder}"
-        files.create_dir(at, recursive=False)
+        if at not in made:
+            files.create_dir(at, recursive=False)
+            made.add(at)
     return f"{root}/{name}"
 
 
@@ -78,19 +81,20 @@ class NamedFilesWriter(DataSourceArrowWriter):
         own = f"attempt-{task.partitionId()}-{task.taskAttemptId()}"
         files, root = None, ""
         names: dict[str, None] = {}
+        made: set[str] = set()
         size = 0
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if files is None:
                     files, root = open_folder(self.staging)
                 raw = content.encode() if isinstance(content, str) else content or b""
-                at = _below(files, root, f"{own}/{checked_name(name)}")
+                at = _below(files, root, f"{own}/{checked_name(name)}", made)
                 with files.open_output_stream(at) as out:
                     out.write(raw)
                 names[name] = None
                 size += len(raw)
         for name in names:
-            files.move(f"{root}/{own}/{name}", _below(files, root, f"files/{name}"))
+            files.move(f"{root}/{own}/{name}", _below(files, root, f"files/{name}", made))
         return Written(len(names), size)
 
     def commit(self, messages) -> None:

@@ -130,3 +130,15 @@ def test_single_json_takes_no_part_of_the_scan_away(spark, tmp_path):
     assert os.listdir(f"{tmp_path}/out") == ["page_7_raw.json"]
     text = open(f"{tmp_path}/out/page_7_raw.json").read()
     assert json.loads(text) == {"id": "7", "x": None, "s": {"é": 1}} and text.startswith("{\n  ")
+
+
+def test_a_task_makes_each_folder_once():
+    class Files:
+        calls = []
+
+        def create_dir(self, path, recursive):
+            self.calls.append(path)
+
+    made = set()
+    assert [N._below(Files(), "r", name, made) for name in ("a/b/1", "a/b/2", "a/3")] == ["r/a/b/1", "r/a/b/2", "r/a/3"]
+    assert Files.calls == ["r/a", "r/a/b"]
