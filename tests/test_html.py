@@ -174,3 +174,35 @@ def test_multi_row_header_levels_join_and_unnamed_columns(spark):
     t = tables[0]
     assert t["headers"] == ["grp a", "grp b", "Unnamed: 2"]
     assert t["data"] == [["1", "2", "3"]]
+
+
+def test_plain_pages_need_no_tokenizer(monkeypatch):
+    def feed(self, data):
+        raise AssertionError(f"tokenized: {data}")
+
+    doc = "<h2>T</h2><table><tr><th>a</th><th>b</th></tr><tr><td>1 &amp; 2</td><td> x\n y </td></tr><tr><td></td><td>3</td></tr></table>"
+    want = H.read_page(doc.replace("<h2>", "<!-- c --><h2>"))
+    monkeypatch.setattr(H.PageReader, "feed", feed)
+    assert H.read_page(doc) == want and want["errors"] == {}
+    assert want["text"] == "T a b 1 & 2 x y 3" and want["tables"][0]["headers"] == ["a", "b"]
+
+
+PIECES = ["<tr>", "</tr>", "<td>", "</td>", "<th>", "<table>", "</table>", "<thead>", "</thead>", "text", " a  b\n c", "&amp;", "&#65;", "&#x41", "&#",
+          "&foo", "&", "<", ">", '"', "<!--", "-->", "<script>", "</script>", "<title>", "<pre>", '<code class="x y">', "</code>", '<div style="display: none">',
+          "</div>", '<a href="x>y">', "<br/>", '<td colspan="2">', '<td rowspan="3" colspan="2">', "<TD>", "</", "<![CDATA[x]]>", "<rt>", "</rt>",
+          "<tr><td>1</td><td></td><td> z </td></tr>", "<tr><th>h</th><th>h</th></tr>", "<tr><td></td></tr>"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25), st.tuples(st.booleans(), st.booleans(), st.booleans()))
+def test_plain_pieces_mean_what_the_tokenizer_makes_of_them(pieces, want):
+    class Tokenized(H.PageReader):
+        def read(self, html):
+            self.feed(html)
+
+    doc = "<table>" + "".join(pieces)
+    found, H.PageReader, kept = H.read_page(doc, *want), Tokenized, H.PageReader
+    try:
+        assert found == H.read_page(doc, *want)
+    finally:
+        H.PageReader = kept
