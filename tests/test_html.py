@@ -206,3 +206,14 @@ def test_plain_pieces_mean_what_the_tokenizer_makes_of_them(pieces, want):
         assert found == H.read_page(doc, *want)
     finally:
         H.PageReader = kept
+
+
+def test_few_rows_and_bytes_are_held_parsed():
+    import pyarrow as pa
+
+    from pagemill.functions import udf as U
+    docs = ["<p>x</p>"] * (U.SLICE_ROWS + 1) + [None, "y" * U.SLICE_BYTES, "z", ""]
+    slices = list(U._slices(pa.array(docs)))
+    assert [x for s in slices for x in s.to_pylist()] == docs
+    assert all(len(s) <= U.SLICE_ROWS and (len(s) == 1 or sum(len(x or "") for x in s.to_pylist()) <= U.SLICE_BYTES) for s in slices)
+    assert len(slices) > 2 and [len(s) for s in U._slices(pa.array([], pa.string()))] == [0]
