@@ -107,7 +107,8 @@ def sprint_issues(issues: DataFrame, sprint_table: DataFrame, project_key: str,
 
 
 def process_issues(issues: DataFrame, comments: DataFrame | None = None, attachments: DataFrame | None = None,
-                   changelog: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+                   changelog: DataFrame | None = None, links: DataFrame | None = None,
+                   child_key: str = "key", times: str | None = None) -> DataFrame:
     """``key``, ``content``, a ``metadata`` struct (key, title, type, status,
     priority, assignee, created, updated) and the arrays ``comments``,
     ``attachments``, ``changelog`` and ``linked_issues``.
@@ -129,7 +130,10 @@ def process_issues(issues: DataFrame, comments: DataFrame | None = None, attachm
     out = issues
     for name, rows, kind in (("comments", comments, COMMENT_ARRAY), ("attachments", attachments, ATTACHMENT_ARRAY),
                              ("changelog", changelog, CHANGE_ARRAY), ("linked_issues", links, LINK_ARRAY)):
-        out = out.withColumn(name, F.array().cast(kind)) if rows is None else nest(out, rows, name, "key")
+        out = out.withColumn(name, F.array().cast(kind)) if rows is None else nest(out, rows, name, child_key)
+        if rows is not None and times is not None:
+            repeated = F.flatten(F.transform(name, lambda x: F.array_repeat(x, F.col(times).cast("int"))))
+            out = out.withColumn(name, F.when(F.col(times) > 1, repeated).otherwise(F.col(name)))
     described = clean_text(F.coalesce("description", F.lit("")))
     said = F.transform("comments", lambda c: c["content"])
     content = F.array_join(F.filter(F.concat(F.array(F.col("_described")), said), lambda x: x != ""), "\n\n")

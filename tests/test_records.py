@@ -142,3 +142,30 @@ def test_a_task_makes_each_folder_once():
     made = set()
     assert [N._below(Files(), "r", name, made) for name in ("a/b/1", "a/b/2", "a/3")] == ["r/a/b/1", "r/a/b/2", "r/a/3"]
     assert Files.calls == ["r/a", "r/a/b"]
+
+
+def test_children_of_issues_move_once_and_come_once_for_each_order_row(spark, tmp_path):
+    import datetime as dt
+
+    from pagemill.plans.catalog import QUERIES
+    at, day = str(tmp_path), dt.date(2020, 1, 2)
+    # Order 1 stands twice for P3-1 and once for P4-1; order 2 has no customer number, 3 no lines, 9 no order.
+    orders = [(1, 13, "F", 1.0, day, "5-LOW"), (1, 23, "O", 2.0, day, "5-LOW"), (1, 4, "P", 3.0, day, "5-LOW"),
+              (2, None, "F", 4.0, day, "5-LOW"), (3, 13, "F", 5.0, day, "5-LOW"), (None, 13, "F", 6.0, day, "5-LOW")]
+    lines = [(1, 7, 1, 2, 5.0, 1.0, 0.0, 0.0, "R", "O", day), (1, 8, 1, 1, 6.0, 1.0, 0.0, 0.0, "N", "F", day), (2, 7, 1, 1, 7.0, 1.0, 0.0, 0.0, "N", "F", day),
+             (9, 7, 1, 1, 8.0, 1.0, 0.0, 0.0, "N", "F", day), (None, 7, 1, 1, 9.0, 1.0, 0.0, 0.0, "N", "F", day)]
+    for name, rows, kind in (
+            ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"),
+            ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"),
+            ("customer", [(13, "c13"), (13, "c13 too"), (4, "c4")], "c_custkey long, c_name string"),
+            ("part", [(7, "a", "t", 1)], "p_partkey long, p_name string, p_type string, p_size int")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{at}/{name}.parquet")
+    done = QUERIES["issue_contents"](spark, at)
+    found = sorted((r.key or "", r.content.count("Line 1"), r.content.count("Line 2"), r.n_comments, r.n_attachments, r.n_changelog, r.n_linked_issues)
+                   for r in done.collect())
+    assert found == [("", 0, 0, 0, 0, 0, 0)] * 3 + [("P3-1", 2, 2, 4, 2, 4, 4)] * 3 + [("P3-3", 0, 0, 0, 0, 0, 0)] * 2 + [("P4-1", 1, 1, 2, 1, 2, 2)]
+    links = sorted((r.key, r.type, r.linked) for r in QUERIES["issue_links"](spark, at).collect() if r.key == "P4-1")
+    assert links == [("P4-1", "blocks", "PART-7"), ("P4-1", "relates to", "PART-8")]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 4 and plan.count("Relation [o_orderkey") == 2
