@@ -49,6 +49,8 @@ BLOCK_ROWS = 1024
 HUB_PROGRESS = 0.1
 #: Shingles that one signature batch works on at once, and a worker's cached word hashes.
 BATCH_SHINGLES, CACHE_WORDS = 100_000, 200_000
+#: Rows of an Arrow batch that are held as Python strings at once.
+SLICE_ROWS = 1_000
 
 U = np.uint64
 
@@ -204,7 +206,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids, hashes, keys, bags, size = [], [], [], [], 0
-            for doc_id, text, text_hash in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, text_hash in _rows(batch):
                 words = split_words(text)
                 ids.append(doc_id)
                 hashes.append(text_hash)
@@ -220,6 +222,12 @@ def sign(docs: DataFrame) -> DataFrame:
     return _hashed(docs).mapInArrow(run, "doc_id long, hash long, key binary, bands array<long>, sig binary")
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch as tuples."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield from zip(*(column.to_pylist() for column in batch.slice(at, SLICE_ROWS).columns), strict=True)
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, hash) of every row."""
     text = F.col("text").cast("string")
@@ -356,7 +364,9 @@ def link_classes(sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
         hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("p"), "key"))["key"].alias("hub"))
         spokes = materialise(left.join(hub, "bucket").where("key != hub").select(
             "bucket", "key", F.greatest("hub", "key").alias("a"), F.least("hub", "key").alias("b")), "spokes")
-        found = materialise(_verified(_agreeing(spokes.select("a", "b").distinct(), sigs), texts, threshold), "links")
+        # Written in between: a task with two Python steps holds two workers, and executors keep what they started.
+        agreeing = materialise(_agreeing(spokes.select("a", "b").distinct(), sigs), "agreeing")
+        found = materialise(_verified(agreeing, texts, threshold), "links")
         classes = _joined_classes(classes, found)
         rows = materialise(_mixed_buckets(_with_class(rows.select("bucket", "key"), classes)), "mixed")
         # What a hub explains leaves the bucket, and so does the hub.
@@ -454,4 +464,6 @@ def _row_keys(rows: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def key(text: pd.Series) -> pd.Series:
         return text.map(lambda t: xxhash.xxh3_128_digest(b" ".join(split_words(t))))
+    # Else the join's filter on keys gets a copy of the function, and each task a second worker.
+    key = key.asNondeterministic()
     return rows.select("row", F.col("row.doc_id").cast("long").alias("id"), key(F.col("row.text").cast("string")).alias("k"))

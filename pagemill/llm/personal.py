@@ -233,11 +233,10 @@ def bootstrap(edges: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: floa
     decides the next round, so the rounds end when one adds nothing.  Patterns with fewer
     instances of any sort than ``min_seeds`` can never count and leave before the first round.
     """
-    spark = edges.sparkSession
     node = ["kind", "pat"]
     able = edges.groupBy(*node).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_seeds).select(*node)
     edges = materialise(edges.join(able, node).withColumnRenamed("seed", "believed"), "pattern_graph")
-    accepted = spark.createDataFrame([], edges.select("kind", "inst").schema)
+    accepted = edges.select("kind", "inst").limit(0)  # rows made in Python would start workers of their own on each executor
     while True:
         believed = F.count_if("believed")
         patterns = edges.groupBy(*node).agg(believed.alias("_s")).where(F.col("_s") >= min_seeds)
