@@ -12,20 +12,30 @@ are files that people open, so they need a name and a place of their own:
 
 So a reader sees no file of an attempt that failed, and none before the job has ended.
 Through the driver go one message a task, of a count and a size.
+
+``read_files`` reads a folder of such files back.  Spark's file sources hold the status of
+every file on the driver and plan a task for every few of them; here a task lists the
+folder, and the names are dealt out to the tasks that read the files.
 """
 
 from __future__ import annotations
 
+import itertools
 import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StringType, StructType
 
+from pagemill.session import deal_by
+
 SOURCE_NAME = "named_files"
+#: Files and bytes that a task holds at once, unless a single file has more.
+READ_FILES, READ_BYTES = 512, 4 << 20
 
 
 def open_folder(path: str):
@@ -170,6 +180,54 @@ def read_names(spark: SparkSession, path: str) -> list[str]:
     return [i.base_name for i in files.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File]
 
 
+def _list_names(batches):
+    """mapInArrow body: names of the files right in each folder (``dir``), ``LISTING_ROWS`` at a time."""
+    import pyarrow as pa
+
+    from pagemill.sources.landed import LISTING_ROWS, _entries
+    for batch in batches:
+        for folder in batch.column("dir").to_pylist():
+            names = (name for _, name, _, is_dir in _entries(folder) if not is_dir)
+            for some in itertools.batched(names, LISTING_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["name"])
+
+
+def _read_named(folder: str):
+    """mapInArrow body: content of the files of ``folder`` by ``name``, READ_FILES and READ_BYTES at a time."""
+    def read(batches):
+        import pyarrow as pa
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
+        files, root = open_folder(folder)
+        names, contents, size = [], [], 0
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with files.open_input_stream(f"{root}/{name}") as f:
+                    raw = f.read()
+                if names and (len(names) == READ_FILES or size + len(raw) > READ_BYTES):
+                    yield rows()
+                    names, contents, size = [], [], 0
+                names.append(name)
+                contents.append(raw)
+                size += len(raw)
+        if names:
+            yield rows()
+    return read
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``name`` and ``content`` (bytes) of every file right under ``path``, hidden ones included.
+
+    One task lists the folder and holds ``LISTING_ROWS`` names at a time where the file system
+    gives them one after the other; the names are dealt over all shuffle partitions and the
+    files read there.  Neither a name nor a task for it passes through the driver.
+    """
+    folder = qualified(spark, path)
+    listed = spark.range(0, 1, 1, 1).select(F.lit(folder).alias("dir")).mapInArrow(_list_names, "name string")
+    return deal_by(listed, "name").mapInArrow(_read_named(folder), "name string, content binary")
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of its file system, as Spark's own sinks would take it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

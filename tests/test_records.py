@@ -122,6 +122,43 @@ def test_rendered_pages_are_html_files(spark, tmp_path):
     assert "html" in RH.render_html.__doc__.lower()
 
 
+def test_page_files_are_read_back_without_the_driver_holding_them(spark, tmp_path):
+    import hashlib
+
+    from pagemill.plans.catalog import QUERIES, render_html
+    rows = [(i, f"Line {i} é <b> & more\n" * (i % 7), "en", "s", 1) for i in range(60)] + [(None, "no id", "en", "s", 1), (60, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    files = QUERIES["page_files"](spark, str(tmp_path))
+    assert files.inputFiles() == []  # of Spark's file sources the driver holds the status of each file
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert files.dtypes == [("name", "string"), ("md5", "string"), ("n_bytes", "int")]
+    pages = {f"page_{r.id or ''}.html": r.html.encode() for r in render_html(spark, str(tmp_path)).collect()}
+    assert len(pages) == 62
+    assert sorted(map(tuple, files.collect())) == sorted((n, hashlib.md5(b).hexdigest(), len(b)) for n, b in pages.items())
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert QUERIES["page_files"](spark, f"{tmp_path}/none").collect() == []
+
+
+def test_files_are_listed_and_read_in_parts(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from pagemill.sources import landed as A
+    out = f"{tmp_path}/files"
+    df = spark.range(25).select(F.format_string("_%02d", "id").alias("name"), F.expr("repeat('x', cast(id as int))").alias("content"))
+    N.write_files(df, out, "overwrite")
+    os.makedirs(f"{out}/sub")
+    want = {f"_{i:02d}": b"x" * i for i in range(25)}
+    assert {r.name: bytes(r.content) for r in N.read_files(spark, out).collect()} == want
+    monkeypatch.setattr(A, "LISTING_ROWS", 7)
+    names = list(N._list_names([pa.RecordBatch.from_pydict({"dir": [out]})]))
+    assert [b.num_rows for b in names] == [7, 7, 7, 4]
+    monkeypatch.setattr(N, "READ_FILES", 6)
+    monkeypatch.setattr(N, "READ_BYTES", 40)
+    parts = list(N._read_named(out)([pa.RecordBatch.from_pydict({"name": sorted(want)})]))
+    assert {n: c for b in parts for n, c in zip(*b.to_pydict().values(), strict=True)} == want
+    assert all(b.num_rows <= 6 and sum(map(len, b.column("content").to_pylist())) <= 40 for b in parts) and parts[0].num_rows == 6
+
+
 def test_single_json_takes_no_part_of_the_scan_away(spark, tmp_path):
     src = f"{tmp_path}/src"
     spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("x"), F.struct(F.lit(1).alias("é")).alias("s")).repartition(5).write.parquet(src)
